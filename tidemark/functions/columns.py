@@ -25,6 +25,12 @@ def finite(c: str | Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+def floored(c: str | Column, floor: float) -> Column:
+    """The value, not less than ``floor``; null stays null (``greatest`` would skip it)."""
+    x = col(c)
+    return F.when(x < floor, F.lit(float(floor))).otherwise(x)
+
+
 def ntz_micros(c: str | Column) -> Column:
     """Microseconds since the epoch of a zone-less timestamp, whatever the session zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col(c))
@@ -73,7 +79,7 @@ def transform(c: str | Column, kind: str) -> Column:
     """The registered column transforms: log, signed_log or raw."""
     x = col(c)
     if kind == "log":
-        return F.log(F.greatest(x, F.lit(VARIANCE_FLOOR)))
+        return F.log(floored(x, VARIANCE_FLOOR))
     if kind == "signed_log":
         return F.signum(x) * F.log1p(F.abs(x))
     if kind == "raw":
@@ -83,7 +89,7 @@ def transform(c: str | Column, kind: str) -> Column:
 
 def qlike(actual: Column, forecast: Column, floor: float = VARIANCE_FLOOR) -> Column:
     """a/f - ln(a/f) - 1 with a floored forecast; null unless the target is positive."""
-    ratio = actual / F.greatest(forecast, F.lit(floor))
+    ratio = actual / floored(forecast, floor)
     return F.when(actual > 0, ratio - F.log(ratio) - 1.0)
 
 
@@ -92,7 +98,7 @@ def qlike_gradient(actual: Column, log_forecast: Column, clip: float = 30.0) ->
 
 
 def qlike_hessian(actual: Column, log_forecast: Column, clip: float = 30.0) -> Column:
-    z = F.greatest(F.least(log_forecast, F.lit(clip)), F.lit(-clip))
+    z = F.when(log_forecast > clip, clip).when(log_forecast < -clip, -clip).otherwise(log_forecast)
     return actual * F.exp(-z)
 
 

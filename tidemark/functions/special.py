@@ -61,7 +61,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
     inside = F.when(
         odd, (2.0 / math.pi) * (theta + F.sin(theta) * F.cos(theta) * series)
     ).otherwise(F.sin(theta) * series)
-    return F.greatest(F.lit(0.0), 1.0 - inside)
+    return F.when(inside > 1.0, 0.0).otherwise(1.0 - inside)
 
 
 def chi2_sf(x: Column, df: int) -> Column:

@@ -32,10 +32,15 @@ def group_quantiles(
     values = (
         df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
-        .withColumn("_bin", _ordered_bin(F.col("_v")))
-        .groupBy(*keys, "_bin", "_v")
+        .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    return quantiles_of_counts(values, keys, probs)
+
+
+def quantiles_of_counts(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """The second half of :func:`group_quantiles`, for rows (keys, _v, _c) already counted."""
+    values = values.withColumn("_bin", _ordered_bin(F.col("_v")))
     part = Window.partitionBy(*keys)
     bins = (
         values.groupBy(*keys, "_bin")
