@@ -97,7 +97,7 @@ def main(argv):
     from tidemark import build_session
 
     spark = build_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     q, o = e.queries(), e.oracle_sql()
     picked = [n for n in q if not argv or any(re.match(a, n) for a in argv)]
@@ -106,7 +106,7 @@ def main(argv):
         try:
             st, rows, spent, note = compare(spark, con, n, q[n], o.get(n), sf)
         except Exception as ex:  # noqa: BLE001
-            st, rows, spent, note = "ERROR", 0, 0.0, str(ex)[:900]
+            st, rows, spent, note = "ERROR", 0, 0.0, str(ex)[:400]
         counts[st] = counts.get(st, 0) + 1
         print(f"{st:9s} {n:40s} rows={rows:<7d} {spent:6.2f}s {note}", flush=True)
     print(counts)

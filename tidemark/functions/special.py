@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +36,16 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1.0 + erf(x / math.sqrt(2.0)))
 
 
+def normal_cdf_array(x: np.ndarray) -> np.ndarray:
+    """The same approximation for an Arrow batch inside a pandas function."""
+    z = np.asarray(x, dtype=np.float64) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + ERF_P * np.abs(z))
+    poly = np.zeros_like(z)
+    for a in reversed(ERF_A):
+        poly = (poly + a) * t
+    return 0.5 * (1.0 + np.sign(z) * (1.0 - poly * np.exp(-z * z)))
+
+
 def normal_two_sided(z: Column) -> Column:
     return 2.0 * (1.0 - normal_cdf(F.abs(z)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ceil_div, floor_div
+from ..functions.columns import ceil_div, floor_div, floored
 from .grid import origin_grid
 from .ordered import split_lag
 from .quantiles import group_quantiles
@@ -46,45 +46,42 @@ def event_presence(origins: DataFrame, events: DataFrame, step_us: int, panes: i
 
 def multileg_size(tape: DataFrame, keys: tuple[str, ...] = ("asset", "contract")) -> DataFrame:
     """Increase of the running multi-leg total since the contract's last print, in [0, size]."""
-    lagged = split_lag(
-        tape, list(keys), ["created_us", "id"], floor_div(F.col("created_us"), 6 * HOUR_US),
-        ["multi_vol"],
-    )
-    grown = F.coalesce(F.col("multi_vol") - F.col("prev_multi_vol"), F.lit(0.0))
-    return lagged.withColumn(
-        "multileg_size", F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), grown))
-    ).drop("prev_multi_vol", "prev_exists")
+    return lagged_trades(tape, keys).drop("d_iv", "d_mid_rel", "d_spread", "has_previous", "mid", "rel_spread")
 
 
-def previous_trade_deltas(tape: DataFrame, keys: tuple[str, ...] = ("asset", "contract")) -> DataFrame:
-    """Change of IV, relative mid and relative spread from the contract's previous print.
-
-    A first print has zero changes and ``has_previous`` false.
-    """
+def lagged_trades(tape: DataFrame, keys: tuple[str, ...] = ("asset", "contract")) -> DataFrame:
+    """Multi-leg size and the changes from the contract's previous print, from one lag."""
     mid = (F.col("bid") + F.col("ask")) / 2.0
     t = tape.withColumn("mid", mid).withColumn(
-        "rel_spread", (F.col("ask") - F.col("bid")) / F.greatest(F.col("mid"), F.lit(1e-9))
+        "rel_spread", (F.col("ask") - F.col("bid")) / floored("mid", 1e-9)
     )
     lagged = split_lag(
         t, list(keys), ["created_us", "id"], floor_div(F.col("created_us"), 6 * HOUR_US),
-        ["iv", "mid", "rel_spread"],
+        ["multi_vol", "iv", "mid", "rel_spread"],
     )
 
     def diff(c: Column) -> Column:
         return F.coalesce(c, F.lit(0.0))
 
+    grown = diff(F.col("multi_vol") - F.col("prev_multi_vol"))
     return (
         lagged.withColumn("d_iv", diff(F.col("iv") - F.col("prev_iv")))
-        .withColumn(
-            "d_mid_rel",
-            diff((F.col("mid") - F.col("prev_mid")) / F.greatest(F.col("prev_mid"), F.lit(1e-9))),
-        )
+        .withColumn("d_mid_rel", diff((F.col("mid") - F.col("prev_mid")) / floored("prev_mid", 1e-9)))
         .withColumn("d_spread", diff(F.col("rel_spread") - F.col("prev_rel_spread")))
+        .withColumn("multileg_size", F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), grown)))
         .withColumnRenamed("prev_exists", "has_previous")
-        .drop("prev_iv", "prev_mid", "prev_rel_spread")
+        .drop("prev_multi_vol", "prev_iv", "prev_mid", "prev_rel_spread")
     )
 
 
+def previous_trade_deltas(tape: DataFrame, keys: tuple[str, ...] = ("asset", "contract")) -> DataFrame:
+    """Change of IV, relative mid and relative spread from the contract's previous print.
+
+    A first print has zero changes and ``has_previous`` false.
+    """
+    return lagged_trades(tape, keys).drop("multileg_size")
+
+
 def training_cutpoints(df: DataFrame, value: str, training: Column) -> DataFrame:
     """One row: the 1/3 and 2/3 quantiles over training rows only."""
     return group_quantiles(df.where(training), [], value, {"lower": 1 / 3, "upper": 2 / 3})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import greeks as GK
 from ..functions.columns import MICROS, ceil_div, floor_div, latency_seconds, trade_direction
 from ..functions.time import tenor_years
-from .features import multileg_size, previous_trade_deltas
+from .features import lagged_trades, previous_trade_deltas
 from .ordered import split_lag
 from .panes import cells, spread, with_panes
 from .quantiles import group_quantiles, quantiles_of_counts
@@ -119,53 +119,54 @@ ACTIVITY_SUMS = ("trades", "null_premium", "negative_premium", "total_premium",
                  "put_premium", "ask_premium", "bid_premium")
 
 
-def activity(tape: DataFrame, origins: DataFrame, step_us: int, panes: int, delay_s: int) -> DataFrame:
-    """Per origin activity of executions in [end - window, end) on record by end = origin - delay.
-
-    An origin without activity reads zero.  Contract, strike and expiry detail needs the pane
-    cells at contract grain; everything else is summed from the same cells.
-    """
+def _premium_aggs() -> list[Column]:
     p = F.greatest(F.coalesce("premium", F.lit(0.0)), F.lit(0.0))
     side = F.coalesce(F.col("tags"), F.lit(""))
     kind = F.lower("option_type")
+    return [
+        F.count(F.lit(1)).alias("trades"),
+        F.count_if(F.col("premium").isNull()).alias("null_premium"),
+        F.count_if(F.col("premium") < 0).alias("negative_premium"),
+        F.sum(p).alias("total_premium"),
+        F.sum(F.when(kind == "call", p).otherwise(0.0)).alias("call_premium"),
+        F.sum(F.when(kind == "put", p).otherwise(0.0)).alias("put_premium"),
+        F.sum(F.when(side.contains("ask_side"), p).otherwise(0.0)).alias("ask_premium"),
+        F.sum(F.when(side.contains("bid_side"), p).otherwise(0.0)).alias("bid_premium"),
+        F.max(p).alias("max_premium"),
+        F.max("created_us").alias("max_created_us"),
+    ]
+
+
+def activity(
+    tape: DataFrame, origins: DataFrame, step_us: int, panes: int, delays: list[int]
+) -> DataFrame:
+    """Per (origin, delay) activity of executions in [end - window, end), end = origin - delay.
+
+    Records must exist by ``end``.  An origin without activity reads zero.  Contract, strike and
+    expiry detail comes from pane cells at contract grain; the rest is summed from the same
+    cells.
+    """
+    delay = F.explode(F.array(*[F.lit(x).cast("bigint") for x in delays]))
     base = cells(
-        with_panes(tape, step_us, delay_s), ["asset", "contract", "strike", "expiry"],
-        [
-            F.count(F.lit(1)).alias("trades"),
-            F.count_if(F.col("premium").isNull()).alias("null_premium"),
-            F.count_if(F.col("premium") < 0).alias("negative_premium"),
-            F.sum(p).alias("total_premium"),
-            F.sum(F.when(kind == "call", p).otherwise(0.0)).alias("call_premium"),
-            F.sum(F.when(kind == "put", p).otherwise(0.0)).alias("put_premium"),
-            F.sum(F.when(side.contains("ask_side"), p).otherwise(0.0)).alias("ask_premium"),
-            F.sum(F.when(side.contains("bid_side"), p).otherwise(0.0)).alias("bid_premium"),
-            F.max(p).alias("max_premium"),
-            F.max("created_us").alias("max_created_us"),
-        ],
+        with_panes(tape.withColumn("delay_s", delay), step_us, F.col("delay_s")),
+        ["asset", "delay_s", "contract", "strike", "expiry"], _premium_aggs(),
     )
-    per_contract = (
-        spread(base, panes, True)
-        .groupBy("asset", "k", "contract", "strike", "expiry")
-        .agg(*[F.sum(c).alias(c) for c in ACTIVITY_SUMS], F.max("max_premium").alias("max_premium"),
-             F.max("max_created_us").alias("max_created_us"))
+    keys = ["asset", "delay_s", "k"]
+    dims = dimension_sums(spread(base, panes, True), keys, "trades", ACTIVITY_SUMS, ("max_premium", "max_created_us"))
+    c = F.col("_dim") == "contract"
+    again = c & (F.col("_w") > 1)
+    out = dims.groupBy(*keys).agg(
+        *[F.sum(x).alias(x) for x in ACTIVITY_SUMS],
+        F.count_if(c).alias("contracts"), F.max("max_premium").alias("max_premium"), F.max("max_created_us").alias("max_created_us"),
+        F.sum(F.when(again, F.col("total_premium")).otherwise(0.0)).alias("repeated_premium"),
+        F.sum(F.when(again, F.col("_w")).otherwise(0)).alias("repeated_trades"),
+        *[(F.max(F.when(F.col("_dim") == x, F.col("_w"))) / F.sum(F.when(F.col("_dim") == x, F.col("_w")))).alias(f"{x}_concentration")
+          for x in ("strike", "expiry")],
     )
-    total = per_contract.groupBy("asset", "k").agg(
-        *[F.sum(c).alias(c) for c in ACTIVITY_SUMS],
-        F.count(F.lit(1)).alias("contracts"), F.max("max_premium").alias("max_premium"),
-        F.max("max_created_us").alias("max_created_us"),
-        F.sum(F.when(F.col("trades") > 1, F.col("total_premium")).otherwise(0.0)).alias("repeated_premium"),
-    )
-    out = total
-    for name in ("strike", "expiry"):
-        conc = (
-            per_contract.where(F.col(name).isNotNull()).groupBy("asset", "k", name)
-            .agg(F.sum("trades").alias("_n")).groupBy("asset", "k")
-            .agg((F.max("_n") / F.sum("_n")).alias(f"{name}_concentration"))
-        )
-        out = out.join(conc, ["asset", "k"], "left")
-    o = origins.withColumn("k", floor_div(F.col("origin_us"), step_us)).select("origin_id", "asset", "session_date", "minute", "k")
-    j = o.join(out, ["asset", "k"], "left")
-    zero_long = ("trades", "null_premium", "negative_premium", "contracts")
+    o = origins.withColumn("k", floor_div(F.col("origin_us"), step_us)).select(
+        "origin_id", "asset", "session_date", "minute", "origin_us", "k", delay.alias("delay_s"))
+    j = o.join(out, keys, "left")
+    zero_long = ("trades", "null_premium", "negative_premium", "contracts", "repeated_trades")
     zero_dbl = ("total_premium", "call_premium", "put_premium", "ask_premium", "bid_premium", "max_premium",
                 "repeated_premium", "strike_concentration", "expiry_concentration")
     j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in zero_long})
@@ -176,6 +177,76 @@ def activity(tape: DataFrame, origins: DataFrame, step_us: int, panes: int, dela
     ).drop("k", "ask_premium", "bid_premium")
 
 
+def dimension_sums(
+    per: DataFrame, keys: list[str], weight: str, sums: tuple[str, ...], maxima: tuple[str, ...] = ()
+) -> DataFrame:
+    """Weights per (keys, dimension, value) for contract, strike and expiry in one shuffle.
+
+    The other measures travel on the contract rows only, so totals and all concentrations of a
+    window come from one pass and need no self joins.
+    """
+    day = F.datediff("expiry", F.lit("1970-01-01").cast("date")).cast("bigint")
+    values = {"contract": F.col("contract"), "strike": F.round(F.col("strike") * 1000.0).cast("bigint"), "expiry": day}
+    dims = F.explode(F.array(*[F.struct(F.lit(n).alias("d"), v.alias("v")) for n, v in values.items()]))
+    rows = per.withColumn("_d", dims).where(F.col("_d.v").isNotNull())
+    main = F.col("_d.d") == "contract"
+    return rows.groupBy(*keys, F.col("_d.d").alias("_dim"), F.col("_d.v").alias("_val")).agg(
+        F.sum(weight).alias("_w"), *[F.sum(F.when(main, F.col(c))).alias(c) for c in sums],
+        *[F.max(F.when(main, F.col(c))).alias(c) for c in maxima])
+
+
+def wide_activity(
+    tape: DataFrame, origins: DataFrame, step_us: int, panes: int, delays: list[int]
+) -> DataFrame:
+    """Activity plus sizes, midpoint premium, flags, and medians of IV, moneyness and tenor.
+
+    ``origins`` carries ``spot``.  The medians are exact: values are counted per pane cell, the
+    counts spread over windows and the ranks found on the counts.
+    """
+    delay = F.explode(F.array(*[F.lit(x).cast("bigint") for x in delays]))
+    t = with_panes(tape.withColumn("delay_s", delay), step_us, F.col("delay_s"))
+    keys = ["asset", "delay_s", "k"]
+    p = F.coalesce("premium", F.lit(0.0))
+    good = (F.col("bid") > 0) & (F.col("ask") > F.col("bid")) & F.col("price").isNotNull()
+    sums = {
+        "n": F.lit(1), "total_size": F.col("size"), "_mid": F.when(good, p).otherwise(0.0),
+        "_multi": F.col("tags").contains("multileg").cast("int"), "_sweep": F.col("flags").contains("sweep").cast("int"),
+        "_iv_n": F.col("iv").isNotNull().cast("int"), "_valid": (F.col("price").isNotNull() & F.col("premium").isNotNull()).cast("int"),
+        "_prem": p,
+    }
+    base = cells(t, keys[:2], [*[F.sum(c).alias(n) for n, c in sums.items()], F.max("size").alias("max_size"),
+                               F.max("iv").alias("_iv_hi"), F.min("iv").alias("_iv_lo")])
+    agg = spread(base, panes, True).groupBy(*keys).agg(
+        *[F.sum(n).alias(n) for n in sums], F.max("max_size").alias("max_size"),
+        F.max("_iv_hi").alias("_iv_hi"), F.min("_iv_lo").alias("_iv_lo"))
+    o = origins.withColumn("k", floor_div(F.col("origin_us"), step_us)).select(
+        "origin_id", "asset", "session_date", "spot", "k", delay.alias("delay_s"))
+
+    def counts(value: str) -> DataFrame:
+        c = t.where(F.col(value).isNotNull()).groupBy(*keys[:2], "exec_pane", "seen_pane", value).agg(F.count(F.lit(1)).alias("_c"))
+        return spread(c, panes, True).groupBy(*keys, value).agg(F.sum("_c").alias("_c"))
+
+    def at_origin(value: str, expr: Column) -> DataFrame:
+        return counts(value).join(o.select(*keys, "spot", "session_date"), keys).select(*keys, expr.cast("double").alias("_v"), "_c").where(
+            F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+
+    iv = quantiles_of_counts(counts("iv").withColumnRenamed("iv", "_v"), keys, {"iv_median": 0.5})
+    mny = quantiles_of_counts(at_origin("strike", F.abs(F.col("strike") / F.col("spot") - 1.0)), keys, {"abs_moneyness_median": 0.5})
+    dte = quantiles_of_counts(at_origin("expiry", F.datediff("expiry", "session_date")), keys, {"dte_median": 0.5})
+    j = o.join(agg, keys, "left").join(iv, keys, "left").join(mny, keys, "left").join(dte, keys, "left")
+    n = F.col("n")
+    z = F.lit(0.0)
+    return j.select(
+        "origin_id", "delay_s", F.coalesce(n, F.lit(0).cast("bigint")).alias("trades"),
+        F.coalesce("total_size", F.lit(0).cast("bigint")).alias("total_size"), F.coalesce("max_size", F.lit(0).cast("bigint")).alias("max_size"),
+        F.coalesce(F.when(F.col("_prem") > 0, F.col("_mid") / F.col("_prem")), z).alias("midpoint_share"),
+        F.coalesce(F.col("_multi") / n, z).alias("multileg_share"), F.coalesce(F.col("_sweep") / n, z).alias("sweep_share"),
+        F.when(F.col("_iv_n") >= 2, F.col("_iv_hi") - F.col("_iv_lo")).alias("iv_range"),
+        F.coalesce(F.col("_valid") / n, z).alias("valid_share"), F.coalesce(1.0 - F.col("_iv_n") / n, F.lit(1.0)).alias("missing_iv_share"),
+        "iv_median", F.coalesce("abs_moneyness_median", z).alias("abs_moneyness_median"), F.coalesce("dte_median", z).alias("dte_median"),
+    )
+
+
 def compact_features(a: DataFrame) -> DataFrame:
     """Nine zero-safe features of an activity frame."""
     n, prem = F.col("trades").cast("double"), F.col("total_premium")
@@ -269,7 +340,7 @@ def trade_channels(tape: DataFrame) -> DataFrame:
     Reads bid, ask, size, premium, iv, strike, expiry_close_us, option_type, tags, flags,
     multi_vol, mark and the two clocks.
     """
-    t = previous_trade_deltas(multileg_size(tape))
+    t = lagged_trades(tape)
     multi = F.col("multileg_size") > 0
     is_call = F.col("option_type") == "call"
     t = t.withColumn("direction", trade_direction(F.col("tags"), multi)).withColumn(
@@ -305,7 +376,6 @@ def trade_channels(tape: DataFrame) -> DataFrame:
         "multileg_premium": only(multi, prem),
         "previous": F.col("has_previous").cast("double"),
         "latency": lat, "late": only(lat > 60.0, F.lit(1.0)),
-        "created_s": F.col("created_us") / float(MICROS),
     })
 
 
@@ -313,7 +383,7 @@ CHANNEL_SUMS = (
     "size", "premium", "vega_flow", "gamma_flow", "delta_flow", "vega_flow_abs", "vega_flow_call", "vega_flow_put",
     "vega_flow_short_dte", "vega_flow_long_dte", "zero_dte_premium", "zero_dte_signed_premium", "zero_dte_trades",
     "otm_premium", "buy_premium", "sell_premium", "passive_premium", "sweep_premium", "multileg_size",
-    "multileg_premium", "d_iv", "d_mid_rel", "d_spread", "previous", "latency", "late", "created_s",
+    "multileg_premium", "d_iv", "d_mid_rel", "d_spread", "previous", "latency", "late",
 )
 
 
@@ -326,32 +396,36 @@ def flow_record(
     exchange clock.  All sums come from pane cells at contract grain.
     """
     t = with_panes(trade_channels(tape), step_us, cutoff_s)
+    step_s = step_us / MICROS
+    # Ages stay small numbers: the offset to the pane boundary now, whole steps after the spread.
+    offset = (F.col("seen_pane") * F.lit(step_us) - F.col("created_us") - F.lit(cutoff_s * MICROS)) / float(MICROS)
     base = cells(
         t, ["asset", "contract", "strike", "expiry"],
-        [F.count(F.lit(1)).alias("trades"), *[F.sum(c).alias(c) for c in CHANNEL_SUMS],
+        [F.count(F.lit(1)).alias("trades"), *[F.sum(c).alias(c) for c in CHANNEL_SUMS], F.sum(offset).alias("_off"),
          F.min("executed_us").alias("_t0"), F.max("executed_us").alias("_t1")],
     )
-    per = spread(base, panes, False)
     keys = ["asset", "k"]
-    contract = per.groupBy(*keys, "contract", "strike", "expiry").agg(
-        F.sum("trades").alias("trades"), *[F.sum(c).alias(c) for c in CHANNEL_SUMS],
-        F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"))
-    extra = [entropy(F.col("premium")).alias("contract_entropy")] if concentration else []
-    total = contract.groupBy(*keys).agg(
-        F.sum("trades").alias("trades"), *[F.sum(c).alias(c) for c in CHANNEL_SUMS],
-        F.count(F.lit(1)).alias("contracts"),
-        ((F.max("_t1") - F.min("_t0")) / float(MICROS)).alias("observed_span_s"), *extra)
-    lat = t.groupBy("asset", "exec_pane", "seen_pane", "latency").agg(F.count(F.lit(1)).alias("_n"))
-    counted = spread(lat, panes, False).groupBy(*keys, F.col("latency").alias("_v")).agg(F.sum("_n").alias("_c"))
-    tail = quantiles_of_counts(counted, keys, {"p95_latency_s": 0.95})
-    out = total.join(tail, keys, "left")
+    per = spread(base, panes, False).withColumn(
+        "age", F.col("_off") + F.col("trades") * (F.col("k") - F.col("seen_pane")) * step_s).withColumn("_t0", -F.col("_t0"))
+    dims = dimension_sums(per, keys, "premium", ("trades", "age", *CHANNEL_SUMS), ("_t0", "_t1"))
+
+    def weight(name: str) -> Column:
+        return F.when(F.col("_dim") == name, F.col("_w"))
+
+    extra = [herfindahl(weight("strike")).alias("strike_hhi"), herfindahl(weight("expiry")).alias("expiry_hhi"),
+             entropy(weight("contract")).alias("contract_entropy")] if concentration else []
+    out = dims.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("trades", "age", *CHANNEL_SUMS)],
+        F.count_if(F.col("_dim") == "contract").alias("contracts"),
+        ((F.max("_t1") + F.max("_t0")) / float(MICROS)).alias("observed_span_s"), *extra)
+    # The latency tail and the gaps need rows in order; they read the clocks only.
+    clocks = with_panes(tape.select("asset", "executed_us", "created_us"), step_us, cutoff_s)
+    lat = clocks.groupBy("asset", "exec_pane", "seen_pane", latency_seconds(F.col("created_us"), F.col("executed_us")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    counted = spread(lat, panes, False).groupBy(*keys, "_v").agg(F.sum("_n").alias("_c"))
+    out = out.join(quantiles_of_counts(counted, keys, {"p95_latency_s": 0.95}), keys, "left")
     if concentration:
-        for name in ("strike", "expiry"):
-            hhi = contract.groupBy(*keys, name).agg(F.sum("premium").alias("_w")).groupBy(*keys).agg(
-                herfindahl(F.col("_w")).alias(f"{name}_hhi"))
-            out = out.join(hhi, keys, "left")
-        times = spread(t.select("asset", "exec_pane", "seen_pane", "executed_us"), panes, False)
-        out = out.join(interarrival_cv(times, keys, "executed_us", step_us), keys, "left")
+        out = out.join(interarrival_cv(spread(clocks, panes, False), keys, "executed_us", step_us), keys, "left")
     o = origins.withColumn("k", floor_div(F.col("origin_us"), step_us)).select("origin_id", "asset", "session_date", "minute", "origin_us", "k")
     j = o.join(out, keys, "left")
     window_s = panes * step_us / MICROS
@@ -361,7 +435,6 @@ def flow_record(
     prem = F.greatest("premium", F.lit(1e-9))
     n = F.col("trades")
     before = F.greatest("previous", F.lit(1.0))
-    cutoff = F.col("origin_us") / float(MICROS) - float(cutoff_s)
     cols = {
         "trades": n, "contracts": F.col("contracts"), "size": F.col("size"), "premium": F.col("premium"),
         **{c: F.col(c) for c in CHANNEL_SUMS if c.endswith("_flow") or c.startswith("vega_flow_")},
@@ -371,7 +444,7 @@ def flow_record(
         "d_iv": F.col("d_iv") / before, "d_mid_rel": F.col("d_mid_rel") / before, "d_spread": F.col("d_spread") / before,
         "rate_per_second": n / window_s, "observed_span_s": F.coalesce("observed_span_s", z),
         "is_empty_window": F.when(n == 0, 1.0).otherwise(0.0),
-        "mean_age_s": F.when(n > 0, cutoff - F.col("created_s") / n).otherwise(0.0),
+        "mean_age_s": F.when(n > 0, F.col("age") / n).otherwise(0.0),
         "mean_provider_latency_s": F.when(n > 0, F.col("latency") / n).otherwise(0.0),
         "late_arrival_share": F.when(n > 0, F.col("late") / n).otherwise(0.0),
         "p95_provider_latency_s": F.coalesce("p95_latency_s", z),

@@ -53,19 +53,19 @@ def split_running_sum(
     name: str,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` by ``order``."""
-    tagged = df.withColumn("_bucket", bucket).withColumn("_v", value)
+    tagged = df.withColumn("_bucket", bucket).withColumn("_running", value)
     w = (
         Window.partitionBy(*keys, "_bucket")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_total"))
+    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_running").alias("_total"))
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     base = totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     return (
-        tagged.withColumn("_run", F.sum("_v").over(w))
+        tagged.withColumn("_run", F.sum("_running").over(w))
         .join(base.drop("_total"), [*keys, "_bucket"])
         .select(*df.columns, (F.col("_run") + F.col("_base")).alias(name))
     )
@@ -135,3 +135,19 @@ def asof_join(
         )
         .select(*left.columns, *kept)
     )
+
+
+def split_running_max(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str
+) -> DataFrame:
+    """Inclusive running maximum of ``value`` within ``keys`` by ``order``."""
+    tagged = df.withColumn("_bucket", bucket).withColumn("_running", value)
+    upto = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = tagged.groupBy(*keys, "_bucket").agg(F.max("_running").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = tops.select(*keys, "_bucket", F.max("_top").over(before).alias("_base"))
+    return (
+        tagged.withColumn("_run", F.max("_running").over(upto))
+        .join(base, [*keys, "_bucket"])
+        .select(*df.columns, F.greatest("_run", "_base").alias(name))
+    )

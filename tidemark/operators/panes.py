@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import MICROS, ceil_div, floor_div
 
 
-def with_panes(tape: DataFrame, step_us: int, delay_s: int = 0) -> DataFrame:
+def with_panes(tape: DataFrame, step_us: int, delay_s: int | Column = 0) -> DataFrame:
     """Add the execution pane and the first origin index at which the record is visible."""
-    d = F.lit(delay_s * MICROS)
+    d = delay_s * F.lit(MICROS).cast("bigint") if isinstance(delay_s, Column) else F.lit(delay_s * MICROS)
     return tape.withColumn("exec_pane", floor_div(F.col("executed_us") + d, step_us)).withColumn(
         "seen_pane", ceil_div(F.col("created_us") + d, step_us)
     )

@@ -11,8 +11,8 @@ def quantile_of(sorted_array: Column, p: float) -> Column:
     n = F.size(sorted_array)
     at = (n - 1) * F.lit(float(p))
     lo = F.floor(at).cast("int")
-    a = F.element_at(sorted_array, lo + 1)
-    b = F.element_at(sorted_array, F.least(lo + 2, n))
+    a = F.try_element_at(sorted_array, lo + 1)
+    b = F.try_element_at(sorted_array, F.least(lo + 2, n))
     return F.when(n > 0, a + (b - a) * (at - lo))
 
 
@@ -116,9 +116,9 @@ def unusual_score(features: list[str], log: bool = True) -> Column:
         zs.append((x - F.col(f"{f}_median")) / F.col(f"{f}_scale"))
     top = F.slice(F.sort_array(F.filter(F.array(*zs), lambda z: z > 0), asc=False), 1, 3)
     n = F.size(top)
-    mid = F.when(n % 2 == 1, F.element_at(top, F.floor((n + 1) / 2).cast("int"))).otherwise(
-        (F.element_at(top, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))
-         + F.element_at(top, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)) + 1)) / 2.0
+    mid = F.when(n % 2 == 1, F.try_element_at(top, F.floor((n + 1) / 2).cast("int"))).otherwise(
+        (F.try_element_at(top, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))
+         + F.try_element_at(top, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)) + 1)) / 2.0
     )
     return F.when(n == 0, 0.0).otherwise(mid)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf
+from .ordered import split_running_max, split_running_sum
 
 
 def session_rank(df: DataFrame, day: str = "session_date") -> DataFrame:
@@ -46,11 +47,15 @@ def one_session_lag(df: DataFrame, keys: list[str], values: list[str], day: str
     return out
 
 
-def drawdown(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Equity as a running sum and its distance below the running maximum."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    eq = series.withColumn("equity", F.sum(value).over(w))
-    return eq.withColumn("drawdown", F.col("equity") - F.max("equity").over(w))
+def drawdown(series: DataFrame, keys: list[str], order: str, value: str, bucket: int = 65_536) -> DataFrame:
+    """Equity as a running sum and its distance below the running maximum.
+
+    ``order`` is a bigint, unique per key; a long series is cut into ranges of it.
+    """
+    cut = F.floor(F.col(order) / bucket)
+    eq = split_running_sum(series, keys, [order], cut, F.col(value), "equity")
+    top = split_running_max(eq, keys, [order], cut, F.col("equity"), "_top")
+    return top.withColumn("drawdown", F.col("equity") - F.col("_top")).drop("_top")
 
 
 def autocorrelation(series: DataFrame, keys: list[str], max_lag: int) -> DataFrame:

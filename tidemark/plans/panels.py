@@ -34,6 +34,16 @@ def marked_tape(spark: SparkSession, d: str) -> DataFrame:
     return t.join(marks(spark, d), ["asset", "session_date", "bar"]).where(F.col("mark") > 0)
 
 
+def chain_spot(price):
+    """Squeeze a stand-in price into (90, 110), where the stand-in strikes are."""
+    return F.lit(90.0) + F.lit(20.0) * price / (price + F.lit(20.0))
+
+
+def chain_tape(spark: SparkSession, d: str) -> DataFrame:
+    """The in-session tape with the mark on the scale of the strikes."""
+    return marked_tape(spark, d).withColumn("mark", chain_spot(F.col("mark")))
+
+
 def slots(spark: SparkSession, d: str) -> DataFrame:
     """Every (asset, session, bar) slot of the calendar."""
     c = X.calendar(spark, d).where(F.col("minutes") >= X.BAR_MINUTES)
@@ -144,3 +154,31 @@ def delayed_snapshots(spark: SparkSession, d: str, delays: list[int], tail: int)
     o = o.withColumn("at", floor_div(F.col("minute"), X.BAR_MINUTES) - F.col("delay"))
     out = asof_join(o, b, ["asset", "session_date"], "at", "source_bar", ["spot", "rv_lag"], 1000)
     return out.select("origin_id", "delay", "source_bar", "spot", "rv_lag")
+
+
+def chain_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """The tape with two-sided option prices that nearly obey parity at the stand-in strikes."""
+    put = F.lit(25.0) + F.lit(0.1) * (F.col("strike") - 100.0) + (F.col("id") % 5) * 0.01
+    call = put + F.lit(0.99) * (F.lit(101.0) - F.col("strike"))
+    mid = F.when(F.col("option_type") == "call", call).otherwise(put)
+    return X.tape(spark, d).withColumns({"bid": mid * 0.99, "ask": mid * 1.01})
+
+
+def origin_spot(spark: SparkSession, d: str) -> DataFrame:
+    """Spot at each half-hour: the close of the slot before it, on the scale of the strikes."""
+    g = grid(spark, d).where(F.col("close").isNotNull())
+    at = F.col("open_us") + (F.col("bar") + 1) * F.lit(X.SLOT_US)
+    return g.select("asset", "session_date", floor_div(at, X.SLOT_US).alias("k"), chain_spot(F.col("close")).alias("spot"))
+
+
+def chain_snapshot(spark: SparkSession, d: str, panes: int = 24) -> DataFrame:
+    """Latest quote per contract and origin with spot, tenor, moneyness and days to expiry."""
+    from ..functions.columns import date_micros
+    from ..operators.joins import contract_snapshot
+
+    s = contract_snapshot(chain_quotes(spark, d), X.SLOT_US, panes, 120, ["iv", "bid", "ask", "strike", "expiry", "option_type"])
+    j = s.join(origin_spot(spark, d), ["asset", "k"])
+    close = date_micros("expiry") + F.lit(960 * 60_000_000)
+    return j.withColumns({
+        "tenor": (close - F.col("origin_us")) / 1e6 / (365.0 * 86_400), "moneyness": F.col("strike") / F.col("spot"),
+        "dte": F.datediff("expiry", "session_date").cast("bigint")})

@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     """Register ``fn(spark, dir)`` under ``name`` with its check SQL."""
 
     def wrap(fn: Query) -> Query:
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"duplicate query name: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain(fn(spark, sf_dir))
+            return plain(fn(spark, sf_dir), digits)
 
         QUERIES[name] = run
         if sql is not None:

@@ -76,7 +76,7 @@ def orders_series(spark: SparkSession, d: str) -> DataFrame:
     """orders as a daily forecast/loss panel: asset = priority, session = order date."""
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
-    actual = F.col("o_totalprice") / 1000.0 + 1.0
+    actual = F.sqrt("o_totalprice") / 10.0 + 1.0
     return o.select(
         k.alias("origin_id"),
         F.col("o_orderpriority").alias("asset"),
@@ -144,9 +144,9 @@ origins AS (
         FROM cal WHERE minutes >= 60), assets),
 panel AS (
   SELECT o_orderkey AS origin_id, o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS session_date,
-    o_totalprice/1000.0::DOUBLE + 1.0::DOUBLE AS actual,
-    (o_totalprice/1000.0::DOUBLE + 1.0::DOUBLE)*(1.0::DOUBLE+((o_orderkey*7)%11-5)/20.0::DOUBLE) AS f_base,
-    (o_totalprice/1000.0::DOUBLE + 1.0::DOUBLE)*(1.0::DOUBLE+((o_orderkey*13)%9-4)/22.0::DOUBLE) AS f_wide,
+    sqrt(o_totalprice)/10.0::DOUBLE + 1.0::DOUBLE AS actual,
+    (sqrt(o_totalprice)/10.0::DOUBLE + 1.0::DOUBLE)*(1.0::DOUBLE+((o_orderkey*7)%11-5)/20.0::DOUBLE) AS f_base,
+    (sqrt(o_totalprice)/10.0::DOUBLE + 1.0::DOUBLE)*(1.0::DOUBLE+((o_orderkey*13)%9-4)/22.0::DOUBLE) AS f_wide,
     o_custkey AS account
   FROM orders)
 """
