@@ -111,7 +111,8 @@ def recalibrate(forecast: Column, intercept: Column, slope: Column, sigma2: Colu
     return F.exp(intercept + slope * F.log(forecast) + sigma2 / 2.0)
 
 
-def smearing_factor(residual: str) -> Column:
+def smearing_factor(residual: str | Column) -> Column:
+    """Aggregate: exp of half the residual variance."""
     return F.exp(0.5 * F.var_pop(residual))
 
 

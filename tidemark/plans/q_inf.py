@@ -228,12 +228,12 @@ VIEW_SQL = f"""vd AS (SELECT dimension, vw, session_date, row_number() OVER (PAR
    (SELECT unnest(['global','asset','quarter']) AS dimension, unnest(['all', asset, quarter(session_date)::VARCHAR]) AS vw, date_trunc('week', session_date)::DATE AS session_date, actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide)) AS d FROM panel) GROUP BY 1,2,3)),
  vb AS (SELECT series, rep, sum(total)/sum(rows) AS m FROM (SELECT d.series, d.rep, s.total, s.rows FROM (SELECT series, rep, {h(SEED,'rep','pos')} % n AS idx FROM (SELECT series, count(*) AS n FROM vd GROUP BY 1), (SELECT unnest(generate_series(1,{REPS})) AS rep), LATERAL (SELECT unnest(generate_series(0, n-1)) AS pos)) d
    JOIN vd s ON s.series=d.series AND s.idx=d.idx) GROUP BY 1,2),
- vc AS (SELECT series, {CI} FROM vb GROUP BY 1),
+ vc AS (SELECT series, {CI.replace("round(least(","(least(").replace(",6) AS p_value",") AS p_value")} FROM vb GROUP BY 1),
  ve AS (SELECT series, max(dimension) AS dimension, max(vw) AS vw, sum(total)/sum(rows) AS estimate, count(*) AS clusters, sum(rows)::BIGINT AS observations FROM vd GROUP BY 1)"""
 
 
 @query("inf15_evaluation_views", sql("""
-SELECT dimension, vw AS "view", round(estimate,6) AS estimate, clusters, observations, ci_low, ci_high, p_value, round(adjusted,6) AS adjusted, CASE WHEN estimate>0 AND ci_low>0 AND adjusted<0.05 THEN 'CONFIRMED' WHEN estimate<0 AND ci_high<0 THEN 'REVERSED' ELSE 'NOT_CONFIRMED' END AS claim FROM
+SELECT dimension, vw AS "view", round(estimate,6) AS estimate, clusters, observations, ci_low, ci_high, round(p_value,6) AS p_value, round(adjusted,6) AS adjusted, CASE WHEN estimate>0 AND ci_low>0 AND adjusted<0.05 THEN 'CONFIRMED' WHEN estimate<0 AND ci_high<0 THEN 'REVERSED' ELSE 'NOT_CONFIRMED' END AS claim FROM
  (SELECT *, max(raw) OVER (PARTITION BY dimension ORDER BY p_value, vw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adjusted FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER (PARTITION BY dimension)-row_number() OVER (PARTITION BY dimension ORDER BY p_value, vw)+1)*p_value) AS raw FROM ve JOIN vc USING (series)))""", VIEW_SQL))
 def _(spark, d):
     p = X.orders_series(spark, d)
