@@ -182,3 +182,18 @@ def chain_snapshot(spark: SparkSession, d: str, panes: int = 24) -> DataFrame:
     return j.withColumns({
         "tenor": (close - F.col("origin_us")) / 1e6 / (365.0 * 86_400), "moneyness": F.col("strike") / F.col("spot"),
         "dte": F.datediff("expiry", "session_date").cast("bigint")})
+
+
+def flow_and_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Signed premium visible under the two clocks beside trailing realized variance, per origin."""
+    from ..functions.columns import trade_direction
+    from ..operators import panes as P
+
+    signed = F.col("premium") * trade_direction(F.col("tags"))
+    cells = P.cells(P.with_panes(X.tape(spark, d), X.SLOT_US, 120), ["asset"], [F.count(F.lit(1)).alias("trades"), F.sum(signed).alias("signed_premium")])
+    flow = P.spread(cells, 1, False).groupBy("asset", "k").agg(F.sum("trades").alias("trades"), F.sum("signed_premium").alias("signed_premium"))
+    rv = returns(spark, d).select("asset", "session_date", ((F.col("bar") + 1) * X.BAR_MINUTES).alias("minute"), RZ.backward_rv(2).alias("trailing_rv"))
+    o = P.origin_index(X.origins(spark, d), X.SLOT_US)
+    return o.join(flow, ["asset", "k"], "left").join(rv, ["asset", "session_date", "minute"], "left").select(
+        "origin_id", "asset", "session_date", "minute", F.coalesce("trades", F.lit(0).cast("bigint")).alias("trades"),
+        F.round(F.coalesce("signed_premium", F.lit(0.0)), 4).alias("signed_premium"), "trailing_rv")

@@ -21,7 +21,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def tape(spark: SparkSession, d: str) -> DataFrame:
-    """events as an option trade tape with two clocks."""
+    return tape_of(table(spark, d, "events"))
+
+
+def tape_of(events: DataFrame) -> DataFrame:
+    """events, batch or stream, as an option trade tape with two clocks."""
     e = F.col("event_id")
     u = F.col("user_id")
     day = F.to_date("ts")
@@ -29,7 +33,7 @@ def tape(spark: SparkSession, d: str) -> DataFrame:
     strike = (F.lit(80) + F.lit(5) * (u % 9)).cast("double")
     is_call = e % 2 == 0
     value = F.col("value")
-    return table(spark, d, "events").select(
+    return events.select(
         e.alias("id"),
         F.col("event_type").alias("asset"),
         u.alias("account"),
