@@ -14,8 +14,8 @@ LATEST = "asset string, contract bigint, created_us bigint, id bigint, iv double
 DECAY = "asset string, salt bigint, last_us bigint, intensity double"
 
 
-def latest_per_contract(tape: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
-    """The newest record of each contract, dropped from state after a silence of ``ttl_ms``.
+def latest_per_contract(tape: DataFrame, delay: str = "10 minutes", ttl_ms: int = 1_800_000) -> DataFrame:
+    """The newest record of each contract, dropped from state ``ttl_ms`` of event time later.
 
     Emits the current record of every contract that a batch touches (update mode).  State is one
     row per contract; a batch is read as a stream of Arrow chunks, never as a whole.
@@ -33,12 +33,13 @@ def latest_per_contract(tape: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
             best = seen if best is None or seen[:2] > tuple(best[:2]) else best
         if best is not None:
             state.update(tuple(best))
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
             yield pd.DataFrame([[*key, *best]], columns=names)
 
-    return tape.select(*names).groupBy("asset", "contract").applyInPandasWithState(
+    timed = tape.withWatermark("created_at", delay).select(*names, "created_at")
+    return timed.groupBy("asset", "contract").applyInPandasWithState(
         step, LATEST, "created_us bigint, id bigint, iv double, bid double, ask double", "update",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def decay_intensity(tape: DataFrame, decay_s: float, salts: int = 16) -> DataFrame:
