@@ -10,6 +10,7 @@ from ..functions.columns import qlike
 from ..operators import economics as EC
 from ..operators import inference as I
 from ..operators.series import session_series
+from ..sources.results import materialise
 from . import standin as X
 from .q_agg import long_losses, ncdf_sql
 from .q_sca import LEGS, SNAP, hedged
@@ -305,7 +306,7 @@ HPNL = f"""hd AS (SELECT *, {ncdf_sql('d1')} AS delta FROM (SELECT *, (ln(entry_
 @query("eco4_forward_economics", sql(f"SELECT {PERF_OUT.replace('round(mean,6)','round(mean,4)').replace('round(vol,6)','round(vol,4)').replace('round(shortfall,6)','round(shortfall,3)').replace('round(max_drawdown,5)','round(max_drawdown,2)')} FROM perf JOIN dd USING (key) JOIN es USING (key)",
                                      SNAP, LEGS, HPNL, PERF))
 def _(spark, d):
-    t = hedged(spark, d).withColumn("signal", (F.col("iv") - 0.4) * 10.0)
+    t = materialise(hedged(spark, d)).withColumn("signal", (F.col("iv") - 0.4) * 10.0)
     c = EC.portfolio_caps(t, ["k"], "asset", "signal", 3.0, 1.5).withColumn("cap", F.when(F.abs("signal") > 2, 2 * F.signum("signal")).otherwise(F.col("signal")))
     return _perf4(c.select(F.col("asset").alias("key"), F.col("k").alias("o"), (F.col("net_pnl") * F.col("position")).alias("x")))
 

@@ -12,6 +12,7 @@ from ..operators import models as M
 from ..operators import realized as RZ
 from ..operators import regression as R
 from ..operators.series import session_series
+from ..sources.results import materialise
 from . import panels as PN
 from . import standin as X
 from .q_sca import MZ
@@ -161,7 +162,7 @@ def b0_rows(spark, d):
     b = PN.b0_panel(spark, d).drop("session_index")
     e = RZ.ewma_states(PN.returns(spark, d), 0.97, 20, 3)
     ok = (F.col("target") > 0) & (F.col("rv_back_6") > 0) & F.col("rv_prev_day").isNotNull() & F.col("rv_week").isNotNull()
-    return b.join(e, ["asset", "session_date", "bar"]).where(ok).withColumn("is_train", F.dayofmonth("session_date") <= 20)
+    return materialise(b.join(e, ["asset", "session_date", "bar"]).where(ok).withColumn("is_train", F.dayofmonth("session_date") <= 20))
 
 
 @query("mod10_baseline_challengers", sql("""
@@ -253,7 +254,7 @@ CONTRASTS = {"delta_b1": ("B0", "B0+B1"), "delta_b2_given_b0": ("B0", "B0+B2"),
 
 def ladder(spark, d):
     """Test losses of two families over the nested sets, long by family and contrast."""
-    r = standardised(spark, d).withColumn("_k", F.lit(1))
+    r = materialise(standardised(spark, d).withColumn("_k", F.lit(1)))
     j = r
     loss = {}
     for fam, alpha in (("log_ols", 0.0), ("ridge", 1.0)):
@@ -340,7 +341,7 @@ def _(spark, d):
 @query("mod25_development_comparison")
 def _(spark, d):
     """Families by sets on expanding folds, tuned inside, contrasted by asset and overall."""
-    parts = M.split_folds(standardised(spark, d), FOLDS, 100, 86_400_000_000)
+    parts = materialise(M.split_folds(standardised(spark, d), FOLDS, 100, 86_400_000_000))
     runs = []
     for fam, alphas in (("ridge_light", [0.01]), ("ridge_tuned", [0.1, 1.0, 100.0])):
         base = M.tune_ridge(parts, ["fold"], cols("z_x1"), "target", alphas).select("origin_id", "fold", "week", "asset", "target", F.col("forecast").alias("fb"))
@@ -356,7 +357,7 @@ def _(spark, d):
 def _(spark, d):
     """HAR against HARQ by walk-forward over session blocks, contrasted on session means."""
     h = PN.har_features(spark, d).where(F.col("target") > 0).withColumns({"block": F.floor(F.dayofmonth("session_date") / 4).cast("bigint"), "all": F.lit(1)})
-    h = h.select("asset", "session_date", "bar", "block", "all", "target", "log_rv", "log_rv_session", "log_rv_day", "log_rv_week", "harq")
+    h = materialise(h.select("asset", "session_date", "bar", "block", "all", "target", "log_rv", "log_rv_session", "log_rv_day", "log_rv_week", "harq"))
     base = ["log_rv", "log_rv_session", "log_rv_day", "log_rv_week"]
     keys = ["asset", "session_date", "bar"]
     a = M.walk_forward(h, ["all"], "block", cols(*base), "target", 2).select(*keys, "target", F.col("forecast").alias("f0"))

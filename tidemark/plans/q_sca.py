@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import sampling as SM
 from ..operators import surface as SF
 from ..operators.ordered import asof_join
+from ..sources.results import materialise
 from . import panels as PN
 from . import standin as X
 from .q_agg import LONG_SQL, long_losses, ncdf_sql
@@ -230,7 +231,7 @@ def live(spark, d):
     from pyspark.sql import Window
 
     s = PN.chain_snapshot(spark, d).where(F.col("tenor") > 0)
-    return s.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("asset", "k"))).where(F.col("_n") >= 3).drop("_n")
+    return materialise(s.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("asset", "k"))).where(F.col("_n") >= 3).drop("_n"))
 
 
 @query("sca9_implied_forward", sql("""

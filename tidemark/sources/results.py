@@ -23,6 +23,17 @@ def write_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a stage once to the shared folder and read it back.
+
+    For an intermediate panel that several branches read: it is computed once, its lineage ends
+    here, and the loss of an executor costs nothing that was written.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_sql(spark: SparkSession, path: str, view: str, text: str) -> DataFrame:
     """Read-only SQL over one Parquet path, seen as ``view``."""
     spark.read.parquet(path).createOrReplaceTempView(view)
