@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
@@ -14,6 +14,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as one scalar subquery."""
+    packed = one.select(F.struct(*one.columns).alias("_s")).scalar()
+    return df.withColumn("_scalars", packed).select("*", "_scalars.*").drop("_scalars")
+
+
 def rnd(c: str | Column, digits: int = 6) -> Column:
     """Round for comparison and turn a negative zero into zero."""
     return F.round(col(c), digits) + F.lit(0.0)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, floor_div, latency_seconds
+from ..functions.columns import finite, floor_div, latency_seconds, with_scalars
 from .panes import with_panes
 from .quantiles import group_quantiles, histogram_quantile, latency_histogram, quantiles_of_counts
 
@@ -218,12 +218,12 @@ def collinearity(df: DataFrame, features: list[str]) -> DataFrame:
 def coverage_decision(df: DataFrame, flag: str, dims: list[str], floors: dict[str, float]) -> DataFrame:
     """Global and smallest per-dimension coverage against its floors; one row."""
     fine = df.groupBy(*dims).agg(F.sum(F.col(flag).cast("bigint")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    out = fine.agg((F.sum("_s") / F.sum("_n")).alias("global_coverage")).withColumn("_j", F.lit(1))
+    out = fine.agg((F.sum("_s") / F.sum("_n")).alias("global_coverage"))
     for c in dims:
         part = fine.groupBy(c).agg((F.sum("_s") / F.sum("_n")).alias("_v")).agg(F.min("_v").alias(f"min_{c}_coverage"))
-        out = out.join(part.withColumn("_j", F.lit(1)), "_j")
+        out = with_scalars(out, part)
     passed = reduce(lambda a, b: a & b, [F.col(n) >= v for n, v in floors.items()])
-    return out.drop("_j").withColumn("status", F.when(passed, "PASS").otherwise("REVISE"))
+    return out.withColumn("status", F.when(passed, "PASS").otherwise("REVISE"))
 
 
 def coding_traceability(expected: DataFrame, coded: DataFrame, keys: list[str], value: str) -> DataFrame:

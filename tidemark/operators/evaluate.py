@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import VARIANCE_FLOOR, floored, qlike
+from ..functions.columns import VARIANCE_FLOOR, floored, qlike, with_scalars
 
 WINDOWS_PER_YEAR = 252.0 * 13.0
 
@@ -42,8 +42,8 @@ def seasonality_index(df: DataFrame, bucket: str, value: str, training: str) ->
     """Training mean per bucket minus the training mean; an unseen bucket reads zero."""
     train = df.where(F.col(training))
     per = train.groupBy(bucket).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("_g")).withColumn("_j", F.lit(1))
-    index = per.withColumn("_j", F.lit(1)).join(whole, "_j").select(
+    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("_g"))
+    index = with_scalars(per, whole).select(
         bucket, (F.col("_s") / F.col("_n") - F.col("_g")).alias("seasonality"))
     return df.join(index, bucket, "left").withColumn("seasonality", F.coalesce("seasonality", F.lit(0.0)))
 

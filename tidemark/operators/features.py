@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ceil_div, floor_div, floored
+from ..functions.columns import ceil_div, floor_div, floored, with_scalars
 from .grid import origin_grid
 from .ordered import split_lag
 from .quantiles import group_quantiles
@@ -88,14 +88,13 @@ def training_cutpoints(df: DataFrame, value: str, training: Column) -> DataFrame
 
 
 def regime(df: DataFrame, cuts: DataFrame, value: str) -> DataFrame:
-    """LOW, MIDDLE or HIGH against frozen cutpoints (a one-row frame, so broadcast)."""
-    j = df.withColumn("_j", F.lit(1)).join(F.broadcast(cuts.withColumn("_j", F.lit(1))), "_j")
-    return j.withColumn(
+    """LOW, MIDDLE or HIGH against frozen cutpoints (a one-row frame)."""
+    return with_scalars(df, cuts).withColumn(
         "regime",
         F.when(F.col(value) <= F.col("lower"), "LOW")
         .when(F.col(value) <= F.col("upper"), "MIDDLE")
         .otherwise("HIGH"),
-    ).drop("_j", "lower", "upper")
+    ).drop("lower", "upper")
 
 
 def canonicalise(df: DataFrame, aliases: dict[str, str]) -> DataFrame:

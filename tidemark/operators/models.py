@@ -11,7 +11,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, Generaliz
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import VARIANCE_FLOOR, finite, floored, qlike, qlike_gradient, qlike_hessian, transform
+from ..functions.columns import VARIANCE_FLOOR, finite, floored, qlike, qlike_gradient, qlike_hessian, transform, with_scalars
 from . import regression as R
 from .quantiles import group_quantiles
 from .sampling import hash32
@@ -82,9 +82,9 @@ def elastic_net(df: DataFrame, features: list[str], training: Column, alpha: flo
     d = assemble(df.withColumn("_y", F.log(floored("target", VARIANCE_FLOOR))), features)
     lr = LinearRegression(labelCol="_y", regParam=alpha, elasticNetParam=l1, standardization=False, predictionCol="_p")
     out = lr.fit(d.where(training)).transform(d)
-    res = out.where(training).agg(F.var_pop(F.col("_y") - F.col("_p")).alias("_v")).withColumn("_j", F.lit(1))
-    return out.withColumn("_j", F.lit(1)).join(F.broadcast(res), "_j").withColumn(
-        "forecast", F.exp("_p") * F.exp(0.5 * F.col("_v"))).drop("_j", "_v", "_p", "_y", "features")
+    res = out.where(training).agg(F.var_pop(F.col("_y") - F.col("_p")).alias("_v"))
+    return with_scalars(out, res).withColumn(
+        "forecast", F.exp("_p") * F.exp(0.5 * F.col("_v"))).drop("_v", "_p", "_y", "features")
 
 
 def positive_glm(df: DataFrame, features: list[str], training: Column, family: str = "gamma", power: float = 1.7, alpha: float = 1e-4) -> DataFrame:
@@ -156,8 +156,8 @@ def partial_pooling(df: DataFrame, group: str, residual: str, training: Column)
         F.avg(residual).alias("group_mean"), F.count(F.lit(1)).alias("n"), F.sum(F.col(residual) * F.col(residual)).alias("_q"))
     w = g.agg(
         (F.sum(F.col("group_mean") * F.col("n")) / F.sum("n")).alias("grand_mean"), F.var_pop("group_mean").alias("_spread"), F.avg("n").alias("_an"),
-        (F.sum("_q") / F.sum("n") - F.pow(F.sum(F.col("group_mean") * F.col("n")) / F.sum("n"), 2.0)).alias("_within")).withColumn("_j", F.lit(1))
-    j = g.withColumn("_j", F.lit(1)).join(F.broadcast(w), "_j")
+        (F.sum("_q") / F.sum("n") - F.pow(F.sum(F.col("group_mean") * F.col("n")) / F.sum("n"), 2.0)).alias("_within"))
+    j = with_scalars(g, w)
     between = F.greatest(F.col("_spread") - F.col("_within") / F.col("_an"), F.lit(0.0))
     j = j.withColumn("between_variance", between)
     b = F.col("between_variance")
@@ -323,9 +323,9 @@ def inclusion_weights(df: DataFrame, features: list[str], included: str, cap: fl
     from pyspark.ml.functions import vector_to_array
 
     out = m.transform(d).withColumn("inclusion_p", vector_to_array("_p")[1])
-    share = d.agg(F.avg("_l").alias("_m")).withColumn("_j", F.lit(1))
-    return out.withColumn("_j", F.lit(1)).join(F.broadcast(share), "_j").withColumn(
-        "weight", F.least(F.col("_m") / floored("inclusion_p", 1e-6), F.lit(cap))).drop("_l", "_p", "_m", "_j", "features", "rawPrediction", "prediction")
+    share = d.agg(F.avg("_l").alias("_m"))
+    return with_scalars(out, share).withColumn(
+        "weight", F.least(F.col("_m") / floored("inclusion_p", 1e-6), F.lit(cap))).drop("_l", "_p", "_m", "features", "rawPrediction", "prediction")
 
 
 def weighted_contrast(df: DataFrame, keys: list[str], value: str, weight: str, day: str = "session_date") -> DataFrame:

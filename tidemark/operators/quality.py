@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS, finite
+from ..functions.columns import MICROS, finite, with_scalars
 
 
 def require_empty(findings: DataFrame, code: str) -> None:
@@ -90,11 +90,7 @@ def join_cardinality(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
         F.sum(F.coalesce("_c", F.lit(1))).alias("joined_rows")
     )
     dups = per_key.agg(F.count_if(F.col("_c") > 1).alias("right_duplicates"))
-    one = n_left.withColumn("_j", F.lit(1))
-    out = one.join(joined.withColumn("_j", F.lit(1)), "_j").join(
-        dups.withColumn("_j", F.lit(1)), "_j"
-    )
-    return out.drop("_j").withColumn(
+    return with_scalars(with_scalars(n_left, joined), dups).withColumn(
         "one_to_one",
         (F.col("left_rows") == F.col("joined_rows")) & (F.col("right_duplicates") == 0),
     )
@@ -203,11 +199,11 @@ def freeze_assets(
     common = best.agg(
         F.max("history_start").alias("common_start"), F.min("history_end").alias("common_end"),
         F.count(F.lit(1)).alias("_n"),
-    ).withColumn("_j", F.lit(1))
+    )
     return (
-        best.select("asset", F.lit(1).alias("_j")).join(common, "_j")
+        with_scalars(best.select("asset"), common)
         .where((F.col("_n") >= least) & (F.col("common_start") <= F.col("common_end")))
-        .drop("_j", "_n")
+        .drop("_n")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import with_scalars
 from ..functions.special import chi2_sf, t_two_sided
 
 ARRAY = T.ArrayType(T.DoubleType())
@@ -130,18 +131,18 @@ def double_ml(
         *[c.cast("double").alias(f"_r{i}") for i, c in enumerate([response, *treatments.values()])]).dropna()
     xs, rs = [F.col(f"_x{i}") for i in range(k)], [F.col(f"_r{i}") for i in range(m)]
     per_session = moments(work, [*keys, "session_index"], xs, rs)
-    n = ranked.agg((F.max("session_index") + 1).alias("_s")).withColumn("_j", F.lit(1))
+    n = ranked.agg((F.max("session_index") + 1).alias("_s"))
     small, big = F.floor(F.col("_s") / folds), F.col("_s") % folds
     f = F.col("fold")
     spans = n.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(folds - 1).cast("bigint")))).select(
-        "fold", "_j", (f * small + F.least(f, big)).alias("_a"), ((f + 1) * small + F.least(f + 1, big) - 1).alias("_b"))
-    spans = spans.groupBy("_j").agg(F.collect_list(F.struct("fold", "_a", "_b")).alias("_f"))
-    spread = per_session.withColumn("_j", F.lit(1)).join(F.broadcast(spans), "_j").withColumn("_f", F.explode("_f"))
+        "fold", (f * small + F.least(f, big)).alias("_a"), ((f + 1) * small + F.least(f + 1, big) - 1).alias("_b"))
+    spans = spans.agg(F.collect_list(F.struct("fold", "_a", "_b")).alias("_f"))
+    spread = with_scalars(per_session, spans).withColumn("_f", F.explode("_f"))
     i = F.col("session_index")
     train = spread.where((i < F.col("_f._a") - purge) | (i > F.col("_f._b") + purge)).withColumn("fold", F.col("_f.fold"))
     coef = solve(add_up(train, [*keys, "fold"], k, m), k, m, ridge).select(*keys, "fold", "coef")
-    placed = work.withColumn("_j", F.lit(1)).join(F.broadcast(spans), "_j")
-    placed = placed.withColumn("fold", F.filter("_f", lambda s: (i >= s["_a"]) & (i <= s["_b"]))[0]["fold"]).drop("_f", "_j")
+    placed = with_scalars(work, spans)
+    placed = placed.withColumn("fold", F.filter("_f", lambda s: (i >= s["_a"]) & (i <= s["_b"]))[0]["fold"]).drop("_f")
     res = placed.join(coef, [*keys, "fold"])
     for r in range(m):
         res = res.withColumn(f"_e{r}", F.col(f"_r{r}") - predict("coef", xs, m, r))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import latency_seconds, qlike
+from ..functions.columns import latency_seconds, qlike, with_scalars
 from ..functions.time import expiry_close, session_tercile
 from ..operators import diagnostics as DG
 from ..operators import evaluate as EV
@@ -239,10 +239,10 @@ FROM (SELECT *, greatest(60, ceil(2*gp)) AS cut, max(p95) OVER () AS mx, median(
 def _(spark, d):
     t = X.tape(spark, d).withColumn("latency", lat())
     q = QT.group_quantiles(t, ["session_date"], "latency", {"p95_s": 0.95})
-    g = QT.group_quantiles(t, [], "latency", {"_g": 0.95}).select(F.lit(1).alias("_j"), DG.recommended_cutoff(F.col("_g")).alias("cutoff_s"))
+    g = QT.group_quantiles(t, [], "latency", {"_g": 0.95}).select(DG.recommended_cutoff(F.col("_g")).alias("cutoff_s"))
     s = t.groupBy("session_date").agg(F.avg((F.col("latency") > 60).cast("double")).alias("backfill_share")).join(q, "session_date")
-    v = DG.stability_verdict(s).select(F.lit(1).alias("_j"), "stable")
-    return DG.session_admissibility(s.withColumn("_j", F.lit(1)).join(g, "_j").join(v, "_j"), F.col("cutoff_s")).drop("_j")
+    v = DG.stability_verdict(s).select("stable")
+    return DG.session_admissibility(with_scalars(with_scalars(s, g), v), F.col("cutoff_s"))
 
 
 ROLE_SQL = "CASE WHEN day(session_date)<=15 THEN 'D' ELSE 'V' END"
