@@ -119,9 +119,8 @@ def additive_spline(df: DataFrame, features: list[str], training: Column, alpha:
     x = [F.lit(1.0)]
     for f in features:
         x += spline_basis(F.col(f), float(ends[f"{f}_lo"]), float(ends[f"{f}_hi"]))
-    keyed = df.withColumn("_k", F.lit(1))
-    fit = R.fit_log_linear(keyed, ["_k"], x, F.col("target"), training, alpha, True)
-    return keyed.join(fit, "_k").withColumn("forecast", R.predict_level(x)).drop("_k", "coef", "smearing", "train_rows")
+    fit = R.fit_log_linear(df, [], x, F.col("target"), training, alpha, True)
+    return with_scalars(df, fit).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing", "train_rows")
 
 
 def boosted(df: DataFrame, features: list[str], training: Column, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 650) -> tuple[DataFrame, dict[str, float]]:
@@ -274,9 +273,9 @@ def walk_forward(df: DataFrame, keys: list[str], block: str, x: list[Column], ta
 def leave_one_out(df: DataFrame, group: str, x: list[Column], target: str) -> DataFrame:
     """Forecast each group from a fit on all others: total moments less the group's."""
     k = len(x)
-    mom = R.moments(df, [group], x, [F.log(floored(target, VARIANCE_FLOOR))]).withColumn("_j", F.lit(1))
-    total = R.add_up(mom, ["_j"], k, 1)
-    both = mom.join(total.select("_j", *[F.col(c).alias(f"t{c}") for c in R.moment_columns(k, 1)]), "_j")
+    mom = R.moments(df, [group], x, [F.log(floored(target, VARIANCE_FLOOR))])
+    total = R.add_up(mom, [], k, 1)
+    both = with_scalars(mom, total.select(*[F.col(c).alias(f"t{c}") for c in R.moment_columns(k, 1)]))
     rest = both.select(group, *[(F.col(f"t{c}") - F.col(c)).alias(c) for c in R.moment_columns(k, 1)])
     fit = R.solve(rest, k, 1).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k))).select(group, "coef", "smearing")
     return df.join(fit, group).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing")
@@ -300,10 +299,9 @@ def interactions(flows: list[str], group: str, levels: list[str]) -> dict[str, C
 def residual_learner(df: DataFrame, columns: dict[str, Column], residual: str, base: str, training: Column, alpha: float = 1.0) -> DataFrame:
     """Ridge correction of a base forecast learned on its cross-fitted residual."""
     x = [F.lit(1.0), *columns.values()]
-    keyed = df.withColumn("_k", F.lit(1))
-    mom = R.moments(keyed.where(training), ["_k"], x, [F.col(residual)])
-    fit = R.solve(mom, len(x), 1, alpha, (False,) + (True,) * len(columns)).select("_k", "coef")
-    out = keyed.join(fit, "_k").withColumn("correction", R.predict("coef", x)).drop("_k", "coef")
+    mom = R.moments(df.where(training), [], x, [F.col(residual)])
+    fit = R.solve(mom, len(x), 1, alpha, (False,) + (True,) * len(columns)).select("coef")
+    out = with_scalars(df, fit).withColumn("correction", R.predict("coef", x)).drop("coef")
     return out.withColumn("corrected", floored(F.col(base) + F.col("correction"), VARIANCE_FLOOR))
 
 

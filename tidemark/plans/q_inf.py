@@ -80,8 +80,8 @@ def candidates(spark, d):
     a, b, w = F.col("actual"), F.col("f_base"), F.col("f_wide")
     c = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("v")) for n, v in (
         ("log_ols|wide", qlike(a, b) - qlike(a, w)), ("log_ols|mean", qlike(a, b) - qlike(a, (b + w) / 2.0)), ("log_ols|low", qlike(a, b) - qlike(a, w * 0.99)))]))
-    long = p.select(F.lit("log_ols").alias("family"), F.date_trunc("week", "session_date").cast("date").alias("session_date"), c.alias("_c")).select(
-        "family", "session_date", "_c.*")
+    long = p.select(F.date_trunc("week", "session_date").cast("date").alias("session_date"), c.alias("_c")).select("session_date", "_c.*").withColumn(
+        "family", F.split("model", "\\|")[0])
     return session_series(long, ["family", "model"], "v")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions.columns import date_micros, floored, qlike
+from ..functions.columns import date_micros, floored, qlike, with_scalars
 from ..operators import evaluate as EV
 from ..operators import inference as I
 from ..operators import models as M
@@ -65,10 +65,10 @@ OLS2 = """ols AS (SELECT (d*c-b*e)/(a*c-b*b) AS b1, (a*e-b*d)/(a*c-b*b) AS b2, m
 
 
 def ols(spark, d, names=("x1", "x2"), alpha=0.0):
-    r = reg(spark, d).withColumn("_k", F.lit(1))
+    r = reg(spark, d)
     x = cols(*names)
-    fit = R.fit_log_linear(r, ["_k"], x, F.col("target"), train(), alpha)
-    return r.join(fit, "_k").withColumn("forecast", R.predict_level(x))
+    fit = R.fit_log_linear(r, [], x, F.col("target"), train(), alpha)
+    return with_scalars(r, fit).withColumn("forecast", R.predict_level(x))
 
 
 @query("mod3_log_ols", sql("SELECT origin_id, round(exp(b0+b1*x1+b2*x2)*sm,5) AS forecast FROM reg, olsv", REG, OLS2))
@@ -89,10 +89,10 @@ def standardised(spark, d):
 
 @query("mod4_ridge_log", sql("SELECT origin_id, round(exp(b0+b1*z1+b2*z2)*sm,5) AS forecast FROM zr, rgv", REG, RIDGE))
 def _(spark, d):
-    r = standardised(spark, d).withColumn("_k", F.lit(1))
+    r = standardised(spark, d)
     x = cols("z_x1", "z_x2")
-    fit = R.fit_log_linear(r, ["_k"], x, F.col("target"), train(), 1.0, True)
-    return r.join(fit, "_k").select("origin_id", F.round(R.predict_level(x), 5).alias("forecast"))
+    fit = R.fit_log_linear(r, [], x, F.col("target"), train(), 1.0, True)
+    return with_scalars(r, fit).select("origin_id", F.round(R.predict_level(x), 5).alias("forecast"))
 
 
 def scored(df):
@@ -181,14 +181,14 @@ def _(spark, d):
 
 def challengers(spark, d):
     """QLIKE of every challenger on identical test rows."""
-    b = b0_rows(spark, d).withColumn("_y", F.log("target")).withColumn("_k", F.lit(1))
+    b = b0_rows(spark, d).withColumn("_y", F.log("target"))
     idx = EV.seasonality_index(b, "bar", "_y", "is_train")
-    g = b.where(train()).agg(F.avg("_y").alias("_g")).withColumn("_k", F.lit(1))
-    s = idx.join(F.broadcast(g), "_k").withColumn("_im", F.col("_g") + F.col("seasonality"))
-    sm = s.where(train()).agg(EV.smearing_factor(F.col("_y") - F.col("_im")).alias("_sm")).withColumn("_k", F.lit(1))
+    g = b.where(train()).agg(F.avg("_y").alias("_g"))
+    s = with_scalars(idx, g).withColumn("_im", F.col("_g") + F.col("seasonality"))
+    sm = s.where(train()).agg(EV.smearing_factor(F.col("_y") - F.col("_im")).alias("_sm"))
     x = [F.lit(1.0), F.log("rv_back_6"), F.log(floored("rv_session_to_date", 1e-12)), F.log(floored("rv_prev_day", 1e-12)), F.log(floored("rv_week", 1e-12))]
-    fit = R.fit_log_linear(b, ["_k"], x, F.col("target"), train())
-    j = s.join(F.broadcast(sm), "_k").join(fit, "_k").where(~train())
+    fit = R.fit_log_linear(b, [], x, F.col("target"), train())
+    j = with_scalars(with_scalars(s, sm), fit).where(~train())
     models = {"persistence": floored("rv_back_3", 1e-12), "ewma": floored("ewma", 1e-12), "intraday_mean": F.exp("_im") * F.col("_sm"), "simple_har": R.predict_level(x)}
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.alias("f")) for n, c in models.items()]))
     return j.select("target", pairs.alias("_m")).groupBy("_m.model").agg(F.count(F.lit(1)).alias("n"), F.avg(qlike(F.col("target"), F.col("_m.f"))).alias("qlike"))
@@ -305,8 +305,8 @@ def _(spark, d):
 
 @query("mod19_double_ml")
 def _(spark, d):
-    r = reg(spark, d).withColumns({"all": F.lit("all"), "session_date": F.col("week")})
-    return R.double_ml(r, ["all"], F.log("target"), {"x2": F.col("x2"), "x3": F.col("x3")}, cols("x1"), 5).drop("all")
+    r = reg(spark, d).withColumn("session_date", F.col("week"))
+    return R.double_ml(r, ["asset"], F.log("target"), {"x2": F.col("x2"), "x3": F.col("x3")}, cols("x1"), 5)
 
 
 @query("mod20_target_battery")
