@@ -8,7 +8,6 @@ from ..functions import columns as C
 from ..functions import time as T
 from ..operators import features as FE
 from ..operators import grid as G
-from ..operators import panes as N
 from . import standin as X
 from .registry import query
 from .standin import sql

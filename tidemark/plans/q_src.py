@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import ntz_micros
 from ..sources import payloads as P
 from ..sources import results as R
 from ..sources import tape as S
