@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, url_trust
+from tidemark.llm import benchmark_matches, bpe, quality, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,13 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
+
+
+@register
+def op9_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches.report(benchmark_matches.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
