@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import benchmark_matches, bpe, quality, url_trust
+from tidemark.llm import benchmark_matches, bpe, jaccard, quality, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op9_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
