@@ -54,9 +54,13 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def blocked(docs: DataFrame, block: int = BLOCK, part: int = PART) -> Blocked:
-    """Documents dealt into blocks by the hash of id and text; null texts are empty."""
-    src = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def blocked(docs: DataFrame, block: int = BLOCK, part: int = PART, rest: list[str] = ()) -> Blocked:
+    """Documents dealt into blocks by the hash of id and text; null texts are empty.
+
+    ``rest`` names columns to carry along in a struct.
+    """
+    more = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    src = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
     size = src.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     least = partitions(docs)
     n, parts = max(least, -(-size // block)), max(least, -(-size // part))

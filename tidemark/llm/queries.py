@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import benchmark_matches, bpe, jaccard, quality, url_trust
+from tidemark.llm import benchmark_matches, bpe, jaccard, quality, run_index, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.report(run_index.repeated_spans(table(spark, sf_dir, "documents")))
