@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import benchmark_matches, bpe, jaccard, quality, run_index, url_trust
+from tidemark.llm import benchmark_matches, bpe, jaccard, paragraph_sketch, quality, run_index, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.report(run_index.repeated_spans(table(spark, sf_dir, "documents")))
+
+
+@register
+def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compare_versions(table(spark, sf_dir, "documents"))
