@@ -26,7 +26,7 @@ ANSWER = "block int, part int, answer binary"
 
 @dataclass(frozen=True)
 class Blocked:
-    """Rows ``block, doc_id, text``, dealt by block, and how many blocks and parts there are."""
+    """Rows ``block, doc_id, text, mark`` (the text's hash) and ``rest``, dealt by block, and how many blocks and parts there are."""
 
     rows: DataFrame
     blocks: int
@@ -64,7 +64,8 @@ def blocked(docs: DataFrame, block: int = BLOCK, part: int = PART, rest: list[st
     size = src.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     least = partitions(docs)
     n, parts = max(least, -(-size // block)), max(least, -(-size // part))
-    rows = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    src = src.withColumn("mark", F.xxhash64("text"))
+    rows = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n)).cast("int"))
     return Blocked(rows.repartition(least, "block"), n, parts)
 
 
@@ -72,8 +73,15 @@ def table_bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(table.column("text"))
 
 
-def low32(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def packed(keys: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each key, a row each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def unpacked(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(-1, width)
+    return out.view("<u8")[:, 0]
 
 
 def part_bounds(distinct: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -82,27 +90,26 @@ def part_bounds(distinct: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, edges), len(distinct))
 
 
-def send(block: int, distinct: np.ndarray, counts: np.ndarray, parts: int, bits: int) -> pa.Table:
-    """The rows of ``SENT`` for sorted distinct keys of a block: low 32 bits, and counts up to 255."""
+def send(block: int, distinct: np.ndarray, counts: np.ndarray, parts: int, bits: int, width: int) -> pa.Table:
+    """The rows of ``SENT`` for sorted distinct keys of a block: their low bytes, and their counts."""
     at = part_bounds(distinct, parts, bits)
-    low, few = low32(distinct), np.minimum(counts, 255).astype(np.uint8)
+    low, counts = packed(distinct, width), counts.astype("<u4")
     used = np.flatnonzero(at[1:] > at[:-1])
     return pa.table({
         "part": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()),
         "keys": pa.array([low[at[p] : at[p + 1]].tobytes() for p in used], pa.binary()),
-        "extra": pa.array([few[at[p] : at[p + 1]].tobytes() for p in used], pa.binary()),
+        "extra": pa.array([counts[at[p] : at[p + 1]].tobytes() for p in used], pa.binary()),
     })
 
 
-def total_by_part(sent: DataFrame) -> DataFrame:
-    """``ANSWER``: for each key of each block the count over all blocks, as uint32."""
+def total_by_part(sent: DataFrame, width: int) -> DataFrame:
+    """``ANSWER``: for each key of each block the count over all blocks, as int64."""
 
     def run(key, table):
-        keys, offsets = text_bytes(table.column("keys"))
-        counts = text_bytes(table.column("extra"))[0]
-        keys = keys.view(np.uint32) if keys.flags.c_contiguous else np.ascontiguousarray(keys).view(np.uint32)
-        totals = sums_of(keys, counts)
-        ends = offsets // 4
+        data, offsets = text_bytes(table.column("keys"))
+        counts = np.frombuffer(text_bytes(table.column("extra"))[0].tobytes(), "<u4")
+        totals = sums_of(unpacked(data, width), counts, 8 * width)
+        ends = offsets // width
         return pa.table({
             "block": table.column("block"), "part": table.column("part"),
             "answer": pa.array([totals[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
@@ -111,22 +118,26 @@ def total_by_part(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInArrow(run, ANSWER)
 
 
-def sums_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For every entry the sum of counts over entries with its key."""
-    packed = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
-    if not len(packed):
-        return np.zeros(0, np.uint32)
-    at = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate(([True], packed[1:] >> np.uint64(32) != packed[:-1] >> np.uint64(32))))
-    sums = np.add.reduceat(counts[at].astype(np.int64), head)
-    out = np.empty(len(keys), np.uint32)
-    out[at] = np.repeat(np.minimum(sums, 2**32 - 1), np.diff(np.append(head, len(keys)))).astype(np.uint32)
+def sums_of(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """For every entry the sum of counts over entries with its key of ``bits`` bits."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    place = np.uint64(len(keys).bit_length())
+    if bits + int(place) <= 64:
+        ordered = np.sort(keys << place | np.arange(len(keys), dtype=np.uint64))
+        at, ordered = (ordered & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64), ordered >> place
+    else:
+        at = np.argsort(keys)
+        ordered = keys[at]
+    head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    out = np.empty(len(keys), np.int64)
+    out[at] = np.repeat(np.add.reduceat(counts[at].astype(np.int64), head), np.diff(np.append(head, len(keys))))
     return out
 
 
 def answered(answers: pa.Table) -> np.ndarray:
     """A block's answers in the order of its sorted keys."""
     if not answers.num_rows:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.int64)
     rows = answers.sort_by("part")
-    return np.frombuffer(b"".join(rows.column("answer").to_pylist()), np.uint32)
+    return np.frombuffer(b"".join(rows.column("answer").to_pylist()), np.int64)

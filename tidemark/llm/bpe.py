@@ -205,16 +205,21 @@ class Encoder:
         out.update((t, merge_piece(b, self.ranks)) for t, b in rest if len(b) > 32)
         return out
 
-    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        """Ids of all texts in a row, and how many each has."""
+    def split_all(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, list[int]]]:
+        """Pre-tokens of all texts, and the ids of each that occurs."""
         parts = [self.split.findall(t) if t else [] for t in texts]
         fresh = {p for x in parts for p in x}.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             fresh.update(p for x in parts for p in x)
             self.known.clear()
-        known = self.known
         extra = self.learn(list(fresh))
-        known.update(extra)
+        long = {p: ids for p, ids in extra.items() if len(p) > 64}
+        self.known.update((p, ids) for p, ids in extra.items() if len(p) <= 64)
+        return parts, self.known | long if long else self.known
+
+    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts in a row, and how many each has."""
+        parts, known = self.split_all(texts)
         flat: list[int] = []
         counts = []
         extend, get = flat.extend, known.__getitem__
@@ -223,10 +228,19 @@ class Encoder:
             for ids in map(get, x):
                 extend(ids)
             counts.append(len(flat) - n)
-        for p in [p for p in extra if len(p) > 64]:
-            del known[p]
         return np.array(flat, np.int32), counts
 
+    def counts_of(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
+        """Pre-tokens of all texts, and the number of ids of each in a row."""
+        parts, known = self.split_all(texts)
+        get = known.__getitem__
+        return parts, np.array([len(ids) for x in parts for ids in map(get, x)], np.int32)
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        got = self.known.get(text)
+        return merge_piece(text.encode(), self.ranks) if got is None else got
+
     def ids(self, text: str) -> list[int]:
         return self.ids_of([text])[0].tolist()
 

@@ -18,18 +18,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.blocks import SENT, Blocked, answered, blocked, send, table_bytes, total_by_part
+from tidemark.llm.blocks import SENT, Blocked, answered, blocked, packed, send, table_bytes, total_by_part, unpacked
 from tidemark.llm.columns import LOWER, byte_table, mix, pieces, run_hashes, word_runs
 from tidemark.sources.results import materialise
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 75
-#: Bits of a shingle's hash.
-BITS = 48
+#: Bits of a shingle's hash, and bytes of it that a hash part tells apart when it counts.  Counts
+#: only order shingles and find those held once: one count for two shingles loses no pair.
+BITS, KEY_BYTES = 48, 4
+#: Rows that leave are sent to every task up to this number (16 bytes each), beyond it they are shuffled.
+MOST_BROADCAST = 1_000_000
+MARK = "__text_mark"
 #: Words are runs of anything but ASCII white space.
 WORD = ~byte_table([(0x09, 0x0D), (0x20, 0x20)])
 
@@ -65,16 +69,6 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return packed & np.uint64((1 << BITS) - 1), np.bincount((packed >> np.uint64(BITS)).astype(np.int64), minlength=rows)
 
 
-def pack6(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack6(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64)[:, 0]
-
-
 def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
     """For each document its set's size and key; for one document per key and block also its prefix and set.
 
@@ -84,17 +78,17 @@ def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
     parts = b.parts
     schema = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("own", T.LongType()), T.StructField("key", T.StringType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("mark", T.LongType()),
     ])
 
     def counted(block: int, table: pa.Table) -> pa.Table:
         distinct, counts = np.unique(shingle_sets(*table_bytes(table))[0], return_counts=True)
-        return send(block, distinct, counts, parts, BITS)
+        return send(block, distinct, counts, parts, BITS, KEY_BYTES)
 
     def cut(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         flat, bounds = shingle_sets(*table_bytes(table))
         distinct, back = np.unique(flat, return_inverse=True)
-        held = answered(answers)[back] if len(distinct) else np.zeros(0, np.uint32)
+        held = answered(answers)[back] if len(distinct) else np.zeros(0, np.int64)
         n = np.diff(bounds)
         shared = np.concatenate(([0], np.cumsum(held > 1)))
         own = n - (shared[bounds[1:]] - shared[bounds[:-1]])
@@ -114,13 +108,14 @@ def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
             mine_shared = count > 1
             by = np.lexsort((mine[mine_shared], count[mine_shared]))[: length[k] - own[k]]
             prefixes.append(mine[mine_shared][by].astype(np.int64).tolist())
-            sets.append(pack6(mine))
+            sets.append(packed(mine, BITS // 8).tobytes())
         return pa.table({
             "doc_id": table.column("doc_id"), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "key": pa.array(keys, pa.string()),
             "prefix": pa.array(prefixes, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary()),
+            "mark": table.column("mark"),
         })
 
-    return b.join(total_by_part(b.map(counted, SENT)), cut, schema)
+    return b.join(total_by_part(b.map(counted, SENT), KEY_BYTES), cut, schema)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -137,8 +132,8 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             last, one = None, None
             for k in range(len(a)):
                 if a[k] != last:
-                    last, one = a[k], unpack6(x[k])
-                two = unpack6(y[k])
+                    last, one = a[k], unpacked(np.frombuffer(x[k], np.uint8), BITS // 8)
+                two = unpacked(np.frombuffer(y[k], np.uint8), BITS // 8)
                 at = np.searchsorted(one, two)
                 both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
                 keep.append(100 * both >= PERCENT * (len(one) + len(two) - both))
@@ -167,13 +162,34 @@ def similar(small: str, large: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest id of their component, columns as given.
+
+    A row leaves if its component has a smaller id; of rows that repeat an id and its text one
+    stays, and of rows with a null id in one component one.  Documents without words stay.
+    """
+    found = join(docs, mark=True)
+    of = Window.partitionBy(F.coalesce("key", F.concat_ws(":", "mark", "doc_id")), "doc_id").orderBy("mark")
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id", "mark").distinct()
+    twice = found.where("doc_id <=> component_id").withColumn("nth", F.row_number().over(of)).where("nth > 1").select("doc_id", "mark").distinct()
+    gone, twice = materialise(gone), materialise(twice)
+    small = gone.count() <= MOST_BROADCAST
+    left = docs.withColumn(MARK, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    left = left.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(MARK) == F.col("gone_mark")), "left_anti")
+    if twice.limit(1).count():
+        left = left.dropDuplicates(["doc_id", MARK])
+    return left.select(*docs.columns)
+
+
+def join(docs: DataFrame, mark: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document row.
 
     The component is named by its smallest ``doc_id``; ``n_links`` counts the verified links of
     the document's set that were needed to join its component.  Documents without words have no
     shingles and stand alone.  Rows that repeat an id are judged by their own texts; a null id is
-    never a component's name unless nothing else is.
+    never a component's name unless nothing else is.  ``mark`` adds the set's key and the text's
+    hash, by which a row can be found again.
     """
     rows = materialise(prefixed(blocked(docs), docs.schema["doc_id"].dataType))
     nodes = materialise(
@@ -220,5 +236,5 @@ def join(docs: DataFrame) -> DataFrame:
     placed = known.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").join(degree, "key", "left").select("key", "component_id", "n_links")
     return rows.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        *(["key", "mark"] if mark else []), "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

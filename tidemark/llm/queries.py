@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark_matches, bpe, jaccard, paragraph_sketch, quality, run_index, url_trust
+from tidemark.llm import backoff, benchmark_matches, bpe, jaccard, licenses, paragraph_sketch, quality, run_index, token_counts, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,3 +61,22 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.compare_versions(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = token_counts.with_trees(docs, path, pattern).withColumn("edits", token_counts.sample_edits(F.col("text")))
+    return token_counts.recount(trees, path, pattern).drop("chars", "tokens")
+
+
+@register
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = backoff.score(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+@register
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.blocks import SENT, answered, blocked, table_bytes
+from tidemark.llm.blocks import SENT, blocked, table_bytes
 from tidemark.llm.columns import factors, mix, pieces, text_bytes
 from tidemark.sources.results import materialise
 
@@ -462,6 +462,28 @@ def strings_of(row, place, left, right, around, which) -> np.ndarray:
     return out
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated bytes cut out, columns as given and ``n_chars`` counted anew.
+
+    A character that loses some of its bytes goes with them; documents that lose all their text
+    stay, empty.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = repeated_spans(docs, rest).select("doc_id", "kept", *(["rest"] if rest else []))
+    schema = T.StructType([T.StructField("text", T.StringType()), *found.drop("kept").schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            text = pa.array([k.decode(errors="ignore") for k in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([text, batch.column(0), *batch.columns[2:]], names=schema.names)
+
+    cut = found.mapInArrow(run, schema)
+    of = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c) for c in rest}
+    if "n_chars" in of:
+        of["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[of[c].alias(c) for c in docs.columns])
+
+
 def report(found: DataFrame) -> DataFrame:
     """Digest columns of ``repeated_spans``."""
     return found.select(
