@@ -185,12 +185,9 @@ def find_matches(docs: DataFrame, bench: DataFrame, keep: list[str] = ()) -> Dat
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents without any word in a benchmark window, columns as given."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    clash = {c: f"kept_{k}" for k, c in enumerate(rest)}
-    found = find_matches(docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in clash.items()]), bench, list(clash.values()))
-    back = {a: c for c, a in clash.items()}
-    clean = found.where("n_hit = 0").drop("n_words", "n_hit", "matches")
-    return clean.select(*[F.col(c).alias(back.get(c, c)) for c in clean.columns]).select(*docs.columns)
+    names = {c: c if c in ("doc_id", "text") else f"kept_{k}" for k, c in enumerate(docs.columns)}
+    found = find_matches(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), bench, list(names.values()))
+    return found.where("n_hit = 0").select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -175,11 +175,11 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     gone, twice = materialise(gone), materialise(twice)
     small = gone.count() <= MOST_BROADCAST
     left = docs.withColumn(MARK, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    left = left.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(MARK) == F.col("gone_mark")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark"))
+    left = left.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col(MARK) == F.col("__gone_mark")), "left_anti")
     if twice.limit(1).count():
         left = left.dropDuplicates(["doc_id", MARK])
-    return left.select(*docs.columns)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def join(docs: DataFrame, mark: bool = False) -> DataFrame:

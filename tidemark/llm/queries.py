@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import backoff, benchmark_matches, bpe, jaccard, licenses, paragraph_sketch, quality, run_index, token_counts, url_trust
+from tidemark.llm.check_sql import SQL  # noqa: F401
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
 def register(fn):
@@ -29,7 +29,7 @@ def tokenizer() -> tuple[str, str]:
 
 @register
 def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_pages(table(spark, sf_dir, "pages"))
+    return url_trust.judge_pages(table(spark, sf_dir, "pages")).withColumn("host_score", F.round("host_score", 9))
 
 
 @register
@@ -50,7 +50,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 @register
