@@ -30,15 +30,15 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 MARKERS = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution and use"
-#: Longest candidate in characters; a longer line is cut at its sentences, then by length.
-MOST_CHARS = 400
+#: Characters kept on both sides of a marker where a sentence is longer than both together.
+AROUND = 150
 #: Least share of bytes saved, templates confirmed per candidate, and largest share of words that may differ.
-LEAST_SAVED, CONFIRMED, MOST_DIFFERENT = 0.25, 2, 0.25
+LEAST_SAVED, CONFIRMED, MOST_DIFFERENT = 0.08, 2, 0.25
 LEVEL = 6
 
 MARKED = regex.compile(MARKERS)
 WORDS = regex.compile(r"[\w.-]*\w")
-CUT = regex.compile(rf"[^\n]{{1,{MOST_CHARS}}}(?:(?<=[.!?])(?=\s)|(?=\n)|$)|[^\n]{{1,{MOST_CHARS}}}")
+SENTENCE = regex.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|$)")
 OUT = "doc_id {id}, license string, start long, text string, saved double, n_different long, differences array<string>"
 
 
@@ -50,24 +50,40 @@ def _coders(templates):
 
 
 def differences(template: str, text: str) -> list[str]:
-    """Words that differ, ``-template +text``, in order; case and punctuation do not count."""
+    """Words that differ, ``-template +text``, in order; case and punctuation do not count.
+
+    The template is laid on the text at their longest common run of words; what stands before and
+    after it is not compared.
+    """
     a, b = ([w.lower() for w in WORDS.findall(x)] for x in (template, text))
+    run = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+    first = max(0, run.b - run.a)
+    b = b[first : first + len(a)]
     return [f"-{' '.join(a[i:j])} +{' '.join(b[k:m])}" for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal"]
 
 
 def candidates(text: str) -> list[tuple[int, str]]:
-    """Start and text of the sentences or lines that hold a marker."""
+    """Start and text of the sentences that hold a marker, or of its surroundings in a long one."""
     out = []
     for line in regex.finditer(r"[^\n]+", text):
-        if MARKED.search(line[0]):
-            out += [(line.start() + m.start(), m[0]) for m in CUT.finditer(line[0]) if MARKED.search(m[0])]
+        if not MARKED.search(line[0]):
+            continue
+        for s in SENTENCE.finditer(line[0]):
+            reach = 0
+            for m in MARKED.finditer(s[0]):
+                if m.start() >= reach:
+                    start = 0 if len(s[0]) <= 2 * AROUND else max(reach, m.start() - AROUND)
+                    reach = len(s[0]) if len(s[0]) <= 2 * AROUND else m.end() + AROUND
+                    block = s[0][start:reach]
+                    lead = len(block) - len(block.lstrip())
+                    out.append((line.start() + s.start() + start + lead, block.strip()))
     return out
 
 
 def match(text: str, templates=TEMPLATES):
     """Best confirmed template of a candidate: license, share saved, differences; or None."""
     plain, coders = _coders(templates)
-    data = text.strip().encode()
+    data = text.encode()
     alone = len(plain.compress(data))
     saved = sorted(((1 - len(c.compress(data)) / alone, -k) for k, c in enumerate(coders)), reverse=True)
     found = []
