@@ -29,6 +29,23 @@ def test_dense_and_split_groups(spark):
     same_rows(got, components(rows))
 
 
+def test_cluster_in_blocks(spark, monkeypatch):
+    """A cluster larger than one task's share: chunks with pivots, then blocks against all."""
+    for name, value in (("MOST_NODES", 12), ("PIVOTS", 2), ("LEFT", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(10)
+    base = prose(rng, 100).split(" ")
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(100)] = f"new{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect()]
+    same_rows(got, components(rows))
+    assert len({c for _, _, c in got}) > 3
+
+
 def test_one_stays(spark):
     rows = awkward()
     kept = jaccard.one_per_group(frame(spark, rows))

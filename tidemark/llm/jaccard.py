@@ -7,11 +7,11 @@ Equal sets become one node, nodes with the same prefix and size one group, and o
 share a prefix shingle meet.  Group pairs are filtered by size, then expanded to members, and
 members are verified on their whole sets.
 
-Within the groups of one shingle not all pairs are made: two rounds compare everybody with the
-most central node (fewest shingles of its own), which joins dense groups of copies in linear
-work.  The last round compares every pair that shares a prefix shingle and is still in different
-components, so that no link that matters for a component is lost.  Components are labels in a
-table, lowered along links; nothing is collected.
+Groups that share prefix shingles form clusters, and tasks work cluster by cluster, so a set moves
+once and no pair becomes a row.  Only pairs in different components are compared, the most central
+nodes first, which joins dense groups of copies in nearly linear work; a cluster too large for a
+task is compared in blocks.  Components are labels in a table, lowered along links; nothing is
+collected.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 75
 BITS, KEY_BYTES = 48, 4
 #: Rows that leave are sent to every task up to this number (16 bytes each), beyond it they are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Nodes and bytes of sets that one task compares, pivots of a larger cluster, and nodes of a left block.
+MOST_NODES, MOST_SET_BYTES, PIVOTS, LEFT = 4096, 16 << 20, 64, 512
 MARK = "__text_mark"
 #: Words are runs of anything but ASCII white space.
 WORD = ~byte_table([(0x09, 0x0D), (0x20, 0x20)])
@@ -118,28 +120,63 @@ def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
     return b.join(total_by_part(b.map(counted, SENT), KEY_BYTES), cut, schema)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough."""
-    sets = nodes.select("key", "shingles")
-    both = pairs.join(sets.withColumnRenamed("key", "b").withColumnRenamed("shingles", "set_b"), "b").join(
-        sets.withColumnRenamed("key", "a").withColumnRenamed("shingles", "set_a"), "a"
-    )
+def forest(keys, grp, n, shared, prefixes, sets, label, source) -> tuple[list[str], list[str]]:
+    """Links that join all similar members among those at hand, from ``source`` members to others.
+
+    Groups are paired if they share a prefix shingle; their members if sizes, and the shingles that
+    anybody else holds, allow the similarity; such pairs are verified on whole sets.  Members that
+    are in one component (``label``) already, or have come into one here, are not compared.
+    """
+    m = len(keys)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    _, number = np.unique(flat, return_inverse=True)
+    holders, ends = owner[np.argsort(number, kind="stable")], np.append(0, np.cumsum(np.bincount(number)))
+    first = np.append(0, np.cumsum(n))
+    _, member, gid = np.unique(grp, return_index=True, return_inverse=True)
+    at: dict[int, list[int]] = {}
+    for g, k in enumerate(member):
+        for token in prefixes[k]:
+            at.setdefault(token, []).append(g)
+    near: dict[int, np.ndarray] = {}
+    comp, left, right = label.copy(), [], []
+    for k in np.lexsort((keys, -shared / n)):
+        if not source[k]:
+            continue
+        ok = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])) & ((100 + PERCENT) * np.minimum(shared, shared[k]) >= PERCENT * (n + n[k]))
+        if not ok.any():
+            continue
+        g = gid[k]
+        if g not in near:
+            near[g] = np.zeros(len(member), bool)
+            near[g][[g, *{x for token in prefixes[member[g]] for x in at[token]}]] = True
+        ok &= near[g][gid]
+        if not ok.any():
+            continue
+        mine = number[first[k] : first[k + 1]]
+        both = np.bincount(np.concatenate([holders[ends[t] : ends[t + 1]] for t in mine]), minlength=m)
+        hit = np.flatnonzero(ok & (100 * both >= PERCENT * (n + n[k] - both)))
+        met, one = np.unique(comp[hit], return_index=True)
+        if len(met):
+            left += [keys[k]] * len(met)
+            right += [keys[x] for x in hit[one]]
+            comp[np.isin(comp, met)] = comp[k]
+    return left, right
+
 
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "set_a", "set_b"))
-            keep = []
-            last, one = None, None
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, one = a[k], unpacked(np.frombuffer(x[k], np.uint8), BITS // 8)
-                two = unpacked(np.frombuffer(y[k], np.uint8), BITS // 8)
-                at = np.searchsorted(one, two)
-                both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
-                keep.append(100 * both >= PERCENT * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b}).filter(pa.array(keep, pa.bool_()))
+def linked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``forest`` of every group of rows ``key, grp, n, own, prefix, shingles, label, source``."""
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a string, b string")
+    def run(_, table):
+        if table.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+        table = table.sort_by("key")
+        of = lambda c: table.column(c).to_numpy()
+        sets = [unpacked(np.frombuffer(x, np.uint8), BITS // 8) for x in table.column("shingles").to_pylist()]
+        label = np.unique(of("label"), return_inverse=True)[1]
+        a, b = forest(of("key"), of("grp"), of("n"), of("n") - of("own"), table.column("prefix").to_pylist(), sets, label, of("source"))
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    return rows.groupBy(*by).applyInArrow(run, "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -157,9 +194,46 @@ def components(links: DataFrame) -> DataFrame:
     return label.select("key", "component")
 
 
-def similar(small: str, large: str):
-    a, b = F.col(small), F.col(large)
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def all_links(nodes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between nodes, enough to join each component.
+
+    Groups that share prefix shingles, directly or through others, make a cluster, and no link
+    leaves it.  A cluster is one task's work up to ``MOST_NODES`` and ``MOST_SET_BYTES``.  A
+    larger one is cut into chunks that each also hold ``PIVOTS`` central nodes of it (of a random
+    sixteen times as many, those with the fewest shingles of their own), which joins nearly all that can be joined; then every node outside
+    the cluster's largest component meets every node of the cluster, in blocks.
+    """
+    groups = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
+    seats = groups.select("grp", F.explode("prefix").alias("token"))
+    heads = seats.groupBy("token").agg(F.min("grp").alias("a"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    tied = components(seats.join(heads.select("token", "a"), "token").select("a", F.col("grp").alias("b")).where("a <> b").distinct())
+    placed = groups.select("grp", "members").join(tied.select(F.col("key").alias("grp"), F.col("component").alias("cluster")), "grp", "left")
+    placed = placed.where("cluster is not null or members > 1").select("grp", F.coalesce("cluster", "grp").alias("cluster"), "members")
+    members = nodes.join(placed.select("grp", "cluster"), "grp")
+    sizes = materialise(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("shingles")).cast("long").alias("bytes")))
+    pieces_of = lambda most: F.greatest(F.ceil(F.col("size") / most), F.ceil(F.col("bytes") / MOST_SET_BYTES)).cast("int")
+    chunks = sizes.select("cluster", "size", pieces_of(MOST_NODES).alias("chunks"))
+    members = members.join(chunks, "cluster").withColumns({"label": F.col("key"), "source": F.lit(True)})
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    small = members.where("chunks = 1")
+    if not chunks.where("chunks > 1").limit(1).count():
+        return linked(small, ["cluster"])
+    large = materialise(members.where("chunks > 1"))
+    some = large.select("cluster", "key", "size", (F.col("own") / F.col("n")).alias("far")).where(F.expr(f"pmod(xxhash64(key, 7), greatest(1, size div {16 * PIVOTS})) = 0"))
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("far", "key"))
+    central = large.join(some.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key"), "key")
+    pivots = central.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where(F.col("chunk") != part("chunks"))
+    near = materialise(linked(small, ["cluster"]).unionByName(linked(large.withColumn("chunk", part("chunks")).unionByName(pivots), ["cluster", "chunk"])))
+    found = components(near)
+    now = large.drop("label").join(found.select("key", F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    share = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    major = share.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    major = major.select("cluster", "major", F.ceil((F.col("all") - F.col("most")) / LEFT).cast("int").alias("lefts")).where("lefts > 0")
+    now = now.join(major, "cluster")
+    left = now.where("label <> major").withColumns({"l": part("lefts"), "r": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    right = now.withColumns({"r": part("chunks"), "l": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)), "source": F.lit(False)})
+    right = right.where((F.col("label") == F.col("major")) | (part("lefts") != F.col("l")))
+    return near.unionByName(linked(left.unionByName(right), ["cluster", "l", "r"]))
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -192,44 +266,9 @@ def join(docs: DataFrame, mark: bool = False) -> DataFrame:
     hash, by which a row can be found again.
     """
     rows = materialise(prefixed(blocked(docs), docs.schema["doc_id"].dataType))
-    nodes = materialise(
-        rows.where("shingles is not null").dropDuplicates(["key"])
-        .withColumn("grp", F.sha1(F.concat_ws(",", F.col("n").cast("string"), F.array_join(F.col("prefix").cast("array<string>"), ","))))
-        .select("key", "grp", "n", (F.col("own") / F.col("n")).alias("far"), "prefix", "shingles")
-    )
-    members = nodes.select("key", "grp", "n", "far")
-    heads = members.groupBy("grp").agg(F.min_by(F.struct("key", "n", "far"), F.struct("far", "key")).alias("head"))
-    tokens = materialise(
-        nodes.dropDuplicates(["grp"]).select("grp", F.explode("prefix").alias("token")).join(heads, "grp").select("grp", "token", "head.key", "head.n", "head.far")
-    )
-    # a shingle that only one group has in its prefix makes no pair of groups
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
-    tokens = materialise(tokens.join(shared, "token"))
-    links = None
-    for step in range(3):
-        label = components(links) if links is not None else members.select("key", F.col("key").alias("component")).limit(0)
-        of = lambda df, c: df.join(label.select(F.col("key").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-        placed = of(members, "key") if step else members.withColumn("key_in", F.col("key"))
-        if step < 2:
-            seats = of(tokens, "key") if step else tokens.withColumn("key_in", F.col("key"))
-            order = F.struct("far", "key")
-            pivot = seats.groupBy("token").agg(F.min_by(F.struct("key", "n", "key_in"), order).alias("p"))
-            if step:
-                rest = seats.join(pivot, "token").where("key_in <> p.key_in").drop("p")
-                pivot = rest.groupBy("token").agg(F.min_by(F.struct("key", "n", "key_in"), order).alias("p"))
-            met = seats.join(pivot, "token").where(similar("n", "p.n")).select("grp", F.col("p.key").alias("a"), F.col("p.key_in").alias("a_in")).distinct()
-            inner = heads.select("grp", F.col("head.key").alias("a"), F.col("head.key").alias("a_in"))
-            met = met.unionByName(inner) if not step else met
-            pairs = met.join(placed, "grp").where("key <> a and key_in <> a_in").select("a", F.col("key").alias("b")).distinct()
-        else:
-            seats = tokens.select("grp", "token").unionByName(heads.select("grp", F.xxhash64("grp").alias("token"))).join(placed, "grp")
-            sizes = seats.groupBy("token", "key_in").agg(F.count(F.lit(1)).alias("c"))
-            major = sizes.groupBy("token").agg(F.max_by("key_in", F.struct("c", "key_in")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            seats = materialise(seats.join(major, "token").select("token", "key", "n", "key_in", (F.col("key_in") == F.col("major")).alias("is_major")))
-            left = seats.where("not is_major").select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("key_in").alias("a_in"))
-            pairs = left.join(seats.withColumnRenamed("key", "b"), "token").where("a_in <> key_in and (is_major or a < b)").where(similar("n_a", "n")).select("a", "b").distinct()
-        found = verified(pairs, nodes)
-        links = materialise(found if links is None else links.unionByName(found))
+    grp = F.sha1(F.concat_ws(",", F.col("n").cast("string"), F.array_join(F.col("prefix").cast("array<string>"), ",")))
+    nodes = materialise(rows.where("shingles is not null").dropDuplicates(["key"]).select("key", grp.alias("grp"), "n", "own", "prefix", "shingles"))
+    links = materialise(all_links(nodes))
     label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     known = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
