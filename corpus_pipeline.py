@@ -33,7 +33,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the bytes that they decode to."""
     path, pattern = queries.tokenizer()
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path)
+    coded = bpe.encode(docs, path, pattern, decoded=True)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from tidemark.llm.columns import documents, mix, pieces, text_bytes
 
 NONE = 1 << 60
 #: Distinct pre-tokens remembered per Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of text encoded at once.
 STEP = 1 << 20
 
@@ -129,8 +130,11 @@ class PairTable:
         return out
 
 
-def merge_many(group: list[bytes], width: int, table: PairTable, single: np.ndarray) -> list[list[int]]:
-    """``merge_piece`` for many pre-tokens of at most ``width`` bytes, a row of every tree level each."""
+def merge_many(group: list[bytes], width: int, table: PairTable, single: np.ndarray) -> list[bytes]:
+    """``merge_piece`` for many pre-tokens of at most ``width`` bytes, a row of every tree level each.
+
+    Returns the ids of each as packed int32.
+    """
     m = len(group)
     size = np.array([len(p) for p in group])
     inside = np.arange(width) < size[:, None]
@@ -170,10 +174,14 @@ def merge_many(group: list[bytes], width: int, table: PairTable, single: np.ndar
                 at = at >> 1
                 high[r, at] = np.minimum(low[r, 2 * at], low[r, 2 * at + 1])
         rows = rows[levels[-1][rows, 0] != NONE]
-    flat, ends = token[live].tolist(), np.cumsum(live.sum(1)).tolist()
+    flat, ends = token[live].astype(np.int32).tobytes(), np.cumsum(4 * live.sum(1)).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Encoder:
     """Pre-token pattern and ranks, with a bounded memory of pre-tokens already encoded."""
 
@@ -183,7 +191,7 @@ class Encoder:
         self.ranks, self.split = read_ranks(path), regex.compile(pattern)
         self.table = PairTable(self.ranks)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Encoder:
@@ -192,21 +200,21 @@ class Encoder:
             cls._made[path, pattern] = cls(path, pattern)
         return cls._made[path, pattern]
 
-    def learn(self, fresh: list[str]) -> dict[str, list[int]]:
-        """Ids of pre-tokens not met before."""
+    def learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens not met before."""
         coded = [(t, t.encode()) for t in fresh]
-        out = {t: [self.ranks[b]] for t, b in coded if b in self.ranks}
+        out = {t: _packed([self.ranks[b]]) for t, b in coded if b in self.ranks}
         rest = [x for x in coded if x[0] not in out]
         for width in (8, 16, 32):
             group = [x for x in rest if width // 2 < max(5, len(x[1])) <= width]
             for k in range(0, len(group), 8192):
                 part = group[k : k + 8192]
                 out.update(zip((t for t, _ in part), merge_many([b for _, b in part], width, self.table, self.single)))
-        out.update((t, merge_piece(b, self.ranks)) for t, b in rest if len(b) > 32)
+        out.update((t, _packed(merge_piece(b, self.ranks))) for t, b in rest if len(b) > 32)
         return out
 
-    def split_all(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, list[int]]]:
-        """Pre-tokens of all texts, and the ids of each that occurs."""
+    def split_all(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, bytes]]:
+        """Pre-tokens of all texts, and the packed ids of each that occurs."""
         parts = [self.split.findall(t) if t else [] for t in texts]
         fresh = {p for x in parts for p in x}.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
@@ -217,77 +225,75 @@ class Encoder:
         self.known.update((p, ids) for p, ids in extra.items() if len(p) <= 64)
         return parts, self.known | long if long else self.known
 
-    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         parts, known = self.split_all(texts)
-        flat: list[int] = []
-        counts = []
-        extend, get = flat.extend, known.__getitem__
-        for x in parts:
-            n = len(flat)
-            for ids in map(get, x):
-                extend(ids)
-            counts.append(len(flat) - n)
-        return np.array(flat, np.int32), counts
+        coded = [b"".join(map(known.__getitem__, x)) for x in parts]
+        return np.frombuffer(b"".join(coded), np.int32), np.array([len(c) // 4 for c in coded], np.int64)
 
     def counts_of(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
         """Pre-tokens of all texts, and the number of ids of each in a row."""
         parts, known = self.split_all(texts)
-        get = known.__getitem__
-        return parts, np.array([len(ids) for x in parts for ids in map(get, x)], np.int32)
+        return parts, np.array([len(ids) for x in parts for ids in map(known.__getitem__, x)], np.int32) // 4
 
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""
         got = self.known.get(text)
-        return merge_piece(text.encode(), self.ranks) if got is None else got
+        return merge_piece(text.encode(), self.ranks) if got is None else np.frombuffer(got, np.int32).tolist()
 
     def ids(self, text: str) -> list[int]:
         return self.ids_of([text])[0].tolist()
 
 
-def _list_batch(batch: pa.RecordBatch, ids: np.ndarray, lengths: list[int]) -> pa.RecordBatch:
-    offsets = np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64)))).astype(np.int32)
-    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-    return pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """``doc_id`` and ``ids array<int>`` of every whole text, one row per input row.
 
     Null and empty texts have no ids.  Repeated rows and null ids of documents are encoded like
-    any other row; further columns are not read.
+    any other row; further columns are not read.  ``decoded`` adds the bytes that the ids stand
+    for (as ``decode`` does) in the same pass.
     """
     src = documents(docs)
+    fields = [src.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.of(path, pattern)
         for batch in batches:
             for i, j in pieces(text_bytes(batch.column(1))[1], STEP):
                 part = batch.slice(i, j - i)
-                yield _list_batch(part, *enc.ids_of(part.column(1).to_pylist()))
+                ids, counts = enc.ids_of(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
+                more = [decoded_bytes(lists, path)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *more], names=["doc_id", "ids", "decoded"][: 2 + decoded])
 
-    schema = T.StructType([src.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, T.StructType(fields[: 2 + decoded]))
 
 
 @functools.lru_cache(2)
-def vocabulary(path: str) -> list[bytes]:
-    """Token bytes by id."""
-    ranks = read_ranks(path)
-    words = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        words[i] = token
-    return words
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all tokens in a row, and where each id's begin."""
+    by_id = {i: token for token, i in read_ranks(path).items()}
+    words = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    return np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words]))
+
+
+def decoded_bytes(lists: pa.ListArray, path: str) -> pa.Array:
+    """The bytes that each list of ids stands for; a null list has none."""
+    words, first = vocabulary(path)
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    size = first[ids + 1] - first[ids]
+    stop = np.append(0, np.cumsum(size))
+    data = words[np.arange(stop[-1]) + np.repeat(first[ids] - stop[:-1], size)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(stop[ends]), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded binary``, the bytes that ``ids`` stand for; null ids give no bytes."""
+    names = [*encoded.columns, "decoded"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("ids"))
-            out = [b"".join([words[i] for i in ids]) for ids in (column[k].as_py() or () for k in range(len(column)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded_bytes(batch.column(names.index("ids")), path)], names=names)
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

@@ -34,7 +34,7 @@ BITS, KEY_BYTES = 48, 4
 #: Rows that leave are sent to every task up to this number (16 bytes each), beyond it they are shuffled.
 MOST_BROADCAST = 1_000_000
 #: Nodes and bytes of sets that one task compares, pivots of a larger cluster, and nodes of a left block.
-MOST_NODES, MOST_SET_BYTES, PIVOTS, LEFT = 4096, 16 << 20, 64, 512
+MOST_NODES, MOST_SET_BYTES, PIVOTS, LEFT = 4096, 8 << 20, 64, 512
 MARK = "__text_mark"
 #: Words are runs of anything but ASCII white space.
 WORD = ~byte_table([(0x09, 0x0D), (0x20, 0x20)])

@@ -35,7 +35,7 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True))
 
 
 @register

@@ -141,7 +141,7 @@ def recount(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Takes ``doc_id, text, chars, tokens`` (from ``with_trees``) and ``edits``, an array of
     (start, stop, by) in characters of the text as the earlier edits left it; places outside it
-    are moved to its ends.  Returns ``doc_id, n_tokens, n_tokens_edited, n_pretokens, n_encoded,
+    are moved to its ends, an edit without places is ignored, null ``by`` is empty.  Returns ``doc_id, n_tokens, n_tokens_edited, n_pretokens, n_encoded,
     chars, tokens``: the last two are the new tree's leaves, to be kept for the next edits.
     """
     src = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "chars", "tokens", "edits")
@@ -158,6 +158,8 @@ def recount(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     tree = CountTree(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3)))
                     before, now, encoded = tree.tokens, text[k].as_py(), 0
                     for e in batch.column(4)[k].as_py() or ():
+                        if e is None or e["start"] is None or e["stop"] is None:
+                            continue
                         now, n = edited(now, tree, e["start"], e["stop"], e["by"] or "", enc)
                         encoded += n
                     flat = np.concatenate(tree.leaves, axis=1).astype(np.int32)
