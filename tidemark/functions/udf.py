@@ -18,7 +18,7 @@ def grouped_producer(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame]
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
-@udtf(returnType="minute bigint, origin_us bigint", useArrow=False)
+@udtf(returnType="minute bigint, origin_us bigint", useArrow=True)
 class SessionOrigins:
     """Origins of one session: origins(open_us, minutes, first, before_close, step)."""
 

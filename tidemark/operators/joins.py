@@ -83,10 +83,13 @@ def inclusion_grid(grid: DataFrame, observed: DataFrame, keys: list[str]) -> Dat
 def last_quote(
     origins: DataFrame, quotes: DataFrame, keys: list[str], cutoff_s: int, columns: list[str]
 ) -> DataFrame:
-    """The last quote at or before origin - cutoff, valid or not: no walking back."""
+    """The last quote at or before origin - cutoff, valid or not: no walking back.
+
+    Of quotes at one time the one with the largest ``id`` (their sequence) is the last.
+    """
     left = origins.withColumn("cutoff_us", F.col("origin_us") - F.lit(cutoff_s * MICROS))
     return asof_join(
-        left, quotes, keys, "cutoff_us", "quote_us", columns, DAY_BUCKET // 4, ["quote_us", *columns]
+        left, quotes, keys, "cutoff_us", "quote_us", columns, DAY_BUCKET // 4, ["quote_us", "id"]
     )
 
 

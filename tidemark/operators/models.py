@@ -124,11 +124,16 @@ def additive_spline(df: DataFrame, features: list[str], training: Column, alpha:
 
 
 def boosted(df: DataFrame, features: list[str], training: Column, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 650) -> tuple[DataFrame, dict[str, float]]:
-    """Boosted trees on the log target by Spark ML, with the gain importances."""
+    """Boosted trees on the log target by Spark ML, with the gain importances.
+
+    The level carries the lognormal factor of the training residuals.
+    """
     d = df.withColumn("_y", F.log(floored("target", VARIANCE_FLOOR)))
     gbt = GBTRegressor(labelCol="_y", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
     model: PipelineModel = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(d.where(training))
-    out = model.transform(d).withColumn("forecast", F.exp("_p")).drop("_y", "_p", "features")
+    fitted = model.transform(d)
+    spread = fitted.where(training).agg(F.exp(0.5 * F.var_pop(F.col("_y") - F.col("_p"))).alias("_sm"))
+    out = with_scalars(fitted, spread).withColumn("forecast", F.exp("_p") * F.col("_sm")).drop("_y", "_p", "_sm", "features")
     return out, dict(zip(features, model.stages[-1].featureImportances.toArray().tolist()))
 
 
@@ -228,6 +233,14 @@ def split_folds(df: DataFrame, folds: list[tuple[int, str, str, str]], inner_ses
     return j.withColumn("part", part).drop("_v0", "_t0", "_u0", "train_end", "test_start", "test_end")
 
 
+def scale_by_fit(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Adds ``s_<feature>``, standardised by the mean and deviation of part fit of the same key."""
+    own = df.where(F.col("part") == "fit").groupBy(*keys).agg(
+        *[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+    scaled = {f"s_{f}": (F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0) for f in features}
+    return df.join(own, keys).withColumns(scaled).drop(*[f"_{k}_{f}" for k in "ms" for f in features])
+
+
 def tune_ridge(df: DataFrame, keys: list[str], x: list[Column], target: str, alphas: list[float]) -> DataFrame:
     """Ridge per key and penalty on part fit, chosen by QLIKE on part validate, refitted, applied to test.
 
@@ -270,12 +283,16 @@ def walk_forward(df: DataFrame, keys: list[str], block: str, x: list[Column], ta
     return df.join(fit, [*keys, block]).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing")
 
 
-def leave_one_out(df: DataFrame, group: str, x: list[Column], target: str) -> DataFrame:
-    """Forecast each group from a fit on all others: total moments less the group's."""
+def leave_one_out(df: DataFrame, group: str, x: list[Column], target: str, training: Column) -> DataFrame:
+    """Forecast each group from a fit on the training rows of all others: total moments less the group's.
+
+    Every row gets a forecast that neither its own group nor any row outside training has shaped.
+    """
     k = len(x)
-    mom = R.moments(df, [group], x, [F.log(floored(target, VARIANCE_FLOOR))])
+    mom = R.moments(df.where(training), [group], x, [F.log(floored(target, VARIANCE_FLOOR))])
+    every = df.select(group).distinct().join(mom, group, "left").fillna(0, R.moment_columns(k, 1))
     total = R.add_up(mom, [], k, 1)
-    both = with_scalars(mom, total.select(*[F.col(c).alias(f"t{c}") for c in R.moment_columns(k, 1)]))
+    both = with_scalars(every, total.select(*[F.col(c).alias(f"t{c}") for c in R.moment_columns(k, 1)]))
     rest = both.select(group, *[(F.col(f"t{c}") - F.col(c)).alias(c) for c in R.moment_columns(k, 1)])
     fit = R.solve(rest, k, 1).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k))).select(group, "coef", "smearing")
     return df.join(fit, group).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing")

@@ -544,11 +544,11 @@ def _(spark, d):
 @query("agg39_timing_audit", sql("""
 SELECT coalesce(cutoff_s::VARCHAR,'ALL') AS cutoff_s, coalesce(asset,'ALL') AS asset, count(*) AS requests, count(q) AS selected, 0::BIGINT AS future, count(*) FILTER (ask>bid) AS usable, round(quantile_cont(age,0.5),6) AS median_age_s, count(*)-count(q) AS none_found FROM
  (SELECT o.asset, o.cutoff_s, q.created_us AS q, q.bid, q.ask, (o.at-q.created_us)/1e6::DOUBLE AS age FROM (SELECT asset, cutoff_s, origin_us-cutoff_s*1000000 AS at FROM origins, (VALUES (0::BIGINT),(60::BIGINT),(300::BIGINT)) c(cutoff_s)) o
-  ASOF LEFT JOIN (SELECT asset, created_us, arg_max(bid,(bid,ask)) AS bid, arg_max(ask,(bid,ask)) AS ask FROM tape GROUP BY 1,2) q ON q.asset=o.asset AND o.at>=q.created_us) GROUP BY CUBE (cutoff_s, asset)"""))
+  ASOF LEFT JOIN (SELECT asset, created_us, arg_max(bid,id) AS bid, arg_max(ask,id) AS ask FROM tape GROUP BY 1,2) q ON q.asset=o.asset AND o.at>=q.created_us) GROUP BY CUBE (cutoff_s, asset)"""))
 def _(spark, d):
     cut = F.explode(F.array(*[F.lit(c).cast("bigint") for c in (0, 60, 300)]))
     o = X.origins(spark, d).withColumn("cutoff_s", cut).withColumn("origin_us", F.col("origin_us") - F.col("cutoff_s") * 1_000_000)
-    q = X.tape(spark, d).select("asset", F.col("created_us").alias("quote_us"), "bid", "ask")
+    q = X.tape(spark, d).select("asset", F.col("created_us").alias("quote_us"), "id", "bid", "ask")
     s = J.last_quote(o, q, ["asset"], 0, ["bid", "ask"])
     s = s.select("asset", F.col("cutoff_s").cast("string").alias("cutoff_s"), ((F.col("cutoff_us") - F.col("quote_us")) / 1e6).alias("quote_age_s"),
                  (F.col("ask") > F.col("bid")).alias("usable"))

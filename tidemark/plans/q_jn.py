@@ -61,10 +61,10 @@ def _(spark, d):
 
 @query("jn6_last_quote_asof", sql("""
 SELECT o.origin_id, q.created_us AS quote_us, q.bid, q.ask FROM origins o ASOF LEFT JOIN
- (SELECT asset, created_us, arg_max(bid, (bid, ask)) AS bid, arg_max(ask, (bid, ask)) AS ask FROM tape GROUP BY 1,2) q
+ (SELECT asset, created_us, arg_max(bid, id) AS bid, arg_max(ask, id) AS ask FROM tape GROUP BY 1,2) q
  ON o.asset=q.asset AND o.origin_us-120000000 >= q.created_us"""))
 def _(spark, d):
-    q = X.tape(spark, d).select("asset", F.col("created_us").alias("quote_us"), "bid", "ask")
+    q = X.tape(spark, d).select("asset", F.col("created_us").alias("quote_us"), "id", "bid", "ask")
     return J.last_quote(X.origins(spark, d), q, ["asset"], 120, ["bid", "ask"]).select(
         "origin_id", "quote_us", "bid", "ask")
 

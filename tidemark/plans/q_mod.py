@@ -122,7 +122,7 @@ def _(spark, d):
 
 @query("mod7_boosted_trees")
 def _(spark, d):
-    return scored(M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=5, depth=3)[0])
+    return scored(M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=20, depth=3)[0])
 
 
 @query("mod7_boosted_qlike")
@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("mod23_gain_importances")
 def _(spark, d):
-    _, imp = M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=5, depth=3)
+    _, imp = M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=20, depth=3)
     return spark.createDataFrame(sorted(imp.items()), "feature string, importance double")
 
 
@@ -237,9 +237,13 @@ def _(spark, d):
     return p.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("session_date").alias("first"), F.max("session_date").alias("last"))
 
 
+def fold_parts(spark, d):
+    """Rows of the expanding folds, features scaled by each fold's own fit rows."""
+    return M.scale_by_fit(M.split_folds(reg(spark, d), FOLDS, 100, 86_400_000_000), ["fold"], ["x1", "x2", "x3"])
+
+
 def tuned(spark, d):
-    p = M.split_folds(standardised(spark, d), FOLDS, 100, 86_400_000_000)
-    return M.tune_ridge(p, ["fold"], cols("z_x1", "z_x2", "x3"), "target", [0.1, 1.0, 10.0, 1000.0])
+    return M.tune_ridge(materialise(fold_parts(spark, d)), ["fold"], cols("s_x1", "s_x2", "s_x3"), "target", [0.1, 1.0, 10.0, 1000.0])
 
 
 @query("mod14_grid_tuning")
@@ -248,25 +252,34 @@ def _(spark, d):
         F.count(F.lit(1)).alias("test_rows"), F.max("validation_qlike").alias("validation_qlike"), F.avg(qlike(F.col("target"), F.col("forecast"))).alias("test_qlike"))
 
 
-SETS = {"B0": ["z_x1"], "B0+B1": ["z_x1", "z_x2"], "B0+B2": ["z_x1", "x3"], "B0+B1+B2": ["z_x1", "z_x2", "x3"]}
-CONTRASTS = {"delta_b1": ("B0", "B0+B1"), "delta_b2_given_b0": ("B0", "B0+B2"), "delta_b2_given_b1": ("B0+B1", "B0+B1+B2"), "delta_total": ("B0", "B0+B1+B2")}
+LADDER = ["z_x1", "z_x2", "x3"]
+#: Nested feature sets, as places in LADDER, and the pairs that are held against each other.
+SETS = {"core": [0], "core_quotes": [0, 1], "core_trades": [0, 2], "all": [0, 1, 2]}
+CONTRASTS = {"quotes": ("core", "core_quotes"), "trades": ("core", "core_trades"), "trades_after_quotes": ("core_quotes", "all"), "both": ("core", "all")}
 
 
 def ladder(spark, d):
-    """Test losses of two families over the nested sets, long by family and contrast."""
-    r = materialise(standardised(spark, d).withColumn("_k", F.lit(1)))
-    j = r
-    loss = {}
+    """Test losses of two families over the nested sets, long by family and contrast.
+
+    All sets are parts of one set of moments: one pass over the training rows, a slice per set.
+    """
+    r = materialise(standardised(spark, d))
+    every = materialise(R.moments(r.where(train()), [], cols(*LADDER), [F.log("target")]))
+    j, loss = r.where(~train()), {}
     for fam, alpha in (("log_ols", 0.0), ("ridge", 1.0)):
-        for name, feats in SETS.items():
-            tag = f"{fam}_{name.replace('+', '_')}"
-            fit = R.fit_log_linear(r, ["_k"], cols(*feats), F.col("target"), train(), alpha).select("_k", F.col("coef").alias(f"c_{tag}"), F.col("smearing").alias(f"s_{tag}"))
-            j = j.join(F.broadcast(fit), "_k")
-            loss[(fam, name)] = qlike(F.col("target"), F.exp(R.predict(f"c_{tag}", cols(*feats))) * F.col(f"s_{tag}"))
+        for name, places in SETS.items():
+            tag, kept = f"{fam}_{name}", [0, *[i + 1 for i in places]]
+            k = len(kept)
+            part = every.select(
+                "_n", *[F.col(f"_g{kept[a]}_{kept[b]}").alias(f"_g{a}_{b}") for a, b in R.pairs(k)],
+                *[F.col(f"_c{kept[a]}_0").alias(f"_c{a}_0") for a in range(k)], "_y0_0")
+            fit = R.solve(part, k, 1, alpha, (False,) + (True,) * (k - 1)).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k)))
+            j = with_scalars(j, fit.select(F.col("coef").alias(f"c_{tag}"), F.col("smearing").alias(f"s_{tag}")))
+            loss[(fam, name)] = qlike(F.col("target"), F.exp(R.predict(f"c_{tag}", cols(*[LADDER[i] for i in places]))) * F.col(f"s_{tag}"))
     rows = F.explode(F.array(*[
         F.struct(F.lit(fam).alias("family"), F.lit(c).alias("contrast"), loss[(fam, a)].alias("lb"), loss[(fam, b)].alias("lw"))
         for fam in ("log_ols", "ridge") for c, (a, b) in CONTRASTS.items()]))
-    return j.where(~train()).select(F.col("week").alias("session_date"), "asset", rows.alias("_r")).select("session_date", "asset", "_r.*")
+    return j.select(F.col("week").alias("session_date"), "asset", rows.alias("_r")).select("session_date", "asset", "_r.*")
 
 
 @query("mod15_model_ladder")
@@ -286,7 +299,7 @@ def _(spark, d):
 
 @query("mod17_residual_learner")
 def _(spark, d):
-    r = M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target").withColumn("residual", F.col("target") - F.col("forecast"))
+    r = M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target", train()).withColumn("residual", F.col("target") - F.col("forecast"))
     c = M.interactions(["x2", "x3"], "asset", ["1-URGENT", "2-HIGH"])
     real = M.residual_learner(r, c, "residual", "forecast", train())
     fake = M.residual_learner(M.permute_within(r, ["week"], "residual", "origin_id", 650), c, "permuted", "forecast", train())
@@ -297,9 +310,9 @@ def _(spark, d):
 
 
 @query("mod18_leave_one_asset_out", sql("""
-SELECT p.asset, count(*) AS n, round(avg(target/f-ln(target/f)-1),6) AS qlike FROM (SELECT r.asset, target, exp(a+b*x1)*exp(0.5*v) AS f FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v FROM (SELECT DISTINCT asset FROM reg) h JOIN reg r ON r.asset<>h.asset GROUP BY 1) USING (asset)) p GROUP BY 1""", REG))
+SELECT p.asset, count(*) AS n, round(avg(target/f-ln(target/f)-1),6) AS qlike FROM (SELECT r.asset, target, exp(a+b*x1)*exp(0.5*v) AS f FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v FROM (SELECT DISTINCT asset FROM reg) h JOIN reg r ON r.asset<>h.asset WHERE r.is_train GROUP BY 1) USING (asset) WHERE NOT is_train) p GROUP BY 1""", REG))
 def _(spark, d):
-    return M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target").groupBy("asset").agg(
+    return M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target", train()).where(~train()).groupBy("asset").agg(
         F.count(F.lit(1)).alias("n"), F.avg(qlike(F.col("target"), F.col("forecast"))).alias("qlike"))
 
 
@@ -341,11 +354,11 @@ def _(spark, d):
 @query("mod25_development_comparison")
 def _(spark, d):
     """Families by sets on expanding folds, tuned inside, contrasted by asset and overall."""
-    parts = materialise(M.split_folds(standardised(spark, d), FOLDS, 100, 86_400_000_000))
+    parts = materialise(fold_parts(spark, d))
     runs = []
     for fam, alphas in (("ridge_light", [0.01]), ("ridge_tuned", [0.1, 1.0, 100.0])):
-        base = M.tune_ridge(parts, ["fold"], cols("z_x1"), "target", alphas).select("origin_id", "fold", "week", "asset", "target", F.col("forecast").alias("fb"))
-        wide = M.tune_ridge(parts, ["fold"], cols("z_x1", "z_x2", "x3"), "target", alphas).select("origin_id", "fold", F.col("forecast").alias("fw"))
+        base = M.tune_ridge(parts, ["fold"], cols("s_x1"), "target", alphas).select("origin_id", "fold", "week", "asset", "target", F.col("forecast").alias("fb"))
+        wide = M.tune_ridge(parts, ["fold"], cols("s_x1", "s_x2", "s_x3"), "target", alphas).select("origin_id", "fold", F.col("forecast").alias("fw"))
         runs.append(base.join(wide, ["origin_id", "fold"]).withColumn("family", F.lit(fam)))
     both = runs[0].unionByName(runs[1])
     diff = qlike(F.col("target"), F.col("fb")) - qlike(F.col("target"), F.col("fw"))

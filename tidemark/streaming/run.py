@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from ..sources.results import shared_folder
 
 
-def files_as_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def files_as_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
+    """Files of a folder as they land, ``per_batch`` of them at most in a micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
 
 
 def run_available(stream: DataFrame, mode: str, out: str | None = None, checkpoint: str | None = None) -> str:

@@ -38,8 +38,14 @@ def sliding_flow(tape: DataFrame, length: str, slide: str, delay: str) -> DataFr
 
 
 def first_receipts(receipts: DataFrame, delay: str) -> DataFrame:
-    """The first receipt of each record; repeats inside the watermark are dropped."""
-    return receipts.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["record_id"])
+    """The earliest receipt of each record, whichever of its receipts arrives first.
+
+    Receipts of a record less than ``delay`` apart form one run, whose state is its smallest time
+    and its count; a run is emitted once the watermark has passed its end, and its state ends.
+    """
+    w = receipts.withWatermark("received_at", delay)
+    return w.groupBy(F.session_window("received_at", delay).alias("w"), "record_id").agg(
+        F.min("received_at").alias("first_received_at"), F.count(F.lit(1)).alias("receipts"))
 
 
 def reconcile(receipts: DataFrame, tape: DataFrame, bound: str, delay: str) -> DataFrame:
