@@ -17,7 +17,7 @@ from .q_sca import LEGS, SNAP, hedged
 from .registry import query
 from .standin import SERIES_SQL, sql
 
-REPS, BLOCK, SEED = 200, 5, 650
+REPS, BLOCK, SEED = 2000, 5, 650
 
 
 def h(*parts, at=1):
