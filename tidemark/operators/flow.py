@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +149,10 @@ def activity(
     cells.
     """
     delay = F.explode(F.array(*[F.lit(x).cast("bigint") for x in delays]))
-    base = cells(
-        with_panes(tape.withColumn("delay_s", delay), step_us, F.col("delay_s")),
-        ["asset", "delay_s", "contract", "strike", "expiry"], _premium_aggs(),
-    )
+    dims = ["asset", "contract", "strike", "expiry"]
+    fine = fine_cells(tape, dims, step_us, delays, _premium_aggs())
+    again = [(F.max if c.startswith("max_") else F.sum)(c).alias(c) for c in fine.columns if c not in (*dims, "executed_us", "created_us")]
+    base = cells(with_panes(fine.withColumn("delay_s", delay), step_us, F.col("delay_s")), ["delay_s", *dims], again)
     keys = ["asset", "delay_s", "k"]
     dims = dimension_sums(spread(base, panes, True), keys, "trades", ACTIVITY_SUMS, ("max_premium", "max_created_us"))
     c = F.col("_dim") == "contract"
@@ -177,6 +179,17 @@ def activity(
     ).drop("k", "ask_premium", "bid_premium")
 
 
+def fine_cells(tape: DataFrame, keys: list[str], step_us: int, delays: list[int], aggs: list[Column]) -> DataFrame:
+    """The tape summed to the finest panes that every delay and the step are multiples of.
+
+    The clocks are replaced by the panes' edges, on which each delay decides its panes exactly as
+    on the trades, so delays multiply cells and never the tape.
+    """
+    unit = math.gcd(step_us, *[x * MICROS for x in delays])
+    c = cells(with_panes(tape, unit), keys, aggs)
+    return c.withColumns({"executed_us": F.col("exec_pane") * F.lit(unit), "created_us": F.col("seen_pane") * F.lit(unit)}).drop("exec_pane", "seen_pane")
+
+
 def dimension_sums(
     per: DataFrame, keys: list[str], weight: str, sums: tuple[str, ...], maxima: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -204,8 +217,11 @@ def wide_activity(
     counts spread over windows and the ranks found on the counts.
     """
     delay = F.explode(F.array(*[F.lit(x).cast("bigint") for x in delays]))
-    t = with_panes(tape.withColumn("delay_s", delay), step_us, F.col("delay_s"))
     keys = ["asset", "delay_s", "k"]
+
+    def delayed(fine: DataFrame) -> DataFrame:
+        return with_panes(fine.withColumn("delay_s", delay), step_us, F.col("delay_s"))
+
     p = F.coalesce("premium", F.lit(0.0))
     good = (F.col("bid") > 0) & (F.col("ask") > F.col("bid")) & F.col("price").isNotNull()
     sums = {
@@ -214,8 +230,10 @@ def wide_activity(
         "_iv_n": F.col("iv").isNotNull().cast("int"), "_valid": (F.col("price").isNotNull() & F.col("premium").isNotNull()).cast("int"),
         "_prem": p,
     }
-    base = cells(t, keys[:2], [*[F.sum(c).alias(n) for n, c in sums.items()], F.max("size").alias("max_size"),
-                               F.max("iv").alias("_iv_hi"), F.min("iv").alias("_iv_lo")])
+    fine = fine_cells(tape, ["asset"], step_us, delays, [
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.max("size").alias("max_size"), F.max("iv").alias("_iv_hi"), F.min("iv").alias("_iv_lo")])
+    base = cells(delayed(fine), keys[:2], [
+        *[F.sum(n).alias(n) for n in sums], F.max("max_size").alias("max_size"), F.max("_iv_hi").alias("_iv_hi"), F.min("_iv_lo").alias("_iv_lo")])
     agg = spread(base, panes, True).groupBy(*keys).agg(
         *[F.sum(n).alias(n) for n in sums], F.max("max_size").alias("max_size"),
         F.max("_iv_hi").alias("_iv_hi"), F.min("_iv_lo").alias("_iv_lo"))
@@ -223,7 +241,8 @@ def wide_activity(
         "origin_id", "asset", "session_date", "spot", "k", delay.alias("delay_s"))
 
     def counts(value: str) -> DataFrame:
-        c = t.where(F.col(value).isNotNull()).groupBy(*keys[:2], "exec_pane", "seen_pane", value).agg(F.count(F.lit(1)).alias("_c"))
+        seen = fine_cells(tape.where(F.col(value).isNotNull()), ["asset", value], step_us, delays, [F.count(F.lit(1)).alias("_c")])
+        c = cells(delayed(seen), [*keys[:2], value], [F.sum("_c").alias("_c")])
         return spread(c, panes, True).groupBy(*keys, value).agg(F.sum("_c").alias("_c"))
 
     def at_origin(value: str, expr: Column) -> DataFrame:
