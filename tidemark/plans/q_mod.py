@@ -15,6 +15,8 @@ from ..operators.series import session_series
 from ..sources.results import materialise
 from . import panels as PN
 from . import standin as X
+from .elimination import fit_sql, predicted, qlike_sql
+from .q_inf import CI, EST, NW_SQL, RADEMACHER, REPS, boot_sql, h, ncdf_sql, tq_sql, wild_sql
 from .q_sca import MZ
 from .q_win import B0_SQL, DAYS_SQL, EWMA_SQL, FWD_SQL
 from .registry import query
@@ -165,18 +167,26 @@ def b0_rows(spark, d):
     return materialise(b.join(e, ["asset", "session_date", "bar"]).where(ok).withColumn("is_train", F.dayofmonth("session_date") <= 20))
 
 
-@query("mod10_baseline_challengers", sql("""
+CHALLENGERS = """
 SELECT model, count(*) AS n, round(avg(target/f-ln(target/f)-1),5) AS qlike FROM (SELECT target, unnest(['persistence','ewma','intraday_mean']) AS model, unnest([greatest(rv_back_3,1e-12), greatest(ewma/2,1e-12), exp(coalesce(s, g))*sm]) AS f FROM
  (SELECT b.*, i.s, gg.g, v.sm FROM bsplit b LEFT JOIN (SELECT bar, avg(ln(target)) AS s FROM bsplit WHERE day(session_date)<=20 GROUP BY 1) i USING (bar), (SELECT avg(ln(target)) AS g FROM bsplit WHERE day(session_date)<=20) gg,
-  (SELECT exp(0.5*var_pop(ln(b.target)-i2.s)) AS sm FROM bsplit b JOIN (SELECT bar, avg(ln(target)) AS s FROM bsplit WHERE day(session_date)<=20 GROUP BY 1) i2 USING (bar) WHERE day(b.session_date)<=20) v WHERE day(b.session_date)>20)) GROUP BY 1""",
-                                           FWD_SQL, DAYS_SQL, B0_SQL, EWMA_SQL, SPLIT))
+  (SELECT exp(0.5*var_pop(ln(b.target)-i2.s)) AS sm FROM bsplit b JOIN (SELECT bar, avg(ln(target)) AS s FROM bsplit WHERE day(session_date)<=20 GROUP BY 1) i2 USING (bar) WHERE day(b.session_date)<=20) v WHERE day(b.session_date)>20)) GROUP BY 1"""
+
+
+@query("mod10_baseline_challengers", sql(CHALLENGERS, FWD_SQL, DAYS_SQL, B0_SQL, EWMA_SQL, SPLIT))
 def _(spark, d):
     return challengers(spark, d).where(F.col("model") != "simple_har").withColumn("qlike", F.round("qlike", 5))
 
 
-@query("mod10_har_challenger")
+HAR = ["l0", "l1", "l2", "l3"]
+HAR_SQL = "hr AS (SELECT target, day(session_date)<=20 AS tr, ln(target) AS y, ln(rv_back_6) AS l0, ln(greatest(rv_session_to_date,1e-12)) AS l1, ln(greatest(rv_prev_day,1e-12)) AS l2, ln(greatest(rv_week,1e-12)) AS l3 FROM bsplit)"
+
+
+@query("mod10_har_challenger", sql(f"""{CHALLENGERS} UNION ALL
+SELECT 'simple_har', count(*), round(avg({qlike_sql('target', f'(exp({predicted(HAR)})*sm)')}),5) FROM hr, hf, (SELECT exp(0.5*var_pop(y-{predicted(HAR)})) AS sm FROM hr, hf WHERE tr) WHERE NOT tr""",
+                                     FWD_SQL, DAYS_SQL, B0_SQL, EWMA_SQL, SPLIT, HAR_SQL, fit_sql("hf", "(SELECT * FROM hr WHERE tr)", [], HAR, "y")))
 def _(spark, d):
-    return challengers(spark, d)
+    return challengers(spark, d).withColumn("qlike", F.round("qlike", 5))
 
 
 def challengers(spark, d):
@@ -246,10 +256,34 @@ def tuned(spark, d):
     return M.tune_ridge(materialise(fold_parts(spark, d)), ["fold"], cols("s_x1", "s_x2", "s_x3"), "target", [0.1, 1.0, 10.0, 1000.0])
 
 
-@query("mod14_grid_tuning")
+SCALED = ["v1", "v2", "v3"]
+PARTS_SQL = """pr AS (SELECT fold, CASE WHEN session_date BETWEEN test_start AND test_end THEN 'test' WHEN session_date>=v0 AND session_date<=t0-1 THEN 'validate' WHEN session_date<v0 AND session_date<=v0-1 THEN 'fit' ELSE 'purged' END AS part, week, asset, target, y, x1, x2, x3
+  FROM reg, (SELECT f.*, (SELECT min(session_date) FROM (SELECT DISTINCT session_date FROM reg WHERE session_date<=f.train_end ORDER BY 1 DESC LIMIT 100)) AS v0, (SELECT min(session_date) FROM reg WHERE session_date BETWEEN f.test_start AND f.test_end) AS t0 FROM f3 f)
+  WHERE session_date<=train_end OR session_date BETWEEN test_start AND test_end),
+ ps AS (SELECT fold, avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2, avg(x3) m3, stddev_pop(x3) s3 FROM pr WHERE part='fit' GROUP BY 1),
+ pz AS (SELECT fold, part, week, asset, target, y, (x1-m1)/s1 AS v1, (x2-m2)/s2 AS v2, (x3-m3)/s3 AS v3 FROM pr JOIN ps USING (fold))"""
+
+
+def tune_sql(name: str, x: list[str], alphas: list[float]) -> str:
+    """CTE ``name``: test rows with the penalty chosen on validation rows and the forecast."""
+    grid = f"(SELECT unnest([{', '.join(f'{a!r}::DOUBLE' for a in alphas)}]) AS alpha)"
+    p = predicted(x)
+    return f"""{fit_sql(f'{name}f', f"(SELECT * FROM pz, {grid} WHERE part='fit')", ['fold', 'alpha'], x, 'y', 'alpha')},
+ {name}fs AS (SELECT fold, alpha, exp(0.5*var_pop(y-{p})) AS sm FROM pz JOIN {name}f USING (fold) WHERE part='fit' GROUP BY 1,2),
+ {name}v AS (SELECT fold, alpha, avg({qlike_sql('target', f'(exp({p})*sm)')}) AS q FROM pz JOIN {name}f USING (fold) JOIN {name}fs USING (fold, alpha) WHERE part='validate' GROUP BY 1,2),
+ {name}c AS (SELECT fold, arg_min(alpha, (q, alpha)) AS alpha, min(q) AS validation_qlike FROM {name}v GROUP BY 1),
+ {fit_sql(f'{name}r', f"(SELECT * FROM pz JOIN {name}c USING (fold) WHERE part IN ('fit','validate'))", ['fold', 'alpha'], x, 'y', 'alpha')},
+ {name}rs AS (SELECT fold, exp(0.5*var_pop(y-{p})) AS sm FROM pz JOIN {name}r USING (fold) WHERE part IN ('fit','validate') GROUP BY 1),
+ {name} AS (SELECT fold, c.alpha, validation_qlike, week, asset, target, exp({p})*sm AS f FROM pz JOIN {name}r USING (fold) JOIN {name}rs USING (fold) JOIN {name}c c USING (fold) WHERE part='test')"""
+
+
+@query("mod14_grid_tuning", sql(f"""
+SELECT fold, alpha, count(*) AS test_rows, round(max(validation_qlike),5) AS validation_qlike, round(avg({qlike_sql('target', 'f')}),5) AS test_qlike FROM tn GROUP BY 1,2""",
+                                  REG, FOLD_SQL, PARTS_SQL, tune_sql("tn", SCALED, [0.1, 1.0, 10.0, 1000.0])))
 def _(spark, d):
     return tuned(spark, d).groupBy("fold", "alpha").agg(
-        F.count(F.lit(1)).alias("test_rows"), F.max("validation_qlike").alias("validation_qlike"), F.avg(qlike(F.col("target"), F.col("forecast"))).alias("test_qlike"))
+        F.count(F.lit(1)).alias("test_rows"), F.round(F.max("validation_qlike"), 5).alias("validation_qlike"),
+        F.round(F.avg(qlike(F.col("target"), F.col("forecast"))), 5).alias("test_qlike"))
 
 
 LADDER = ["z_x1", "z_x2", "x3"]
@@ -282,9 +316,29 @@ def ladder(spark, d):
     return j.select(F.col("week").alias("session_date"), "asset", rows.alias("_r")).select("session_date", "asset", "_r.*")
 
 
-@query("mod15_model_ladder")
+def ladder_sql() -> str:
+    """CTE ``series``: weekly loss differences of every family and contrast; ``lad``: the losses."""
+    names, out, loss = ["z1", "z2", "x3"], ["zl AS (SELECT week, target, y, is_train, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2, x3 FROM reg, (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train))"], {}
+    for fam, alpha in (("log_ols", "0"), ("ridge", "1.0::DOUBLE")):
+        for name, places in SETS.items():
+            x, tag = [names[i] for i in places], f"{fam}_{name}"
+            out += [fit_sql(tag, "(SELECT * FROM zl WHERE is_train)", [], x, "y", alpha), f"{tag}_sm AS (SELECT exp(0.5*var_pop(y-{predicted(x)})) AS sm FROM zl, {tag} WHERE is_train)"]
+            loss[fam, name] = qlike_sql("target", f"(exp({predicted(x, f'{tag}.')})*{tag}_sm.sm)")
+    pairs = [(fam, c, a, b) for fam in ("log_ols", "ridge") for c, (a, b) in CONTRASTS.items()]
+    tables = ", ".join(f"{fam}_{name}, {fam}_{name}_sm" for fam, name in loss)
+    lists = [", ".join(v) for v in ([f"'{f}#{c}'" for f, c, _, _ in pairs], [loss[f, a] for f, _, a, _ in pairs], [loss[f, b] for f, _, _, b in pairs])]
+    out.append(f"lad AS (SELECT week, unnest([{lists[0]}]) AS series, unnest([{lists[1]}]) AS lb, unnest([{lists[2]}]) AS lw FROM zl, {tables} WHERE NOT is_train)")
+    out.append("series AS (SELECT series, week AS session_date, avg(lb-lw) AS value, row_number() OVER (PARTITION BY series ORDER BY week)-1 AS idx FROM lad GROUP BY 1,2)")
+    return ",\n ".join(out)
+
+
+@query("mod15_model_ladder", sql(f"""
+SELECT split_part(e.series,'#',1) AS family, split_part(e.series,'#',2) AS contrast, e.estimate, e.sessions, ci_low, ci_high, p_value, round(({tq_sql(0.975,'(clusters-1)')}+{tq_sql(0.8,'(clusters-1)')})*sqrt(lrv/clusters),6) AS mde,
+ round(2*(1-{ncdf_sql('abs(nw.estimate/sqrt(lrv/clusters))')}),6) AS nw_p, wild_p, round(bd,6) AS equivalence_bound, ci_low>-bd AND ci_high<bd AS equivalent, 5::BIGINT AS block_length
+FROM {EST} e JOIN (SELECT series, {CI} FROM boot GROUP BY 1) USING (series) JOIN nw USING (series) JOIN wild USING (series) JOIN (SELECT series, 0.02::DOUBLE*avg(lb) AS bd FROM lad GROUP BY 1) USING (series)""",
+                                   REG, ladder_sql(), boot_sql(), NW_SQL, wild_sql(RADEMACHER, "wild")))
 def _(spark, d):
-    return I.session_contrast(ladder(spark, d), ["family", "contrast"], "lb", "lw", 5, 100, 650, 2).drop("hac_se")
+    return I.session_contrast(ladder(spark, d), ["family", "contrast"], "lb", "lw", 5, REPS, 650, 2).drop("hac_se")
 
 
 @query("mod16_walk_forward", sql("""
@@ -297,7 +351,16 @@ def _(spark, d):
     return w.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(qlike(F.col("target"), F.col("forecast"))), 5).alias("qlike"))
 
 
-@query("mod17_residual_learner")
+CROSSED = ["x2", "x3", "x2*u", "x2*hi", "x3*u", "x3*hi"]
+LEARNER_SQL = f"""lo AS (SELECT r.*, exp(a+b*x1)*exp(0.5*v) AS f, (asset='1-URGENT')::INT AS u, (asset='2-HIGH')::INT AS hi FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v
+   FROM (SELECT DISTINCT asset FROM reg) h JOIN reg r ON r.asset<>h.asset WHERE r.is_train GROUP BY 1) USING (asset)),
+ lr AS (SELECT *, target-f AS e, row_number() OVER (PARTITION BY week ORDER BY origin_id) AS ra, row_number() OVER (PARTITION BY week ORDER BY {h(650, 'origin_id')}, origin_id) AS rb FROM lo),
+ le AS (SELECT unnest(['real','placebo']) AS kind, unnest([a.e, b.e]) AS e, a.target, a.f, a.is_train, a.x2, a.x3, a.u, a.hi FROM lr a JOIN lr b ON a.week=b.week AND a.ra=b.rb)"""
+
+
+@query("mod17_residual_learner", sql(f"""
+SELECT kind, count(*) AS n, round(avg({qlike_sql('target', 'f')}),6) AS base_qlike, round(avg({qlike_sql('target', f'(f+{predicted(CROSSED)})')}),6) AS corrected_qlike FROM le JOIN lf USING (kind) WHERE NOT is_train GROUP BY 1""",
+                                       REG, LEARNER_SQL, fit_sql("lf", "(SELECT * FROM le WHERE is_train)", ["kind"], CROSSED, "e", "1.0::DOUBLE")))
 def _(spark, d):
     r = M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target", train()).withColumn("residual", F.col("target") - F.col("forecast"))
     c = M.interactions(["x2", "x3"], "asset", ["1-URGENT", "2-HIGH"])
