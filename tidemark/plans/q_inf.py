@@ -24,9 +24,9 @@ def h(*parts, at=1):
     return f"('0x'||substr(md5(concat_ws('-',{','.join(str(p) for p in parts)})),{at},8))::BIGINT"
 
 
-def boot_sql(src="series", key="series", value="value", block=BLOCK, name="boot"):
+def boot_sql(src="series", key="series", value="value", block=BLOCK, name="boot", reps=REPS):
     return f"""{name} AS (SELECT {key}, rep, avg({value}) AS m FROM (SELECT d.{key}, d.rep, s.{value} FROM (SELECT {key}, n, rep, b, pos, ({h(SEED,'rep','b')} % n + pos - b*{block}) % n AS idx FROM
-   (SELECT {key}, n, rep, pos, pos//{block} AS b FROM (SELECT {key}, count(*) AS n FROM {src} GROUP BY 1), (SELECT unnest(generate_series(1,{REPS})) AS rep), LATERAL (SELECT unnest(generate_series(0, n-1)) AS pos))) d
+   (SELECT {key}, n, rep, pos, pos//{block} AS b FROM (SELECT {key}, count(*) AS n FROM {src} GROUP BY 1), (SELECT unnest(generate_series(1,{reps})) AS rep), LATERAL (SELECT unnest(generate_series(0, n-1)) AS pos))) d
    JOIN {src} s ON s.{key}=d.{key} AND s.idx=d.idx) GROUP BY 1,2)"""
 
 
@@ -166,10 +166,34 @@ def _(spark, d):
     return g.withColumn("wald", F.round("wald", 4)).withColumn("p_value", F.round("p_value", 5))
 
 
-@query("inf10_model_confidence_set")
+MCS_REPS = 9999
+
+
+def confidence_sql(rounds: int, alpha: float = 0.1) -> str:
+    """CTEs s0 .. s<rounds>: the state of every model after each round of elimination."""
+    out = ["mm AS (SELECT split_part(series,'#',1) AS asset, split_part(series,'#',2) AS model, rep, m FROM (FROM boot UNION ALL SELECT series, 0, avg(value) FROM series GROUP BY 1))",
+           "s0 AS (SELECT DISTINCT asset, model, 0.0::DOUBLE AS p, true AS survives, true AS open FROM mm)"]
+    for r in range(rounds):
+        out += [
+            f"x{r} AS (SELECT mm.*, m-avg(m) OVER (PARTITION BY asset, rep) AS d FROM mm JOIN s{r} USING (asset, model) WHERE open)",
+            f"e{r} AS (SELECT asset, model, max(d) FILTER (rep=0) AS d0, stddev_samp(d) FILTER (rep>0) AS s FROM x{r} GROUP BY 1,2)",
+            f"w{r} AS (SELECT asset, max(t) AS stat, arg_min(model, (-t, model)) AS worst, count(*) AS n FROM (SELECT *, CASE WHEN s>0 THEN d0/s ELSE 0 END AS t FROM e{r}) GROUP BY 1)",
+            f"n{r} AS (SELECT asset, rep, max(CASE WHEN s>0 THEN abs(d-d0)/s ELSE 0 END) AS z FROM x{r} JOIN e{r} USING (asset, model) WHERE rep>0 GROUP BY 1,2)",
+            f"q{r} AS (SELECT asset, worst, n, (count(*) FILTER (z>=stat)+1.0::DOUBLE)/(count(*)+1) AS q FROM n{r} JOIN w{r} USING (asset) GROUP BY 1,2,3)",
+            f"""s{r + 1} AS (SELECT asset, model, CASE WHEN NOT open THEN p WHEN n=1 THEN 1.0::DOUBLE ELSE greatest(p, q) END AS p,
+   CASE WHEN NOT open THEN survives ELSE n=1 OR q>={alpha} OR model<>worst END AS survives, open AND NOT (n=1 OR q>={alpha} OR model=worst) AS open FROM s{r} LEFT JOIN q{r} USING (asset))""",
+        ]
+    return ",\n ".join(out)
+
+
+LOSSES_SQL = """series AS (SELECT asset||'#'||model AS series, w AS session_date, avg(loss) AS value, row_number() OVER (PARTITION BY asset, model ORDER BY w)-1 AS idx FROM
+ (SELECT asset, date_trunc('week', session_date)::DATE AS w, unnest(['base','wide']) AS model, unnest([actual/f_base-ln(actual/f_base)-1, actual/f_wide-ln(actual/f_wide)-1]) AS loss FROM panel) GROUP BY asset, model, w)"""
+
+
+@query("inf10_model_confidence_set", sql("SELECT asset, model, round(p,6) AS mcs_p, survives FROM s2", LOSSES_SQL, boot_sql(reps=MCS_REPS), confidence_sql(2)))
 def _(spark, d):
     c = long_losses(spark, d).select("asset", "model", F.date_trunc("week", "session_date").cast("date").alias("session_date"), "loss")
-    return I.model_confidence_set(session_series(c, ["asset", "model"], "loss"), ["asset"], "model", BLOCK, REPS, SEED)
+    return I.model_confidence_set(session_series(c, ["asset", "model"], "loss"), ["asset"], "model", BLOCK, MCS_REPS, SEED)
 
 
 POW_SQL = f"""cent AS (SELECT series, idx, value-avg(value) OVER (PARTITION BY series) AS c, stddev_samp(value) OVER (PARTITION BY series)/4 AS e, count(*) OVER (PARTITION BY series) AS n FROM series),
