@@ -180,18 +180,30 @@ def linked(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``key, component``: the smallest key that links reach, for every key with a link."""
-    edges = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    label = materialise(label.withColumn("moved", F.lit(True)))
-    while label.where("moved").limit(1).count():
-        near = edges.join(label.select(F.col("key").alias("b"), "component"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        low = label.join(near, "key").select("key", F.col("component").alias("was"), F.least("component", "near").alias("to"))
-        jump = low.select(F.col("key").alias("to"), F.col("to").alias("further"))
-        label = materialise(
-            low.join(jump, "to", "left").select("key", F.coalesce("further", "to").alias("component"), (F.coalesce("further", "to") != F.col("was")).alias("moved"))
-        )
-    return label.select("key", "component")
+    """``key, component``: a key of its own component, the same for all of it, for every key with a link.
+
+    Each round hooks every key to its smallest neighbour, shortens the hooks and replaces the keys
+    of all links by their hooks.  Links within a key go, so what is left at least halves each
+    round, whatever the links' shape.
+    """
+    edges = materialise(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("to"))
+        for _ in range(2):
+            hook = materialise(hook)
+            hook = hook.join(hook.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.col("next").alias("to"))
+        hook = materialise(hook)
+        if label is None:
+            label = hook.withColumnRenamed("to", "component")
+        else:
+            label = label.join(hook.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("to", "component").alias("component"))
+        label = materialise(label)
+        ends = [hook.select(F.col("key").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
+        edges = materialise(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    return links.select(F.col("a").alias("key"), F.col("b").alias("component")).limit(0) if label is None else label
 
 
 def all_links(nodes: DataFrame) -> DataFrame:
