@@ -187,23 +187,21 @@ def components(links: DataFrame) -> DataFrame:
     round, whatever the links' shape.
     """
     edges = materialise(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = None
+    hooks = []
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("low")).select("key", F.least("key", "low").alias("to"))
-        for _ in range(2):
-            hook = materialise(hook)
-            hook = hook.join(hook.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.col("next").alias("to"))
-        hook = materialise(hook)
-        if label is None:
-            label = hook.withColumnRenamed("to", "component")
-        else:
-            label = label.join(hook.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("to", "component").alias("component"))
-        label = materialise(label)
+        hook = materialise(hook.join(hook.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.col("next").alias("to")))
+        hooks.append(hook)
         ends = [hook.select(F.col("key").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab"]
         moved = edges.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
         edges = materialise(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    return links.select(F.col("a").alias("key"), F.col("b").alias("component")).limit(0) if label is None else label
+    if not hooks:
+        return links.select(F.col("a").alias("key"), F.col("b").alias("component")).limit(0)
+    label = hooks[0].withColumnRenamed("to", "component")
+    for hook in hooks[1:]:
+        label = label.join(hook.withColumnRenamed("key", "component"), "component", "left").select("key", F.coalesce("to", "component").alias("component"))
+    return materialise(label)
 
 
 def all_links(nodes: DataFrame) -> DataFrame:
