@@ -12,6 +12,34 @@ from .registry import query
 from .standin import sql
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def tape_store(spark, d):
+    """The tape written as a ``date=/asset=`` store, a file per partition, once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stores:
+        t = X.tape(spark, d)
+        rows = t.select(
+            F.col("id").cast("string").alias("id"), F.concat_ws("|", "asset", F.col("contract").cast("string")).alias("option_chain_id"),
+            F.timestamp_micros("created_us").alias("created_at"), F.timestamp_micros("executed_us").alias("executed_at"),
+            F.col("bid").alias("nbbo_bid"), F.col("ask").alias("nbbo_ask"), "size", "premium", F.col("iv").alias("implied_volatility"), "expiry", "strike",
+            "option_type", "tags", F.col("flags").alias("report_flags"), "multi_vol", F.col("session_date").alias("date"), "asset")
+        path = R.shared_folder(spark)
+        R.write_rows(rows.repartition("date", "asset"), path, ["date", "asset"])
+        _stores[key] = path
+    return _stores[key]
+
+
+@query("src1_partitioned_scan", sql("""
+SELECT id::VARCHAR AS id, asset, created_us, premium FROM tape WHERE session_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' AND asset IN ('click','view') AND size>0"""))
+def _(spark, d):
+    """Partitions outside the dates and assets are never listed, columns not asked for never read."""
+    where = F.col("date").between("2024-01-08", "2024-01-12") & F.col("asset").isin("click", "view") & (F.col("size") > 0)
+    t = S.read_tape(spark, tape_store(spark, d), ["id", "asset", "created_at", "premium"], where=where)
+    return t.select("id", "asset", F.unix_micros("created_at").alias("created_us"), "premium")
+
+
 @query("src1_tape_scan", sql("""
 SELECT id, asset, executed_us, created_us, size, premium, iv, strike, option_type FROM tape
 WHERE size>0 AND strike IS NOT NULL AND iv BETWEEN 0.01 AND 5"""))
@@ -37,8 +65,8 @@ SELECT session_date::VARCHAR AS session_date, asset, 1::BIGINT AS files, count(*
   CASE WHEN day(session_date)<=15 THEN 'D' WHEN day(session_date)<=24 THEN 'V' ELSE 'C' END AS role
 FROM tape GROUP BY 1,2,5"""))
 def _(spark, d):
-    scan = X.table(spark, d, "events").select(
-        "*", "_metadata", F.to_date("ts").alias("session_date"), F.col("event_type").alias("asset"))
+    store = spark.read.schema(S.TAPE_SCHEMA).parquet(tape_store(spark, d))
+    scan = store.select("*", "_metadata", F.col("date").alias("session_date"))
     dom = F.dayofmonth("session_date")
     role = F.when(dom <= 15, "D").when(dom <= 24, "V").otherwise("C")
     return S.partition_inventory(scan, ["session_date", "asset"], role).drop("bytes")
@@ -226,6 +254,19 @@ def _(spark, d):
     return R.current_results(h, ["subject"], ["at", "run_id"]).drop("at")
 
 
+@query("src16_appended_runs", """
+SELECT subject, arg_max(value, run_id) AS value, max(run_id) AS run_id, count(*) AS versions FROM
+  (SELECT o_custkey AS subject, round(sum(o_totalprice),2) AS value, '1' AS run_id FROM orders WHERE o_orderdate<TIMESTAMP '1998-01-01' GROUP BY 1
+   UNION ALL SELECT o_custkey, round(sum(o_totalprice),2), '2' FROM orders WHERE o_orderdate>=TIMESTAMP '1998-01-01' GROUP BY 1) GROUP BY 1""")
+def _(spark, d):
+    path, late = R.shared_folder(spark), F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    orders = X.table(spark, d, "orders")
+    for run_id, rows in (("1", orders.where(~late)), ("2", orders.where(late))):
+        R.append_results(rows.groupBy(F.col("o_custkey").alias("subject")).agg(F.round(F.sum("o_totalprice"), 2).alias("value")), path, run_id)
+    history = spark.read.schema("subject bigint, value double, run_id string").parquet(path)
+    return R.current_results(history, ["subject"], ["run_id"]).select("subject", "value", "run_id", "versions")
+
+
 @query("src17_merged_panel", sql("""
 SELECT o.origin_id, o.asset, o.session_date::VARCHAR AS session_date, o.minute, b.close AS b0_close,
   t.n AS b2_trades FROM origins o
