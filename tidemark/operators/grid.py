@@ -10,11 +10,6 @@ from ..functions.columns import DAY_US, MICROS, date_micros
 MINUTE_US = 60 * MICROS
 
 
-def broadcast_dimension(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps its shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def session_calendar(
     days: DataFrame,
     holiday: Column,

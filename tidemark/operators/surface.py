@@ -465,18 +465,20 @@ def last_trades(tape: DataFrame, origins: DataFrame, step_us: int, panes: int, c
 def _bisect_iv(
     price: pd.Series, spot: pd.Series, strike: pd.Series, tenor: pd.Series, rate: pd.Series, dividend: pd.Series, is_call: pd.Series
 ) -> pd.Series:
-    """Sixty halvings of [1e-6, 5] for a whole Arrow batch at once."""
-    fs, fk = spot * np.exp(-dividend * tenor), strike * np.exp(-rate * tenor)
-    root, x = np.sqrt(tenor), np.log(spot / strike)
-    sign = np.where(is_call.fillna(False).astype(bool), 1.0, -1.0)
-    lo, hi = np.full(len(price), 1e-6), np.full(len(price), 5.0)
-    for _ in range(60):
+    """Sixty halvings of [1e-6, 5] for the rows of an Arrow batch that have a price; null for the rest."""
+    out = np.full(len(price), np.nan)
+    todo = price.notna().to_numpy()
+    p, s, k, t, r, q = (c[todo].to_numpy(dtype=float) for c in (price, spot, strike, tenor, rate, dividend))
+    sign = np.where(is_call[todo].fillna(False).astype(bool), 1.0, -1.0)
+    fs, fk, root, x = s * np.exp(-q * t), k * np.exp(-r * t), np.sqrt(t), np.log(s / k)
+    lo, hi = np.full(len(p), 1e-6), np.full(len(p), 5.0)
+    for _ in range(60 if len(p) else 0):
         mid = (lo + hi) / 2.0
-        d1 = (x + (rate - dividend + 0.5 * mid * mid) * tenor) / (mid * root)
-        value = sign * (fs * normal_cdf_array(sign * d1) - fk * normal_cdf_array(sign * (d1 - mid * root)))
-        high = np.asarray(value > price)
+        d1 = (x + (r - q + 0.5 * mid * mid) * t) / (mid * root)
+        high = sign * (fs * normal_cdf_array(sign * d1) - fk * normal_cdf_array(sign * (d1 - mid * root))) > p
         lo, hi = np.where(high, lo, mid), np.where(high, mid, hi)
-    return pd.Series((lo + hi) / 2.0)
+    out[todo] = (lo + hi) / 2.0
+    return pd.Series(out).astype(object).where(todo, None).astype("Float64")
 
 
 def implied_volatility(df: DataFrame, price: str, spot: str, strike: str, tenor: str, rate: str, dividend: str) -> DataFrame:
@@ -495,8 +497,8 @@ def implied_volatility(df: DataFrame, price: str, spot: str, strike: str, tenor:
         "reason",
         F.when(p.isNull() | s.isNull() | (t <= 0), "INVALID_INPUT").when((p < lower) | (p > upper) | (p <= 0), "ARBITRAGE_BOUND")
         .when(top < p, "IV_UPPER_BOUND"))
-    solved = _bisect_iv(p, s, k, t, r, q, is_call)
-    return out.withColumn("_v", solved).withColumn("implied_vol", F.when(F.col("reason").isNull(), F.col("_v"))).drop("_v")
+    solved = _bisect_iv(F.when(F.col("reason").isNull(), p), s, k, t, r, q, is_call)
+    return out.withColumn("implied_vol", solved)
 
 
 def compare_surfaces(traded: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:

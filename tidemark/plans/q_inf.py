@@ -226,7 +226,7 @@ SELECT campaigns, round(fe,6) AS fixed_effect, round(q,5) AS q, round(tau2,8) AS
  (SELECT count(*) AS campaigns, sum(e/v)/sum(1/v) AS fe, sum(e*e/v)-pow(sum(e/v),2)/sum(1/v) AS q, greatest(0, (sum(e*e/v)-pow(sum(e/v),2)/sum(1/v)-(count(*)-1))/(sum(1/v)-sum(1/(v*v))/sum(1/v))) AS tau2, greatest(0, (sum(e*e/v)-pow(sum(e/v),2)/sum(1/v)-(count(*)-1))/(sum(e*e/v)-pow(sum(e/v),2)/sum(1/v))) AS i2 FROM mc)) GROUP BY ALL""",
                                       SERIES_SQL, "mc AS (SELECT series, avg(value) AS e, var_samp(value)/count(*) AS v FROM series GROUP BY 1)"), 8)
 def _(spark, d):
-    m = I.meta_regression(X.loss_series(spark, d).withColumn("all", F.lit("all")), ["all"], "series").drop("all")
+    m = I.meta_regression(X.loss_series(spark, d), [], "series")
     r6 = {c: F.round(c, 6) for c in ("fixed_effect", "random_effect", "random_effect_se")}
     return m.withColumns({**r6, "q": F.round("q", 5), "i_squared": F.round("i_squared", 5)})
 

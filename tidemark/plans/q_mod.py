@@ -426,7 +426,7 @@ def _(spark, d):
     both = runs[0].unionByName(runs[1])
     diff = qlike(F.col("target"), F.col("fb")) - qlike(F.col("target"), F.col("fw"))
     ls = both.select(F.col("week").alias("session_date"), "family", "asset", diff.alias("difference"))
-    return I.evaluation_views(ls, {"family": F.col("family"), "family_asset": F.concat_ws("|", "family", "asset")}, 100, 650)
+    return I.evaluation_views(ls, {"family": F.col("family"), "family_asset": F.concat_ws("|", "family", "asset")}, REPS, 650)
 
 
 @query("mod26_harq_hardening")
@@ -439,5 +439,5 @@ def _(spark, d):
     a = M.walk_forward(h, ["all"], "block", cols(*base), "target", 2).select(*keys, "target", F.col("forecast").alias("f0"))
     b = M.walk_forward(h, ["all"], "block", cols(*base, "harq"), "target", 2, 1e-6).select(*keys, F.col("forecast").alias("f1"))
     j = a.join(b, keys).select("session_date", F.lit("harq").alias("ladder"), qlike(F.col("target"), F.col("f0")).alias("lb"), qlike(F.col("target"), F.col("f1")).alias("lw"))
-    return I.session_contrast(j, ["ladder"], "lb", "lw", 2, 100, 650, 1).drop("hac_se")
+    return I.session_contrast(materialise(j), ["ladder"], "lb", "lw", 2, REPS, 650, 1).drop("hac_se")
 
