@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -21,8 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _local_roots[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
