@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _local_roots: dict[str, str] = {}
+_stages: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,8 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-        root = _local_roots.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _local_roots[spark.sparkContext.applicationId] = root
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, _local_roots[app], True)
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -42,10 +48,27 @@ def materialise(df: DataFrame) -> DataFrame:
     here, and the loss of an executor costs nothing that was written.
     """
     path = shared_folder(df.sparkSession)
+    _stages.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stages(spark: SparkSession) -> list[str]:
+    """Folders that ``materialise`` has written in this application and that are not released."""
+    return list(_stages.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stages that no frame still to be computed reads."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    kept = _stages.get(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in kept:
+            kept.remove(p)
+
+
 def run_sql(spark: SparkSession, path: str, view: str, text: str) -> DataFrame:
     """Read-only SQL over one Parquet path, seen as ``view``."""
     spark.read.parquet(path).createOrReplaceTempView(view)
