@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import benchmark_matches, bpe, jaccard, quality, queries, run_index
-from tidemark.sources.results import materialise
+from tidemark.sources.results import materialise, release, stages
 
 
 
@@ -49,10 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table ``documents``, each written to the shared folder and read again."""
+    """All stages on the table ``documents``, each written to the shared folder and read again.
+
+    What a stage wrote for itself and what it read go once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier = set(stages(spark))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            done = [p for p in stages(spark) if p not in earlier]
             docs = materialise(docs)
+            release(spark, done)
     return docs

@@ -56,6 +56,24 @@ def test_one_stays(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_components_of_chains_stars_and_noise(spark):
+    rng = random.Random(1)
+    ids = [f"{rng.random():.12f}" for _ in range(600)]
+    links = [(ids[i], ids[i + 1]) for i in range(299)] + [(ids[300], ids[k]) for k in range(301, 400)] + [(ids[rng.randrange(400, 600)], ids[rng.randrange(400, 600)]) for _ in range(150)]
+    up = {x: x for x in ids}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[top(a)] = top(b)
+    got = {r.key: r.component for r in jaccard.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert set(got) == {x for a, b in links if a != b for x in (a, b)}
+    assert len({(top(x), c) for x, c in got.items()}) == len(set(got.values())) == len({top(x) for x in got})
+
+
 def test_no_documents(spark):
     empty = frame(spark, [])
     assert jaccard.join(empty).count() == 0 and jaccard.one_per_group(empty).count() == 0
