@@ -60,6 +60,8 @@ def test_recount_touches_only_the_edit(spark, library):
     docs = token_counts.with_trees(frame(spark, rows).select("doc_id", "text"), PATH, PATTERN)
     got = token_counts.recount(docs.withColumn("edits", token_counts.sample_edits(F.col("text"))), PATH, PATTERN).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(library.encode_ordinary(t or "")) for _, t in rows)
+    again = token_counts.recount(docs.drop("chars", "tokens").withColumn("edits", token_counts.sample_edits(F.col("text"))), PATH, PATTERN)
+    same_rows(got, again.collect())
     long = [r for r in got if r.doc_id == 9]
     assert len(long) == 2 and all(r.n_encoded < 60 < r.n_pretokens and sum(r.tokens) == r.n_tokens_edited for r in long)
     none = token_counts.recount(docs.withColumn("edits", F.lit(None).cast("array<struct<start:bigint,stop:bigint,by:string>>")), PATH, PATTERN)

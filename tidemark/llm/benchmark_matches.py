@@ -25,7 +25,7 @@ WINDOW = 10
 #: Largest benchmark, in bytes of text, that is sent to every task; a larger one is refused.
 MOST_BENCHMARK = 64 << 20
 #: Bytes of document text per shard.
-SHARD = 3 << 20
+SHARD = 2 << 20
 #: Digits, letters and every byte of a character beyond ASCII.
 WORD = byte_table([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 SPAN = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.columns import partitions, text_bytes
 
 #: Bytes of text in a block and in the keys of a part, about.
-BLOCK, PART = 8 << 20, 16 << 20
+BLOCK, PART = 4 << 20, 16 << 20
 SENT = "part int, block int, keys binary, extra binary"
 ANSWER = "block int, part int, answer binary"
 

@@ -26,7 +26,7 @@ from tidemark.llm.columns import documents, mix, pieces, text_bytes
 
 NONE = 1 << 60
 #: Distinct pre-tokens remembered per Python worker.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Bytes of text encoded at once.
 STEP = 1 << 20
 

@@ -23,7 +23,7 @@ from tidemark.llm.columns import byte_table, mix, pieces, run_hashes, text_bytes
 #: Rows of the table of vectors, as a power of two, and the vectors' length.
 BITS, WIDTH = 17, 8
 #: Bounds of the training sample: labelled rows, and bytes of their texts.
-MOST_ROWS, MOST_BYTES = 4000, 24 << 20
+MOST_ROWS, MOST_BYTES = 3000, 16 << 20
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Score from which a document is kept.
 KEEP = 0.3

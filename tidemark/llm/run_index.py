@@ -346,13 +346,14 @@ def compare(key, table):
     return moved(rows)
 
 
-def repeated_spans(docs: DataFrame, rest: list[str] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, rest: list[str] = (), as_text: bool = False) -> DataFrame:
     """``doc_id, rest, n_bytes, spans, kept`` of every document row.
 
     ``spans`` are the maximal runs of bytes (start, end) covered by a 200-byte string that also
     starts anywhere else in the corpus, in the same document too; ``kept`` is what remains.
     Null and empty texts have no bytes; rows that repeat an id or a text are documents of their
-    own; ``rest`` names columns to carry along in a struct.
+    own; ``rest`` names columns to carry along in a struct.  ``as_text`` gives ``kept`` as text,
+    without characters that have lost some of their bytes.
     """
     b = blocked(docs, part=2 << 20, rest=list(rest))
     parts = b.parts
@@ -400,7 +401,7 @@ def repeated_spans(docs: DataFrame, rest: list[str] = ()) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("doc_id", id_type), *([b.rows.schema["rest"]] if rest else []), T.StructField("n_bytes", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
 
     def cut(block, table, told):
@@ -424,6 +425,8 @@ def repeated_spans(docs: DataFrame, rest: list[str] = ()) -> DataFrame:
         keep = np.cumsum(drop[:-1], dtype=np.int8) == 0
         left = np.concatenate(([0], np.cumsum(keep)))[offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[keep])]).cast(pa.binary())
+        if as_text:
+            kept = pa.array([k.decode(errors="ignore") for k in kept.to_pylist()], pa.string())
         bounds = np.searchsorted(s["row"], np.arange(len(offsets))).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64))], names=["start", "end"])
         return pa.table([
@@ -469,18 +472,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     stay, empty.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = repeated_spans(docs, rest).select("doc_id", "kept", *(["rest"] if rest else []))
-    schema = T.StructType([T.StructField("text", T.StringType()), *found.drop("kept").schema.fields])
-
-    def run(batches):
-        for batch in batches:
-            text = pa.array([k.decode(errors="ignore") for k in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([text, batch.column(0), *batch.columns[2:]], names=schema.names)
-
-    cut = found.mapInArrow(run, schema)
-    of = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c) for c in rest}
+    cut = repeated_spans(docs, rest, as_text=True)
+    of = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col("rest").getField(c) for c in rest}
     if "n_chars" in of:
-        of["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        of["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
     return cut.select(*[of[c].alias(c) for c in docs.columns])
 
 

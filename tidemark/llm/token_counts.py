@@ -139,25 +139,34 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def recount(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token counts of every row before and after its edits.
 
-    Takes ``doc_id, text, chars, tokens`` (from ``with_trees``) and ``edits``, an array of
+    Takes ``doc_id, text, chars, tokens`` (from ``with_trees``; without these two the trees are built
+    here) and ``edits``, an array of
     (start, stop, by) in characters of the text as the earlier edits left it; places outside it
     are moved to its ends, an edit without places is ignored, null ``by`` is empty.  Returns ``doc_id, n_tokens, n_tokens_edited, n_pretokens, n_encoded,
     chars, tokens``: the last two are the new tree's leaves, to be kept for the next edits.
     """
-    src = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "chars", "tokens", "edits")
+    kept = "chars" in documents.columns
+    src = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "edits", *(["chars", "tokens"] if kept else []))
+    numbers_of = T.ArrayType(T.IntegerType())
     longs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_edited", "n_pretokens", "n_encoded")]
-    schema = T.StructType([src.schema["doc_id"], *longs, src.schema["chars"], src.schema["tokens"]])
+    schema = T.StructType([src.schema["doc_id"], *longs, T.StructField("chars", numbers_of), T.StructField("tokens", numbers_of)])
 
     def run(batches):
         enc = Encoder.of(path, pattern)
         for batch in batches:
             text = batch.column(1)
             for i, j in pieces(text_bytes(text)[1], STEP):
-                out, leaves = [], []
+                out, leaves, at = [], [], 0
+                split, counts = ([], None) if kept else enc.counts_of(text.slice(i, j - i).to_pylist())
                 for k in range(i, j):
-                    tree = CountTree(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3)))
+                    if kept:
+                        tree = CountTree(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4)))
+                    else:
+                        words = split[k - i]
+                        tree = CountTree(np.array([len(p) for p in words], np.int64), counts[at : at + len(words)])
+                        at += len(words)
                     before, now, encoded = tree.tokens, text[k].as_py(), 0
-                    for e in batch.column(4)[k].as_py() or ():
+                    for e in batch.column(2)[k].as_py() or ():
                         if e is None or e["start"] is None or e["stop"] is None:
                             continue
                         now, n = edited(now, tree, e["start"], e["stop"], e["by"] or "", enc)
