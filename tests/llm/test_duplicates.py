@@ -114,6 +114,39 @@ def test_anchor_with_very_many_surroundings(spark):
     spans_equal(spark, rows)
 
 
+def test_pieces_that_begin_alike():
+    """Surroundings at a document's beginning, a longer one before a shorter one."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    first = text(900)
+    docs = [first, text(300) + first[130:400] + text(300)]
+    at = [(0, 120), (0, 50), (0, 300), (1, 470)]
+    places, around = np.zeros(len(at), run_index.PLACE), np.zeros((len(at), run_index.AROUND), np.uint8)
+    for k, (d, a) in enumerate(at):
+        left, right = min(run_index.SIDE, a), min(run_index.SIDE, len(docs[d]) - a - run_index.ANCHOR)
+        places[k] = d, a, left, right, k
+        around[k, run_index.SIDE - left : run_index.SIDE + run_index.ANCHOR + right] = np.frombuffer(docs[d], np.uint8)[a - left : a + run_index.ANCHOR + right]
+    doc, start, end = run_index.repeats(places, around, np.array([d for d, _ in at]))
+    assert sorted(zip(doc.tolist(), start.tolist())) == [(0, s) for s in range(132, 201)] + [(1, s) for s in range(302, 371)]
+    assert set((end - start).tolist()) == {run_index.LENGTH}
+
+
+def test_repeats_at_the_beginning_in_one_part(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for k in range(0, 120, 2):
+        first = text(600)
+        a = rng.randint(0, 180)
+        rows += [(k, first), (k + 1, text(rng.randint(0, 300)) + first[a : a + rng.randint(200, 400)] + text(rng.randint(0, 300)))]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        spans_equal(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_cut_documents(spark):
     rows = awkward()
     out = run_index.without_repeats(frame(spark, rows))

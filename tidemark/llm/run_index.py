@@ -285,12 +285,14 @@ def spans_of(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def repeats(places: np.ndarray, around: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strings that start twice in some surroundings: index into ``places``' documents, and covered bytes."""
     start = places["place"].astype(np.int64) - places["left"]
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    end = (places["place"].astype(np.int64) + ANCHOR + places["right"])[order]
+    end = places["place"].astype(np.int64) + ANCHOR + places["right"]
+    order = np.lexsort((end, start, doc))
+    doc, start, end = doc[order], start[order], end[order]
     fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-    joined = ~fresh & np.concatenate(([False], start[1:] <= end[:-1]))
-    begin = np.where(joined, np.concatenate(([0], end[:-1])), start)
+    far = np.cumsum(fresh) << 33
+    reach = np.maximum.accumulate(far + end) - far  # where the document's pieces so far end
+    joined = ~fresh & np.concatenate(([False], start[1:] <= reach[:-1]))
+    begin = np.where(joined, np.concatenate(([0], reach[:-1])), start)
     size = np.maximum(end - begin, 0)
     total = size + ~joined  # a separator before every new region
     at = np.cumsum(total) - size
