@@ -114,6 +114,25 @@ def test_anchor_with_very_many_surroundings(spark):
     spans_equal(spark, rows)
 
 
+def templated(rng):
+    """A text of 360 bytes with every pair of digits in its middle, 8 bytes apart: no 200 bytes repeat."""
+    text = "".join(rng.choice("abcdefgh ") for _ in range(360))
+    return [text[:180] + a + text[181:188] + b + text[189:] for a in "0123456789" for b in "0123456789"]
+
+
+def test_texts_that_differ_eight_bytes_apart(spark):
+    rng = random.Random(12)
+    texts = [templated(rng) for _ in range(24)]
+    spans_equal(spark, list(enumerate(sum(texts, []))))
+    for group in texts:
+        data = np.frombuffer("".join(group).encode(), np.uint8)
+        row, place, left, right, around, anchor, whole = run_index.surroundings(data, np.arange(len(group) + 1) * 360)
+        assert len(np.unique(whole)) == len({(a.tobytes(), x, y) for a, x, y in zip(around, left, right)})
+        strings = run_index.strings_of(row, place, left, right, around, np.arange(len(row)))  # as for a hot anchor
+        told = {(k, group[r][s : s + 200]) for k, r, s in strings.tolist()}
+        assert len({k for k, _ in told}) == len({t for _, t in told}) == len(told)
+
+
 def test_pieces_that_begin_alike():
     """Surroundings at a document's beginning, a longer one before a shorter one."""
     rng = random.Random(13)

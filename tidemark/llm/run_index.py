@@ -190,7 +190,7 @@ def surroundings(data: np.ndarray, offsets: np.ndarray):
     words = around.view(np.uint64)
     f = factors(AROUND // 8 + 4)
     anchor = mix((words[:, SIDE // 8 : SIDE // 8 + ANCHOR // 8] * f[-4:]).sum(1)) >> np.uint64(16)
-    whole = mix(mix((words * f[: AROUND // 8]).sum(1)) + (left * 256 + right).astype(np.uint64))
+    whole = mix(mix(words ^ f[: AROUND // 8]).sum(1) + mix((left * 256 + right).astype(np.uint64)))
     return row, at - offsets[row], left, right, around, anchor, whole
 
 
@@ -458,7 +458,7 @@ def strings_of(row, place, left, right, around, which) -> np.ndarray:
     h = np.zeros((len(which), n), np.uint64)
     for k in range(LENGTH // 8):
         word = np.ascontiguousarray(view[:, :, 8 * k : 8 * k + 8]).view(np.uint64)[:, :, 0]
-        h += word * f[k]
+        h += mix(word ^ f[k])
     ok = (starts >= (SIDE - left[which])[:, None]) & (starts <= (right[which])[:, None])
     out = np.zeros(int(ok.sum()), AT)
     out["key"] = mix(h[ok])
