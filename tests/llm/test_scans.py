@@ -4,10 +4,13 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from brute import awkward, bench_words, frame, hits, prose, same_rows, sha
 from pyspark.sql import functions as F
 
 from tidemark.llm import backoff, benchmark_matches, licenses, quality, url_trust
+from tidemark.llm.columns import text_bytes
 
 
 def bench_rows(rows):
@@ -106,3 +109,19 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     assert {r.score for r in quality.judge(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.judge(frame(spark, []), labels).count() == 0
+
+
+def test_short_texts_at_the_end():
+    odds = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
+    score = lambda texts: quality.scores(*text_bytes(pa.array(texts, pa.string())), odds, 0.5)
+    for last in ([None], [""], ["a"], ["ab"], ["abc"], ["a", "", None], ["ab", "a"]):
+        got = score(["some text of words", *last])
+        assert len(got) == 1 + len(last) and (got[1:] > 0).all() and (got[1:] < 1).all()
+        assert got[0] == score(["some text of words"])[0]
+    assert np.allclose(score([None, ""]), 1 / (1 + math.exp(-0.5)))
+
+
+def test_null_text_ends_the_table(spark):
+    docs = frame(spark, [(1, "some text of words"), (2, "ab"), (3, "a"), (4, ""), (5, None)]).coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.judge(docs, labels).count() == 5

@@ -116,7 +116,8 @@ def scores(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray, bias: float)
     for buckets, bounds in features(data, offsets):
         s, e = _spans(bounds)
         run = np.concatenate(([0.0], np.cumsum(odds[buckets], dtype=np.float64)))
-        total += (run[e] - run[s]) / (FAMILIES * np.maximum(e - s, 1))
+        at = len(run) - 1  # a short row at the end begins beyond the last n-gram
+        total += (run[np.minimum(e, at)] - run[np.minimum(s, at)]) / (FAMILIES * np.maximum(e - s, 1))
     return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
