@@ -9,9 +9,11 @@ import pyarrow as pa
 from brute import awkward, bench_words, frame, hits, prose, same_rows, sha
 from pyspark.sql import functions as F
 
-from tidemark.llm import backoff, benchmark_matches, licenses, quality, url_trust
+from tidemark.llm import backoff, benchmark_matches, licenses, quality, queries, url_trust
 from tidemark.llm.columns import text_bytes
 
+SF = "/root/testdata/sf0.001"
+
 
 def bench_rows(rows):
     texts = dict(r for r in rows if r[0] is not None)
@@ -125,3 +127,17 @@ def test_null_text_ends_the_table(spark):
     docs = frame(spark, [(1, "some text of words"), (2, "ab"), (3, "a"), (4, ""), (5, None)]).coalesce(1)
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(docs, labels).count() == 5
+
+
+def test_registered_order(spark):
+    """The registered query sees two words of context: a known triple outweighs a known pair."""
+    import duckdb
+
+    fn, sql = queries.QUERIES["op5_backoff_scores_order3"], queries.SQL["op5_backoff_scores_order3"]
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in fn(spark, SF).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS FROM read_parquet('{SF}/documents.parquet')")
+        want = sorted(db.execute(f"SELECT doc_id, n_words, log_score FROM ({sql})").fetchall())
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.002 for a, b in zip(got, want))
+    two = {r.doc_id: r.log_score for r in queries.QUERIES["op5_backoff_scores"](spark, SF).collect()}
+    assert any(two[d] != s for d, _, s in got)

@@ -99,10 +99,30 @@ def _backoff() -> str:
     FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, len(w)"""
 
 
+def _backoff_order3() -> str:
+    """For three words."""
+    step = f"ln({backoff.BACK})"
+    return f"""
+    WITH d AS (SELECT doc_id, {_spaced_words('text')} AS w FROM documents),
+    t AS (SELECT doc_id, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] END AS w1 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    c AS (SELECT doc_id, i, w1, w2,
+        count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+        count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) AS c3,
+        count(*) OVER (PARTITION BY w2, w3) - count(*) OVER (PARTITION BY w2, w3, doc_id) AS c23,
+        count(*) OVER (PARTITION BY w1, w2, w3) - count(*) OVER (PARTITION BY w1, w2, w3, doc_id) AS c123 FROM t),
+    k AS (SELECT *, lag(c3) OVER (PARTITION BY doc_id ORDER BY i) AS c2, lag(c23) OVER (PARTITION BY doc_id ORDER BY i) AS c12 FROM c),
+    l AS (SELECT doc_id, CASE WHEN w1 IS NOT NULL AND c123 > 0 THEN ln(c123 / c12)
+        WHEN w2 IS NOT NULL AND c23 > 0 THEN ln(c23 / c2) + CASE WHEN w1 IS NULL THEN 0 ELSE {step} END
+        ELSE ln(CASE WHEN c3 > 0 THEN c3 ELSE {backoff.UNSEEN} END / greatest(n, 1)) + CASE WHEN w2 IS NULL THEN 0 WHEN w1 IS NULL THEN {step} ELSE 2 * {step} END END AS s FROM k)
+    SELECT d.doc_id, len(w) AS n_words, round(coalesce(sum(s), 0), 3) AS log_score, round(sum(s) / nullif(len(w), 0), 6) AS mean_log_score
+    FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, len(w)"""
+
+
 SQL = {
     "op3_jaccard_join": JACCARD,
     "op4_url_trust": _url_trust(),
     "op5_backoff_scores": _backoff(),
+    "op5_backoff_scores_order3": _backoff_order3(),
     "op9_benchmark_matches": BENCHMARK,
     "op10_run_index": REPEATS,
 }

@@ -70,6 +70,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.recount(docs.withColumn("edits", token_counts.sample_edits(F.col("text"))), path, pattern).drop("chars", "tokens")
 
 
+@register
+def op5_backoff_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps back: the first of this operator's queries; the one below stays for its order-2 SQL."""
+    s = backoff.score(table(spark, sf_dir, "documents"), order=3)
+    return s.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 @register
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = backoff.score(table(spark, sf_dir, "documents"))
