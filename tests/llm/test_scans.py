@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,25 @@ def test_notices(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_notices(spark):
+    rng = random.Random(7)
+    wrap = lambda text, lead="": "\n".join(lead + w for w in textwrap.wrap(text, 72))
+    mit = [w for n, w in licenses.TEMPLATES if n == "MIT" and len(w) > 80][1:]
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+        (2, prose(rng, 30) + "\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met\n\n" + prose(rng, 30)),
+        (3, "MIT License\n\n" + "\n\n".join(wrap(t, " * ") for t in mit)),
+        (4, "Licensed under CC BY-SA 4.0.\nThis work is licensed under the GNU\nGeneral Public License, version 2.\nReleased under the ISC License."),
+        (5, "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files"),
+        (6, wrap(next(w for n, w in licenses.TEMPLATES if n == "MPL-2.0" and len(w) > 80), "# ")),
+        (7, "// permission\n// is hereby granted, free of charge, to any person obtaining a copy of this software and\n// associated documentation files"),
+    ]
+    got = licenses.scan(frame(spark, rows)).collect()
+    want = [(1, "MIT", 0), (2, "BSD", 0), *[(3, "MIT", 0)] * 3, (4, "CC-BY-SA-4.0", 0), (4, "GPL-2.0", 0), (4, "ISC", 0), (6, "MPL-2.0", 0), (7, "MIT", 0)]
+    same_rows([(r.doc_id, r.license, r.n_different) for r in got], want)
+    assert all(dict(rows)[r.doc_id][r.start :].startswith(r.text) for r in got)
+
+
 def test_urls(spark):
     urls = [
         (1, "http://A.Example.COM/en/70?x#y", "example.com/en/7", "allow"), (2, "https://x.com/en/1", "com/en/", "block"), (3, "http://b.net/de/8", "net/de/", "allow"),
