@@ -161,3 +161,15 @@ def test_registered_order(spark):
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.002 for a, b in zip(got, want))
     two = {r.doc_id: r.log_score for r in queries.QUERIES["op5_backoff_scores"](spark, SF).collect()}
     assert any(two[d] != s for d, _, s in got)
+
+
+def test_examples_take_half():
+    """The sample of 6,000 rows and 32 MB in the memory of half of it, and nothing of it lost."""
+    assert (quality.MOST_ROWS, quality.MOST_BYTES) == (6000, 32 << 20)
+    rng = random.Random(15)
+    texts = [prose(rng, n) for n in (3000, 400, 1)] + ["", None]
+    for buckets, weight in quality.sparse(*text_bytes(pa.array(texts, pa.string()))):
+        example = quality.packed(buckets, weight)
+        b, w = quality.unpacked(example)
+        assert b.dtype == buckets.dtype and b.tolist() == buckets.tolist() and w.dtype == weight.dtype and w.tolist() == weight.tolist()
+        assert len(b) < 500 or sum(x.nbytes for x in example) < 0.55 * (b.nbytes + w.nbytes)

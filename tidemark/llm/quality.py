@@ -23,7 +23,7 @@ from tidemark.llm.columns import byte_table, mix, pieces, run_hashes, text_bytes
 #: Rows of the table of vectors, as a power of two, and the vectors' length.
 BITS, WIDTH = 17, 8
 #: Bounds of the training sample: labelled rows, and bytes of their texts.
-MOST_ROWS, MOST_BYTES = 3000, 16 << 20
+MOST_ROWS, MOST_BYTES = 6000, 32 << 20
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Score from which a document is kept.
 KEEP = 0.3
@@ -84,7 +84,19 @@ def sparse(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def packed(buckets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An example in half its bytes: steps between buckets, distinct weights, and which one each has."""
+    steps, (values, code) = np.diff(buckets, prepend=0), np.unique(weight, return_inverse=True)
+    small = lambda x: x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+    return small(steps), values, small(code)
+
+
+def unpacked(example: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    steps, values, code = example
+    return np.cumsum(steps, dtype=np.int32), values[code]
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Log odds of label 1 per bucket and at no features, by stochastic gradient descent."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
@@ -96,7 +108,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
         for k in rng.permutation(len(examples)):
             rate = RATE * (1 - done / steps) * 20
             done += 1
-            buckets, weight = examples[k]
+            buckets, weight = unpacked(examples[k])
             rows = vectors[buckets]
             doc = weight @ rows
             logits = doc @ out + bias
@@ -142,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             data, offsets = text_bytes(batch.column(0))
             fits = int(np.searchsorted(offsets, MOST_BYTES - used, "right")) - 1
             for i, j in pieces(offsets[: max(fits, 0) + 1], STEP):
-                examples += sparse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                examples += [packed(*x) for x in sparse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
             marks += batch.column(1).to_pylist()[: max(fits, 0)]
             used += int(offsets[-1])
         odds, bias = train(examples, np.array(marks, np.int64)) if marks else (np.zeros(1 << BITS, np.float32), 0.0)
