@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import backoff, url_trust
+from tidemark.llm import backoff, centroids, url_trust
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -118,7 +118,56 @@ def _backoff_order3() -> str:
     FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, len(w)"""
 
 
+TRIE = """
+    WITH RECURSIVE bits AS (SELECT i, i AS r, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, k + 1 FROM bits WHERE k < 8),
+    crc_table AS (SELECT list(r ORDER BY i) AS tab FROM bits WHERE k = 8),
+    crc AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, CAST(4294967295 AS BIGINT) AS c, 0 AS k FROM conversations WHERE conv_id IS NOT NULL
+        UNION ALL SELECT conv_id, s, xor(tab[(xor(c, CAST(ascii(s[k + 1]) AS BIGINT)) & 255) + 1], c // 256), k + 1 FROM crc, crc_table WHERE k < length(s)),
+    c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS position FROM c),
+    lengths AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(crc.c, 4294967295) % 9 AS h FROM lengths JOIN crc USING (conv_id) WHERE k = length(s)),
+    whole AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS kept FROM h LEFT JOIN lengths b ON h.base = b.conv_id),
+    r AS (SELECT w.conv_id, t.position AS depth, role, text FROM whole w JOIN t ON t.conv_id = w.base AND t.position <= w.h
+        UNION ALL SELECT w.conv_id, t.position - w.h + w.kept, role, text FROM whole w JOIN t ON t.conv_id = w.conv_id AND t.position > w.h),
+    p AS (SELECT conv_id, depth, list(md5(role || chr(0) || text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path, octet_length(encode(text)) AS n_bytes FROM r
+        UNION ALL SELECT conv_id, 0, [], 0 FROM whole),
+    s AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM p),
+    nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n_bytes) AS saved,
+        count(*) = count(*) FILTER (is_end) AS leaf, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (is_end) AS ends FROM s GROUP BY path, depth),
+    up AS (SELECT a.path, sum(n.saved) AS saved_tokens, count(*) FILTER (n.leaf) AS n_leaves, count(*) FILTER (n.depth = a.depth + 1) AS n_children
+        FROM nodes n JOIN s a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.path)
+    SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM nodes n JOIN up USING (path) LEFT JOIN nodes m ON m.depth = n.depth - 1 AND m.path = n.path[: n.depth - 1]"""
+
+
+def _centroids() -> str:
+    edge, k = centroids.LARGEST, centroids.CLUSTERS
+    steps = ""
+    for r in range(centroids.ROUNDS + 1):
+        steps += f""",
+    d{r} AS MATERIALIZED (SELECT vec_id, k, sum((q - c) * (q - c)) AS d FROM q JOIN c{r} USING (j) GROUP BY vec_id, k),
+    a{r} AS MATERIALIZED (SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{r} GROUP BY vec_id)"""
+        if r < centroids.ROUNDS:
+            steps += f""",
+    m{r} AS MATERIALIZED (SELECT k, j, sum(q)::BIGINT AS s, count(*) AS n FROM a{r} JOIN q USING (vec_id) GROUP BY k, j),
+    c{r + 1} AS MATERIALIZED (SELECT k, j, coalesce((s - (s % n + n) % n) // n, c) AS c FROM c{r} LEFT JOIN m{r} USING (k, j))"""
+    r = centroids.ROUNDS
+    return f"""
+    WITH e AS (SELECT vec_id, j, CAST(embedding[j] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, {centroids.DIMENSIONS + 1})) AS j FROM embeddings WHERE len(embedding) = {centroids.DIMENSIONS})),
+    fine AS (SELECT vec_id FROM e GROUP BY vec_id HAVING count(x) = {centroids.DIMENSIONS} AND bool_and(isfinite(x))),
+    q AS MATERIALIZED (SELECT vec_id, j, CAST(floor(greatest(least(256 * x, {edge}), -{edge})) AS BIGINT) AS q FROM e JOIN fine USING (vec_id)),
+    first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{centroids.SALT}:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM fine QUALIFY k < {k}),
+    c0 AS MATERIALIZED (SELECT k, j, q AS c FROM first JOIN q USING (vec_id)){steps},
+    i AS (SELECT k, sum(d) AS cluster_inertia FROM a{r} GROUP BY k),
+    h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{r} GROUP BY k)
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+        CAST((SELECT sum(d) FROM a{r}) AS BIGINT) AS inertia, centroid_sha256 FROM a{r} JOIN i USING (k) JOIN h USING (k)"""
+
+
 SQL = {
+    "op11_prefix_trie": TRIE,
+    "op12_centroids": _centroids(),
     "op3_jaccard_join": JACCARD,
     "op4_url_trust": _url_trust(),
     "op5_backoff_scores": _backoff(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import backoff, benchmark_matches, bpe, jaccard, licenses, paragraph_sketch, quality, run_index, token_counts, url_trust
+from tidemark.llm import backoff, benchmark_matches, bpe, centroids, jaccard, languages, licenses, paragraph_sketch, prefix_trie, quality, run_index, token_counts, url_trust
 from tidemark.llm.check_sql import SQL  # noqa: F401
 
 QUERIES: dict = {}
@@ -86,3 +86,18 @@ def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.report(table(spark, sf_dir, "documents"))
