@@ -98,14 +98,7 @@ class Table:
 
     @staticmethod
     def counted(keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> tuple[np.ndarray, ...]:
-        """The arrays of a table; (key, language) may repeat."""
-        order = np.lexsort((langs, keys))
-        keys, langs, counts = keys[order], langs[order], counts[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])
-        at = np.flatnonzero(fresh)
-        counts = np.add.reduceat(counts, at) if len(at) else counts[:0]
-        keys, langs = keys[at], langs[at].astype(np.int32)
+        """The arrays of a table, from sorted and distinct (key, language)."""
         distinct, first = np.unique(keys, return_index=True)
         sums = np.bincount(langs, weights=counts, minlength=n_langs)
         unseen = np.log(SMOOTHING / (sums + SMOOTHING * max(len(distinct), 1)))
@@ -162,36 +155,53 @@ class Model:
         return np.where(none, -1, best), np.where(none, 0.0, share)
 
 
+def summed(keys: np.ndarray, langs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts summed per (key, language), in order of both."""
+    order = np.lexsort((langs, keys))
+    keys, langs = keys[order], langs[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1])
+    at = np.flatnonzero(fresh)
+    return keys[at], langs[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
 class Counts:
-    """Counts of words and n-grams per language, taken text by text."""
+    """Counts of words and n-grams per language, taken text by text and summed as they come."""
+
+    #: Entries that wait beside the sums, at most as many as these hold or this many.
+    WAITING = 1 << 18
 
     def __init__(self):
-        self.parts = [[] for _ in range(LONGEST + 1)]
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.sums, self.waiting = [none] * (LONGEST + 1), [[] for _ in range(LONGEST + 1)]
+
+    def _add(self, n: int, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting[n].append(summed(keys, langs, counts))
+        if sum(len(w[0]) for w in self.waiting[n]) > max(self.WAITING, len(self.sums[n][0])):
+            self._settle(n)
+
+    def _settle(self, n: int) -> None:
+        self.sums[n] = summed(*map(np.concatenate, zip(self.sums[n], *self.waiting[n])))
+        self.waiting[n] = []
 
     def take(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> None:
         w = Words(data, offsets)
-        # a piece's words are counted once per language; their n-grams are taken from one of each
-        order = np.lexsort((langs[w.row], w.hashes))
-        h, l = w.hashes[order], langs[w.row][order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
-        at = np.flatnonzero(fresh)
-        counts = np.diff(np.append(at, len(h)))
-        self.parts[0].append((h[at], l[at], counts))
-        if len(at):
-            hashes, word, _ = w.grams(order[at])
-            for n, g in enumerate(hashes, 1):
-                real = g != 0
-                self.parts[n].append((g[real], l[at][word[real]], counts[word[real]]))
-
-    def state(self, langs: list[str]) -> tuple[list[str], list[tuple[np.ndarray, ...]]]:
-        """What a model of these counts is built from."""
-        tables = []
-        for parts in self.parts:
-            joined = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-            tables.append(Table.counted(*joined, len(langs)))
-            parts.clear()
-        return langs, tables
+        lang = langs[w.row]
+        self._add(0, w.hashes, lang, np.ones(len(lang), np.int64))
+        # n-grams are taken from one of each of the piece's words, as often as it occurs
+        order = np.lexsort((lang, w.hashes))
+        keys, langs, counts = summed(w.hashes, lang, np.ones(len(lang), np.int64))
+        first = order[np.cumsum(counts) - counts]
+        hashes, word, _ = w.grams(first)
+        for n, g in enumerate(hashes, 1):
+            real = g != 0
+            self._add(n, g[real], langs[word[real]], counts[word[real]])
+
+    def state(self, langs: list[str], place: np.ndarray) -> tuple[list[str], list[tuple[np.ndarray, ...]]]:
+        """What a model of these counts is built from; ``place`` gives each language's number in ``langs``."""
+        for n in range(LONGEST + 1):
+            self._settle(n)
+        return langs, [Table.counted(*summed(k, place[l], c), len(langs)) for k, l, c in self.sums]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -225,12 +235,10 @@ def fit(docs: DataFrame) -> Model:
         names = sorted(numbers)
         order = {x: k for k, x in enumerate(names)}
         place = np.array([order[x] for x in numbers], np.int32)
-        for parts in counts.parts:
-            parts[:] = [(h, place[l], c) for h, l, c in parts]
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(counts.state(names))]})
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(counts.state(names, place))]})
 
     got = rows.select("text", "lang").coalesce(1).mapInArrow(run, "model binary").collect()
-    return Model(pickle.loads(got[0].model) if got else Counts().state([]))
+    return Model(pickle.loads(got[0].model) if got else Counts().state([], np.zeros(0, np.int32)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
