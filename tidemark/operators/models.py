@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import VARIANCE_FLOOR, finite, floored, qlike, qlike_gradient, qlike_hessian, transform, with_scalars
+from ..functions.columns import VARIANCE_FLOOR, finite, floored, qlike, transform, with_scalars
+from . import boosting as B
 from . import regression as R
 from .quantiles import group_quantiles
 from .sampling import hash32
@@ -78,23 +77,18 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
 
 
 def elastic_net(df: DataFrame, features: list[str], training: Column, alpha: float = 0.01, l1: float = 0.5) -> DataFrame:
-    """Elastic net on the log target by Spark ML; predictions on the variance scale."""
-    d = assemble(df.withColumn("_y", F.log(floored("target", VARIANCE_FLOOR))), features)
-    lr = LinearRegression(labelCol="_y", regParam=alpha, elasticNetParam=l1, standardization=False, predictionCol="_p")
-    out = lr.fit(d.where(training)).transform(d)
-    res = out.where(training).agg(F.var_pop(F.col("_y") - F.col("_p")).alias("_v"))
-    return with_scalars(out, res).withColumn(
-        "forecast", F.exp("_p") * F.exp(0.5 * F.col("_v"))).drop("_v", "_p", "_y", "features")
+    """Elastic net on the log target from one moment pass; forecasts with the lognormal factor."""
+    x, k = [F.lit(1.0), *[F.col(f) for f in features]], len(features) + 1
+    mom = R.moments(df.where(training), [], x, [F.log(floored("target", VARIANCE_FLOOR))])
+    fit = R.elastic_net_path(mom, [], k, [alpha], l1).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k)))
+    return with_scalars(df, fit.select("coef", "smearing")).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing")
 
 
 def positive_glm(df: DataFrame, features: list[str], training: Column, family: str = "gamma", power: float = 1.7, alpha: float = 1e-4) -> DataFrame:
-    """Gamma or Tweedie GLM with a log link, fitted on the variance scale."""
-    d = assemble(df.withColumn("_y", floored("target", VARIANCE_FLOOR)), features)
-    glm = (
-        GeneralizedLinearRegression(family="gamma", link="log", labelCol="_y", regParam=alpha, maxIter=50, predictionCol="forecast")
-        if family == "gamma" else
-        GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol="_y", regParam=alpha, maxIter=50, predictionCol="forecast"))
-    return glm.fit(d.where(training)).transform(d).drop("_y", "features")
+    """Gamma or Tweedie GLM with a log link, fitted on the variance scale; the constant is penalised too."""
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    fit = R.positive_glm(df, [], x, F.col("target"), training, 2.0 if family == "gamma" else power, alpha)
+    return with_scalars(df, fit.select("coef")).withColumn("forecast", F.exp(R.predict("coef", x))).drop("coef")
 
 
 def spline_basis(x: Column, lo: float, hi: float, knots: int = 6) -> list[Column]:
@@ -123,35 +117,33 @@ def additive_spline(df: DataFrame, features: list[str], training: Column, alpha:
     return with_scalars(df, fit).withColumn("forecast", R.predict_level(x)).drop("coef", "smearing", "train_rows")
 
 
-def boosted(df: DataFrame, features: list[str], training: Column, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 650) -> tuple[DataFrame, dict[str, float]]:
-    """Boosted trees on the log target by Spark ML, with the gain importances.
+def boosted_ensembles(df: DataFrame, ensembles: dict[str, B.Ensemble], training: Column, **options) -> tuple[DataFrame, B.Fitted]:
+    """Adds ``forecasts``, a struct of one variance forecast per ensemble, and gives the fit.
 
-    The level carries the lognormal factor of the training residuals.
+    Ensembles on the log target carry the lognormal factor of their training residuals; those on
+    QLIKE aim at the mean itself and need none.
     """
-    d = df.withColumn("_y", F.log(floored("target", VARIANCE_FLOOR)))
-    gbt = GBTRegressor(labelCol="_y", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    model: PipelineModel = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(d.where(training))
-    fitted = model.transform(d)
-    spread = fitted.where(training).agg(F.exp(0.5 * F.var_pop(F.col("_y") - F.col("_p"))).alias("_sm"))
-    out = with_scalars(fitted, spread).withColumn("forecast", F.exp("_p") * F.col("_sm")).drop("_y", "_p", "_sm", "features")
-    return out, dict(zip(features, model.stages[-1].featureImportances.toArray().tolist()))
-
-
-def boosted_qlike(df: DataFrame, features: list[str], training: Column, rounds: int = 5, depth: int = 4, rate: float = 0.3, seed: int = 650) -> DataFrame:
-    """Newton boosting of QLIKE: each round fits a tree to -g/h with Hessian weights.
-
-    Spark ML has no custom objective, so rounds are a driver loop of tree fits over the full
-    distributed training set; keep them few.
-    """
-    d = assemble(df.withColumn("_t", floored("target", VARIANCE_FLOOR)), features)
-    start = d.where(training).agg(F.avg(F.log("_t")).alias("m")).collect()[0]["m"]
-    d = d.withColumn("_z", F.lit(float(start)))
-    for i in range(rounds):
-        g, h = qlike_gradient(F.col("_t"), F.col("_z")), qlike_hessian(F.col("_t"), F.col("_z"))
-        step = d.withColumn("_h", floored(h, 1e-9)).withColumn("_step", -g / F.col("_h"))
-        tree = DecisionTreeRegressor(labelCol="_step", weightCol="_h", predictionCol="_d", maxDepth=depth, seed=seed + i).fit(step.where(training))
-        d = tree.transform(d).withColumn("_z", F.col("_z") + rate * F.col("_d")).drop("_d")
-    return d.withColumn("forecast", F.exp("_z")).drop("_z", "_t", "features")
+    fit = B.fit(df, ensembles, F.col("target"), training, **options)
+    raw = fit.forecasts(df)
+    logs = [n for n, e in ensembles.items() if e.loss == "log"]
+    if logs:
+        y = F.log(floored("target", VARIANCE_FLOOR))
+        raw = with_scalars(raw, raw.where(training).agg(*[F.exp(0.5 * F.var_pop(y - F.col(f"raw.{n}"))).alias(f"_s_{n}") for n in logs]))
+    clipped = lambda n: F.greatest(F.lit(-B.CLIP), F.least(F.lit(B.CLIP), F.col(f"raw.{n}")))
+    level = [(F.exp(F.col(f"raw.{n}")) * F.col(f"_s_{n}") if n in logs else F.exp(clipped(n))).alias(n) for n in ensembles]
+    return raw.withColumn("forecasts", F.struct(*level)).drop("raw", *[f"_s_{n}" for n in logs]), fit
+
+
+def boosted(df: DataFrame, features: list[str], training: Column, monotone: dict[str, int] | None = None, **options) -> tuple[DataFrame, dict[str, float]]:
+    """Boosted trees on the log target, with the gain by feature."""
+    out, fit = boosted_ensembles(df, {"log": B.Ensemble("log", tuple(features), monotone or {})}, training, **options)
+    return out.withColumn("forecast", F.col("forecasts.log")).drop("forecasts"), fit.gains["log"]
+
+
+def boosted_qlike(df: DataFrame, features: list[str], training: Column, monotone: dict[str, int] | None = None, **options) -> DataFrame:
+    """Boosted trees that descend QLIKE itself, by Newton steps from the mean log target."""
+    out, _ = boosted_ensembles(df, {"qlike": B.Ensemble("qlike", tuple(features), monotone or {})}, training, **options)
+    return out.withColumn("forecast", F.col("forecasts.qlike")).drop("forecasts")
 
 
 def partial_pooling(df: DataFrame, group: str, residual: str, training: Column) -> DataFrame:

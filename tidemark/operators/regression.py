@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import with_scalars
+from ..functions.columns import VARIANCE_FLOOR, floored, with_scalars
 from ..functions.special import chi2_sf, t_two_sided
 
 ARRAY = T.ArrayType(T.DoubleType())
@@ -29,15 +29,22 @@ def moment_columns(k: int, m: int) -> list[str]:
             *[f"_y{i}_{j}" for i, j in pairs(m)]]
 
 
-def moments(df: DataFrame, keys: list[str], x: list[Column], y: list[Column]) -> DataFrame:
-    """Sums of products of regressors and responses per key; rows with a null are left out."""
+def moments(df: DataFrame, keys: list[str], x: list[Column], y: list[Column], weight: Column | None = None) -> DataFrame:
+    """Sums of (weighted) products of regressors and responses per key; rows with a null are left out."""
     k, m = len(x), len(y)
-    named = df.select(*keys, *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *[c.cast("double").alias(f"_r{i}") for i, c in enumerate(y)])
+    named = df.select(
+        *keys, *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *[c.cast("double").alias(f"_r{i}") for i, c in enumerate(y)],
+        *([] if weight is None else [weight.cast("double").alias("_w")]))
     named = named.dropna(subset=[*[f"_x{i}" for i in range(k)], *[f"_r{i}" for i in range(m)]])
+
+    def total(a: str, b: str) -> Column:
+        product = F.col(a) * F.col(b)
+        return F.sum(product if weight is None else F.col("_w") * product)
+
     aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_g{i}_{j}") for i, j in pairs(k)]
-    aggs += [F.sum(F.col(f"_x{i}") * F.col(f"_r{j}")).alias(f"_c{i}_{j}") for i in range(k) for j in range(m)]
-    aggs += [F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"_y{i}_{j}") for i, j in pairs(m)]
+    aggs += [total(f"_x{i}", f"_x{j}").alias(f"_g{i}_{j}") for i, j in pairs(k)]
+    aggs += [total(f"_x{i}", f"_r{j}").alias(f"_c{i}_{j}") for i in range(k) for j in range(m)]
+    aggs += [total(f"_r{i}", f"_r{j}").alias(f"_y{i}_{j}") for i, j in pairs(m)]
     return named.groupBy(*keys).agg(*aggs)
 
 
@@ -112,6 +119,93 @@ def predict_level(x: list[Column]) -> Column:
     return F.exp(predict("coef", x)) * F.col("smearing")
 
 
+def positive_glm(
+    df: DataFrame, keys: list[str], x: list[Column], target: Column, training: Column, power: float = 2.0, alpha: float = 1e-4,
+    steps: int = 40, tolerance: float = 1e-11,
+) -> DataFrame:
+    """Log-link GLM with variance mu^power (2 gamma, between 1 and 2 Tweedie) for all keys at once.
+
+    Minimises the mean half deviance plus alpha / 2 times the squared coefficients, every one of
+    them.  Each step is one weighted least-squares aggregate over the training rows: weights are the
+    second derivatives of the deviance and the working response is the Newton step's, from a
+    start on the log target.  A table of one row per key (coefficients and largest score) is all
+    that passes between steps; keys that have converged keep their coefficients.  Returns
+    ``keys, coef, steps, score, train_rows``, where score is the largest absolute score equation.
+    """
+    from ..sources.results import materialise
+
+    k = len(x)
+    rows = df.where(training & target.isNotNull()).select(*keys, *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)], floored(target, VARIANCE_FLOOR).alias("_t"))
+    rows = materialise(rows.dropna(subset=[f"_x{i}" for i in range(k)]))
+    xs = [F.col(f"_x{i}") for i in range(k)]
+
+    def solved(mom: DataFrame) -> DataFrame:
+        return solve(mom.withColumns({f"_g{i}_{i}": F.col(f"_g{i}_{i}") + alpha * F.col("_n") for i in range(k)}), k, 1)
+
+    state = materialise(solved(moments(rows, keys, xs, [F.log("_t")])).select(*keys, "coef", F.lit(0).alias("steps"), F.lit(float("inf")).alias("score"), F.col("_n").alias("train_rows")))
+    for _ in range(steps):
+        eta = predict("coef", xs)
+        slope = (F.col("_t") - F.exp("_eta")) * F.exp((1.0 - power) * F.col("_eta"))
+        curve = (2.0 - power) * F.exp((2.0 - power) * F.col("_eta")) + (power - 1.0) * F.col("_t") * F.exp((1.0 - power) * F.col("_eta"))
+        placed = (rows.join(state.select(*keys, "coef"), keys) if keys else with_scalars(rows, state.select("coef"))).withColumn("_eta", eta)
+        placed = placed.withColumns({"_s": slope, "_h": curve})
+        mom = moments(placed, keys, xs, [F.col("_eta") + F.col("_s") / F.col("_h")], F.col("_h"))
+        scores = placed.groupBy(*keys).agg(*[F.sum(F.col("_s") * c).alias(f"_s{i}") for i, c in enumerate(xs)])
+        both = solved(mom).withColumnRenamed("coef", "_new")
+        both = both.join(scores, keys) if keys else with_scalars(both, scores)
+        both = both.join(state, keys) if keys else with_scalars(both, state)
+        score = F.greatest(*[F.abs(F.col(f"_s{i}") / F.col("_n") - alpha * F.col("coef")[i]) for i in range(k)], F.lit(0.0))
+        both = both.withColumn("_score", score)
+        done = F.col("_score") <= tolerance
+        state = materialise(both.select(
+            *keys, F.when(done, F.col("coef")).otherwise(F.col("_new")).alias("coef"), (F.col("steps") + F.when(done, 0).otherwise(1)).alias("steps"),
+            F.col("_score").alias("score"), "train_rows"))
+        if state.where(F.col("score") > tolerance).limit(1).count() == 0:
+            break
+    return state
+
+
+def elastic_net_path(mom: DataFrame, keys: list[str], k: int, alphas: list[float], l1: float = 0.5, sweeps: int = 10_000, tolerance: float = 1e-12) -> DataFrame:
+    """Elastic-net coefficients per key and penalty from moments alone: ``keys, alpha, coef``.
+
+    The first regressor is the constant and carries no penalty.  Minimises the mean squared error
+    over two plus alpha times (l1 times the absolute coefficients plus (1 - l1) / 2 times their
+    squares), by coordinate descent on the centred moment matrix.  Penalties are taken from the
+    largest down, each from where the one before ended; no penalty reads a row of data.
+    """
+    order = sorted({float(a) for a in alphas}, reverse=True)
+    iu = pairs(k)
+
+    @F.pandas_udf(T.ArrayType(ARRAY))
+    def descend(n: pd.Series, g: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for ni, gi, ci in zip(n, g, c):
+            a = np.zeros((k, k))
+            for (i, j), v in zip(iu, gi):
+                a[i, j] = a[j, i] = v / ni
+            b = np.asarray(ci, float) / ni
+            means, mean = a[0, 1:], b[0]
+            cov, cross = a[1:, 1:] - np.outer(means, means), b[1:] - means * mean
+            w, fits = np.zeros(k - 1), []
+            for alpha in order:
+                for _ in range(sweeps):
+                    moved = 0.0
+                    for i in range(k - 1):
+                        pull = cross[i] - cov[i] @ w + cov[i, i] * w[i]
+                        new = np.sign(pull) * max(abs(pull) - alpha * l1, 0.0) / max(cov[i, i] + alpha * (1 - l1), 1e-300)
+                        moved, w[i] = max(moved, abs(new - w[i])), new
+                    if moved <= tolerance * max(1.0, np.abs(w).max(initial=0.0)):
+                        break
+                fits.append([float(mean - means @ w), *w.tolist()])
+            out.append(fits)
+        return pd.Series(out)
+
+    g = F.array(*[F.col(f"_g{i}_{j}") for i, j in iu])
+    fits = descend(F.col("_n").cast("double"), g, F.array(*[F.col(f"_c{i}_0") for i in range(k)]))
+    path = mom.withColumn("_f", fits).select("*", F.posexplode("_f").alias("_p", "coef"))
+    return path.withColumn("alpha", F.array(*[F.lit(a) for a in order])[F.col("_p")]).drop("_f", "_p")
+
+
 def double_ml(
     df: DataFrame, keys: list[str], response: Column, treatments: dict[str, Column], controls: list[Column], folds: int, purge: int = 1,
     ridge: float = 1e-6, session: str = "session_date",

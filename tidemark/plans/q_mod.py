@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.columns import date_micros, floored, qlike, with_scalars
+from ..operators import boosting as B
 from ..operators import evaluate as EV
 from ..operators import inference as I
 from ..operators import models as M
@@ -15,7 +17,7 @@ from ..operators.series import session_series
 from ..sources.results import materialise
 from . import panels as PN
 from . import standin as X
-from .elimination import fit_sql, predicted, qlike_sql
+from .elimination import fit_sql, glm_sql, predicted, qlike_sql
 from .q_inf import CI, EST, NW_SQL, RADEMACHER, REPS, boot_sql, h, ncdf_sql, tq_sql, wild_sql
 from .q_sca import MZ
 from .q_win import B0_SQL, DAYS_SQL, EWMA_SQL, FWD_SQL
@@ -102,17 +104,32 @@ def scored(df):
         F.count(F.lit(1)).alias("n"), F.avg(qlike(F.col("target"), F.col("forecast"))).alias("qlike"), F.min("forecast").alias("min_forecast"))
 
 
-@query("mod4_elastic_net")
+SCORED_SQL = f"SELECT asset, is_train, count(*) AS n, round(avg({qlike_sql('target', 'f')}),6) AS qlike, round(min(f),6) AS min_forecast FROM scored GROUP BY 1,2"
+SCALED_SQL = "zs AS (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train), zr AS (SELECT origin_id, asset, is_train, target, y, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2 FROM reg, zs)"
+SCALED_TRAIN = "(SELECT * FROM zr WHERE is_train)"
+NET_SQL = """zm AS (SELECT var_samp(z1)*(count(*)-1)/count(*) AS a11, covar_pop(z1,z2) AS a12, var_pop(z2) AS a22, covar_pop(z1,y) AS c1, covar_pop(z2,y) AS c2, avg(y) AS my, avg(z1) AS m1, avg(z2) AS m2 FROM zr WHERE is_train),
+ net AS (SELECT 0 AS k, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 UNION ALL
+  SELECT k+1, v1, sign(c2-a12*v1)*greatest(abs(c2-a12*v1)-0.005::DOUBLE,0)/(a22+0.005::DOUBLE) FROM (SELECT k, a12, a22, c2, sign(c1-a12*w2)*greatest(abs(c1-a12*w2)-0.005::DOUBLE,0)/(a11+0.005::DOUBLE) AS v1 FROM net, zm WHERE k<2000)),
+ nf AS (SELECT w1, w2, my-m1*w1-m2*w2 AS b FROM net, zm WHERE k=2000), nv AS (SELECT exp(0.5*var_pop(y-b-w1*z1-w2*z2)) AS sm FROM zr, nf WHERE is_train),
+ scored AS (SELECT asset, is_train, target, exp(b+w1*z1+w2*z2)*sm AS f FROM zr, nf, nv)"""
+
+
+@query("mod4_elastic_net", sql(SCORED_SQL, REG, SCALED_SQL, NET_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     return scored(M.elastic_net(standardised(spark, d), ["z_x1", "z_x2"], train()))
 
 
-@query("mod5_gamma_glm")
+def glm_check(power: str) -> str:
+    z = ["z1", "z2"]
+    return sql(SCORED_SQL, REG, SCALED_SQL, glm_sql("glm", SCALED_TRAIN, [], z, power), f"scored AS (SELECT asset, is_train, target, exp({predicted(z)}) AS f FROM zr, glm)")
+
+
+@query("mod5_gamma_glm", glm_check("2.0::DOUBLE"))
 def _(spark, d):
     return scored(M.positive_glm(standardised(spark, d), ["z_x1", "z_x2"], train(), "gamma"))
 
 
-@query("mod5_tweedie_glm")
+@query("mod5_tweedie_glm", glm_check("1.7::DOUBLE"))
 def _(spark, d):
     return scored(M.positive_glm(standardised(spark, d), ["z_x1", "z_x2"], train(), "tweedie"))
 
@@ -124,18 +141,56 @@ def _(spark, d):
 
 @query("mod7_boosted_trees")
 def _(spark, d):
-    return scored(M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=20, depth=3)[0])
+    return scored(M.boosted(reg(spark, d), ["x1", "x2", "x3"], train())[0])
 
 
 @query("mod7_boosted_qlike")
 def _(spark, d):
-    return scored(M.boosted_qlike(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=3, depth=3))
+    return scored(M.boosted_qlike(reg(spark, d), ["x1", "x2", "x3"], train()))
+
+
+@query("mod7_boosted_monotone", sql("SELECT asset, count(*) AS n, 0::BIGINT AS falls, true AS loss_falls, 301::BIGINT AS losses FROM reg GROUP BY 1", REG))
+def _(spark, d):
+    """A forecast that may not fall in x1: rows where a larger x1 lowers it, and whether every round lowers the training loss."""
+    r = reg(spark, d)
+    fit = B.fit(r, {"rising": B.Ensemble("qlike", ("x1", "x2"), {"x1": 1})}, F.col("target"), train())
+    loss = fit.losses["rising"]
+    at = fit.forecasts(r).withColumnRenamed("raw", "low").withColumn("x1", F.col("x1") + 0.3)
+    falls = F.count_if(F.col("raw.rising") < F.col("low.rising") - 1e-12).alias("falls")
+    return fit.forecasts(at).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), falls).withColumns(
+        {"loss_falls": F.lit(all(a > b for a, b in zip(loss, loss[1:]))), "losses": F.lit(len(loss))})
+
+
+#: Cut points of the boosted stump, plain enough for SQL.
+CUTS = {"x1": ("-4.0", "0.25", 80), "x2": ("-4.0", "0.25", 80), "x3": ("0.05", "0.125", 8)}
+
+
+def stump_sql() -> str:
+    """First tree of two leaves for both losses: best of all cuts by gain, leaves by Newton steps."""
+    cuts = " UNION ALL ".join(f"SELECT '{f}' AS f, {a}::DOUBLE+{w}::DOUBLE*i AS cut FROM range({n}) r(i)" for f, (a, w, n) in CUTS.items())
+    return f"""cuts AS ({cuts}), m0 AS (SELECT avg(y) AS m FROM reg WHERE is_train),
+ gh AS (SELECT l.loss, x1, x2, x3, CASE WHEN loss='log' THEN m-y ELSE 1-target*exp(-m) END AS g, CASE WHEN loss='log' THEN 1.0::DOUBLE ELSE target*exp(-m) END AS h FROM reg, m0, (SELECT unnest(['log','qlike']) AS loss) l WHERE is_train),
+ sides AS (SELECT loss, f, cut, sum(g) FILTER (lo) AS gl, sum(h) FILTER (lo) AS hl, count(*) FILTER (lo) AS nl, sum(g) FILTER (NOT lo) AS gr, sum(h) FILTER (NOT lo) AS hr, count(*) FILTER (NOT lo) AS nr FROM
+  (SELECT loss, f, cut, g, h, CASE f WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 ELSE x3 END <= cut AS lo FROM gh, cuts) GROUP BY 1,2,3),
+ best AS (SELECT loss, arg_max({{'f': f, 'cut': cut, 'l': -gl/hl, 'r': -gr/hr}}, (gl*gl/hl+gr*gr/hr, -cut)) AS b, max(gl*gl/hl+gr*gr/hr-(gl+gr)*(gl+gr)/(hl+hr)) AS gain FROM sides WHERE nl>=20 AND nr>=20 GROUP BY 1)"""
+
+
+@query("mod7_boosted_stump", sql("""
+SELECT loss, b.f AS feature, round(gain,6) AS gain, round(min(v),6) AS lowest, round(max(v),6) AS highest, round(avg(v),6) AS mean_score FROM (SELECT loss, b, gain, m + CASE WHEN CASE b.f WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 ELSE x3 END <= b.cut THEN b.l ELSE b.r END AS v FROM reg, best, m0) GROUP BY 1,2,3""", REG, stump_sql()))
+def _(spark, d):
+    r, names = reg(spark, d), ("x1", "x2", "x3")
+    edges = [np.array([float(a) + float(w) * i for i in range(n)]) for a, w, n in CUTS.values()]
+    fit = B.fit(r, {loss: B.Ensemble(loss, names) for loss in B.LOSSES}, F.col("target"), train(), rounds=1, leaves=2, rate=1.0, edges=edges)
+    facts = [(loss, *max(fit.gains[loss].items(), key=lambda g: g[1])) for loss in B.LOSSES]
+    long = fit.forecasts(r).select(F.explode(F.array(*[F.struct(F.lit(n).alias("loss"), F.col(f"raw.{n}").alias("v")) for n in B.LOSSES])).alias("_l")).select("_l.*")
+    return long.groupBy("loss").agg(F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("v").alias("mean_score")).join(
+        spark.createDataFrame(facts, "loss string, feature string, gain double"), "loss")
 
 
 @query("mod23_gain_importances")
 def _(spark, d):
-    _, imp = M.boosted(reg(spark, d), ["x1", "x2", "x3"], train(), rounds=20, depth=3)
-    return spark.createDataFrame(sorted(imp.items()), "feature string, importance double")
+    _, gains = M.boosted(reg(spark, d), ["x1", "x2", "x3"], train())
+    return spark.createDataFrame(sorted(gains.items()), "feature string, importance double")
 
 
 POOL = """pg AS (SELECT asset, avg(y-x1) AS gm, count(*) AS n, sum(pow(y-x1,2)) q FROM reg WHERE is_train GROUP BY 1),
@@ -286,6 +341,38 @@ def _(spark, d):
         F.round(F.avg(qlike(F.col("target"), F.col("forecast"))), 5).alias("test_qlike"))
 
 
+PATH_ALPHAS = [0.001, 0.01, 0.05, 0.2]
+
+
+@query("mod4_elastic_net_path", sql(f"""
+SELECT fold, alpha, true AS active_at_bound, true AS inactive_inside, true AS residuals_centred FROM (SELECT DISTINCT fold FROM pz WHERE part='fit'), (SELECT unnest({PATH_ALPHAS!r}::DOUBLE[]) AS alpha)""", REG, FOLD_SQL, PARTS_SQL))
+def _(spark, d):
+    """Optimality of every fold and penalty, from residuals of the rows themselves.
+
+    A coefficient that is not zero has its gradient at the bound, one that is zero inside it.
+    """
+    parts = materialise(fold_parts(spark, d).where(F.col("part") == "fit"))
+    names, k = ["s_x1", "s_x2", "s_x3"], 4
+    path = R.elastic_net_path(R.moments(parts, ["fold"], cols(*names), [F.log("target")]), ["fold"], k, PATH_ALPHAS)
+    j = parts.join(path.select("fold", "alpha", "coef"), "fold").withColumn("e", F.log("target") - R.predict("coef", cols(*names)))
+    g = j.groupBy("fold", "alpha").agg(F.max("coef").alias("coef"), F.avg("e").alias("m"), *[F.avg(F.col("e") * F.col(n)).alias(f"g{i}") for i, n in enumerate(names, 1)])
+    pull = [(F.col("coef")[i], F.col(f"g{i}") - F.col("alpha") * 0.5 * F.col("coef")[i], F.col("alpha") * 0.5) for i in range(1, k)]
+    whole = lambda conds: F.forall(F.array(*conds), lambda c: c)
+    return g.select(
+        "fold", "alpha", whole([(w == 0) | (F.abs(p - b * F.signum(w)) < 1e-8) for w, p, b in pull]).alias("active_at_bound"),
+        whole([(w != 0) | (F.abs(p) <= b + 1e-8) for w, p, b in pull]).alias("inactive_inside"), (F.abs("m") < 1e-8).alias("residuals_centred"))
+
+
+@query("mod5_keyed_glm", sql(f"""
+SELECT fold, power, {', '.join(f'round(b{i},6) AS b{i}' for i in range(3))}, true AS solved, train_rows FROM glm JOIN (SELECT fold, count(*) AS train_rows FROM pz WHERE part='fit' GROUP BY 1) USING (fold)""",
+                               REG, FOLD_SQL, PARTS_SQL, "pk AS (SELECT *, unnest([1.7::DOUBLE, 2.0::DOUBLE]) AS power FROM pz WHERE part='fit')", glm_sql("glm", "pk", ["fold", "power"], ["v1", "v2"], "power")))
+def _(spark, d):
+    """All folds and both families in the same passes; ``solved`` says that every score equation is zero."""
+    parts = fold_parts(spark, d).where(F.col("part") == "fit").withColumn("power", F.explode(F.array(F.lit(1.7), F.lit(2.0))))
+    fit = R.positive_glm(parts, ["fold", "power"], cols("s_x1", "s_x2"), F.col("target"), F.lit(True), F.col("power"))
+    return fit.select("fold", "power", *[F.col("coef")[i].alias(f"b{i}") for i in range(3)], (F.col("score") < 1e-8).alias("solved"), "train_rows")
+
+
 LADDER = ["z_x1", "z_x2", "x3"]
 #: Nested feature sets, as places in LADDER, and the pairs that are held against each other.
 SETS = {"core": [0], "core_quotes": [0, 1], "core_trades": [0, 2], "all": [0, 1, 2]}
