@@ -377,55 +377,146 @@ LADDER = ["z_x1", "z_x2", "x3"]
 #: Nested feature sets, as places in LADDER, and the pairs that are held against each other.
 SETS = {"core": [0], "core_quotes": [0, 1], "core_trades": [0, 2], "all": [0, 1, 2]}
 CONTRASTS = {"quotes": ("core", "core_quotes"), "trades": ("core", "core_trades"), "trades_after_quotes": ("core_quotes", "all"), "both": ("core", "all")}
+#: Families of one design each: penalty (also of the constant?), and spline bases in place of the features.
+LINEAR = {"log_ols": (0.0, False, False), "ridge": (1.0, False, False), "spline": (1.0, True, True)}
+GLMS = {"gamma": 2.0, "tweedie": 1.7}
+BOOSTED = {"boosted_log": "log", "boosted_qlike": "qlike"}
+PLAIN, KNOTS = ["log_ols", "ridge", *GLMS], 7
 
 
-def ladder(spark, d):
-    """Test losses of two families over the nested sets, long by family and contrast.
+def ladder(spark, d, families):
+    """``family, set, origin_id, session_date, asset, target, is_train, forecast`` for every row, family and nested set.
 
-    All sets are parts of one set of moments: one pass over the training rows, a slice per set.
+    Linear families are slices of one set of moments over the features and their spline bases; the
+    GLMs of all sets are fitted in the same passes, and so are the boosted ensembles.  Every fit is
+    a row of coefficients over one design, so forecasts are one pass over the rows.
     """
     r = materialise(standardised(spark, d))
-    every = materialise(R.moments(r.where(train()), [], cols(*LADDER), [F.log("target")]))
-    j, loss = r.where(~train()), {}
-    for fam, alpha in (("log_ols", 0.0), ("ridge", 1.0)):
+    ends = r.where(train()).agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(LADDER)], *[F.max(f).alias(f"hi{i}") for i, f in enumerate(LADDER)]).collect()[0]
+    bases = [c for i, f in enumerate(LADDER) for c in M.spline_basis(F.col(f), float(ends[f"lo{i}"]), float(ends[f"hi{i}"]))]
+    design = [*cols(*LADDER), *bases]
+    every = materialise(R.moments(r.where(train()), [], design, [F.log("target")]))
+    fits = None
+    for fam in [f for f in families if f in LINEAR]:
+        alpha, first, spline = LINEAR[fam]
         for name, places in SETS.items():
-            tag, kept = f"{fam}_{name}", [0, *[i + 1 for i in places]]
+            kept = [0, *([4 + KNOTS * i + j for i in places for j in range(KNOTS)] if spline else [i + 1 for i in places])]
             k = len(kept)
             part = every.select(
                 "_n", *[F.col(f"_g{kept[a]}_{kept[b]}").alias(f"_g{a}_{b}") for a, b in R.pairs(k)],
                 *[F.col(f"_c{kept[a]}_0").alias(f"_c{a}_0") for a in range(k)], "_y0_0")
-            fit = R.solve(part, k, 1, alpha, (False,) + (True,) * (k - 1)).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k)))
-            j = with_scalars(j, fit.select(F.col("coef").alias(f"c_{tag}"), F.col("smearing").alias(f"s_{tag}")))
-            loss[(fam, name)] = qlike(F.col("target"), F.exp(R.predict(f"c_{tag}", cols(*[LADDER[i] for i in places]))) * F.col(f"s_{tag}"))
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(fam).alias("family"), F.lit(c).alias("contrast"), loss[(fam, a)].alias("lb"), loss[(fam, b)].alias("lw"))
-        for fam in ("log_ols", "ridge") for c, (a, b) in CONTRASTS.items()]))
-    return j.select(F.col("week").alias("session_date"), "asset", rows.alias("_r")).select("session_date", "asset", "_r.*")
+            fit = R.solve(part, k, 1, alpha, (first,) + (True,) * (k - 1)).withColumn("smearing", F.exp(0.5 * R.residual_variance(None, "coef", k)))
+            wide = F.array(*[F.col("coef")[kept.index(i)] if i in kept else F.lit(0.0) for i in range(len(design))])
+            row = fit.select(F.lit(fam).alias("family"), F.lit(name).alias("set"), wide.alias("coef"), "smearing")
+            fits = row if fits is None else fits.unionByName(row)
+    glms = [f for f in families if f in GLMS]
+    if glms:
+        one = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(GLMS[f]).alias("power"), F.lit(n).alias("set"), *[F.lit(float(i in p)).alias(f"m{i}") for i in range(3)])
+                                  for f in glms for n, p in SETS.items()]))
+        rows = r.where(train()).select("target", *LADDER, one.alias("_o")).select("target", *LADDER, "_o.*")
+        x = [F.lit(1.0), *[F.col(f) * F.col(f"m{i}") for i, f in enumerate(LADDER)]]
+        fit = R.positive_glm(rows, ["family", "power", "set"], x, F.col("target"), F.lit(True), F.col("power"))
+        fit = fit.select("family", "set", F.concat("coef", F.array_repeat(F.lit(0.0), len(bases))).alias("coef"), F.lit(1.0).alias("smearing"))
+        fits = fit if fits is None else fits.unionByName(fit)
+    kept = ["origin_id", F.col("week").alias("session_date"), "asset", "target", "is_train"]
+    out = None
+    if fits is not None:
+        one_row = materialise(fits.agg(F.collect_list(F.struct("family", "set", "coef", "smearing")).alias("_f")))
+        long = with_scalars(r, one_row).withColumn("_f", F.explode("_f")).withColumns({"coef": F.col("_f.coef"), "smearing": F.col("_f.smearing")})
+        out = long.select("_f.family", "_f.set", *kept, R.predict_level(design).alias("forecast"))
+    boosted = [f for f in families if f in BOOSTED]
+    if boosted:
+        names = {f"{f}__{n}": (f, n) for f in boosted for n in SETS}
+        grown, _ = M.boosted_ensembles(r, {k: B.Ensemble(BOOSTED[f], tuple(LADDER[i] for i in SETS[n])) for k, (f, n) in names.items()}, train())
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("set"), F.col(f"forecasts.{k}").alias("forecast")) for k, (f, n) in names.items()]))
+        long = grown.withColumn("_e", each).select("_e.family", "_e.set", *kept, "_e.forecast")
+        out = long if out is None else out.unionByName(long)
+    return materialise(out)
+
+
+def recalibrated(long):
+    """Each forecast as it is and set right by the log-log line of its training rows: ``kind`` raw or recalibrated."""
+    y, x = F.log(floored("target", 1e-12)), F.log(floored("forecast", 1e-12))
+    line = long.where(train()).groupBy("family", "set").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    both = F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("forecast").alias("f")), F.struct(F.lit("recalibrated").alias("kind"), F.exp(F.col("intercept") + F.col("slope") * x).alias("f"))))
+    return long.where(~train()).join(line, ["family", "set"]).withColumn("_b", both).withColumns({"kind": F.col("_b.kind"), "loss": qlike(F.col("target"), F.col("_b.f"))}).drop("_b")
+
+
+def contrasts(losses):
+    """Base and wide loss of the same row, long by family, kind and contrast."""
+    wide = losses.groupBy("family", "kind", "origin_id", "session_date").agg(*[F.max(F.when(F.col("set") == n, F.col("loss"))).alias(n) for n in SETS])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("contrast"), F.col(a).alias("lb"), F.col(b).alias("lw")) for c, (a, b) in CONTRASTS.items()]))
+    return wide.select("family", "kind", "session_date", rows.alias("_r")).select("family", "kind", "session_date", "_r.*")
 
 
 def ladder_sql() -> str:
-    """CTE ``series``: weekly loss differences of every family and contrast; ``lad``: the losses."""
-    names, out, loss = ["z1", "z2", "x3"], ["zl AS (SELECT week, target, y, is_train, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2, x3 FROM reg, (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train))"], {}
-    for fam, alpha in (("log_ols", "0"), ("ridge", "1.0::DOUBLE")):
+    """CTEs ``ls``: losses by family, set and kind of the plain families; ``lad`` and ``series``: their contrasts."""
+    names = ["z1", "z2", "x3"]
+    out = ["zl AS (SELECT origin_id, week, target, y, is_train, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2, x3 FROM reg, (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train))"]
+    level = []
+    for fam in ("log_ols", "ridge"):
         for name, places in SETS.items():
             x, tag = [names[i] for i in places], f"{fam}_{name}"
-            out += [fit_sql(tag, "(SELECT * FROM zl WHERE is_train)", [], x, "y", alpha), f"{tag}_sm AS (SELECT exp(0.5*var_pop(y-{predicted(x)})) AS sm FROM zl, {tag} WHERE is_train)"]
-            loss[fam, name] = qlike_sql("target", f"(exp({predicted(x, f'{tag}.')})*{tag}_sm.sm)")
-    pairs = [(fam, c, a, b) for fam in ("log_ols", "ridge") for c, (a, b) in CONTRASTS.items()]
-    tables = ", ".join(f"{fam}_{name}, {fam}_{name}_sm" for fam, name in loss)
-    lists = [", ".join(v) for v in ([f"'{f}#{c}'" for f, c, _, _ in pairs], [loss[f, a] for f, _, a, _ in pairs], [loss[f, b] for f, _, _, b in pairs])]
-    out.append(f"lad AS (SELECT week, unnest([{lists[0]}]) AS series, unnest([{lists[1]}]) AS lb, unnest([{lists[2]}]) AS lw FROM zl, {tables} WHERE NOT is_train)")
-    out.append("series AS (SELECT series, week AS session_date, avg(lb-lw) AS value, row_number() OVER (PARTITION BY series ORDER BY week)-1 AS idx FROM lad GROUP BY 1,2)")
+            out += [fit_sql(tag, "(SELECT * FROM zl WHERE is_train)", [], x, "y", "1.0::DOUBLE" if fam == "ridge" else "0"), f"{tag}_sm AS (SELECT exp(0.5*var_pop(y-{predicted(x)})) AS sm FROM zl, {tag} WHERE is_train)"]
+            level.append(f"SELECT '{fam}' AS family, '{name}' AS set, origin_id, week, target, y, is_train, exp({predicted(x, f'{tag}.')})*sm AS f FROM zl, {tag}, {tag}_sm")
+    sets = ", ".join(f"('{f}', {p!r}::DOUBLE, '{n}', {', '.join(str(int(i in q)) for i in range(3))})" for f, p in GLMS.items() for n, q in SETS.items())
+    out.append(f"zg AS (SELECT origin_id, week, target, y, is_train, family, power, set, z1*k1 AS v1, z2*k2 AS v2, x3*k3 AS v3 FROM zl, (VALUES {sets}) k(family, power, set, k1, k2, k3))")
+    out.append(glm_sql("lg", "(SELECT family, power, set, target, v1, v2, v3 FROM zg WHERE is_train)", ["family", "power", "set"], ["v1", "v2", "v3"], "power"))
+    level.append(f"SELECT family, set, origin_id, week, target, y, is_train, exp({predicted(['v1', 'v2', 'v3'])}) FROM zg JOIN lg USING (family, power, set)")
+    out.append(f"fc AS MATERIALIZED ({' UNION ALL '.join(level)})")
+    out.append("lcal AS (SELECT family, set, regr_slope(y, ln(f)) AS slope, regr_intercept(y, ln(f)) AS intercept FROM fc WHERE is_train GROUP BY 1,2)")
+    out.append(f"ls AS MATERIALIZED (SELECT family, set, origin_id, week, kind, slope, intercept, {qlike_sql('target', 'v')} AS loss FROM (SELECT *, unnest(['raw','recalibrated']) AS kind, unnest([f, exp(intercept+slope*ln(f))]) AS v FROM fc JOIN lcal USING (family, set) WHERE NOT is_train))")
+    pairs = ", ".join(f"('{c}', '{a}', '{b}')" for c, (a, b) in CONTRASTS.items())
+    out.append(f"lad AS MATERIALIZED (SELECT a.family || '#' || contrast || '#' || a.kind AS series, a.week, a.loss AS lb, b.loss AS lw FROM (VALUES {pairs}) c(contrast, base, wide) JOIN ls a ON a.set=base JOIN ls b ON b.set=wide AND b.family=a.family AND b.kind=a.kind AND b.origin_id=a.origin_id)")
+    out.append("series AS MATERIALIZED (SELECT series, week AS session_date, avg(lb-lw) AS value, row_number() OVER (PARTITION BY series ORDER BY week)-1 AS idx FROM lad GROUP BY 1,2)")
     return ",\n ".join(out)
 
 
+PARTED = "split_part(e.series,'#',1) AS family, split_part(e.series,'#',2) AS contrast, split_part(e.series,'#',3) AS kind"
+
+
 @query("mod15_model_ladder", sql(f"""
-SELECT split_part(e.series,'#',1) AS family, split_part(e.series,'#',2) AS contrast, e.estimate, e.sessions, ci_low, ci_high, p_value, round(({tq_sql(0.975,'(clusters-1)')}+{tq_sql(0.8,'(clusters-1)')})*sqrt(lrv/clusters),6) AS mde,
+SELECT {PARTED}, e.estimate, e.sessions, ci_low, ci_high, p_value, round(({tq_sql(0.975,'(clusters-1)')}+{tq_sql(0.8,'(clusters-1)')})*sqrt(lrv/clusters),6) AS mde,
  round(2*(1-{ncdf_sql('abs(nw.estimate/sqrt(lrv/clusters))')}),6) AS nw_p, wild_p, round(bd,6) AS equivalence_bound, ci_low>-bd AND ci_high<bd AS equivalent, 5::BIGINT AS block_length
 FROM {EST} e JOIN (SELECT series, {CI} FROM boot GROUP BY 1) USING (series) JOIN nw USING (series) JOIN wild USING (series) JOIN (SELECT series, 0.02::DOUBLE*avg(lb) AS bd FROM lad GROUP BY 1) USING (series)""",
                                    REG, ladder_sql(), boot_sql(), NW_SQL, wild_sql(RADEMACHER, "wild")))
 def _(spark, d):
-    return I.session_contrast(ladder(spark, d), ["family", "contrast"], "lb", "lw", 5, REPS, 650, 2).drop("hac_se")
+    losses = contrasts(recalibrated(ladder(spark, d, PLAIN)))
+    return I.session_contrast(losses, ["family", "contrast", "kind"], "lb", "lw", 5, REPS, 650, 2).drop("hac_se")
+
+
+@query("mod15_ladder_levels", sql("SELECT family, set, kind, count(*) AS n, round(avg(loss),6) AS qlike, round(max(slope),6) AS slope, round(max(intercept),6) AS intercept FROM ls GROUP BY 1,2,3", REG, ladder_sql()))
+def _(spark, d):
+    """Mean loss of every plain family and set, with the line that recalibrates it."""
+    return recalibrated(ladder(spark, d, PLAIN)).groupBy("family", "set", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("loss").alias("qlike"), F.max("slope").alias("slope"), F.max("intercept").alias("intercept"))
+
+
+def interaction(contrast):
+    """What both additions give beyond the sum of each alone, per family, beside Holm's p-values of its contrasts."""
+    of = lambda c: F.sum(F.when(F.col("contrast") == c, F.col("estimate")))
+    extra = contrast.groupBy("family").agg((of("both") - of("quotes") - of("trades")).alias("interaction"))
+    return EV.holm(contrast, ["family"], "contrast", "p_value").join(extra, "family").select("family", "contrast", "estimate", "p_value", "adjusted", "interaction")
+
+
+@query("mod15_interaction", sql(f"""
+SELECT family, contrast, estimate, p_value, round(max(least(1, (5-k)*p_value)) OVER (PARTITION BY family ORDER BY k),6) AS adjusted, round(sum(CASE contrast WHEN 'both' THEN estimate WHEN 'quotes' THEN -estimate WHEN 'trades' THEN -estimate ELSE 0 END) OVER (PARTITION BY family),6) AS interaction
+FROM (SELECT {PARTED}, e.estimate, p_value, row_number() OVER (PARTITION BY split_part(e.series,'#',1) ORDER BY p_value, split_part(e.series,'#',2)) AS k FROM {EST} e JOIN (SELECT series, {CI} FROM boot GROUP BY 1) USING (series) WHERE split_part(e.series,'#',3)='raw')""",
+                                  REG, ladder_sql(), boot_sql()))
+def _(spark, d):
+    losses = contrasts(recalibrated(ladder(spark, d, PLAIN)).where(F.col("kind") == "raw"))
+    days = session_series(losses.withColumn("_d", F.col("lb") - F.col("lw")), ["family", "contrast"], "_d")
+    record = I.block_bootstrap(days, ["family", "contrast"], 5, REPS, 650)
+    return interaction(record.withColumns({c: F.round(c, 6) for c in ("estimate", "p_value")}))
+
+
+@query("mod15_ladder_nonlinear")
+def _(spark, d):
+    """The families without SQL (splines, boosted on log and on QLIKE): contrasts, interaction and Holm."""
+    losses = contrasts(recalibrated(ladder(spark, d, ["spline", *BOOSTED])))
+    record = I.session_contrast(losses, ["family", "contrast", "kind"], "lb", "lw", 5, REPS, 650, 2).drop("hac_se")
+    more = interaction(record.where(F.col("kind") == "raw")).select("family", "contrast", "adjusted", "interaction")
+    return record.join(more, ["family", "contrast"])
 
 
 @query("mod16_walk_forward", sql("""
