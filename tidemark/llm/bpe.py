@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,7 +235,8 @@ class Encoder:
     def counts_of(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
         """Pre-tokens of all texts, and the number of ids of each in a row."""
         parts, known = self.split_all(texts)
-        return parts, np.array([len(ids) for x in parts for ids in map(known.__getitem__, x)], np.int32) // 4
+        sizes = map(len, map(known.__getitem__, itertools.chain.from_iterable(parts)))
+        return parts, np.fromiter(sizes, np.int32, sum(map(len, parts))) // 4
 
     def piece(self, text: str) -> list[int]:
         """Ids of one pre-token."""

@@ -67,7 +67,7 @@ def op8_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.recount(docs.withColumn("edits", token_counts.sample_edits(F.col("text"))), path, pattern).drop("chars", "tokens")
+    return token_counts.recount(docs.withColumn("edits", token_counts.sample_edits(F.col("text"))), path, pattern, leaves=False)
 
 
 @register

@@ -29,14 +29,15 @@ class CountTree:
     """Characters and tokens of pre-tokens, under sums."""
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray) -> None:
-        self._build(np.stack((chars, tokens)).astype(np.int64) if len(chars) else np.zeros((2, 0), np.int64))
+        self._build(np.array((chars, tokens), np.int64))
 
     def _build(self, flat: np.ndarray) -> None:
-        self.leaves = [flat[:, k : k + LEAF] for k in range(0, max(1, flat.shape[1]), LEAF)]
+        starts = range(0, max(1, flat.shape[1]), LEAF)
+        self.leaves = [flat[:, k : k + LEAF] for k in starts]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        for k, leaf in enumerate(self.leaves):
-            self.sums[self.size + k] = leaf.sum(1)
+        if flat.shape[1]:
+            self.sums[self.size : self.size + len(starts)] = np.add.reduceat(flat, starts, axis=1).T
         half = self.size
         while half > 1:
             half //= 2
@@ -119,7 +120,11 @@ def _step(tree: CountTree, node: int, place: int, char: int) -> tuple[int, int,
 
 
 def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds ``chars, tokens array<int>``: the leaves of each row's tree; null and empty texts have none."""
+    """Adds ``chars, tokens array<int>``: the leaves of each row's tree; null and empty texts have none.
+
+    Columns of these names that the frame has are replaced.
+    """
+    docs = docs.drop("chars", "tokens")
     schema = T.StructType([*docs.schema.fields, T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -136,34 +141,37 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def recount(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+def recount(documents: DataFrame, path: str, pattern: str, stored: bool | None = None, leaves: bool = True) -> DataFrame:
     """Token counts of every row before and after its edits.
 
-    Takes ``doc_id, text, chars, tokens`` (from ``with_trees``; without these two the trees are built
-    here) and ``edits``, an array of
+    Takes ``doc_id, text, chars, tokens`` (from ``with_trees``; without these two, where they are not
+    arrays of int, or if ``stored`` is false, the trees are built here) and ``edits``, an array of
     (start, stop, by) in characters of the text as the earlier edits left it; places outside it
     are moved to its ends, an edit without places is ignored, null ``by`` is empty.  Returns ``doc_id, n_tokens, n_tokens_edited, n_pretokens, n_encoded,
-    chars, tokens``: the last two are the new tree's leaves, to be kept for the next edits.
+    chars, tokens``: the last two are the new tree's leaves, to be kept for the next edits; without
+    ``leaves`` they are left out.
     """
-    kept = "chars" in documents.columns
+    kinds = dict(documents.dtypes)
+    kept = all(kinds.get(c) == "array<int>" for c in ("chars", "tokens")) if stored is None else stored
     src = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "edits", *(["chars", "tokens"] if kept else []))
     numbers_of = T.ArrayType(T.IntegerType())
     longs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_edited", "n_pretokens", "n_encoded")]
-    schema = T.StructType([src.schema["doc_id"], *longs, T.StructField("chars", numbers_of), T.StructField("tokens", numbers_of)])
+    more = [T.StructField("chars", numbers_of), T.StructField("tokens", numbers_of)] if leaves else []
+    schema = T.StructType([src.schema["doc_id"], *longs, *more])
 
     def run(batches):
         enc = Encoder.of(path, pattern)
         for batch in batches:
             text = batch.column(1)
             for i, j in pieces(text_bytes(text)[1], STEP):
-                out, leaves, at = [], [], 0
+                out, flats, at = [], [], 0
                 split, counts = ([], None) if kept else enc.counts_of(text.slice(i, j - i).to_pylist())
                 for k in range(i, j):
                     if kept:
                         tree = CountTree(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4)))
                     else:
                         words = split[k - i]
-                        tree = CountTree(np.array([len(p) for p in words], np.int64), counts[at : at + len(words)])
+                        tree = CountTree(np.fromiter(map(len, words), np.int64, len(words)), counts[at : at + len(words)])
                         at += len(words)
                     before, now, encoded = tree.tokens, text[k].as_py(), 0
                     for e in batch.column(2)[k].as_py() or ():
@@ -171,12 +179,12 @@ def recount(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                             continue
                         now, n = edited(now, tree, e["start"], e["stop"], e["by"] or "", enc)
                         encoded += n
-                    flat = np.concatenate(tree.leaves, axis=1).astype(np.int32)
-                    leaves.append(flat)
-                    out.append((before, tree.tokens, flat.shape[1], encoded))
-                ends = pa.array(np.concatenate(([0], np.cumsum([x.shape[1] for x in leaves]))).astype(np.int32))
+                    if leaves:
+                        flats.append(np.concatenate(tree.leaves, axis=1).astype(np.int32))
+                    out.append((before, tree.tokens, sum(x.shape[1] for x in tree.leaves), encoded))
                 numbers = [pa.array(c, pa.int64()) for c in zip(*out)]
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[r] for x in leaves]))) for r in (0, 1)]
+                ends = pa.array(np.concatenate(([0], np.cumsum([x.shape[1] for x in flats]))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[r] for x in flats]))) for r in (0, 1)] if leaves else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *numbers, *lists], names=schema.names)
 
     return src.mapInArrow(run, schema)
