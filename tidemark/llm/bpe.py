@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import documents, mix, pieces, text_bytes
+from tidemark.llm.columns import documents, give_back, mix, pieces, text_bytes
 
 NONE = 1 << 60
 #: Distinct pre-tokens remembered per Python worker.
@@ -266,6 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
                 more = [decoded_bytes(lists, path)] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, *more], names=["doc_id", "ids", "decoded"][: 2 + decoded])
+        give_back()
 
     return src.mapInArrow(run, T.StructType(fields[: 2 + decoded]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,3 +110,11 @@ def partitions(df: DataFrame) -> int:
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, whatever else the frame carries."""
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def give_back() -> None:
+    """Give memory that was freed back to the system, where the C library can: workers live as long as the session."""
+    if name := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(name), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import byte_table, mix, pieces, run_hashes, text_bytes, word_runs
+from tidemark.llm.columns import byte_table, give_back, mix, pieces, run_hashes, text_bytes, word_runs
 
 #: Rows of the table of vectors, as a power of two, and the vectors' length.
 BITS, WIDTH = 17, 8
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = text.join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= MOST_BYTES).orderBy(key, "doc_id", "text").limit(MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         examples, marks, used = [], [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
@@ -158,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             marks += batch.column(1).to_pylist()[: max(fits, 0)]
             used += int(offsets[-1])
         odds, bias = train(examples, np.array(marks, np.int64)) if marks else (np.zeros(1 << BITS, np.float32), 0.0)
+        examples.clear()
+        give_back()
         yield pa.RecordBatch.from_pydict({"odds": [odds.tobytes()], "bias": [bias]})
 
     got = rows.select("text", "label").coalesce(1).mapInArrow(run, "odds binary, bias double").collect()
@@ -177,6 +180,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             data, offsets = text_bytes(batch.column(0))
             parts = [scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], odds, bias) for i, j in pieces(offsets, STEP)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["_row", "quality_score"])
+        give_back()
 
     return src.mapInArrow(run, schema)
 
