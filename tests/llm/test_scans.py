@@ -21,13 +21,18 @@ def bench_rows(rows):
     return [(1, " ".join(bench_words(texts[9])[500:530])), (2, "One TWO"), (3, None), (4, ""), (5, " ".join(bench_words(texts[60])[60:75])), (5, "word"), (None, "the"), (7, "absent words only")]
 
 
-def test_matches(spark):
+def test_matches(spark, monkeypatch):
     rows = awkward()
     items = bench_rows(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = benchmark_matches.find_matches(frame(spark, rows), bench)
-    want = [(d, *h) for (d, _), h in zip(rows, hits([t for _, t in rows], [i for i in items if i[0] is not None]))]
-    same_rows([(r.doc_id, r.n_words, r.n_hit, sorted({m.item_id for m in r.matches})) for r in found.collect()], want)
+    want = [(d, *h) for (d, _), h in zip(rows, hits([t for _, t in rows], items))]
+    told = lambda f: [(r.doc_id, r.n_words, r.n_hit, sorted({str(m.item_id) for m in r.matches})) for r in f.collect()]
+    same_rows(told(found), want)
+    monkeypatch.setattr(benchmark_matches, "MOST_BENCHMARK", 150)
+    assert len(benchmark_matches.benchmark_parts(bench)) > 2
+    same_rows(told(benchmark_matches.find_matches(frame(spark, rows), bench)), want)
+    monkeypatch.undo()
     longest = {m.n_words for r in found.where("doc_id = 9").collect() for m in r.matches if m.item_id == "1"}
     assert longest == {30}
     told = benchmark_matches.report(found).where("n_items = 1 and doc_id = 7").first()

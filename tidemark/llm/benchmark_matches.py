@@ -84,21 +84,33 @@ def search(words: np.ndarray, order: np.ndarray, patterns: np.ndarray, lengths:
 
 
 class Windows:
-    """The benchmark's windows: word hashes, item and place of each."""
+    """The benchmark's windows: each word once, and the item, first word and length of each window."""
 
-    def __init__(self, items: list[tuple[str, str]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str]]) -> None:
         self.names = [i for i, _ in items]
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         words, row = words_of(data, offsets)
+        self.vocabulary, code = np.unique(words, return_inverse=True)
+        self.code = code.astype(np.int32)
         first = np.searchsorted(row, np.arange(len(items) + 1))
         n = first[1:] - first[:-1]
         count = np.where(n >= WINDOW, n - WINDOW + 1, (n > 0).astype(n.dtype))
-        self.item = np.repeat(np.arange(len(items)), count)
-        self.place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        self.length = np.minimum(WINDOW, n)[self.item]
-        at = (first[:-1][self.item] + self.place)[:, None] + np.arange(WINDOW)
-        inside = np.arange(WINDOW) < self.length[:, None]
-        self.words = np.where(inside, np.concatenate((words, np.zeros(WINDOW, np.uint64)))[np.minimum(at, len(words))], np.uint64(0))
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), count)
+        self.place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        self.length = np.minimum(WINDOW, n).astype(np.int8)[self.item]
+        self.first = first[:-1]
+
+    def present(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose words all occur among the sorted ``known``; their words as places in it, padded, and lengths."""
+        at = np.minimum(np.searchsorted(known, self.vocabulary), len(known) - 1)
+        rank = np.where(known[at] == self.vocabulary, at + 1, 0).astype(np.int32)[self.code]
+        missing = np.concatenate((np.zeros(1, np.int32), np.cumsum(rank == 0, dtype=np.int32)))
+        start = self.first[self.item] + self.place
+        alive = np.flatnonzero(missing[start + self.length] == missing[start])
+        length = self.length[alive].astype(np.int64)
+        inside = np.arange(WINDOW) < length[:, None]
+        words = np.where(inside, np.concatenate((rank, np.zeros(WINDOW, np.int32)))[start[alive][:, None] + np.arange(WINDOW)], 0)
+        return alive, words, length
 
     def matches(self, data: np.ndarray, offsets: np.ndarray):
         """Word counts and hit counts of a shard's rows, and its longest matches (row, item, start, words)."""
@@ -114,17 +126,14 @@ class Windows:
         text = np.zeros(len(words) + rows, np.int64)
         text[at] = ids + 1
         order = suffix_array(text)
-        place = np.minimum(np.searchsorted(known, self.words), len(known) - 1)
-        patterns = np.where(known[place] == self.words, place + 1, -1)
-        used = np.arange(WINDOW) < self.length[:, None]
-        hopeless = ((patterns < 0) & used).any(1)
-        lo, hi = search(text, order, np.where(used, patterns, 0), np.where(hopeless, 0, self.length))
-        n = np.where(hopeless, 0, hi - lo)
-        which = np.repeat(np.arange(len(n)), n)
+        alive, patterns, lengths = self.present(known)
+        lo, hi = search(text, order, patterns, lengths)
+        n = hi - lo
+        which = np.repeat(alive, n)
         hit = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         in_row = np.searchsorted(first[:-1] + np.arange(rows), hit, "right") - 1
         start = hit - first[in_row] - in_row
-        length = self.length[which]
+        length = self.length[which].astype(np.int64)
         cover = np.zeros(len(text) + 1, np.int64)
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + length, -1)
@@ -142,13 +151,26 @@ class Windows:
         return n_words, n_hit, (in_row[head], item[head], start[head], start[tail] + length[tail] - start[head])
 
 
-def benchmark_items(bench: DataFrame) -> list[tuple[str, str]]:
-    """Items that have text; refused beyond ``MOST_BENCHMARK`` bytes."""
-    items = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0
-    if size > MOST_BENCHMARK:
-        raise ValueError(f"the benchmark has {size} bytes; give it in parts of at most {MOST_BENCHMARK} and join the spans")
-    return [(r.item_id, r.text) for r in items.collect()]
+def benchmark_parts(bench: DataFrame) -> list[DataFrame]:
+    """Items that have text, in parts of at most ``MOST_BENCHMARK`` bytes (or of one bucket of items).
+
+    Items are dealt into buckets by hash, and buckets are packed into parts by their sizes.
+    """
+    items = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = F.sum(F.octet_length("text") + 40).alias("size")
+    whole = items.agg(size).first()["size"] or 0
+    if whole <= MOST_BENCHMARK:
+        return [items]
+    n = 16 * -(-whole // MOST_BENCHMARK)
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    parts, room = [], 0
+    for r in sorted(dealt.groupBy("bucket").agg(size).collect(), key=lambda r: r["bucket"]):
+        if not parts or r["size"] > room:
+            parts.append([])
+            room = MOST_BENCHMARK
+        parts[-1].append(r["bucket"])
+        room -= r["size"]
+    return [dealt.where(F.col("bucket").isin(p)).drop("bucket") for p in parts]
 
 
 def find_matches(docs: DataFrame, bench: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -156,25 +178,44 @@ def find_matches(docs: DataFrame, bench: DataFrame, keep: list[str] = ()) -> Dat
 
     ``matches`` lists the longest verbatim runs as (item_id, start word, words); ``n_hit`` counts
     document words inside any window of an item (10 words, or the whole item if shorter).  Null
-    and empty texts have no words; null items are ignored; items that share an id count as one.
+    and empty texts have no words; items without text are ignored; an item with a null id hits
+    like any other, and its runs have a null ``item_id``; items that share an id count as one.
+    A benchmark over ``MOST_BENCHMARK`` bytes is searched part by part, one pass over the
+    documents each, and the runs are united.  ``keep`` may not name a result column.
     """
-    src = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
-    windows = docs.sparkSession.sparkContext.broadcast(Windows(benchmark_items(bench)))
-    schema = T.StructType([
-        *src.schema.fields,
-        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(SPAN)),
-    ])
+    told = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(SPAN))]
+    if clash := {f.name for f in told} & set(keep):
+        raise ValueError(f"columns to keep that the result has itself: {sorted(clash)}")
+    found = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
+    schema = T.StructType([*found.schema.fields, *told])
+    for k, part in enumerate(benchmark_parts(bench)):
+        found = _searched(found, Windows([(r.item_id, r.text) for r in part.collect()]), schema, bool(k))
+    return found
+
+
+def _searched(src: DataFrame, windows: Windows, schema: T.StructType, again: bool) -> DataFrame:
+    """One pass with the windows of a part; ``again``: the rows carry the runs of earlier parts."""
+    shared = src.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows.value
+        w = shared.value
         names = pa.array(w.names, pa.string())
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in pieces(offsets, SHARD):
                 n_words, n_hit, (row, item, start, length) = w.matches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                spans = pa.StructArray.from_arrays([names.take(pa.array(item, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64())], names=["item_id", "start", "n_words"])
+                ids, part = names.take(pa.array(item, pa.int64())), batch.slice(i, j - i)
+                if again:
+                    before = part.column(part.num_columns - 1)
+                    old = before.flatten()
+                    row = np.concatenate((np.repeat(np.arange(j - i), before.value_lengths().to_numpy()), row))
+                    by = np.argsort(row, kind="stable")
+                    row, ids = row[by], pa.concat_arrays([old.field(0), ids]).take(pa.array(by))
+                    start, length = (np.concatenate((old.field(f).to_numpy(), x))[by] for f, x in ((1, start), (2, length)))
+                    n_hit = united(row, start, length, j - i)
+                    part = pa.RecordBatch.from_arrays(part.columns[:-3], names=schema.names[:-3])
+                spans = pa.StructArray.from_arrays([ids, pa.array(start, pa.int64()), pa.array(length, pa.int64())], names=["item_id", "start", "n_words"])
                 ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), spans)],
                     names=schema.names,
@@ -183,6 +224,19 @@ def find_matches(docs: DataFrame, bench: DataFrame, keep: list[str] = ()) -> Dat
     return src.mapInArrow(run, schema)
 
 
+def united(row: np.ndarray, start: np.ndarray, length: np.ndarray, rows: int) -> np.ndarray:
+    """Places that the runs of each row cover, each counted once."""
+    by = np.lexsort((start, row))
+    row, start, end = row[by], start[by], (start + length)[by]
+    if not len(row):
+        return np.zeros(rows, np.int64)
+    far = int(end.max()) + 1  # rows laid out one behind the other
+    a, z = start + row * far, end + row * far
+    reach = np.maximum.accumulate(z)
+    before = np.concatenate(([0], reach[:-1]))
+    return np.bincount(row, weights=np.maximum(0, z - np.maximum(a, before)), minlength=rows).astype(np.int64)
+
+
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents without any word in a benchmark window, columns as given."""
     names = {c: c if c in ("doc_id", "text") else f"kept_{k}" for k, c in enumerate(docs.columns)}
@@ -192,7 +246,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def report(found: DataFrame) -> DataFrame:
     """Digest columns of ``find_matches``."""
-    items = F.array_sort(F.array_distinct("matches.item_id"))
+    items = F.array_sort(F.array_distinct(F.array_compact("matches.item_id")))
     return found.select(
         "doc_id", "n_words", "n_hit",
         F.size(items).cast("long").alias("n_items"),
