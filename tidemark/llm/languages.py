@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.columns import factors, mix, pieces, run_hashes, text_bytes, word_runs
+from tidemark.llm.columns import factors, give_back, mix, pieces, run_hashes, text_bytes, word_runs
 
 #: Bounds of the training sample: rows (dealt evenly among languages) and bytes of their texts.
 MOST_ROWS, MOST_BYTES = 12_000, 24 << 20
 LONGEST, SMOOTHING, SEED = 4, 0.1, 13
+#: Slices of a language's rows that are ranked apart before the sample is taken.
+SLICES = 64
 #: Bytes of text handled at once.
 STEP = 1 << 20
 #: Characters from here on are letters without case (ideographs) up to the next bound.
@@ -215,8 +217,11 @@ def fit(docs: DataFrame) -> Model:
     lang = F.col("lang").cast("string")
     known = docs.where(F.col("doc_id").isNotNull() & lang.isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, MOST_BYTES))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= MOST_ROWS).orderBy("turn", key, "lang").limit(MOST_ROWS)
+    # the first rows of every slice of a language, then of the language: no task ranks more than a bounded number of rows in the end
+    salt = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(SLICES))
+    first = lambda df, *by: df.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(key, "doc_id"))).where(F.col("turn") <= MOST_ROWS)
+    sliced = first(known.select("doc_id", "lang", salt.alias("slice")), "lang", "slice").drop("turn", "slice")
+    ids = first(sliced, "lang").orderBy("turn", key, "lang").limit(MOST_ROWS)
     ids = ids.groupBy("doc_id", "lang").agg(F.min("turn").alias("turn"))
     rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("turn", key, "lang", "text").limit(MOST_ROWS)
 
@@ -235,7 +240,10 @@ def fit(docs: DataFrame) -> Model:
         names = sorted(numbers)
         order = {x: k for k, x in enumerate(names)}
         place = np.array([order[x] for x in numbers], np.int32)
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(counts.state(names, place))]})
+        state = pickle.dumps(counts.state(names, place))
+        del counts
+        give_back()
+        yield pa.RecordBatch.from_pydict({"model": [state]})
 
     got = rows.select("text", "lang").coalesce(1).mapInArrow(run, "model binary").collect()
     return Model(pickle.loads(got[0].model) if got else Counts().state([], np.zeros(0, np.int32)))
@@ -260,6 +268,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in pieces(offsets, STEP):
                 best[i:j], share[i:j] = m.judge(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names[best], pa.string()), pa.array(share)], names=["_row", "lang_pred", "lang_score"])
+        give_back()
 
     return src.mapInArrow(run, schema)
 
