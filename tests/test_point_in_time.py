@@ -96,3 +96,10 @@ def test_guards_raise(spark):
     bars = spark.createDataFrame([("x", DAY, 0, 1.0, "a"), ("x", DAY, 0, 2.0, "b")], "asset string, session_date date, bar int, close double, source string")
     with pytest.raises(Exception, match="disagree"):
         joins.deduplicate_sources(bars).collect()
+
+
+def test_sealed_findings_tell_what_the_guard_refuses(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-02-01"), ("a", "2024-02-01"), ("b", "2024-01-01"), ("c", "2024-03-01"), ("d", None)], "asset string, day string").selectExpr("asset", "cast(day as date) session_date")
+    roles = spark.createDataFrame([("2024-01-01", "D"), ("2024-02-01", "C")], "day string, role string").selectExpr("cast(day as date) session_date", "role")
+    got = {r.asset: (r.rows, r.sealed_rows, r.rows_without_role, str(r.first_sealed), r.sealed_days, r.verdict) for r in quality.sealed_findings(rows, roles, "C", ["asset"]).collect()}
+    assert got == {"a": (3, 2, 0, "2024-02-01", 1, "REFUSED"), "b": (1, 0, 0, "None", 0, "PASS"), "c": (1, 0, 1, "None", 0, "UNASSIGNED"), "d": (1, 0, 1, "None", 0, "UNASSIGNED")}

@@ -255,6 +255,23 @@ def refuse_sealed(df: DataFrame, roles: DataFrame, sealed: str, day: str = "sess
     ).drop("role")
 
 
+def sealed_findings(df: DataFrame, roles: DataFrame, sealed: str, keys: list[str], day: str = "session_date") -> DataFrame:
+    """What ``refuse_sealed`` would stop at, over all rows: counts per key, the sealed days touched, and a verdict.
+
+    Rows are counted per key and day before roles are joined.  A day without a role is told apart;
+    it is not sealed, but no role allows it either.
+    """
+    days = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = days.join(roles.select(day, "role"), day, "left")
+    hit, none = F.col("role") == sealed, F.col("role").isNull()
+    of = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(F.lit(0).cast("bigint")))
+    out = tagged.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"), of(hit).alias("sealed_rows"), of(none).alias("rows_without_role"),
+        F.min(F.when(hit, F.col(day))).alias("first_sealed"), F.count_if(hit).alias("sealed_days"))
+    verdict = F.when(F.col("sealed_rows") > 0, "REFUSED").when(F.col("rows_without_role") > 0, "UNASSIGNED").otherwise("PASS")
+    return out.withColumn("verdict", verdict)
+
+
 def session_bounds_audit(origins: DataFrame, calendar: DataFrame) -> DataFrame:
     """Origins inside, before, after their session and on days without one."""
     c = calendar.select("session_date", "open_us", "close_us", "minutes")

@@ -196,6 +196,16 @@ def _(spark, d):
     return Q.refuse_sealed(t, roles, "C").groupBy("asset").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("flt15_sealed_findings", sql("""
+SELECT asset, count(*) AS rows, count(*) FILTER (role='C') AS sealed_rows, count(*) FILTER (role IS NULL) AS rows_without_role, (min(session_date) FILTER (role='C'))::VARCHAR AS first_sealed,
+ count(DISTINCT session_date) FILTER (role='C') AS sealed_days, CASE WHEN count(*) FILTER (role='C')>0 THEN 'REFUSED' WHEN count(*) FILTER (role IS NULL)>0 THEN 'UNASSIGNED' ELSE 'PASS' END AS verdict
+FROM tape LEFT JOIN (SELECT session_date, CASE WHEN session_date<=DATE '2024-01-15' THEN 'D' WHEN session_date<=DATE '2024-01-24' THEN 'V' WHEN session_date<=DATE '2024-12-31' THEN 'C' END AS role FROM cal) USING (session_date) GROUP BY 1"""))
+def _(spark, d):
+    """The guard over the whole tape, which has sealed days."""
+    roles = X.calendar(spark, d).select("session_date", Q.assign_role(F.col("session_date"), ROLES).alias("role"))
+    return Q.sealed_findings(X.tape(spark, d), roles, "C", ["asset"])
+
+
 @query("flt16_session_bounds", sql("""
 SELECT asset, count(*) AS origins, count(*) FILTER (minutes>0 AND executed_us>=open_us AND executed_us<=open_us+minutes*60000000) AS inside,
  count(*) FILTER (minutes>0 AND executed_us<open_us) AS before_open, count(*) FILTER (minutes>0 AND executed_us>open_us+minutes*60000000) AS after_close,
