@@ -24,3 +24,11 @@ def test_pipeline(spark):
     got = [(r.doc_id, list(r.ids), r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()]
     same_rows(got, want)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    """Empty tables give no rows and the columns of the last stage."""
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"] and out.count() == 0
