@@ -25,9 +25,11 @@ def h(*parts, at=1):
 
 
 def boot_sql(src="series", key="series", value="value", block=BLOCK, name="boot", reps=REPS):
-    return f"""{name} AS (SELECT {key}, rep, avg({value}) AS m FROM (SELECT d.{key}, d.rep, s.{value} FROM (SELECT {key}, n, rep, b, pos, ({h(SEED,'rep','b')} % n + pos - b*{block}) % n AS idx FROM
-   (SELECT {key}, n, rep, pos, pos//{block} AS b FROM (SELECT {key}, count(*) AS n FROM {src} GROUP BY 1), (SELECT unnest(generate_series(1,{reps})) AS rep), LATERAL (SELECT unnest(generate_series(0, n-1)) AS pos))) d
-   JOIN {src} s ON s.{key}=d.{key} AND s.idx=d.idx) GROUP BY 1,2)"""
+    """Circular block bootstrap means; every possible block is summed once, as a repetition needs blocks, not sessions."""
+    return f"""{name}_n AS (SELECT {key}, count(*) AS n, (count(*)+{block - 1})//{block} AS blocks FROM {src} GROUP BY 1),
+ {name}_s AS (SELECT {key}, start, sum({value}) AS whole, sum({value}) FILTER (o<n-(blocks-1)*{block}) AS cut FROM (SELECT s.{key}, s.{value}, n, blocks, o, ((s.idx-o)%n+n)%n AS start FROM {src} s JOIN {name}_n USING ({key}), (SELECT unnest(range({block})) AS o)) GROUP BY 1,2),
+ {name}_d AS (SELECT {key}, n, blocks, rep, b, {h(SEED,'rep','b')} % n AS start FROM {name}_n, (SELECT unnest(generate_series(1,{reps})) AS rep), LATERAL (SELECT unnest(range(blocks)) AS b)),
+ {name} AS (SELECT {key}, rep, sum(CASE WHEN b=blocks-1 THEN cut ELSE whole END)/max(n) AS m FROM {name}_d JOIN {name}_s USING ({key}, start) GROUP BY 1,2)"""
 
 
 CI = """round(quantile_cont(m,0.025),6) AS ci_low, round(quantile_cont(m,0.975),6) AS ci_high, round(least(1.0::DOUBLE, 2*least((count(*) FILTER (m<=0)+1.0::DOUBLE)/(count(*)+1), (count(*) FILTER (m>=0)+1.0::DOUBLE)/(count(*)+1))),6) AS p_value"""
@@ -75,17 +77,17 @@ SIDX = f"""sidx AS (SELECT rep, pos, n, (max_by_s + pos - lastp) % n AS idx FROM
 
 
 def candidates(spark, d):
-    """Weekly benchmark-minus-candidate means of three candidate forecasts."""
+    """Session benchmark-minus-candidate means of three candidate forecasts."""
     p = X.orders_series(spark, d)
     a, b, w = F.col("actual"), F.col("f_base"), F.col("f_wide")
     c = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("v")) for n, v in (
         ("log_ols|wide", qlike(a, b) - qlike(a, w)), ("log_ols|mean", qlike(a, b) - qlike(a, (b + w) / 2.0)), ("log_ols|low", qlike(a, b) - qlike(a, w * 0.99)))]))
-    long = p.select(F.date_trunc("week", "session_date").cast("date").alias("session_date"), c.alias("_c")).select("session_date", "_c.*").withColumn(
+    long = p.select("session_date", c.alias("_c")).select("session_date", "_c.*").withColumn(
         "family", F.split("model", "\\|")[0])
     return session_series(long, ["family", "model"], "v")
 
 
-CAND = """cand AS (SELECT model, session_date, avg(v) AS value, row_number() OVER (PARTITION BY model ORDER BY session_date)-1 AS idx FROM (SELECT date_trunc('week', session_date)::DATE AS session_date, unnest(['log_ols|wide','log_ols|mean','log_ols|low']) AS model,
+CAND = """cand AS (SELECT model, session_date, avg(v) AS value, row_number() OVER (PARTITION BY model ORDER BY session_date)-1 AS idx FROM (SELECT session_date, unnest(['log_ols|wide','log_ols|mean','log_ols|low']) AS model,
   unnest([q0-(actual/f_wide-ln(actual/f_wide)-1), q0-(actual/((f_base+f_wide)/2)-ln(actual/((f_base+f_wide)/2))-1), q0-(actual/(f_wide*0.99::DOUBLE)-ln(actual/(f_wide*0.99::DOUBLE))-1)]) AS v FROM (SELECT *, actual/f_base-ln(actual/f_base)-1 AS q0 FROM panel)) GROUP BY 1,2),
  nwc AS (SELECT model, avg(value) AS mu, count(*) AS n, greatest((sum(c*c)+2*(1-1/6.0::DOUBLE)*sum(c*l1)+2*(1-2/6.0::DOUBLE)*sum(c*l2)+2*(1-3/6.0::DOUBLE)*sum(c*l3)+2*(1-4/6.0::DOUBLE)*sum(c*l4)+2*(1-5/6.0::DOUBLE)*sum(c*l5))/count(*), 1e-18) AS v FROM
    (SELECT *, lag(c,1) OVER w AS l1, lag(c,2) OVER w AS l2, lag(c,3) OVER w AS l3, lag(c,4) OVER w AS l4, lag(c,5) OVER w AS l5 FROM (SELECT *, value-avg(value) OVER (PARTITION BY model) AS c FROM cand) WINDOW w AS (PARTITION BY model ORDER BY idx)) GROUP BY 1)"""
@@ -147,7 +149,7 @@ def _(spark, d):
     return X.orders_series(spark, d).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.avg(t).alias("mean_adjusted"))
 
 
-GW_SQL = """gws AS (SELECT asset AS series, date_trunc('week', session_date)::DATE AS w, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS d, avg(ln(f_base)) AS z FROM panel GROUP BY 1,2),
+GW_SQL = """gws AS (SELECT asset AS series, session_date AS w, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS d, avg(ln(f_base)) AS z FROM panel GROUP BY 1,2),
  gwc AS (SELECT series, count(*) AS n, regr_intercept(d,z) AS b0, regr_slope(d,z) AS b1, sum(z) AS sz, sum(z*z) AS szz FROM gws GROUP BY 1),
  gwm AS (SELECT series, max(n) AS n, max(b0) AS b0, max(b1) AS b1, max(sz) AS sz, max(szz) AS szz, sum(e*e) AS m00, sum(z*e*e) AS m01, sum(z*z*e*e) AS m11 FROM (SELECT g.series, n, b0, b1, sz, szz, z, d-b0-b1*z AS e FROM gws g JOIN gwc USING (series)) GROUP BY 1)"""
 
@@ -155,7 +157,7 @@ GW_SQL = """gws AS (SELECT asset AS series, date_trunc('week', session_date)::DA
 def gw_sessions(spark, d):
     p = X.orders_series(spark, d)
     diff = qlike(F.col("actual"), F.col("f_base")) - qlike(F.col("actual"), F.col("f_wide"))
-    return p.groupBy(F.col("asset").alias("series"), F.date_trunc("week", "session_date").cast("date").alias("session_date")).agg(
+    return p.groupBy(F.col("asset").alias("series"), "session_date").agg(
         F.avg(diff).alias("value"), F.avg(F.log("f_base")).alias("z"), F.avg(F.log(F.col("actual") / F.col("f_base"))).alias("log_bias"))
 
 
@@ -187,12 +189,12 @@ def confidence_sql(rounds: int, alpha: float = 0.1) -> str:
 
 
 LOSSES_SQL = """series AS (SELECT asset||'#'||model AS series, w AS session_date, avg(loss) AS value, row_number() OVER (PARTITION BY asset, model ORDER BY w)-1 AS idx FROM
- (SELECT asset, date_trunc('week', session_date)::DATE AS w, unnest(['base','wide']) AS model, unnest([actual/f_base-ln(actual/f_base)-1, actual/f_wide-ln(actual/f_wide)-1]) AS loss FROM panel) GROUP BY asset, model, w)"""
+ (SELECT asset, session_date AS w, unnest(['base','wide']) AS model, unnest([actual/f_base-ln(actual/f_base)-1, actual/f_wide-ln(actual/f_wide)-1]) AS loss FROM panel) GROUP BY asset, model, w)"""
 
 
 @query("inf10_model_confidence_set", sql("SELECT asset, model, round(p,6) AS mcs_p, survives FROM s2", LOSSES_SQL, boot_sql(reps=MCS_REPS), confidence_sql(2)))
 def _(spark, d):
-    c = long_losses(spark, d).select("asset", "model", F.date_trunc("week", "session_date").cast("date").alias("session_date"), "loss")
+    c = long_losses(spark, d).select("asset", "model", "session_date", "loss")
     return I.model_confidence_set(session_series(c, ["asset", "model"], "loss"), ["asset"], "model", BLOCK, MCS_REPS, SEED)
 
 
@@ -233,7 +235,7 @@ def _(spark, d):
 
 @query("inf14_bias_regression", sql("""
 SELECT series, count(*) AS days, round(regr_slope(d,b),6) AS slope, round(regr_slope(d,b)/sqrt((regr_syy(d,b)-pow(regr_sxy(d,b),2)/regr_sxx(d,b))/(count(*)-2)/regr_sxx(d,b)),4) AS slope_t, round(regr_r2(d,b),6) AS r_squared FROM
- (SELECT asset AS series, date_trunc('week', session_date) AS w, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS d, avg(ln(actual/f_base)) AS b FROM panel GROUP BY 1,2) GROUP BY 1"""))
+ (SELECT asset AS series, session_date AS w, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS d, avg(ln(actual/f_base)) AS b FROM panel GROUP BY 1,2) GROUP BY 1"""))
 def _(spark, d):
     return I.bias_regression(gw_sessions(spark, d), ["series"], "value", "log_bias").withColumn("slope_t", F.round("slope_t", 4))
 
@@ -244,13 +246,13 @@ SELECT e.series, e.estimate, e.sessions, ci_low, ci_high, p_value, round(({tq_sq
  (SELECT asset AS series, 0.02::DOUBLE*avg(actual/f_base-ln(actual/f_base)-1) AS bd FROM panel GROUP BY 1) USING (series)""", SERIES_SQL, boot_sql(), NW_SQL, wild_sql(RADEMACHER, "wild")))
 def _(spark, d):
     p = X.orders_series(spark, d)
-    ls = p.select(F.col("asset").alias("series"), F.date_trunc("week", "session_date").cast("date").alias("session_date"),
+    ls = p.select(F.col("asset").alias("series"), "session_date",
                   qlike(F.col("actual"), F.col("f_base")).alias("lb"), qlike(F.col("actual"), F.col("f_wide")).alias("lw"))
     return I.session_contrast(ls, ["series"], "lb", "lw", BLOCK, REPS, SEED, 2).drop("hac_se")
 
 
 VIEW_SQL = f"""vd AS (SELECT dimension, vw, session_date, row_number() OVER (PARTITION BY dimension, vw ORDER BY session_date)-1 AS idx, dimension||'#'||vw AS series, total, rows FROM (SELECT dimension, vw, session_date, sum(d) AS total, count(d) AS rows FROM
-   (SELECT unnest(['global','asset','quarter']) AS dimension, unnest(['all', asset, quarter(session_date)::VARCHAR]) AS vw, date_trunc('week', session_date)::DATE AS session_date, actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide)) AS d FROM panel) GROUP BY 1,2,3)),
+   (SELECT unnest(['global','asset','quarter']) AS dimension, unnest(['all', asset, quarter(session_date)::VARCHAR]) AS vw, session_date, actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide)) AS d FROM panel) GROUP BY 1,2,3)),
  vb AS (SELECT series, rep, sum(total)/sum(rows) AS m FROM (SELECT d.series, d.rep, s.total, s.rows FROM (SELECT series, rep, {h(SEED,'rep','pos')} % n AS idx FROM (SELECT series, count(*) AS n FROM vd GROUP BY 1), (SELECT unnest(generate_series(1,{REPS})) AS rep), LATERAL (SELECT unnest(generate_series(0, n-1)) AS pos)) d
    JOIN vd s ON s.series=d.series AND s.idx=d.idx) GROUP BY 1,2),
  vc AS (SELECT series, {CI.replace("round(least(","(least(").replace(",6) AS p_value",") AS p_value")} FROM vb GROUP BY 1),
@@ -263,7 +265,7 @@ SELECT dimension, vw AS "view", round(estimate,6) AS estimate, clusters, observa
 def _(spark, d):
     p = X.orders_series(spark, d)
     diff = qlike(F.col("actual"), F.col("f_base")) - qlike(F.col("actual"), F.col("f_wide"))
-    ls = p.select("asset", F.quarter("session_date").alias("q"), F.date_trunc("week", "session_date").cast("date").alias("session_date"), diff.alias("difference"))
+    ls = p.select("asset", F.quarter("session_date").alias("q"), "session_date", diff.alias("difference"))
     out = I.evaluation_views(ls, {"global": F.lit("all"), "asset": F.col("asset"), "quarter": F.col("q")}, REPS, SEED)
     return out
 

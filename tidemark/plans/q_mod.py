@@ -24,7 +24,7 @@ from .q_win import B0_SQL, DAYS_SQL, EWMA_SQL, FWD_SQL
 from .registry import query
 from .standin import sql
 
-REG = """reg AS (SELECT origin_id, asset, session_date, date_trunc('week', session_date)::DATE AS week, actual AS target, ln(actual) AS y, f_base, f_wide, ln(f_base) AS x1, ln(f_wide) AS x2, (account%7)/7.0::DOUBLE AS x3,
+REG = """reg AS (SELECT origin_id, asset, session_date, actual AS target, ln(actual) AS y, f_base, f_wide, ln(f_base) AS x1, ln(f_wide) AS x2, (account%7)/7.0::DOUBLE AS x3,
   CASE WHEN origin_id%10<>0 THEN (account%11)/11.0::DOUBLE END AS x4, session_date<DATE '1999-01-01' AS is_train FROM panel)"""
 
 
@@ -35,7 +35,7 @@ def train():
 def reg(spark, d):
     p = X.orders_series(spark, d)
     return p.select(
-        "origin_id", "asset", "session_date", F.date_trunc("week", "session_date").cast("date").alias("week"), F.col("actual").alias("target"), "f_base", "f_wide", "account",
+        "origin_id", "asset", "session_date", F.col("actual").alias("target"), "f_base", "f_wide", "account",
         F.log("f_base").alias("x1"), F.log("f_wide").alias("x2"), ((F.col("account") % 7) / 7.0).alias("x3"),
         F.when(F.col("origin_id") % 10 != 0, (F.col("account") % 11) / 11.0).alias("x4"),
         (F.col("session_date") < F.lit("1999-01-01").cast("date")).alias("is_train"), date_micros("session_date").alias("origin_us"))
@@ -312,11 +312,11 @@ def tuned(spark, d):
 
 
 SCALED = ["v1", "v2", "v3"]
-PARTS_SQL = """pr AS (SELECT fold, CASE WHEN session_date BETWEEN test_start AND test_end THEN 'test' WHEN session_date>=v0 AND session_date<=t0-1 THEN 'validate' WHEN session_date<v0 AND session_date<=v0-1 THEN 'fit' ELSE 'purged' END AS part, week, asset, target, y, x1, x2, x3
+PARTS_SQL = """pr AS (SELECT fold, CASE WHEN session_date BETWEEN test_start AND test_end THEN 'test' WHEN session_date>=v0 AND session_date<=t0-1 THEN 'validate' WHEN session_date<v0 AND session_date<=v0-1 THEN 'fit' ELSE 'purged' END AS part, session_date, asset, target, y, x1, x2, x3
   FROM reg, (SELECT f.*, (SELECT min(session_date) FROM (SELECT DISTINCT session_date FROM reg WHERE session_date<=f.train_end ORDER BY 1 DESC LIMIT 100)) AS v0, (SELECT min(session_date) FROM reg WHERE session_date BETWEEN f.test_start AND f.test_end) AS t0 FROM f3 f)
   WHERE session_date<=train_end OR session_date BETWEEN test_start AND test_end),
  ps AS (SELECT fold, avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2, avg(x3) m3, stddev_pop(x3) s3 FROM pr WHERE part='fit' GROUP BY 1),
- pz AS (SELECT fold, part, week, asset, target, y, (x1-m1)/s1 AS v1, (x2-m2)/s2 AS v2, (x3-m3)/s3 AS v3 FROM pr JOIN ps USING (fold))"""
+ pz AS (SELECT fold, part, session_date, asset, target, y, (x1-m1)/s1 AS v1, (x2-m2)/s2 AS v2, (x3-m3)/s3 AS v3 FROM pr JOIN ps USING (fold))"""
 
 
 def tune_sql(name: str, x: list[str], alphas: list[float]) -> str:
@@ -329,7 +329,7 @@ def tune_sql(name: str, x: list[str], alphas: list[float]) -> str:
  {name}c AS (SELECT fold, arg_min(alpha, (q, alpha)) AS alpha, min(q) AS validation_qlike FROM {name}v GROUP BY 1),
  {fit_sql(f'{name}r', f"(SELECT * FROM pz JOIN {name}c USING (fold) WHERE part IN ('fit','validate'))", ['fold', 'alpha'], x, 'y', 'alpha')},
  {name}rs AS (SELECT fold, exp(0.5*var_pop(y-{p})) AS sm FROM pz JOIN {name}r USING (fold) WHERE part IN ('fit','validate') GROUP BY 1),
- {name} AS (SELECT fold, c.alpha, validation_qlike, week, asset, target, exp({p})*sm AS f FROM pz JOIN {name}r USING (fold) JOIN {name}rs USING (fold) JOIN {name}c c USING (fold) WHERE part='test')"""
+ {name} AS (SELECT fold, c.alpha, validation_qlike, session_date, asset, target, exp({p})*sm AS f FROM pz JOIN {name}r USING (fold) JOIN {name}rs USING (fold) JOIN {name}c c USING (fold) WHERE part='test')"""
 
 
 @query("mod14_grid_tuning", sql(f"""
@@ -418,7 +418,7 @@ def ladder(spark, d, families):
         fit = R.positive_glm(rows, ["family", "power", "set"], x, F.col("target"), F.lit(True), F.col("power"))
         fit = fit.select("family", "set", F.concat("coef", F.array_repeat(F.lit(0.0), len(bases))).alias("coef"), F.lit(1.0).alias("smearing"))
         fits = fit if fits is None else fits.unionByName(fit)
-    kept = ["origin_id", F.col("week").alias("session_date"), "asset", "target", "is_train"]
+    kept = ["origin_id", "session_date", "asset", "target", "is_train"]
     out = None
     if fits is not None:
         one_row = materialise(fits.agg(F.collect_list(F.struct("family", "set", "coef", "smearing")).alias("_f")))
@@ -452,23 +452,23 @@ def contrasts(losses):
 def ladder_sql() -> str:
     """CTEs ``ls``: losses by family, set and kind of the plain families; ``lad`` and ``series``: their contrasts."""
     names = ["z1", "z2", "x3"]
-    out = ["zl AS (SELECT origin_id, week, target, y, is_train, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2, x3 FROM reg, (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train))"]
+    out = ["zl AS (SELECT origin_id, session_date, target, y, is_train, (x1-m1)/s1 AS z1, (x2-m2)/s2 AS z2, x3 FROM reg, (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2 FROM reg WHERE is_train))"]
     level = []
     for fam in ("log_ols", "ridge"):
         for name, places in SETS.items():
             x, tag = [names[i] for i in places], f"{fam}_{name}"
             out += [fit_sql(tag, "(SELECT * FROM zl WHERE is_train)", [], x, "y", "1.0::DOUBLE" if fam == "ridge" else "0"), f"{tag}_sm AS (SELECT exp(0.5*var_pop(y-{predicted(x)})) AS sm FROM zl, {tag} WHERE is_train)"]
-            level.append(f"SELECT '{fam}' AS family, '{name}' AS set, origin_id, week, target, y, is_train, exp({predicted(x, f'{tag}.')})*sm AS f FROM zl, {tag}, {tag}_sm")
+            level.append(f"SELECT '{fam}' AS family, '{name}' AS set, origin_id, session_date, target, y, is_train, exp({predicted(x, f'{tag}.')})*sm AS f FROM zl, {tag}, {tag}_sm")
     sets = ", ".join(f"('{f}', {p!r}::DOUBLE, '{n}', {', '.join(str(int(i in q)) for i in range(3))})" for f, p in GLMS.items() for n, q in SETS.items())
-    out.append(f"zg AS (SELECT origin_id, week, target, y, is_train, family, power, set, z1*k1 AS v1, z2*k2 AS v2, x3*k3 AS v3 FROM zl, (VALUES {sets}) k(family, power, set, k1, k2, k3))")
+    out.append(f"zg AS (SELECT origin_id, session_date, target, y, is_train, family, power, set, z1*k1 AS v1, z2*k2 AS v2, x3*k3 AS v3 FROM zl, (VALUES {sets}) k(family, power, set, k1, k2, k3))")
     out.append(glm_sql("lg", "(SELECT family, power, set, target, v1, v2, v3 FROM zg WHERE is_train)", ["family", "power", "set"], ["v1", "v2", "v3"], "power"))
-    level.append(f"SELECT family, set, origin_id, week, target, y, is_train, exp({predicted(['v1', 'v2', 'v3'])}) FROM zg JOIN lg USING (family, power, set)")
+    level.append(f"SELECT family, set, origin_id, session_date, target, y, is_train, exp({predicted(['v1', 'v2', 'v3'])}) FROM zg JOIN lg USING (family, power, set)")
     out.append(f"fc AS MATERIALIZED ({' UNION ALL '.join(level)})")
     out.append("lcal AS (SELECT family, set, regr_slope(y, ln(f)) AS slope, regr_intercept(y, ln(f)) AS intercept FROM fc WHERE is_train GROUP BY 1,2)")
-    out.append(f"ls AS MATERIALIZED (SELECT family, set, origin_id, week, kind, slope, intercept, {qlike_sql('target', 'v')} AS loss FROM (SELECT *, unnest(['raw','recalibrated']) AS kind, unnest([f, exp(intercept+slope*ln(f))]) AS v FROM fc JOIN lcal USING (family, set) WHERE NOT is_train))")
+    out.append(f"ls AS MATERIALIZED (SELECT family, set, origin_id, session_date, kind, slope, intercept, {qlike_sql('target', 'v')} AS loss FROM (SELECT *, unnest(['raw','recalibrated']) AS kind, unnest([f, exp(intercept+slope*ln(f))]) AS v FROM fc JOIN lcal USING (family, set) WHERE NOT is_train))")
     pairs = ", ".join(f"('{c}', '{a}', '{b}')" for c, (a, b) in CONTRASTS.items())
-    out.append(f"lad AS MATERIALIZED (SELECT a.family || '#' || contrast || '#' || a.kind AS series, a.week, a.loss AS lb, b.loss AS lw FROM (VALUES {pairs}) c(contrast, base, wide) JOIN ls a ON a.set=base JOIN ls b ON b.set=wide AND b.family=a.family AND b.kind=a.kind AND b.origin_id=a.origin_id)")
-    out.append("series AS MATERIALIZED (SELECT series, week AS session_date, avg(lb-lw) AS value, row_number() OVER (PARTITION BY series ORDER BY week)-1 AS idx FROM lad GROUP BY 1,2)")
+    out.append(f"lad AS MATERIALIZED (SELECT a.family || '#' || contrast || '#' || a.kind AS series, a.session_date, a.loss AS lb, b.loss AS lw FROM (VALUES {pairs}) c(contrast, base, wide) JOIN ls a ON a.set=base JOIN ls b ON b.set=wide AND b.family=a.family AND b.kind=a.kind AND b.origin_id=a.origin_id)")
+    out.append("series AS MATERIALIZED (SELECT series, session_date, avg(lb-lw) AS value, row_number() OVER (PARTITION BY series ORDER BY session_date)-1 AS idx FROM lad GROUP BY 1,2)")
     return ",\n ".join(out)
 
 
@@ -532,8 +532,8 @@ def _(spark, d):
 CROSSED = ["x2", "x3", "x2*u", "x2*hi", "x3*u", "x3*hi"]
 LEARNER_SQL = f"""lo AS (SELECT r.*, exp(a+b*x1)*exp(0.5*v) AS f, (asset='1-URGENT')::INT AS u, (asset='2-HIGH')::INT AS hi FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v
    FROM (SELECT DISTINCT asset FROM reg) h JOIN reg r ON r.asset<>h.asset WHERE r.is_train GROUP BY 1) USING (asset)),
- lr AS (SELECT *, target-f AS e, row_number() OVER (PARTITION BY week ORDER BY origin_id) AS ra, row_number() OVER (PARTITION BY week ORDER BY {h(650, 'origin_id')}, origin_id) AS rb FROM lo),
- le AS (SELECT unnest(['real','placebo']) AS kind, unnest([a.e, b.e]) AS e, a.target, a.f, a.is_train, a.x2, a.x3, a.u, a.hi FROM lr a JOIN lr b ON a.week=b.week AND a.ra=b.rb)"""
+ lr AS (SELECT *, target-f AS e, row_number() OVER (PARTITION BY session_date ORDER BY origin_id) AS ra, row_number() OVER (PARTITION BY session_date ORDER BY {h(650, 'origin_id')}, origin_id) AS rb FROM lo),
+ le AS (SELECT unnest(['real','placebo']) AS kind, unnest([a.e, b.e]) AS e, a.target, a.f, a.is_train, a.x2, a.x3, a.u, a.hi FROM lr a JOIN lr b ON a.session_date=b.session_date AND a.ra=b.rb)"""
 
 
 @query("mod17_residual_learner", sql(f"""
@@ -543,7 +543,7 @@ def _(spark, d):
     r = M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target", train()).withColumn("residual", F.col("target") - F.col("forecast"))
     c = M.interactions(["x2", "x3"], "asset", ["1-URGENT", "2-HIGH"])
     real = M.residual_learner(r, c, "residual", "forecast", train())
-    fake = M.residual_learner(M.permute_within(r, ["week"], "residual", "origin_id", 650), c, "permuted", "forecast", train())
+    fake = M.residual_learner(M.permute_within(r, ["session_date"], "residual", "origin_id", 650), c, "permuted", "forecast", train())
     out = real.withColumn("kind", F.lit("real")).select("kind", "target", "forecast", "corrected", "is_train").unionByName(
         fake.withColumn("kind", F.lit("placebo")).select("kind", "target", "forecast", "corrected", "is_train"))
     return out.where(~train()).groupBy("kind").agg(
@@ -559,7 +559,7 @@ def _(spark, d):
 
 @query("mod19_double_ml")
 def _(spark, d):
-    r = reg(spark, d).withColumn("session_date", F.col("week"))
+    r = reg(spark, d)
     return R.double_ml(r, ["asset"], F.log("target"), {"x2": F.col("x2"), "x3": F.col("x3")}, cols("x1"), 5)
 
 
@@ -567,7 +567,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.evaluate import holm
 
-    r = reg(spark, d).withColumn("session_date", F.col("week"))
+    r = reg(spark, d)
     t = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("y")) for n, c in (
         ("log", F.log("target")), ("level", F.col("target")), ("sqrt", F.sqrt("target")), ("excess", F.log("target") - F.col("x1")))]))
     long = r.select("session_date", "x1", "x2", "x3", t.alias("_t")).select("session_date", "x1", "x2", "x3", F.col("_t.name").alias("response"), F.col("_t.y").alias("y"))
@@ -581,7 +581,7 @@ def _(spark, d):
     r = reg(spark, d).withColumn("included", F.col("x4").isNotNull() & (F.col("x3") > 0.1))
     w = M.inclusion_weights(r, ["x1", "x3"], "included", reg=0.01).where(F.col("included"))
     diff = qlike(F.col("target"), F.col("f_base")) - qlike(F.col("target"), F.col("f_wide"))
-    days = M.weighted_contrast(w.withColumns({"d": diff, "session_date": F.col("week"), "series": F.col("asset")}), ["series"], "d", "weight")
+    days = M.weighted_contrast(w.withColumns({"d": diff, "series": F.col("asset")}), ["series"], "d", "weight")
     s = session_series(days, ["series"], "weighted_mean")
     return I.newey_west(s, ["series"], 2).select("series", "clusters", "estimate", "cluster_t", "nw_p")
 
@@ -598,12 +598,12 @@ def _(spark, d):
     parts = materialise(fold_parts(spark, d))
     runs = []
     for fam, alphas in (("ridge_light", [0.01]), ("ridge_tuned", [0.1, 1.0, 100.0])):
-        base = M.tune_ridge(parts, ["fold"], cols("s_x1"), "target", alphas).select("origin_id", "fold", "week", "asset", "target", F.col("forecast").alias("fb"))
+        base = M.tune_ridge(parts, ["fold"], cols("s_x1"), "target", alphas).select("origin_id", "fold", "session_date", "asset", "target", F.col("forecast").alias("fb"))
         wide = M.tune_ridge(parts, ["fold"], cols("s_x1", "s_x2", "s_x3"), "target", alphas).select("origin_id", "fold", F.col("forecast").alias("fw"))
         runs.append(base.join(wide, ["origin_id", "fold"]).withColumn("family", F.lit(fam)))
     both = runs[0].unionByName(runs[1])
     diff = qlike(F.col("target"), F.col("fb")) - qlike(F.col("target"), F.col("fw"))
-    ls = both.select(F.col("week").alias("session_date"), "family", "asset", diff.alias("difference"))
+    ls = both.select("session_date", "family", "asset", diff.alias("difference"))
     return I.evaluation_views(ls, {"family": F.col("family"), "family_asset": F.concat_ws("|", "family", "asset")}, REPS, 650)
 
 

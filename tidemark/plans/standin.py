@@ -163,19 +163,16 @@ def sql(body: str, *ctes: str) -> str:
 
 
 def loss_series(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly loss-difference series per order priority: series, session_date, value, origins, idx."""
+    """Loss-difference series per order priority, one row a session: series, session_date, value, origins, idx."""
     from ..functions.columns import qlike
     from ..operators.series import session_series
 
     p = orders_series(spark, d)
     diff = qlike(F.col("actual"), F.col("f_base")) - qlike(F.col("actual"), F.col("f_wide"))
-    weekly = p.select(
-        F.col("asset").alias("series"), F.date_trunc("week", "session_date").cast("date").alias("session_date"),
-        diff.alias("diff"))
-    return session_series(weekly, ["series"], "diff")
+    return session_series(p.select(F.col("asset").alias("series"), "session_date", diff.alias("diff")), ["series"], "diff")
 
 
 SERIES_SQL = """series AS (
-  SELECT asset AS series, date_trunc('week', session_date)::DATE AS session_date, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS value,
-    count(*) AS origins, row_number() OVER (PARTITION BY asset ORDER BY date_trunc('week', session_date)::DATE)-1 AS idx
+  SELECT asset AS series, session_date, avg(actual/f_base-ln(actual/f_base)-(actual/f_wide-ln(actual/f_wide))) AS value,
+    count(*) AS origins, row_number() OVER (PARTITION BY asset ORDER BY session_date)-1 AS idx
   FROM panel GROUP BY 1,2)"""
