@@ -141,3 +141,33 @@ def test_block_bootstrap_interval_covers_the_mean(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(g.normal(size=60))], "s string, idx bigint, value double")
     r = inference.block_bootstrap(df, ["s"], 5, 300, 650).collect()[0]
     assert r["ci_low"] < r["estimate"] < r["ci_high"] and 0 < r["p_value"] <= 1
+
+
+def test_double_ml_fills_missing_controls_by_fold(spark):
+    g = np.random.default_rng(11)
+    n, sessions = 500, 20
+    s = np.sort(g.integers(0, sessions, n))
+    x = np.column_stack([g.normal(size=n), g.gamma(2.0, size=n)])
+    d = x @ np.array([0.5, 0.2]) + g.normal(size=n)
+    y = x @ np.array([1.0, -1.0]) + 0.7 * d + g.normal(size=n)
+    x[g.random(n) < 0.2, 1] = np.nan
+    p = pd.DataFrame({"k": "a", "session_date": pd.to_datetime("2024-01-01") + pd.to_timedelta(s, unit="D"), "y": y, "d": d, "x0": x[:, 0], "x1": x[:, 1]})
+    df = spark.createDataFrame(p).withColumn("session_date", F.to_date("session_date"))
+    got = regression.double_ml(df, ["k"], F.col("y"), {"d": F.col("d")}, [F.col("x0"), F.col("x1")], 4).collect()[0]
+    rank = np.unique(s, return_inverse=True)[1]
+    ry, rd = np.zeros(n), np.zeros(n)
+    for chunk in np.array_split(np.unique(rank), 4):
+        a, b = chunk[0], chunk[-1]
+        te, tr = (rank >= a) & (rank <= b), (rank < a - 1) | (rank > b + 1)
+        filled = np.where(np.isnan(x), np.nanmedian(x[tr], axis=0), x)
+        z = np.column_stack([np.ones(n), (filled - filled[tr].mean(axis=0)) / filled[tr].std(axis=0), np.isnan(x[:, 1])])
+        for v, out in ((y, ry), (d, rd)):
+            w = np.linalg.solve(z[tr].T @ z[tr] + 1e-6 * np.eye(4), z[tr].T @ v[tr])
+            out[te] = v[te] - z[te] @ w
+    theta = (rd @ ry) / (rd @ rd)
+    u = np.array([(rd * (ry - theta * rd))[rank == c].sum() for c in np.unique(rank)])
+    assert got["rows"] == n and got["clusters"] == u.size
+    assert got["theta"] == pytest.approx(theta, rel=1e-6)
+    assert got["se"] == pytest.approx(math.sqrt((u @ u) / (rd @ rd) ** 2 * u.size / (u.size - 1)), rel=1e-6)
+    gone = regression.double_ml(df.withColumn("x1", F.lit(None).cast("double")), ["k"], F.col("y"), {"d": F.col("d")}, [F.col("x0"), F.col("x1")], 4)
+    assert gone.count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import VARIANCE_FLOOR, floored, with_scalars
+from ..functions.columns import VARIANCE_FLOOR, finite, floored, with_scalars
 from ..functions.special import chi2_sf, t_two_sided
 
 ARRAY = T.ArrayType(T.DoubleType())
@@ -206,35 +206,105 @@ def elastic_net_path(mom: DataFrame, keys: list[str], k: int, alphas: list[float
     return path.withColumn("alpha", F.array(*[F.lit(a) for a in order])[F.col("_p")]).drop("_f", "_p")
 
 
+def masked(features: list[Column]) -> list[Column]:
+    """A constant, the features with zero for what is missing or not finite, and their missing flags.
+
+    A fill with any value v is linear in these columns (feature + v * flag), so the moments of a
+    design imputed and scaled by the statistics of any fold follow from theirs without the rows.
+    """
+    x = [finite(c.cast("double")) for c in features]
+    return [F.lit(1.0), *[F.coalesce(c, F.lit(0.0)) for c in x], *[F.when(c.isNull(), 1.0).otherwise(0.0) for c in x]]
+
+
+def solve_imputed(mom: DataFrame, k: int, m: int, fills: list[Column], ridge: float = 0.0, name: str = "coef") -> DataFrame:
+    """Ridge fits on imputed, standardised features with flags, from moments of :func:`masked` columns.
+
+    ``k`` features; ``fills`` holds what stands in for a missing value of each, per row of ``mom``.
+    Means, deviations and flags (only of features that miss in these moments) are of the filled
+    columns.  The coefficients are over the masked columns, row-major.  Null where there are no more rows
+    than columns or a feature is wholly missing.
+    """
+    size, iu = 1 + 2 * k, pairs(1 + 2 * k)
+
+    @F.pandas_udf(ARRAY)
+    def fit(n: pd.Series, g: pd.Series, c: pd.Series, fill: pd.Series) -> pd.Series:
+        out = []
+        for ni, gi, ci, fi in zip(n, g, c, fill):
+            u = np.zeros((size, size))
+            for (i, j), v in zip(iu, gi):
+                u[i, j] = u[j, i] = v
+            b = np.asarray(ci, float).reshape(size, m)
+            fi = np.array([np.nan if v is None else v for v in fi], float)
+            gone = u[0, 1 + k:]
+            if ((gone > 0) & ~np.isfinite(fi)).any():
+                out.append(None)
+                continue
+            basis = [np.eye(size)[0]]
+            for a in range(k):
+                d = np.eye(size)[1 + a] + (fi[a] if gone[a] > 0 else 0.0) * np.eye(size)[1 + k + a]
+                mean = u[0] @ d / ni
+                spread = np.sqrt(max(d @ u @ d / ni - mean * mean, 0.0))
+                basis.append((d - mean * basis[0]) / (spread if spread > max(1e-12, 1e-7 * abs(mean)) else 1.0))
+            basis += [np.eye(size)[1 + k + a] for a in range(k) if gone[a] > 0]
+            a = np.stack(basis, axis=1)
+            if ni <= a.shape[1]:
+                out.append(None)
+                continue
+            w = np.linalg.pinv(a.T @ u @ a + ridge * np.eye(a.shape[1]), rcond=1e-15) @ (a.T @ b)
+            out.append((a @ w).ravel().tolist())
+        return pd.Series(out, dtype=object)
+
+    g = F.array(*[F.col(f"_g{i}_{j}") for i, j in iu])
+    c = F.array(*[F.col(f"_c{i}_{j}") for i in range(size) for j in range(m)])
+    return mom.withColumn(name, fit(F.col("_n").cast("double"), g, c, F.array(*fills)))
+
+
 def double_ml(
     df: DataFrame, keys: list[str], response: Column, treatments: dict[str, Column], controls: list[Column], folds: int, purge: int = 1,
     ridge: float = 1e-6, session: str = "session_date",
 ) -> DataFrame:
     """Partialling-out with contiguous time folds, purge bands and session-clustered errors.
 
-    Controls include the constant.  Per-session moments are summed to each fold's training set,
-    so all nuisance fits take one pass; residual scores are summed by session for the covariance.
+    A constant is added to the controls; one named among them adds nothing.  Missing controls are filled by the median of each fold's own
+    training rows and flagged; rows leave only for a missing response or treatment.  Per-session
+    moments are summed to each fold's training set, so all nuisance fits take one pass, and medians
+    come from counts per value and set of folds that train on it.  Residual scores are summed by
+    session for the covariance.
     """
+    from ..sources.results import materialise
+    from .quantiles import quantiles_of_counts
     from .series import session_rank
 
     names = list(treatments)
     k, m = len(controls), 1 + len(names)
+    size = 1 + 2 * k
     ranked = session_rank(df, session)
     work = ranked.select(
-        *keys, "session_index", *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(controls)],
-        *[c.cast("double").alias(f"_r{i}") for i, c in enumerate([response, *treatments.values()])]).dropna()
-    xs, rs = [F.col(f"_x{i}") for i in range(k)], [F.col(f"_r{i}") for i in range(m)]
+        *keys, "session_index", *[c.alias(f"_x{i}") for i, c in enumerate(masked(controls))],
+        *[finite(c.cast("double")).alias(f"_r{i}") for i, c in enumerate([response, *treatments.values()])]).dropna(subset=[f"_r{i}" for i in range(m)])
+    xs, rs = [F.col(f"_x{i}") for i in range(size)], [F.col(f"_r{i}") for i in range(m)]
+    work = materialise(work)
     per_session = moments(work, [*keys, "session_index"], xs, rs)
-    n = ranked.agg((F.max("session_index") + 1).alias("_s"))
+    n = df.agg(F.count_distinct(session).alias("_s"))
     small, big = F.floor(F.col("_s") / folds), F.col("_s") % folds
     f = F.col("fold")
     spans = n.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(folds - 1).cast("bigint")))).select(
         "fold", (f * small + F.least(f, big)).alias("_a"), ((f + 1) * small + F.least(f + 1, big) - 1).alias("_b"))
     spans = spans.agg(F.collect_list(F.struct("fold", "_a", "_b")).alias("_f"))
-    spread = with_scalars(per_session, spans).withColumn("_f", F.explode("_f"))
     i = F.col("session_index")
-    train = spread.where((i < F.col("_f._a") - purge) | (i > F.col("_f._b") + purge)).withColumn("fold", F.col("_f.fold"))
-    coef = solve(add_up(train, [*keys, "fold"], k, m), k, m, ridge).select(*keys, "fold", "coef")
+    trains = F.transform(F.filter("_f", lambda s: (i < s["_a"] - purge) | (i > s["_b"] + purge)), lambda s: s["fold"])
+    train = with_scalars(per_session, spans).withColumn("fold", F.explode(trains))
+    fitted = add_up(train, [*keys, "fold"], size, m)
+    if k:
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("_k"), F.when(xs[1 + k + a] == 0, xs[1 + a]).alias("_v")) for a in range(k)]))
+        long = with_scalars(work, spans).select(*keys, trains.alias("_t"), each.alias("_e")).select(*keys, "_t", "_e._k", "_e._v").where(F.col("_v").isNotNull())
+        counts = long.groupBy(*keys, "_t", "_k", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("fold", F.explode("_t"))
+        counts = counts.groupBy(*keys, "fold", "_k", "_v").agg(F.sum("_c").alias("_c"))
+        medians = quantiles_of_counts(counts, [*keys, "fold", "_k"], {"_q": 0.5}).groupBy(*keys, "fold").agg(
+            *[F.max(F.when(F.col("_k") == a, F.col("_q"))).alias(f"_f{a}") for a in range(k)])
+        fitted = fitted.join(medians, [*keys, "fold"], "left")
+    fills = [F.col(f"_f{a}") for a in range(k)] or [F.lit(None).cast("double")]
+    coef = materialise(solve_imputed(fitted, k, m, fills, ridge).where(F.col("coef").isNotNull()).select(*keys, "fold", "coef"))
     placed = with_scalars(work, spans)
     placed = placed.withColumn("fold", F.filter("_f", lambda s: (i >= s["_a"]) & (i <= s["_b"]))[0]["fold"]).drop("_f")
     res = placed.join(coef, [*keys, "fold"])
