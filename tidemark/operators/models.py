@@ -305,6 +305,17 @@ def interactions(flows: list[str], group: str, levels: list[str]) -> dict[str, C
     return out
 
 
+def training_levels(df: DataFrame, group: str, training: Column, most: int = 200) -> list[str]:
+    """Levels of a group among training rows, in order; rows of others get no interaction.
+
+    They become columns of a plan, so more than ``most`` raise; none are left out.
+    """
+    found = sorted(r[0] for r in df.where(training & F.col(group).isNotNull()).select(group).distinct().limit(most + 1).collect())
+    if not found or len(found) > most:
+        raise ValueError(f"{group} has {'no level' if not found else f'over {most} levels'} in training")
+    return found
+
+
 def residual_learner(df: DataFrame, columns: dict[str, Column], residual: str, base: str, training: Column, alpha: float = 1.0) -> DataFrame:
     """Ridge correction of a base forecast learned on its cross-fitted residual."""
     x = [F.lit(1.0), *columns.values()]

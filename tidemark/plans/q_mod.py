@@ -529,11 +529,12 @@ def _(spark, d):
     return w.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(qlike(F.col("target"), F.col("forecast"))), 5).alias("qlike"))
 
 
-CROSSED = ["x2", "x3", "x2*u", "x2*hi", "x3*u", "x3*hi"]
-LEARNER_SQL = f"""lo AS (SELECT r.*, exp(a+b*x1)*exp(0.5*v) AS f, (asset='1-URGENT')::INT AS u, (asset='2-HIGH')::INT AS hi FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v
+LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+CROSSED = ["x2", "x3", *[f"{x}*(asset='{lv}')::INT" for lv in LEVELS for x in ("x2", "x3")]]
+LEARNER_SQL = f"""lo AS (SELECT r.*, exp(a+b*x1)*exp(0.5*v) AS f FROM reg r JOIN (SELECT h.asset, regr_intercept(y,x1) a, regr_slope(y,x1) b, (regr_syy(y,x1)-pow(regr_sxy(y,x1),2)/regr_sxx(y,x1))/count(*) AS v
    FROM (SELECT DISTINCT asset FROM reg) h JOIN reg r ON r.asset<>h.asset WHERE r.is_train GROUP BY 1) USING (asset)),
  lr AS (SELECT *, target-f AS e, row_number() OVER (PARTITION BY session_date ORDER BY origin_id) AS ra, row_number() OVER (PARTITION BY session_date ORDER BY {h(650, 'origin_id')}, origin_id) AS rb FROM lo),
- le AS (SELECT unnest(['real','placebo']) AS kind, unnest([a.e, b.e]) AS e, a.target, a.f, a.is_train, a.x2, a.x3, a.u, a.hi FROM lr a JOIN lr b ON a.session_date=b.session_date AND a.ra=b.rb)"""
+ le AS (SELECT unnest(['real','placebo']) AS kind, unnest([a.e, b.e]) AS e, a.target, a.f, a.is_train, a.x2, a.x3, a.asset FROM lr a JOIN lr b ON a.session_date=b.session_date AND a.ra=b.rb)"""
 
 
 @query("mod17_residual_learner", sql(f"""
@@ -541,7 +542,7 @@ SELECT kind, count(*) AS n, round(avg({qlike_sql('target', 'f')}),6) AS base_qli
                                        REG, LEARNER_SQL, fit_sql("lf", "(SELECT * FROM le WHERE is_train)", ["kind"], CROSSED, "e", "1.0::DOUBLE")))
 def _(spark, d):
     r = M.leave_one_out(reg(spark, d), "asset", cols("x1"), "target", train()).withColumn("residual", F.col("target") - F.col("forecast"))
-    c = M.interactions(["x2", "x3"], "asset", ["1-URGENT", "2-HIGH"])
+    c = M.interactions(["x2", "x3"], "asset", M.training_levels(r, "asset", train()))
     real = M.residual_learner(r, c, "residual", "forecast", train())
     fake = M.residual_learner(M.permute_within(r, ["session_date"], "residual", "origin_id", 650), c, "permuted", "forecast", train())
     out = real.withColumn("kind", F.lit("real")).select("kind", "target", "forecast", "corrected", "is_train").unionByName(
