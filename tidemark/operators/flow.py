@@ -11,9 +11,10 @@ from ..functions import greeks as GK
 from ..functions.columns import MICROS, ceil_div, floor_div, latency_seconds, trade_direction
 from ..functions.time import tenor_years
 from .features import lagged_trades, previous_trade_deltas
+from .gaps import window_gap_squares
 from .ordered import split_lag
 from .panes import cells, spread, with_panes
-from .quantiles import group_quantiles, quantiles_of_counts
+from .quantiles import group_quantiles, quantiles_of_counts, window_quantiles
 
 MULTIPLIER = 100.0
 SHORT_TENOR_YEARS = 7.0 / 365.25
@@ -307,17 +308,6 @@ def gap_moments(events: DataFrame, keys: list[str], time_us: str, bucket_us: int
     return lagged.withColumn("_g", (F.col("_t") - F.col("prev__t")) / float(MICROS))
 
 
-def interarrival_cv(events: DataFrame, keys: list[str], time_us: str, bucket_us: int) -> DataFrame:
-    """Population std of the gaps over their mean; null for a single event or no span."""
-    gaps = gap_moments(events, keys, time_us, bucket_us)
-    s = gaps.groupBy(*keys).agg(
-        (F.sum("_n") - 1).alias("_m"), ((F.max("_t") - F.min("_t")) / float(MICROS)).alias("_span"),
-        F.sum(F.col("_g") * F.col("_g")).alias("_sq"))
-    mean = F.col("_span") / F.col("_m")
-    var = F.greatest(F.col("_sq") / F.col("_m") - mean * mean, F.lit(0.0))
-    return s.select(*keys, F.when((F.col("_m") > 0) & (F.col("_span") > 0), F.sqrt(var) / mean).alias("interarrival_cv"))
-
-
 def burstiness(events: DataFrame, keys: list[str], time_us: str, bucket_us: int) -> DataFrame:
     """Rate, interarrival coefficient of variation and median gap per key; null under 3 rows.
 
@@ -437,14 +427,17 @@ def flow_record(
         *[F.sum(c).alias(c) for c in ("trades", "age", *CHANNEL_SUMS)],
         F.count_if(F.col("_dim") == "contract").alias("contracts"),
         ((F.max("_t1") + F.max("_t0")) / float(MICROS)).alias("observed_span_s"), *extra)
-    # The latency tail and the gaps need rows in order; they read the clocks only.
+    # The latency tail and the gaps need an order; they read the clocks only.
     clocks = with_panes(tape.select("asset", "executed_us", "created_us"), step_us, cutoff_s)
-    lat = clocks.groupBy("asset", "exec_pane", "seen_pane", latency_seconds(F.col("created_us"), F.col("executed_us")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    counted = spread(lat, panes, False).groupBy(*keys, "_v").agg(F.sum("_n").alias("_c"))
-    out = out.join(quantiles_of_counts(counted, keys, {"p95_latency_s": 0.95}), keys, "left")
+    tail = window_quantiles(
+        clocks, ["asset", "exec_pane", "seen_pane"], keys, lambda c: spread(c, panes, False),
+        latency_seconds(F.col("created_us"), F.col("executed_us")), {"p95_latency_s": 0.95})
+    out = out.join(tail, keys, "left")
     if concentration:
-        out = out.join(interarrival_cv(spread(clocks, panes, False), keys, "executed_us", step_us), keys, "left")
+        out = out.join(window_gap_squares(clocks, ["asset"], "executed_us", panes), keys, "left")
+        m, span = F.col("trades") - 1, F.col("observed_span_s")
+        var = F.greatest(F.col("gap_squares") / m - F.pow(span / m, 2.0), F.lit(0.0))
+        out = out.withColumn("interarrival_cv", F.when((m > 0) & (span > 0), F.sqrt(var) / (span / m)))
     o = origins.withColumn("k", floor_div(F.col("origin_us"), step_us)).select("origin_id", "asset", "session_date", "minute", "origin_us", "k")
     j = o.join(out, keys, "left")
     window_s = panes * step_us / MICROS

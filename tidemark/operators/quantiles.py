@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ LOWEST_DECADE = -4
 HIGHEST_DECADE = 7
 
 
-def _ordered_bin(v: Column) -> Column:
-    """A whole number non-decreasing in ``v``: 256 bins per octave of magnitude, signed."""
-    size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * 256.0) + F.lit(300_000)
+def _ordered_bin(v: Column, per_octave: int = 256) -> Column:
+    """A whole number non-decreasing in ``v``: bins per octave of magnitude, signed."""
+    size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * float(per_octave)) + F.lit(300_000)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * size)
 
 
@@ -41,44 +41,70 @@ def group_quantiles(
 def quantiles_of_counts(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
     """The second half of :func:`group_quantiles`, for rows (keys, _v, _c) already counted."""
     values = values.withColumn("_bin", _ordered_bin(F.col("_v")))
+    bins = _wanted_bins(values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n")), keys, probs)
+    return _at_ranks(values.join(bins, [*keys, "_bin"]), keys, probs)
+
+
+def window_quantiles(
+    rows: DataFrame, cell: list[str], keys: list[str], widen: Callable[[DataFrame], DataFrame], value: Column, probs: Mapping[str, float],
+    per_octave: int = 16,
+) -> DataFrame:
+    """Exact quantiles of overlapping windows, without a row per (row, window).
+
+    Rows of one ``cell`` enter the same windows; ``widen`` turns rows with the cell's columns into
+    rows with the windows' ``keys``.  Counts per (cell, ordered bin) are widened and show which bins of
+    a window hold the wanted ranks.  Rows then meet the windows of their cell only in those bins.
+    Rows without a value do not count.
+    """
+    binned = rows.select(*cell, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()).withColumn(
+        "_bin", _ordered_bin(F.col("_v"), per_octave))
+    wide = widen(binned.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    bins = _wanted_bins(wide.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n")), keys, probs)
+    opened = wide.select(*dict.fromkeys((*cell, *keys, "_bin"))).join(bins, [*keys, "_bin"])
+    values = binned.join(opened, [*cell, "_bin"]).groupBy(*keys, "_bin", "_v", "_lo", "_total").agg(F.count(F.lit(1)).alias("_c"))
+    return _at_ranks(values, keys, probs)
+
+
+def _ranks(p: float) -> tuple[Column, Column, Column]:
+    at = F.lit(float(p)) * (F.col("_total") - 1)
+    low = F.floor(at)
+    return low, F.ceil(at), at - low
+
+
+def _holds(k: Column, lo: str, hi: str) -> Column:
+    return (k >= F.col(lo)) & (k < F.col(hi))
+
+
+def _wanted_bins(bins: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """Of rows (keys, _bin, _n) those that hold a wanted rank: (keys, _bin, _lo, _total)."""
     part = Window.partitionBy(*keys)
-    bins = (
-        values.groupBy(*keys, "_bin")
-        .agg(F.sum("_c").alias("_n"))
-        .withColumn(
+    placed = (
+        bins.withColumn(
             "_hi",
             F.sum("_n").over(part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)),
         )
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(part))
     )
-
-    def ranks(p: float) -> tuple[Column, Column, Column]:
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        low = F.floor(at)
-        return low, F.ceil(at), at - low
-
-    def holds(k: Column, lo: str, hi: str) -> Column:
-        return (k >= F.col(lo)) & (k < F.col(hi))
-
     wanted = F.lit(False)
     for p in probs.values():
-        low, high, _ = ranks(p)
-        wanted = wanted | holds(low, "_lo", "_hi") | holds(high, "_lo", "_hi")
+        low, high, _ = _ranks(p)
+        wanted = wanted | _holds(low, "_lo", "_hi") | _holds(high, "_lo", "_hi")
+    return placed.where(wanted).drop("_n", "_hi")
+
+
+def _at_ranks(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from the counted values (keys, _bin, _v, _c, _lo, _total) of the wanted bins."""
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    placed = (
-        values.join(bins.where(wanted).drop("_n", "_hi"), [*keys, "_bin"])
-        .withColumn(
-            "_upto",
-            F.col("_lo") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        )
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
-    )
+    placed = values.withColumn(
+        "_upto",
+        F.col("_lo") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+    ).withColumn("_from", F.col("_upto") - F.col("_c"))
     aggs = []
     for name, p in probs.items():
-        low, high, frac = ranks(p)
-        at_low = F.max(F.when(holds(low, "_from", "_upto"), F.col("_v")))
-        at_high = F.max(F.when(holds(high, "_from", "_upto"), F.col("_v")))
+        low, high, frac = _ranks(p)
+        at_low = F.max(F.when(_holds(low, "_from", "_upto"), F.col("_v")))
+        at_high = F.max(F.when(_holds(high, "_from", "_upto"), F.col("_v")))
         aggs.append((at_low + (at_high - at_low) * F.max(frac)).alias(name))
     if not keys:
         return placed.agg(*aggs)
