@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import greeks as GK
 from ..functions.columns import MICROS, ceil_div, floor_div, latency_seconds, trade_direction
 from ..functions.time import tenor_years
+from ..sources.results import materialise
 from .features import lagged_trades, previous_trade_deltas
 from .gaps import window_gap_squares
 from .ordered import split_lag
@@ -427,8 +428,8 @@ def flow_record(
         *[F.sum(c).alias(c) for c in ("trades", "age", *CHANNEL_SUMS)],
         F.count_if(F.col("_dim") == "contract").alias("contracts"),
         ((F.max("_t1") + F.max("_t0")) / float(MICROS)).alias("observed_span_s"), *extra)
-    # The latency tail and the gaps need an order; they read the clocks only.
-    clocks = with_panes(tape.select("asset", "executed_us", "created_us"), step_us, cutoff_s)
+    # The latency tail and the gaps need an order; they read the clocks only, written once for all their branches.
+    clocks = materialise(with_panes(tape.select("asset", "executed_us", "created_us"), step_us, cutoff_s))
     tail = window_quantiles(
         clocks, ["asset", "exec_pane", "seen_pane"], keys, lambda c: spread(c, panes, False),
         latency_seconds(F.col("created_us"), F.col("executed_us")), {"p95_latency_s": 0.95})
