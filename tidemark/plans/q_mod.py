@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..operators import inference as I
 from ..operators import models as M
 from ..operators import realized as RZ
 from ..operators import regression as R
+from ..operators.garch import SCALE, garch_fit
 from ..operators.series import session_series
 from ..sources.results import materialise
 from . import panels as PN
@@ -212,6 +215,22 @@ def _(spark, d):
         "asset", "alpha", "beta", F.round("nll", 4).alias("nll"), "variance", "next_variance", "forecast")
 
 
+@query("mod9_garch_fit")
+def _(spark, d):
+    """The likelihood's own optimum per asset, with the variance forecast over 30 bars."""
+    return garch_fit(PN.returns(spark, d), ["asset"], "session_date", "bar", "r", 30)
+
+
+@query("mod9_garch_optimum", sql("SELECT asset, count(r) AS observations, true AS ended, true AS beats_grid FROM rets GROUP BY 1"))
+def _(spark, d):
+    """What holds of every fit: it ends at a stationary point, and no point of the variance-targeting grid is likelier."""
+    r = PN.returns(spark, d)
+    grid = M.garch_grid(r, ["asset"], "session_date", "bar", "r", [0.02, 0.05, 0.1, 0.2], [0.5, 0.7, 0.85, 0.9], 30).select("asset", F.col("nll").alias("at_grid"))
+    scaled = F.col("at_grid") + F.col("observations") * math.log(SCALE)
+    return garch_fit(r, ["asset"], "session_date", "bar", "r", 30).join(grid, "asset").select(
+        "asset", "observations", (F.col("status") == "converged").alias("ended"), (F.col("nll") <= scaled + 1e-6 * F.abs("nll")).alias("beats_grid"))
+
+
 SPLIT = "bsplit AS (SELECT * FROM b0 JOIN ewma USING (asset, session_date, bar) WHERE target>0 AND rv_back_6>0 AND rv_prev_day IS NOT NULL AND rv_week IS NOT NULL)"
 
 
