@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import udf as U
+from ..functions.columns import with_scalars
 from ..operators.joins import event_neighbourhood
 from ..sources.results import shared_folder
 from ..streaming import run as RUN
@@ -98,6 +99,20 @@ def _(spark, d):
         *[F.sum(c).alias(c) for c in ("rows", "late_rows", "dropped")])
 
 
+@query("str4_batch_ledger", sql("""
+SELECT 2*count(*) AS read, count(*) AS kept, count(*) AS not_kept, true AS reconciled, count(*) AS written, count(DISTINCT id) AS ids FROM tape"""))
+def _(spark, d):
+    """The tape sent twice and kept once: what its micro-batches read, kept and dropped, beside what was written."""
+    t = tape_stream(spark, d).select("id", "asset", "executed_at")
+    twice = t.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    out, ledger = RUN.keep_once(twice, ["id"], "executed_at", "10 minutes")
+    written = spark.read.schema(t.schema).parquet(out).agg(F.count(F.lit(1)).alias("written"), F.count_distinct("id").alias("ids"))
+    totals = ledger.agg(
+        F.sum("read").alias("read"), F.sum("kept").alias("kept"), F.sum(F.col("late") + F.col("repeated")).alias("not_kept"),
+        F.bool_and(F.col("read") == F.col("kept") + F.col("late") + F.col("repeated")).alias("reconciled"))
+    return with_scalars(totals, written)
+
+
 @query("str5_latest_per_contract", sql("""
 SELECT asset, contract, max(created_us) AS created_us, arg_max(id, (created_us, id)) AS id, round(arg_max(iv, (created_us, id)),6) AS iv FROM tape GROUP BY 1,2"""))
 def _(spark, d):
