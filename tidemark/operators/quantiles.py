@@ -13,9 +13,11 @@ HIGHEST_DECADE = 7
 
 
 def _ordered_bin(v: Column, per_octave: int = 256) -> Column:
-    """A whole number non-decreasing in ``v``: bins per octave of magnitude, signed."""
+    """A whole number non-decreasing in ``v``: bins per octave of magnitude, signed; infinities at the ends, NaN last."""
     size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * float(per_octave)) + F.lit(300_000)
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * size)
+    inf = float("inf")
+    ends = F.when(v == 0, F.lit(0)).when(F.isnan(v), F.lit(1_000_002)).when(v == inf, F.lit(1_000_001)).when(v == -inf, F.lit(-1_000_001))
+    return ends.otherwise(F.signum(v).cast("bigint") * size)
 
 
 def group_quantiles(
@@ -105,7 +107,7 @@ def _at_ranks(values: DataFrame, keys: list[str], probs: Mapping[str, float]) ->
         low, high, frac = _ranks(p)
         at_low = F.max(F.when(_holds(low, "_from", "_upto"), F.col("_v")))
         at_high = F.max(F.when(_holds(high, "_from", "_upto"), F.col("_v")))
-        aggs.append((at_low + (at_high - at_low) * F.max(frac)).alias(name))
+        aggs.append(F.when(at_low == at_high, at_low).otherwise(at_low + (at_high - at_low) * F.max(frac)).alias(name))
     if not keys:
         return placed.agg(*aggs)
     return placed.groupBy(*keys).agg(*aggs)

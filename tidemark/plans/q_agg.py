@@ -322,9 +322,11 @@ ATT_SQL = """att AS (SELECT asset, option_type, CASE WHEN hour(make_timestamp(ex
 def attempts(spark, d):
     t = X.tape(spark, d).withColumn("quote_us", F.col("created_us")).withColumn("cutoff_us", F.col("created_us") + F.col("id") % 13 * 10_000_000)
     m = F.floor(F.pmod("executed_us", F.lit(86_400_000_000)) / 60_000_000)
+    width, mid = F.col("ask") - F.col("bid"), (F.col("bid") + F.col("ask")) / 2.0
+    spread = F.when(mid != 0, width / mid).otherwise(width * F.lit(float("inf")))  # a mid of zero: infinite, or NaN
     return t.select(
         "asset", "option_type", "quote_us", session_tercile(m, 480, 960).alias("tercile"),
-        ((F.col("cutoff_us") - F.col("quote_us")) / 1e6).alias("age_s"), ((F.col("ask") - F.col("bid")) / ((F.col("bid") + F.col("ask")) / 2.0)).alias("rel_spread"),
+        ((F.col("cutoff_us") - F.col("quote_us")) / 1e6).alias("age_s"), spread.alias("rel_spread"),
         F.coalesce(Q.quote_reason(), F.lit("NONE")).alias("reason"), F.datediff("expiry", "session_date").cast("double").alias("dte"))
 
 
