@@ -278,22 +278,25 @@ def parity_feasibility(origins: DataFrame, pairs: DataFrame, by: list[str], keys
         F.count_if(F.coalesce("_two", F.lit(0)) > 0).alias("with_two_strikes"), F.percentile("pairs", F.lit(0.5)).alias("median_pairs"))
 
 
-def atm_iv(points: DataFrame, keys: list[str], target: int, tolerance: int, min_dte: int = 1, nearest: float = math.log(1.025)) -> DataFrame:
+def atm_iv(
+    points: DataFrame, keys: list[str], target: int, tolerance: int, min_dte: int = 1, nearest: float = math.log(1.025), exact_first: bool = True,
+) -> DataFrame:
     """ATM volatility of the expiry nearest a tenor: exact, bracketed in log moneyness, or nearest.
 
-    ``points`` carries expiry, strike, dte, moneyness and iv of call/put pairs.
+    ``points`` carries expiry, strike, dte, moneyness and iv of call/put pairs.  Without ``exact_first``
+    a point at the money counts only as the nearest, where there is no bracket.
     """
     gap = F.abs(F.col("dte") - target)
     eligible = points.where((F.col("dte") >= min_dte) & (gap <= tolerance))
     x = F.log("moneyness")
-    exact = F.abs(F.col("moneyness") - 1.0) <= 1e-12
+    exact = F.abs(F.col("moneyness") - 1.0) <= 1e-12 if exact_first else F.col("moneyness") == 1.0
     p = F.struct(x.alias("x"), F.col("strike"), F.col("iv"))
     per = eligible.groupBy(*keys, "expiry", "dte").agg(
         F.min(F.when(exact, p)).alias("_e"), F.max(F.when(~exact & (x < 0), p)).alias("_lo"), F.min(F.when(~exact & (x > 0), p)).alias("_hi"),
         F.min(F.struct(F.abs(x).alias("d"), F.col("strike"), F.col("iv"))).alias("_near"))
     lo, hi = F.col("_lo"), F.col("_hi")
     iv = (
-        F.when(F.col("_e").isNotNull(), F.col("_e.iv"))
+        F.when(F.lit(exact_first) & F.col("_e").isNotNull(), F.col("_e.iv"))
         .when(lo.isNotNull() & hi.isNotNull(), lo["iv"] - lo["x"] / (hi["x"] - lo["x"]) * (hi["iv"] - lo["iv"]))
         .when(F.col("_near.d") <= nearest, F.col("_near.iv")))
     row = F.struct("expiry", "dte", iv.alias("iv"))
