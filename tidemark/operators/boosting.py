@@ -1,18 +1,20 @@
 """Histogram gradient boosting: many ensembles in one set of passes.
 
-Features are binned once and rows are packed into arrays, one per partition of the training
-rows.  A pass sums gradient, Hessian and row count per (ensemble, node, feature, bin) inside every
-partition and adds the partitions' sums up; only those sums, whose size knows nothing of the rows,
-reach the driver, which picks the splits.  Trees grow leaf by leaf, best gain first.  As the driver
-asks for the children of every leaf that might be split next, a pass settles a whole level and the
-result is still that of one split at a time.  Ensembles over different features or losses share
-every pass.
-
-The loop has thousands of short passes over the same packed rows.  They run as an RDD of numpy
+Features are binned once, and training rows with the same bins become one cell: they share every
+score, so their number, sum of targets, mean log target and squares about it are all that gradients,
+Hessians and losses need.  A few features have a bounded number of cells, however many the rows.
+Cells are packed into arrays, one per partition.  A pass sums gradient, Hessian and row count per
+(ensemble, node, feature, bin) inside every partition and adds the partitions' sums up; only those
+sums, whose size knows nothing of the rows, reach the driver, which picks the splits.  Trees grow
+leaf by leaf, best gain first.  As the driver asks for the children of every leaf that might be split
+next, a pass settles a whole level and the result is still that of one split at a time.  Ensembles
+over different features or losses share every pass.
+
+The loop has thousands of short passes over the same packed cells.  They run as an RDD of numpy
 arrays, kept in memory with spill to disk and checkpointed every ``PER_CHECKPOINT`` rounds: planning
-a query for each pass would cost more than the pass.  Scores of the rows change once per round.
-Up to ``SMALL`` rows even an empty pass costs more than the sums; then the same loop runs in one task
-per ensemble, over the same packed rows.
+a query for each pass would cost more than the pass.  Scores of the cells change once per round.
+Up to ``SMALL`` cells even an empty pass costs more than the sums; then the same loop runs in one task
+per ensemble, over the same packed cells.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ ROUNDS, LEAVES, RATE, BINS, MIN_ROWS, MIN_HESSIAN = 300, 31, 0.05, 254, 20, 1e-3
 CLIP = 30.0
 PER_CHECKPOINT = 50
 SMALL = 250_000
+#: Cells whose scores a forecasting task remembers.
+REMEMBERED = 1_000_000
 LOSSES = ("log", "qlike")
 
 
@@ -60,10 +64,38 @@ class Tree:
     depth: int
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
-        at, rows = np.zeros(len(bins), np.int32), np.arange(len(bins))
-        for _ in range(self.depth):
-            at = np.where(bins[rows, self.feature[at]] <= self.bin[at], self.left[at], self.right[at])
-        return self.value[at]
+        out, open_ = np.empty(len(bins)), [(0, np.arange(len(bins)))]
+        while open_:
+            node, rows = open_.pop()
+            if self.left[node] == node:
+                out[rows] = self.value[node]
+                continue
+            low = bins[:, self.feature[node]][rows] <= self.bin[node]
+            open_ += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
+        return out
+
+
+class Forest:
+    """Sum of the trees of an ensemble, all trees of a chunk of rows at a time."""
+
+    def __init__(self, trees: list[Tree]):
+        trees = sorted(trees, key=lambda t: -t.depth)
+        self.depths = np.array([t.depth for t in trees], int)
+        self.roots = np.cumsum([0, *[len(t.value) for t in trees]])[:-1].astype(np.int32)
+        join = lambda name, by: np.concatenate([np.zeros(0, np.int32), *[getattr(t, name) + by * o for t, o in zip(trees, self.roots)]])
+        self.feature, self.bin, self.left, self.right = join("feature", 0), join("bin", 0), join("left", 1), join("right", 1)
+        self.value = np.concatenate([np.zeros(0), *[t.value for t in trees]])
+
+    def scores(self, bins: np.ndarray) -> np.ndarray:
+        out, step = np.zeros(len(bins)), max(1, 1_000_000 // max(len(self.roots), 1))
+        for a in range(0, len(bins), step):
+            part = bins[a : a + step]
+            at, rows = np.tile(self.roots, (len(part), 1)), np.arange(len(part))[:, None]
+            for level in range(int(self.depths.max(initial=0))):
+                deep = at[:, : np.searchsorted(-self.depths, -level)]
+                deep[...] = np.where(part[rows, self.feature[deep]] <= self.bin[deep], self.left[deep], self.right[deep])
+            out[a : a + step] = self.value[at].sum(axis=1)
+        return out
 
 
 @dataclass
@@ -77,20 +109,51 @@ class Fitted:
     start: dict[str, float] = field(default_factory=dict)
     trees: dict[str, list[Tree]] = field(default_factory=dict)
     losses: dict[str, list[float]] = field(default_factory=dict)
+    bias: dict[str, float] = field(default_factory=dict)
     gains: dict[str, dict[str, float]] = field(default_factory=dict)
 
+    def residual_variance(self, name: str) -> float:
+        """Population variance of log target less score over the training rows, of an ensemble on the log target."""
+        return max(2.0 * self.losses[name][-1] - self.bias[name] ** 2, 0.0)
+
     def forecasts(self, df: DataFrame) -> DataFrame:
-        """Adds ``raw``: the raw score (log variance) of every ensemble, a struct by name."""
+        """Adds ``raw``: the raw score (log variance) of every ensemble, a struct by name.
+
+        A task scores each cell of bins once and remembers up to ``REMEMBERED`` of them.
+        """
         edges, start, trees, names = self.edges, self.start, self.trees, list(self.ensembles)
+        most = REMEMBERED
 
         @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-        def raw(x: pd.DataFrame) -> pd.DataFrame:
-            bins = binned([x.iloc[:, k].to_numpy(float) for k in range(x.shape[1])], edges)
-            return pd.DataFrame({n: start[n] + sum((t.scores(bins) for t in trees[n]), np.zeros(len(x))) for n in names})
+        def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forests = [Forest(trees[n]) for n in names]
+            known, values = np.zeros(0, np.uint64), np.zeros((0, len(names)))
+            score = lambda bins: np.stack([start[n] + f.scores(bins) for n, f in zip(names, forests)], axis=1)
+            for x in frames:
+                bins = binned([x.iloc[:, k].to_numpy(float) for k in range(x.shape[1])], edges)
+                if bins.shape[1] > 8:
+                    yield pd.DataFrame(score(bins), columns=names)
+                    continue
+                cells, first, back = np.unique(_codes(bins), return_index=True, return_inverse=True)
+                new = ~np.isin(cells, known, assume_unique=True)
+                if len(known) + new.sum() > most:
+                    known, values, new = known[:0], values[:0], np.ones(len(cells), bool)
+                if new.any():
+                    known, values = np.concatenate([known, cells[new]]), np.concatenate([values, score(bins[first[new]])])
+                    order = np.argsort(known)
+                    known, values = known[order], values[order]
+                yield pd.DataFrame(values[np.searchsorted(known, cells)][back.ravel()], columns=names)
 
         return df.withColumn("raw", raw(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
 
 
+def _codes(bins: np.ndarray) -> np.ndarray:
+    """Up to eight bins of a row as one number."""
+    wide = np.zeros((len(bins), 8), np.uint8)
+    wide[:, : bins.shape[1]] = bins
+    return wide.view(np.uint64).ravel()
+
+
 def binned(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
     """Bins as bytes, rows by features: 0 for a missing value, else 1 + the number of edges below it."""
     out = np.zeros((len(columns[0]) if columns else 0, len(columns)), np.uint8)
@@ -121,6 +184,25 @@ def loss_sum(loss: str, target: np.ndarray, z: np.ndarray) -> float:
     return float((target * np.exp(-z) - np.log(target) + z - 1.0).sum())
 
 
+def _cell_gradients(loss: str, facts: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the rows of each cell; ``facts`` are rows, sum of targets, mean log and squares about it."""
+    n, total, log, _ = facts
+    if loss == "log":
+        return n * (z - log), n
+    ratio = total * np.exp(-np.clip(z, -CLIP, CLIP))
+    return n - ratio, ratio
+
+
+def _cell_losses(loss: str, facts: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """Sums over all rows of the loss and of score less log target."""
+    n, total, log, squares = facts
+    bias = float((n * (z - log)).sum())
+    if loss == "log":
+        return float(0.5 * (n * (z - log) ** 2 + squares).sum()), bias
+    z = np.clip(z, -CLIP, CLIP)
+    return float((total * np.exp(-z) + n * (z - log - 1.0)).sum()), bias
+
+
 class Growing:
     """One tree as it grows on the driver, from histograms of its nodes."""
 
@@ -202,64 +284,84 @@ class Growing:
         return feature, bins, left, right, value, int(level.max())
 
 
-def _nodes(bins: np.ndarray, splits: list[tuple[int, int, int, int, int]]) -> np.ndarray:
-    at = np.zeros(len(bins), np.int32)
-    for node, f, b, left, right in splits:
-        rows = np.flatnonzero(at == node)
-        at[rows] = np.where(bins[rows, f] <= b, left, right)
-    return at
+class Placed:
+    """Cells of one part by node, as one tree of one ensemble grows."""
+
+    def __init__(self, part, kind: str, z: np.ndarray, width: int):
+        self.bins, facts = part
+        self.g, self.h = _cell_gradients(kind, facts, z)
+        self.n, self.width, self.rows, self.split = facts[0], width, {0: np.arange(len(z))}, 0
+
+    def follow(self, splits: list[tuple[int, int, int, int, int]]) -> None:
+        for node, f, b, left, right in splits[self.split :]:
+            rows = self.rows.pop(node)
+            low = self.bins[:, f][rows] <= b
+            self.rows[left], self.rows[right] = rows[low], rows[~low]
+        self.split = len(splits)
+
+    def histogram(self, node: int) -> np.ndarray:
+        """Sums per (feature, bin) of gradient, Hessian and rows."""
+        rows = self.rows[node]
+        w = [x[rows] for x in (self.g, self.h, self.n)]
+        out = np.zeros((self.bins.shape[1], self.width, 3))
+        for f in range(self.bins.shape[1]):
+            cell = self.bins[:, f][rows].astype(np.intp)
+            for k in range(3):
+                out[f, :, k] = np.bincount(cell, weights=w[k], minlength=self.width)
+        return out
 
 
-def _histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int, width: int) -> np.ndarray:
-    """Sums per (slot, feature, bin) of gradient, Hessian and rows; rows of slot -1 are left out."""
-    rows = np.flatnonzero(slot >= 0)
-    out = np.zeros((slots, bins.shape[1], width, 3))
-    for f in range(bins.shape[1]):
-        cell = slot[rows] * width + bins[rows, f]
-        for k, w in enumerate((g[rows], h[rows], None)):
-            out[:, f, :, k] = np.bincount(cell, weights=w, minlength=slots * width).reshape(slots, width)
+def _answer(placed: list[Placed], splits: list, wanted: list) -> list:
+    """Histograms of the wanted nodes per ensemble."""
+    out = []
+    for p, s, w in zip(placed, splits, wanted):
+        if w:
+            p.follow(s)
+        out.append(np.stack([p.histogram(node) for node in w]) if w else 0)
     return out
 
 
 def _sums(part, kinds: list[str], splits: list, wanted: list, width: int) -> list:
-    """What one part (bins, targets, scores) adds: histograms of the wanted nodes per ensemble, and the losses."""
-    b, t, z = part
-    out = []
-    for k, kind in enumerate(kinds):
-        slot = np.full(2 * len(splits[k]) + 1, -1)
-        slot[wanted[k]] = np.arange(len(wanted[k]))
-        out.append(_histograms(b, *gradients(kind, t, z[k]), slot[_nodes(b, splits[k])], len(wanted[k]), width) if wanted[k] else 0)
-    return [*out, np.array([loss_sum(kind, t, z[k]) for k, kind in enumerate(kinds)])]
+    """What one part (bins, facts, scores) adds: histograms of the wanted nodes per ensemble, losses and biases."""
+    b, facts, z = part
+    placed = [Placed((b, facts), kind, z[k], width) for k, kind in enumerate(kinds)]
+    return [*_answer(placed, splits, wanted), np.array([_cell_losses(kind, facts, z[k]) for k, kind in enumerate(kinds)])]
 
 
 def _moved(part, trees: list[tuple]):
-    b, t, z = part
-    return b, t, z + np.stack([Tree(*x).scores(b) for x in trees])
+    b, facts, z = part
+    return b, facts, z + np.stack([Tree(*x).scores(b) for x in trees])
 
 
 class Held:
-    """Rows at hand."""
+    """Cells at hand; where they are is kept while a tree grows."""
 
     def __init__(self, part, kinds: list[str], width: int):
         self.part, self.kinds, self.width = part, kinds, width
 
     def ask(self, splits: list, wanted: list) -> list:
-        return _sums(self.part, self.kinds, splits, wanted, self.width)
+        b, facts, z = self.part
+        if not any(splits):
+            self.placed = [Placed((b, facts), kind, z[k], self.width) for k, kind in enumerate(self.kinds)]
+            self.losses = np.array([_cell_losses(kind, facts, z[k]) for k, kind in enumerate(self.kinds)])
+        return [*_answer(self.placed, splits, wanted), self.losses]
 
     def move(self, trees: list[tuple]) -> None:
         self.part = _moved(self.part, trees)
 
 
 class Passes:
-    """Rows of an RDD: a question is a pass over it."""
+    """Cells of an RDD: a question is a pass over it."""
 
     def __init__(self, data, mean: float, kinds: list[str], width: int):
         self.kinds, self.width, self.round, self.old = kinds, width, 0, data
-        self.state = data.map(lambda d: (*d, np.full((len(kinds), len(d[1])), mean))).persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.coalesce(data.context.defaultParallelism)
+        self.state = data.map(lambda d: (*d, np.full((len(kinds), len(d[0])), mean))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def ask(self, splits: list, wanted: list) -> list:
         kinds, width = self.kinds, self.width
-        out = self.state.map(lambda part: _sums(part, kinds, splits, wanted, width)).treeReduce(lambda a, b: [x + y for x, y in zip(a, b)])
+        sums, add = self.state.map(lambda part: _sums(part, kinds, splits, wanted, width)), lambda a, b: [x + y for x, y in zip(a, b)]
+        out = sums.reduce(add) if sums.getNumPartitions() <= 32 else sums.treeReduce(add)
         if self.old is not None:
             self.old = self.old.unpersist() and None
         return out
@@ -272,13 +374,13 @@ class Passes:
 
 
 def boost(rows: Held | Passes, n: int, allowed: list[np.ndarray], monotone: list[np.ndarray], rounds: int, leaves: int, depth: float, rate: float, min_rows: int, min_hessian: float):
-    """Trees (as tuples), mean losses and gains by feature of every ensemble, from ``n`` rows."""
+    """Trees (as tuples), mean losses, gains by feature and last mean of score less log target of every ensemble, from ``n`` rows."""
     m = len(allowed)
     trees, losses, gains = [[] for _ in range(m)], [[] for _ in range(m)], np.zeros((m, len(allowed[0])))
     for r in range(rounds + 1):
         *hists, total = rows.ask([[]] * m, [[0] if r < rounds else []] * m)
         for k in range(m):
-            losses[k].append(float(total[k] / n))
+            losses[k].append(float(total[k, 0] / n))
         if r == rounds:
             break
         grown = [Growing(allowed[k], monotone[k], leaves, depth, max(min_rows, 1), min_hessian) for k in range(m)]
@@ -295,7 +397,7 @@ def boost(rows: Held | Passes, n: int, allowed: list[np.ndarray], monotone: list
             for node in g.done:
                 gains[k, g.best[node][1]] += g.best[node][0]
         rows.move(new)
-    return trees, losses, gains
+    return trees, losses, gains, total[:, 1] / n
 
 
 def _checkpoint_folder(df: DataFrame) -> None:
@@ -305,19 +407,28 @@ def _checkpoint_folder(df: DataFrame) -> None:
 
 
 def _packed(df: DataFrame, target: Column, features: tuple[str, ...], edges: list[np.ndarray]):
-    """Rows as an RDD of (bins, targets), one per partition that has any."""
+    """Cells of rows as an RDD of (bins, facts), one per partition that has any."""
+    n = len(features)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = binned([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], edges)
+            ends = pa.py_buffer((np.arange(len(bins) + 1, dtype=np.int32) * n).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(bins), [None, ends, pa.py_buffer(bins.tobytes())]), b.column(0)], ["b", "t"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, targets = [], []
+        bins, facts = [], []
         for b in batches:
-            targets.append(b.column(0).to_numpy(zero_copy_only=False))
-            bins.append(binned([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], edges))
+            bins.append(b"".join(b.column(0).to_pylist()))
+            facts.append(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]]))
         if bins:
-            yield pa.RecordBatch.from_pydict({"t": [np.concatenate(targets).tobytes()], "b": [np.concatenate(bins).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"b": [b"".join(bins)], "f": [np.concatenate(facts, axis=1).tobytes()]})
 
     rows = df.select(floored(target, VARIANCE_FLOOR).cast("double").alias("t"), *[F.col(f).cast("double").alias(f) for f in features])
-    n = len(features)
-    return rows.mapInArrow(pack, "t binary, b binary").rdd.map(lambda r: (np.frombuffer(r.b, np.uint8).reshape(-1, n), np.frombuffer(r.t)))
+    log, count = F.log("t"), F.count(F.lit(1)).cast("double")
+    cells = rows.mapInArrow(place, "b binary, t double").groupBy("b").agg(count.alias("n"), F.sum("t").alias("s"), F.avg(log).alias("l"), (count * F.var_pop(log)).alias("v"))
+    return cells.mapInArrow(pack, "b binary, f binary").rdd.map(
+        lambda r: (np.asfortranarray(np.frombuffer(r.b, np.uint8).reshape(-1, n)), np.frombuffer(r.f).reshape(4, -1)))
 
 
 def fit(
@@ -341,24 +452,27 @@ def fit(
     monotone = [np.array([ensembles[n].monotone.get(f, 0) for f in features]) for n in names]
     _checkpoint_folder(df)
     data = _packed(rows, target, features, edges).persist(StorageLevel.MEMORY_AND_DISK)
-    count, total = data.map(lambda d: np.array([len(d[1]), np.log(d[1]).sum()])).fold(np.zeros(2), np.add)
+    cells, count, total = data.map(lambda d: np.array([len(d[0]), d[1][0].sum(), (d[1][0] * d[1][2]).sum()])).fold(np.zeros(3), np.add)
     if not count:
         raise ValueError("no training rows with a target")
     count, mean = int(count), float(total / count)
     limits = (rounds, leaves, depth, rate, min_rows, min_hessian)
-    if count <= SMALL:
+    if cells <= SMALL:
         def alone(parts):
             for k, held in parts:
-                b, t = (np.concatenate(x) for x in zip(*held))
-                yield k, boost(Held((b, t, np.full((1, len(t)), mean)), kinds[k : k + 1], width), len(t), allowed[k : k + 1], monotone[k : k + 1], *limits)
+                held = list(held)
+                b, facts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+                order = np.lexsort(b.T)
+                part = (np.asfortranarray(b[order]), facts[:, order], np.full((1, len(b)), mean))
+                yield k, boost(Held(part, kinds[k : k + 1], width), count, allowed[k : k + 1], monotone[k : k + 1], *limits)
 
         every = range(len(names))
         got = dict(data.flatMap(lambda d: [(k, d) for k in every]).groupByKey(len(names), int).mapPartitions(alone).collect())
-        trees, losses, gains = [got[k][0][0] for k in every], [got[k][1][0] for k in every], [got[k][2][0] for k in every]
+        trees, losses, gains, bias = [[got[k][i][0] for k in every] for i in range(4)]
     else:
-        trees, losses, gains = boost(Passes(data, mean, kinds, width), count, allowed, monotone, *limits)
+        trees, losses, gains, bias = boost(Passes(data, mean, kinds, width), count, allowed, monotone, *limits)
     data.unpersist()
     for k, n in enumerate(names):
-        fitted.start[n], fitted.trees[n], fitted.losses[n] = mean, [Tree(*t) for t in trees[k]], losses[k]
+        fitted.start[n], fitted.trees[n], fitted.losses[n], fitted.bias[n] = mean, [Tree(*t) for t in trees[k]], losses[k], float(bias[k])
         fitted.gains[n] = {f: float(g) for f, g in zip(features, gains[k]) if f in ensembles[n].features}
     return fitted
