@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.blocks import SENT, answered, blocked, send, table_bytes, total_by_part
+from tidemark.llm.blocks import COUNTED, answered, blocked, send, table_bytes, total_by_part
 from tidemark.llm.columns import LOWER, byte_table, mix, pieces, run_hashes, word_runs
 
 #: Longest n-gram, factor per step back, and the count given to a word that no other document has.
 ORDER, BACK, UNSEEN = 2, 0.4, 0.5
-#: Bits of an n-gram's hash, and bytes of it beside the hash part: together they tell n-grams apart.
-BITS, KEY_BYTES = 48, 5
+#: Bits of an n-gram's hash, which tells n-grams apart.
+BITS = 48
 #: The key whose count is the number of words in the corpus.
 ALL_WORDS = np.uint64(0)
 #: Words are runs of anything but ASCII white space, A-Z in lower case.
@@ -80,7 +80,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         at = np.searchsorted(distinct, ALL_WORDS)
         if at < len(distinct) and distinct[at] == ALL_WORDS:
             distinct, counts = np.delete(distinct, at), np.delete(counts, at)
-        return send(block, np.concatenate(([ALL_WORDS], distinct)), np.concatenate(([len(keys)], counts)), parts, BITS, KEY_BYTES)
+        return send(block, np.concatenate(([ALL_WORDS], distinct)), np.concatenate(([len(keys)], counts)), parts, BITS)
 
     def sum_up(block, table, answers):
         row, place, keys = keys_of(table)
@@ -114,4 +114,4 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             table.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64(), mask=n_words == 0),
         ], names=schema.names)
 
-    return b.join(total_by_part(b.map(tell, SENT), KEY_BYTES), sum_up, schema)
+    return b.join(total_by_part(b.map(tell, COUNTED), parts, BITS), sum_up, schema)

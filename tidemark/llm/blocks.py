@@ -1,9 +1,10 @@
 """Blocks of whole documents, and the exchange of hashed keys between blocks and hash parts.
 
 A block is some megabytes of documents, a part a range of hash values.  Every block sends each
-part its distinct keys once, with their counts, as packed bytes; the part sums over blocks and
-answers in the same order.  So a key that every document holds costs one entry per block, no key
-can make a task large, and what is shuffled is a few bytes per distinct key of a block.
+part its distinct keys once, with their counts; the part sums over blocks and answers in the same
+order.  So a key that every document holds costs one entry per block, no key can make a task large,
+and what is shuffled is a few bytes per distinct key of a block: four for a key's distance from the
+one before it, one for its count and one for the answer, and eight more where that is too short.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from tidemark.llm.columns import partitions, text_bytes
 #: Bytes of text in a block and in the keys of a part, about.
 BLOCK, PART = 4 << 20, 16 << 20
 SENT = "part int, block int, keys binary, extra binary"
-ANSWER = "block int, part int, answer binary"
+COUNTED = "part int, block int, gaps binary, far binary, counts binary, more binary"
+ANSWER = "block int, part int, answer binary, more binary"
 
 
 @dataclass(frozen=True)
@@ -84,36 +86,69 @@ def unpacked(data: np.ndarray, width: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def part_edges(parts: int, bits: int) -> np.ndarray:
+    """Where the parts of ``bits``-wide keys begin: equal ranges of the top 16 bits and more."""
+    return np.array([(p << bits) // parts for p in range(parts)], np.uint64)
+
+
 def part_bounds(distinct: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where each part begins in sorted ``bits``-wide keys; parts are equal ranges of the top 16 bits and more."""
-    edges = np.array([(p << bits) // parts for p in range(parts)], np.uint64)
-    return np.append(np.searchsorted(distinct, edges), len(distinct))
+    """Where each part begins in sorted ``bits``-wide keys."""
+    return np.append(np.searchsorted(distinct, part_edges(parts, bits)), len(distinct))
+
+
+def short(values: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in a short type, and in eight bytes those that reach the type's largest."""
+    top = np.iinfo(kind).max
+    small = np.minimum(values, values.dtype.type(top)).astype(kind)
+    return small, values[small == top].astype("<u8")
+
+
+def whole(small: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = small.astype(np.uint64)
+    out[small == np.iinfo(small.dtype).max] = more
+    return out
+
+
+def short_columns(values: np.ndarray, kind: str, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """``short`` numbers cut into rows at ``at``: a binary column of each kind."""
+    small, more = short(values, kind)
+    big = np.concatenate(([0], np.cumsum(small == np.iinfo(kind).max)))[at]
+    cut = lambda x, ends: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+    return cut(small, at), cut(more, big)
 
 
-def send(block: int, distinct: np.ndarray, counts: np.ndarray, parts: int, bits: int, width: int) -> pa.Table:
-    """The rows of ``SENT`` for sorted distinct keys of a block: their low bytes, and their counts."""
+def whole_column(small: pa.ChunkedArray, more: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row begins and the last ends."""
+    data, offsets = text_bytes(small)
+    return whole(data.view(kind), text_bytes(more)[0].view("<u8")), offsets // np.dtype(kind).itemsize
+
+
+def send(block: int, distinct: np.ndarray, counts: np.ndarray, parts: int, bits: int) -> pa.Table:
+    """The rows of ``COUNTED`` for sorted distinct keys of a block: their distances from the part's begin or the key before, and their counts."""
     at = part_bounds(distinct, parts, bits)
-    low, counts = packed(distinct, width), counts.astype("<u4")
     used = np.flatnonzero(at[1:] > at[:-1])
+    gaps = np.diff(distinct, prepend=np.uint64(0))
+    gaps[at[used]] = distinct[at[used]] - part_edges(parts, bits)[used]
+    ends = np.append(at[used], len(distinct))
+    gaps, far = short_columns(gaps, "<u4", ends)
+    counts, more = short_columns(counts.astype(np.uint64), "u1", ends)
     return pa.table({
-        "part": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()),
-        "keys": pa.array([low[at[p] : at[p + 1]].tobytes() for p in used], pa.binary()),
-        "extra": pa.array([counts[at[p] : at[p + 1]].tobytes() for p in used], pa.binary()),
+        "part": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "gaps": gaps, "far": far, "counts": counts, "more": more,
     })
 
 
-def total_by_part(sent: DataFrame, width: int) -> DataFrame:
-    """``ANSWER``: for each key of each block the count over all blocks, as int64."""
+def total_by_part(sent: DataFrame, parts: int, bits: int) -> DataFrame:
+    """``ANSWER``: for each key of each block the count over all blocks."""
+    inside = ((1 << bits) // parts + 1).bit_length()
 
     def run(key, table):
-        data, offsets = text_bytes(table.column("keys"))
-        counts = np.frombuffer(text_bytes(table.column("extra"))[0].tobytes(), "<u4")
-        totals = sums_of(unpacked(data, width), counts, 8 * width)
-        ends = offsets // width
-        return pa.table({
-            "block": table.column("block"), "part": table.column("part"),
-            "answer": pa.array([totals[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-        })
+        keys, at = whole_column(table.column("gaps"), table.column("far"), "<u4")
+        before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys, dtype=np.uint64)))
+        keys = before[1:] - np.repeat(before[at[:-1]], np.diff(at))
+        del before
+        totals = sums_of(keys, whole_column(table.column("counts"), table.column("more"), "u1")[0], inside)
+        answer, more = short_columns(totals, "u1", at)
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": answer, "more": more})
 
     return sent.groupBy("part").applyInArrow(run, ANSWER)
 
@@ -137,7 +172,5 @@ def sums_of(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
 
 def answered(answers: pa.Table) -> np.ndarray:
     """A block's answers in the order of its sorted keys."""
-    if not answers.num_rows:
-        return np.zeros(0, np.int64)
     rows = answers.sort_by("part")
-    return np.frombuffer(b"".join(rows.column("answer").to_pylist()), np.int64)
+    return whole_column(rows.column("answer"), rows.column("more"), "u1")[0].astype(np.int64)

@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.blocks import SENT, Blocked, answered, blocked, packed, send, table_bytes, total_by_part, unpacked
+from tidemark.llm.blocks import COUNTED, Blocked, answered, blocked, packed, send, table_bytes, total_by_part, unpacked
 from tidemark.llm.columns import LOWER, byte_table, mix, pieces, run_hashes, word_runs
 from tidemark.sources.results import materialise
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 5, 75
-#: Bits of a shingle's hash, and bytes of it that a hash part tells apart when it counts.  Counts
-#: only order shingles and find those held once: one count for two shingles loses no pair.
-BITS, KEY_BYTES = 48, 4
+#: Bits of a shingle's hash.  Counts only order shingles and find those held once: one count for
+#: two shingles loses no pair.
+BITS = 48
 #: Rows that leave are sent to every task up to this number (16 bytes each), beyond it they are shuffled.
 MOST_BROADCAST = 1_000_000
 #: Nodes and bytes of sets that one task compares, pivots of a larger cluster, and nodes of a left block.
@@ -85,7 +85,7 @@ def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
 
     def counted(block: int, table: pa.Table) -> pa.Table:
         distinct, counts = np.unique(shingle_sets(*table_bytes(table))[0], return_counts=True)
-        return send(block, distinct, counts, parts, BITS, KEY_BYTES)
+        return send(block, distinct, counts, parts, BITS)
 
     def cut(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         flat, bounds = shingle_sets(*table_bytes(table))
@@ -117,7 +117,7 @@ def prefixed(b: Blocked, id_type: T.DataType) -> DataFrame:
             "mark": table.column("mark"),
         })
 
-    return b.join(total_by_part(b.map(counted, SENT), KEY_BYTES), cut, schema)
+    return b.join(total_by_part(b.map(counted, COUNTED), parts, BITS), cut, schema)
 
 
 def forest(keys, grp, n, shared, prefixes, sets, label, source) -> tuple[list[str], list[str]]:
