@@ -49,20 +49,25 @@ def quantiles_of_counts(values: DataFrame, keys: list[str], probs: Mapping[str,
 
 def window_quantiles(
     rows: DataFrame, cell: list[str], keys: list[str], widen: Callable[[DataFrame], DataFrame], value: Column, probs: Mapping[str, float],
-    per_octave: int = 16,
+    per_octave: int = 16, few: int = 0,
 ) -> DataFrame:
     """Exact quantiles of overlapping windows, without a row per (row, window).
 
     Rows of one ``cell`` enter the same windows; ``widen`` turns rows with the cell's columns into
     rows with the windows' ``keys``.  Counts per (cell, ordered bin) are widened and show which bins of
     a window hold the wanted ranks.  Rows then meet the windows of their cell only in those bins.
-    Rows without a value do not count.
+    Rows without a value do not count.  Up to ``few`` opened bins, counted, are broadcast.
     """
+    from ..sources.results import materialise
+
     binned = rows.select(*cell, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()).withColumn(
         "_bin", _ordered_bin(F.col("_v"), per_octave))
     wide = widen(binned.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_n")))
     bins = _wanted_bins(wide.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n")), keys, probs)
     opened = wide.select(*dict.fromkeys((*cell, *keys, "_bin"))).join(bins, [*keys, "_bin"])
+    if few:
+        opened = materialise(opened)
+        opened = F.broadcast(opened) if opened.count() <= few else opened
     values = binned.join(opened, [*cell, "_bin"]).groupBy(*keys, "_bin", "_v", "_lo", "_total").agg(F.count(F.lit(1)).alias("_c"))
     return _at_ranks(values, keys, probs)
 
