@@ -34,3 +34,50 @@ def test_forecasts_and_smearing_follow_the_trees(spark, monkeypatch):
     want = {(x, y): (p, q) for x, y, p, q in zip(a, b, np.exp(z["l"] + 0.5 * np.var(np.log(t) - z["l"])), np.exp(z["q"]))}
     for r in out.dropDuplicates(["a", "b"]).collect():
         assert np.allclose((r.forecasts.l, r.forecasts.q), want[r.a, r.b])
+
+
+def test_the_child_with_fewer_rows_is_summed(monkeypatch):
+    """A tree costs its root and at most half of the rows of every node that is split."""
+    rng = np.random.default_rng(5)
+    bins = np.asfortranarray(rng.integers(0, 40, (5000, 2)).astype(np.uint8))
+    t = np.exp(bins[:, 0] / 20 - (bins[:, 1] > 35) + 0.1 * rng.normal(size=5000))
+    facts = np.stack([np.ones(5000), t, np.log(t), np.zeros(5000)])
+    seen, plain = [], B.Placed.histogram
+
+    def histogram(self, node):
+        n = len(self.bins) if self.rows[node] is None else len(self.rows[node])
+        beside = [len(self.rows[k]) for _, _, _, a, b in self.last for k in ((b,) if node == a else (a,) if node == b else ())]
+        seen.append(all(n <= k for k in beside))
+        return plain(self, node)
+
+    def follow(self, splits, plain=B.Placed.follow):
+        self.last = splits[self.split :]
+        plain(self, splits)
+
+    monkeypatch.setattr(B.Placed, "histogram", histogram)
+    monkeypatch.setattr(B.Placed, "follow", follow)
+    monkeypatch.setattr(B.Placed, "last", [], raising=False)
+    held = B.Held((bins, facts, np.zeros((1, 5000))), ["qlike"], 41)
+    B.boost(held, 5000, ["qlike"], [np.ones(2, bool)], [np.array([1, 0])], 2, 8, float("inf"), 0.1, 20, 1e-3)
+    assert len(seen) > 8 and all(seen)
+
+
+def test_tables_of_a_forest_follow_its_splits():
+    """Trees of one leaf, of a few and of more than a table holds."""
+    rng = np.random.default_rng(6)
+    bins = np.asfortranarray(rng.integers(0, 256, (40_000, 3)).astype(np.uint8))
+
+    def grown(splits):
+        feature, edge, left, right, leaves = [0], [255], [0], [0], [0]
+        for _ in range(splits):
+            k = leaves.pop(rng.integers(len(leaves)))
+            feature[k], edge[k], left[k], right[k] = rng.integers(3), rng.integers(255), len(left), len(left) + 1
+            for _ in range(2):
+                leaves.append(len(left))
+                feature, edge, left, right = feature + [0], edge + [255], left + [len(left)], right + [len(right)]
+        return B.Tree(*(np.array(x, np.int32) for x in (feature, edge, left, right)), rng.normal(size=len(left)), splits)
+
+    trees = [grown(k) for k in (0, 1, 30, 63, 90)]
+    for t in trees:
+        assert np.array_equal(t.scores(bins), B.Forest._walk(t, bins))
+    assert np.allclose(B.Forest(trees).scores(bins), sum(B.Forest._walk(t, bins) for t in trees), atol=1e-12)

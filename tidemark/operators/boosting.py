@@ -64,37 +64,76 @@ class Tree:
     depth: int
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
-        out, open_ = np.empty(len(bins)), [(0, np.arange(len(bins)))]
-        while open_:
-            node, rows = open_.pop()
-            if self.left[node] == node:
-                out[rows] = self.value[node]
-                continue
-            low = bins[:, self.feature[node]][rows] <= self.bin[node]
-            open_ += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
-        return out
+        return Forest([self]).scores(bins)
+
+
+#: A number whose product with 2^k has another top six bits for every k.
+DE_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
 
 
 class Forest:
-    """Sum of the trees of an ensemble, all trees of a chunk of rows at a time."""
+    """Sum of the trees of an ensemble.
+
+    A tree of up to 64 leaves is a table per feature: for every bin the set of leaves, as bits, that
+    the splits on that feature leave open.  The sets of all features have one leaf in common.
+    """
+
+    CHUNK = 16_384
 
     def __init__(self, trees: list[Tree]):
-        trees = sorted(trees, key=lambda t: -t.depth)
-        self.depths = np.array([t.depth for t in trees], int)
-        self.roots = np.cumsum([0, *[len(t.value) for t in trees]])[:-1].astype(np.int32)
-        join = lambda name, by: np.concatenate([np.zeros(0, np.int32), *[getattr(t, name) + by * o for t, o in zip(trees, self.roots)]])
-        self.feature, self.bin, self.left, self.right = join("feature", 0), join("bin", 0), join("left", 1), join("right", 1)
-        self.value = np.concatenate([np.zeros(0), *[t.value for t in trees]])
+        self.tables = [self._table(t) for t in trees]
+
+    @staticmethod
+    def _table(t: Tree):
+        ends = [k for k in range(len(t.value)) if t.left[k] == k]
+        if len(ends) > 64:
+            return t
+        under = np.zeros(len(t.value), np.uint64)
+        under[ends] = np.uint64(1) << np.arange(len(ends), dtype=np.uint64)
+        inner = [k for k in range(len(t.value)) if t.left[k] != k]
+        for k in reversed(inner):  # children have larger numbers than their parent
+            under[k] = under[t.left[k]] | under[t.right[k]]
+        open_ = {}
+        for k in inner:
+            sets = open_.setdefault(int(t.feature[k]), np.full(256, under[0]))
+            sets[: t.bin[k] + 1] &= ~under[t.right[k]]
+            sets[t.bin[k] + 1 :] &= ~under[t.left[k]]
+        values = np.zeros(64)
+        values[(under[ends] * DE_BRUIJN) >> np.uint64(58)] = t.value[ends]
+        return open_, values, float(t.value[0])
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
-        out, step = np.zeros(len(bins)), max(1, 1_000_000 // max(len(self.roots), 1))
-        for a in range(0, len(bins), step):
-            part = bins[a : a + step]
-            at, rows = np.tile(self.roots, (len(part), 1)), np.arange(len(part))[:, None]
-            for level in range(int(self.depths.max(initial=0))):
-                deep = at[:, : np.searchsorted(-self.depths, -level)]
-                deep[...] = np.where(part[rows, self.feature[deep]] <= self.bin[deep], self.left[deep], self.right[deep])
-            out[a : a + step] = self.value[at].sum(axis=1)
+        out = np.zeros(len(bins))
+        for a in range(0, len(bins), self.CHUNK):
+            part, sums = bins[a : a + self.CHUNK], out[a : a + self.CHUNK]
+            column = [c.astype(np.intp) for c in part.T]
+            for table in self.tables:
+                if isinstance(table, Tree):
+                    sums += self._walk(table, part)
+                    continue
+                open_, values, alone = table
+                if not open_:
+                    sums += alone
+                    continue
+                (f, sets), *rest = open_.items()
+                leaf = sets.take(column[f])
+                for f, sets in rest:
+                    leaf &= sets.take(column[f])
+                leaf *= DE_BRUIJN
+                leaf >>= np.uint64(58)
+                sums += values.take(leaf.view(np.intp))
+        return out
+
+    @staticmethod
+    def _walk(t: Tree, bins: np.ndarray) -> np.ndarray:
+        out, open_ = np.empty(len(bins)), [(0, np.arange(len(bins)))]
+        while open_:
+            node, rows = open_.pop()
+            if t.left[node] == node:
+                out[rows] = t.value[node]
+                continue
+            low = bins[:, t.feature[node]][rows] <= t.bin[node]
+            open_ += [(t.left[node], rows[low]), (t.right[node], rows[~low])]
         return out
 
 
@@ -184,63 +223,72 @@ def loss_sum(loss: str, target: np.ndarray, z: np.ndarray) -> float:
     return float((target * np.exp(-z) - np.log(target) + z - 1.0).sum())
 
 
-def _cell_gradients(loss: str, facts: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the rows of each cell; ``facts`` are rows, sum of targets, mean log and squares about it."""
-    n, total, log, _ = facts
-    if loss == "log":
-        return n * (z - log), n
-    ratio = total * np.exp(-np.clip(z, -CLIP, CLIP))
-    return n - ratio, ratio
-
+def _cell_sums(loss: str, facts: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, tuple[float, float]]:
+    """What a histogram sums per cell beside its rows, and the sums over all rows of the loss and of score less log target.
 
-def _cell_losses(loss: str, facts: np.ndarray, z: np.ndarray) -> tuple[float, float]:
-    """Sums over all rows of the loss and of score less log target."""
+    ``facts`` are rows, sum of targets, mean log and squares about it.
+    """
     n, total, log, squares = facts
-    bias = float((n * (z - log)).sum())
+    off = z - log
     if loss == "log":
-        return float(0.5 * (n * (z - log) ** 2 + squares).sum()), bias
-    z = np.clip(z, -CLIP, CLIP)
-    return float((total * np.exp(-z) + n * (z - log - 1.0)).sum()), bias
+        w = n * off
+        return w, (0.5 * (float(w @ off) + float(squares.sum())), float(w.sum()))
+    held = np.clip(z, -CLIP, CLIP)
+    ratio = total * np.exp(-held)
+    return ratio, (float(ratio.sum()) + float(n @ (held - log - 1.0)), float(n @ off))
+
+
+def _newton(loss: str, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian from sums per cell and rows, on the second axis."""
+    w, n = sums[:, 0], sums[:, 1]
+    return (w, n) if loss == "log" else (n - w, w)
 
 
 class Growing:
     """One tree as it grows on the driver, from histograms of its nodes."""
 
-    def __init__(self, allowed: np.ndarray, monotone: np.ndarray, leaves: int, depth: float, min_rows: int, min_hessian: float):
-        self.allowed, self.monotone, self.most, self.deepest = allowed, monotone, leaves, depth
+    def __init__(self, loss: str, allowed: np.ndarray, monotone: np.ndarray, leaves: int, depth: float, min_rows: int, min_hessian: float):
+        self.loss, self.allowed, self.monotone, self.most, self.deepest = loss, allowed, monotone, leaves, depth
         self.min_rows, self.min_hessian, self.level = min_rows, min_hessian, {0: 0}
         self.split: list[tuple[int, int, int, int, int]] = []  # asked for: node, feature, bin, left, right
         self.asked: dict[int, tuple[int, int]] = {}
         self.hist: dict[int, np.ndarray] = {}
         self.best: dict[int, tuple] = {}
-        self.bounds: dict[int, tuple[float, float]] = {0: (-np.inf, np.inf)}
+        self.value: dict[int, float] = {}
+        self.bounds: dict[int, tuple[float, float]] = {}
         self.done: list[int] = []
         self.leaves, self.next = [0], 1
 
-    def learn(self, node: int, hist: np.ndarray, bounds: tuple[float, float]) -> None:
-        """Take a node's histogram (features x bins x gradient, Hessian, rows) and find its best split."""
-        self.hist[node], self.bounds[node] = hist, bounds
-        left = hist.cumsum(axis=1)
-        total = left[:1, -1:]
+    def learn(self, nodes: list[int], hists: np.ndarray, bounds: list[tuple[float, float]]) -> None:
+        """Take the nodes' histograms (nodes x sums and rows x features x bins) and find the best split of each."""
+        left = hists.cumsum(axis=3)
+        total = left[:, :, :1, -1:]
+        lo, hi = np.array(bounds).T[:, :, None, None]
+
+        def side(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            g, h = _newton(self.loss, s)
+            w = np.clip(-g / np.maximum(h, 1e-300), lo, hi)
+            return h, w, -(2.0 * g + h * w) * w
+
         right = total - left
-        lo, hi = bounds
-        value = lambda s: np.clip(-s[..., 0] / np.maximum(s[..., 1], 1e-300), lo, hi)
-        score = lambda s, w: -(2.0 * s[..., 0] * w + s[..., 1] * w * w)
-        wl, wr, w = value(left), value(right), value(total)
         with np.errstate(all="ignore"):  # empty sides; they are not allowed below
-            gain = score(left, wl) + score(right, wr) - score(total, w)
-        fine = (np.minimum(left[..., 2], right[..., 2]) >= self.min_rows) & (np.minimum(left[..., 1], right[..., 1]) >= self.min_hessian)
-        fine &= self.allowed[:, None] & (self.monotone[:, None] * (wr - wl) >= 0)
-        gain = np.where(fine & (self.level[node] < self.deepest), gain, -np.inf)
-        f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-        self.best[node] = (float(gain[f, b]), int(f), int(b), float(wl[f, b]), float(wr[f, b]))
-
-    def value(self, node: int) -> float:
-        g, h, _ = self.hist[node][0].sum(axis=0)
-        return float(np.clip(-g / max(h, 1e-300), *self.bounds[node])) if h > 0 else 0.0
+            (hl, wl, sl), (hr, wr, sr), (ht, wt, st) = side(left), side(right), side(total)
+            gain = sl + sr - st
+        fine = (np.minimum(left[:, 1], right[:, 1]) >= self.min_rows) & (np.minimum(hl, hr) >= self.min_hessian)
+        fine &= self.allowed[:, None]
+        if self.monotone.any():
+            fine &= self.monotone[:, None] * (wr - wl) >= 0
+        fine &= np.array([self.level[k] < self.deepest for k in nodes])[:, None, None]
+        gain = np.where(fine, gain, -np.inf)
+        at = gain.reshape(len(nodes), -1).argmax(axis=1)
+        for i, (k, (f, b)) in enumerate(zip(nodes, zip(*np.unravel_index(at, gain.shape[1:])))):
+            self.hist[k], self.bounds[k] = hists[i], bounds[i]
+            self.value[k] = float(wt[i, 0, 0]) if ht[i, 0, 0] > 0 else 0.0
+            fewer = bool(left[i, 1, f, b] <= right[i, 1, f, b])
+            self.best[k] = (float(gain[i, f, b]), int(f), int(b), float(wl[i, f, b]), float(wr[i, f, b]), fewer)
 
     def advance(self) -> list[tuple[int, int]]:
-        """Split leaves, best first, as far as histograms are known; the (node, left child) to sum next."""
+        """Split leaves, best first, as far as histograms are known; the (node, child with fewer rows) to sum next."""
         while len(self.leaves) < self.most:
             node = max(self.leaves, key=lambda k: (self.best[k][0], -k))
             if not self.best[node][0] > 1e-12:
@@ -249,25 +297,30 @@ class Growing:
                 room = self.most - len(self.leaves)
                 open_ = sorted((k for k in self.leaves if k not in self.asked and self.best[k][0] > 1e-12), key=lambda k: -self.best[k][0])[:room]
                 for k in open_:
-                    _, f, b, _, _ = self.best[k]
+                    _, f, b, *_ = self.best[k]
                     self.asked[k] = (self.next, self.next + 1)
                     self.split.append((k, f, b, *self.asked[k]))
                     self.next += 2
-                return [(k, self.asked[k][0]) for k in open_]
+                return [(k, self.asked[k][0 if self.best[k][5] else 1]) for k in open_]
             self.leaves.remove(node)
             self.leaves += self.asked[node]
             self.done.append(node)
         return []
 
-    def answered(self, node: int, left: np.ndarray) -> None:
-        """Histogram of the left child; the right one is the rest of its parent."""
-        a, b = self.asked[node]
-        _, f, _, wl, wr = self.best[node]
-        lo, hi = self.bounds[node]
-        self.level[a] = self.level[b] = self.level[node] + 1
-        middle, way = (wl + wr) / 2, self.monotone[f]
-        self.learn(a, left, (middle if way < 0 else lo, middle if way > 0 else hi))
-        self.learn(b, self.hist[node] - left, (middle if way > 0 else lo, middle if way < 0 else hi))
+    def answered(self, nodes: list[int], hists: np.ndarray) -> None:
+        """Histograms of the children with fewer rows; the others are the rest of their parents."""
+        children, both, bounds = [], [], []
+        for node, hist in zip(nodes, hists):
+            a, b = self.asked[node]
+            _, f, _, wl, wr, fewer = self.best[node]
+            lo, hi = self.bounds[node]
+            self.level[a] = self.level[b] = self.level[node] + 1
+            middle, way = (wl + wr) / 2, self.monotone[f]
+            rest = self.hist[node] - hist
+            children += [a, b]
+            both += [hist, rest] if fewer else [rest, hist]
+            bounds += [(middle if way < 0 else lo, middle if way > 0 else hi), (middle if way > 0 else lo, middle if way < 0 else hi)]
+        self.learn(children, np.stack(both), bounds)
 
     def tree(self, rate: float) -> tuple:
         """What the finished ``Tree`` is built from, nodes numbered anew; splits that were asked for in vain are left out."""
@@ -280,7 +333,7 @@ class Growing:
             feature[i], bins[i], left[i], right[i] = self.best[node][1], self.best[node][2], a, b
             level[[a, b]] = level[i] + 1
         for node in self.leaves:
-            value[of[node]] = rate * self.value(node)
+            value[of[node]] = rate * self.value[node]
         return feature, bins, left, right, value, int(level.max())
 
 
@@ -289,25 +342,24 @@ class Placed:
 
     def __init__(self, part, kind: str, z: np.ndarray, width: int):
         self.bins, facts = part
-        self.g, self.h = _cell_gradients(kind, facts, z)
+        self.w, self.losses = _cell_sums(kind, facts, z)
         self.n, self.width, self.rows, self.split = facts[0], width, {0: np.arange(len(z))}, 0
 
     def follow(self, splits: list[tuple[int, int, int, int, int]]) -> None:
         for node, f, b, left, right in splits[self.split :]:
             rows = self.rows.pop(node)
-            low = self.bins[:, f][rows] <= b
+            low = self.bins[:, f].take(rows) <= b
             self.rows[left], self.rows[right] = rows[low], rows[~low]
         self.split = len(splits)
 
     def histogram(self, node: int) -> np.ndarray:
-        """Sums per (feature, bin) of gradient, Hessian and rows."""
+        """Sums per (feature, bin), and rows."""
         rows = self.rows[node]
-        w = [x[rows] for x in (self.g, self.h, self.n)]
-        out = np.zeros((self.bins.shape[1], self.width, 3))
+        w, n = self.w.take(rows), self.n.take(rows)
+        out = np.empty((2, self.bins.shape[1], self.width))
         for f in range(self.bins.shape[1]):
-            cell = self.bins[:, f][rows].astype(np.intp)
-            for k in range(3):
-                out[f, :, k] = np.bincount(cell, weights=w[k], minlength=self.width)
+            cell = self.bins[:, f].take(rows).astype(np.intp)
+            out[0, f], out[1, f] = np.bincount(cell, w, self.width), np.bincount(cell, n, self.width)
         return out
 
 
@@ -325,7 +377,7 @@ def _sums(part, kinds: list[str], splits: list, wanted: list, width: int) -> lis
     """What one part (bins, facts, scores) adds: histograms of the wanted nodes per ensemble, losses and biases."""
     b, facts, z = part
     placed = [Placed((b, facts), kind, z[k], width) for k, kind in enumerate(kinds)]
-    return [*_answer(placed, splits, wanted), np.array([_cell_losses(kind, facts, z[k]) for k, kind in enumerate(kinds)])]
+    return [*_answer(placed, splits, wanted), np.array([p.losses for p in placed])]
 
 
 def _moved(part, trees: list[tuple]):
@@ -343,7 +395,7 @@ class Held:
         b, facts, z = self.part
         if not any(splits):
             self.placed = [Placed((b, facts), kind, z[k], self.width) for k, kind in enumerate(self.kinds)]
-            self.losses = np.array([_cell_losses(kind, facts, z[k]) for k, kind in enumerate(self.kinds)])
+            self.losses = np.array([p.losses for p in self.placed])
         return [*_answer(self.placed, splits, wanted), self.losses]
 
     def move(self, trees: list[tuple]) -> None:
@@ -373,7 +425,7 @@ class Passes:
             self.state.checkpoint()
 
 
-def boost(rows: Held | Passes, n: int, allowed: list[np.ndarray], monotone: list[np.ndarray], rounds: int, leaves: int, depth: float, rate: float, min_rows: int, min_hessian: float):
+def boost(rows: Held | Passes, n: int, kinds: list[str], allowed: list[np.ndarray], monotone: list[np.ndarray], rounds: int, leaves: int, depth: float, rate: float, min_rows: int, min_hessian: float):
     """Trees (as tuples), mean losses, gains by feature and last mean of score less log target of every ensemble, from ``n`` rows."""
     m = len(allowed)
     trees, losses, gains = [[] for _ in range(m)], [[] for _ in range(m)], np.zeros((m, len(allowed[0])))
@@ -383,14 +435,14 @@ def boost(rows: Held | Passes, n: int, allowed: list[np.ndarray], monotone: list
             losses[k].append(float(total[k, 0] / n))
         if r == rounds:
             break
-        grown = [Growing(allowed[k], monotone[k], leaves, depth, max(min_rows, 1), min_hessian) for k in range(m)]
+        grown = [Growing(kinds[k], allowed[k], monotone[k], leaves, depth, max(min_rows, 1), min_hessian) for k in range(m)]
         for g, hist in zip(grown, hists):
-            g.learn(0, hist[0], (-np.inf, np.inf))
+            g.learn([0], hist, [(-np.inf, np.inf)])
         while any(wanted := [g.advance() for g in grown]):
-            hists = rows.ask([g.split for g in grown], [[left for _, left in w] for w in wanted])
+            hists = rows.ask([g.split for g in grown], [[child for _, child in w] for w in wanted])
             for g, w, hist in zip(grown, wanted, hists):
-                for (node, _), one in zip(w, hist if w else ()):
-                    g.answered(node, one)
+                if w:
+                    g.answered([node for node, _ in w], hist)
         new = [g.tree(rate) for g in grown]
         for k, g in enumerate(grown):
             trees[k].append(new[k])
@@ -464,13 +516,13 @@ def fit(
                 b, facts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
                 order = np.lexsort(b.T)
                 part = (np.asfortranarray(b[order]), facts[:, order], np.full((1, len(b)), mean))
-                yield k, boost(Held(part, kinds[k : k + 1], width), count, allowed[k : k + 1], monotone[k : k + 1], *limits)
+                yield k, boost(Held(part, kinds[k : k + 1], width), count, kinds[k : k + 1], allowed[k : k + 1], monotone[k : k + 1], *limits)
 
         every = range(len(names))
         got = dict(data.flatMap(lambda d: [(k, d) for k in every]).groupByKey(len(names), int).mapPartitions(alone).collect())
         trees, losses, gains, bias = [[got[k][i][0] for k in every] for i in range(4)]
     else:
-        trees, losses, gains, bias = boost(Passes(data, mean, kinds, width), count, allowed, monotone, *limits)
+        trees, losses, gains, bias = boost(Passes(data, mean, kinds, width), count, kinds, allowed, monotone, *limits)
     data.unpersist()
     for k, n in enumerate(names):
         fitted.start[n], fitted.trees[n], fitted.losses[n], fitted.bias[n] = mean, [Tree(*t) for t in trees[k]], losses[k], float(bias[k])
