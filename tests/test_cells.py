@@ -81,3 +81,19 @@ def test_tables_of_a_forest_follow_its_splits():
     for t in trees:
         assert np.array_equal(t.scores(bins), B.Forest._walk(t, bins))
     assert np.allclose(B.Forest(trees).scores(bins), sum(B.Forest._walk(t, bins) for t in trees), atol=1e-12)
+
+
+def test_sums_of_cells_are_those_of_rows():
+    """Gradient, Hessian and loss of a cell from one sum and its rows, exponents held or not."""
+    rng = np.random.default_rng(7)
+    t, cell = np.exp(rng.normal(size=3000)), rng.integers(0, 30, 3000)
+    n = np.bincount(cell).astype(float)
+    log = np.bincount(cell, np.log(t)) / n
+    facts = np.stack([n, np.bincount(cell, t), log, np.bincount(cell, (np.log(t) - log[cell]) ** 2)])
+    for z in (rng.normal(size=30), np.full(30, -40.0), np.full(30, 40.0)):
+        for loss in B.LOSSES:
+            w, (total, bias) = B._cell_sums(loss, facts, z)
+            g, h = B._newton(loss, np.stack([w, n])[None])
+            want_g, want_h = B.gradients(loss, t, z[cell])
+            assert np.allclose(g[0], np.bincount(cell, want_g), rtol=1e-10, atol=1e-10) and np.allclose(h[0], np.bincount(cell, want_h), rtol=1e-10)
+            assert np.isclose(total, B.loss_sum(loss, t, z[cell]), rtol=1e-10) and np.isclose(bias, (z[cell] - np.log(t)).sum(), rtol=1e-10)
