@@ -112,6 +112,17 @@ def test_glm_solves_every_key(spark, power):
     assert np.allclose(one.coef, got[0].coef, atol=1e-8)
 
 
+def test_a_glm_step_is_one_aggregate(spark, monkeypatch):
+    """Newton sums and scores come from the same pass over the rows."""
+    x, t = rows()
+    x[np.isnan(x)] = 0.0
+    df = frame(spark, x, t)
+    passes, plain = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *by: passes.append(by) or plain(self, *by))
+    fit = R.positive_glm(df, ["g"], [F.lit(1.0), F.col("a"), F.col("b")], F.col("target"), F.lit(True), 1.7).collect()
+    assert passes == [("g",)] * (2 + max(r.steps for r in fit)) and all(r.score <= 1e-11 for r in fit)
+
+
 def test_elastic_net_path_is_optimal(spark):
     x, t = rows()
     x[np.isnan(x)] = 0.0
