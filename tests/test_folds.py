@@ -48,3 +48,16 @@ def test_forecasts_of_tuned_fits(unhinted):
     a = {(r.fold, r.origin_id): r.forecast for r in whole.collect()}
     b = {(r.fold, r.origin_id): r.f for r in again.collect()}
     assert a and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_a_stage_of_folds_holds_what_is_read_later(spark, monkeypatch):
+    """Rows stand once per fold, so neither purged rows nor columns that no pass reads are written."""
+    from tidemark.plans import q_mod as Q
+
+    written = []
+    monkeypatch.setattr(Q, "materialise", lambda df: written.append(df) or df)
+    out = Q.tuned(spark, "/root/testdata/sf0.001")
+    assert {"fold", "alpha", "validation_qlike", "target", "forecast"} <= set(out.columns)
+    (stage,) = written
+    assert set(stage.columns) == {"fold", "part", "target", "s_x1", "s_x2", "s_x3"}
+    assert {r.part for r in stage.select("part").distinct().collect()} == {"fit", "validate", "test"}
