@@ -97,3 +97,36 @@ def test_sums_of_cells_are_those_of_rows():
             want_g, want_h = B.gradients(loss, t, z[cell])
             assert np.allclose(g[0], np.bincount(cell, want_g), rtol=1e-10, atol=1e-10) and np.allclose(h[0], np.bincount(cell, want_h), rtol=1e-10)
             assert np.isclose(total, B.loss_sum(loss, t, z[cell]), rtol=1e-10) and np.isclose(bias, (z[cell] - np.log(t)).sum(), rtol=1e-10)
+
+
+def test_boxes_of_a_grid_give_what_cells_give():
+    """Histograms, losses, trees and scores of cells in an array equal those of listed cells, for axes of any order of length."""
+    rng = np.random.default_rng(8)
+    bins = np.unique(np.stack([rng.integers(1, 60, 9000), rng.integers(0, 5, 9000), rng.integers(3, 30, 9000)], axis=1).astype(np.uint8), axis=0)
+    rng.shuffle(bins)
+    n = rng.integers(1, 40, len(bins)).astype(float)
+    log = bins[:, 0] / 30 - (bins[:, 2] > 20) * bins[:, 1] / 4 + 0.1 * rng.normal(size=len(bins))
+    part = np.asfortranarray(bins), np.stack([n, n * np.exp(log), log, 0.01 * n]), rng.normal(size=(2, len(bins)))
+    splits = [[(0, 0, 25, 1, 2), (2, 2, 12, 3, 4), (4, 1, 2, 5, 6)], [(0, 2, 20, 1, 2)]]
+    asked = [part[2], [[0], [0]], [[1, 3, 5, 6], [2]]]
+    got = []
+    for rows in (B.Held(part, list(B.LOSSES), 64), B.Grid(part, list(B.LOSSES), 64)):
+        *first, loss = rows.ask([[], []], asked[1])
+        got.append([*first, loss, *rows.ask(splits, asked[2])[:-1]])
+    assert all(a.shape == b.shape and np.allclose(a, b, rtol=1e-11, atol=1e-9) for a, b in zip(*got))
+    shapes = [np.ones(3, bool)] * 2, [np.array([1, 0, 0]), np.zeros(3, int)]
+    fits = [B.boost(k(part, list(B.LOSSES), 64), int(n.sum()), list(B.LOSSES), *shapes, 6, 12, float("inf"), 0.1, 20, 1e-3) for k in (B.Held, B.Grid)]
+    for one, other in zip(*(f[0] for f in fits)):
+        assert len(one) == 6 and all(np.allclose(a, b) for s, t in zip(one, other) for a, b in zip(s, t))
+    assert np.allclose(fits[0][1], fits[1][1]) and np.allclose(fits[0][3], fits[1][3])
+
+
+def test_a_fit_over_few_features_sums_boxes(spark, monkeypatch):
+    """Cells that fill their bins are not looked up one by one as a tree grows; those that do not are."""
+    *_, df = frame(spark, 4000)
+    plain = B.boost
+    monkeypatch.setattr(B, "boost", lambda rows, *a: (*plain(rows, *a)[:2], [[type(rows) is B.Grid]], [0.0]))
+    e = {"q": B.Ensemble("qlike", ("a",))}
+    for most in (B.DENSE, 0):
+        monkeypatch.setattr(B, "DENSE", most)
+        assert B.fit(df, e, F.col("target"), F.lit(True), rounds=2, leaves=4).gains["q"] == {"a": float(most > 0)}

@@ -14,7 +14,8 @@ The loop has thousands of short passes over the same packed cells.  They run as
 arrays, kept in memory with spill to disk and checkpointed every ``PER_CHECKPOINT`` rounds: planning
 a query for each pass would cost more than the pass.  Scores of the cells change once per round.
 Up to ``SMALL`` cells even an empty pass costs more than the sums; then the same loop runs in one task
-per ensemble, over the same packed cells.
+per ensemble, over the same packed cells.  Where these fill a fair part of all combinations of bins,
+they lie in an array with an axis per feature, of which every node is a box.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ROUNDS, LEAVES, RATE, BINS, MIN_ROWS, MIN_HESSIAN = 300, 31, 0.05, 254, 20, 1e-3
 CLIP = 30.0
 PER_CHECKPOINT = 50
 SMALL = 250_000
+#: Places of an array over all bins per cell up to which one task sums boxes of it.
+DENSE = 12
 #: Cells whose scores a forecasting task remembers.
 REMEMBERED = 1_000_000
 LOSSES = ("log", "qlike")
@@ -264,10 +267,13 @@ class Growing:
         left = hists.cumsum(axis=3)
         total = left[:, :, :1, -1:]
         lo, hi = np.array(bounds).T[:, :, None, None]
+        bounded = self.monotone.any()
 
         def side(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             g, h = _newton(self.loss, s)
-            w = np.clip(-g / np.maximum(h, 1e-300), lo, hi)
+            w = -g / np.maximum(h, 1e-300)
+            if bounded:
+                w = np.clip(w, lo, hi)
             return h, w, -(2.0 * g + h * w) * w
 
         right = total - left
@@ -276,7 +282,7 @@ class Growing:
             gain = sl + sr - st
         fine = (np.minimum(left[:, 1], right[:, 1]) >= self.min_rows) & (np.minimum(hl, hr) >= self.min_hessian)
         fine &= self.allowed[:, None]
-        if self.monotone.any():
+        if bounded:
             fine &= self.monotone[:, None] * (wr - wl) >= 0
         fine &= np.array([self.level[k] < self.deepest for k in nodes])[:, None, None]
         gain = np.where(fine, gain, -np.inf)
@@ -402,6 +408,76 @@ class Held:
         self.part = _moved(self.part, trees)
 
 
+class Grid:
+    """Cells at hand as an array with an axis per feature: a node is a box of it, and its histograms are plain sums of that box.
+
+    No cell is looked up or moved as a tree grows.  Axes are in order of length, the longest last.
+    """
+
+    def __init__(self, part, kinds: list[str], width: int):
+        bins, facts, z = part
+        self.kinds, self.width = kinds, width
+        shape = bins.max(axis=0).astype(np.intp) + 1
+        axes = np.argsort(shape, kind="stable")
+        self.axis, self.shape = np.argsort(axes), tuple(shape[axes])
+        at = np.ravel_multi_index(tuple(bins[:, f].astype(np.intp) for f in axes), self.shape)
+        order = np.argsort(at)
+        self.at, self.facts, self.z = (np.ascontiguousarray(x[..., order]) for x in (at, facts, z))
+        self.whole = tuple(slice(0, n) for n in self.shape)
+        self.sums, self.painted = np.zeros((len(kinds), 2, *self.shape)), np.zeros(self.shape)
+        for _, rows in self.sums:
+            rows.ravel()[self.at] = self.facts[0]
+
+    @staticmethod
+    def room(bins: np.ndarray) -> float:
+        """Places of the array that these cells would need."""
+        return float(np.prod(bins.max(axis=0) + 1.0))
+
+    def ask(self, splits: list, wanted: list) -> list:
+        if not any(splits):
+            self.boxes, self.split, losses = [{0: self.whole} for _ in self.kinds], [0] * len(self.kinds), []
+            for (sums, _), kind, z in zip(self.sums, self.kinds, self.z):
+                sums.ravel()[self.at], both = _cell_sums(kind, self.facts, z)
+                losses.append(both)
+            self.losses = np.array(losses)
+        out = []
+        for k, (asked, nodes) in enumerate(zip(splits, wanted)):
+            boxes = self.boxes[k]
+            for node, f, b, left, right in asked[self.split[k] :]:
+                boxes[left], boxes[right] = self._cut(boxes.pop(node), f, b)
+            self.split[k] = len(asked)
+            out.append(np.stack([self._histogram(self.sums[k], boxes[node]) for node in nodes]) if nodes else 0)
+        return [*out, self.losses]
+
+    def move(self, trees: list[tuple]) -> None:
+        steps = []
+        for feature, edge, left, right, value, _ in trees:
+            open_ = [(0, self.whole)]
+            while open_:
+                node, box = open_.pop()
+                if left[node] == node:
+                    self.painted[box] = value[node]
+                else:
+                    open_ += zip((left[node], right[node]), self._cut(box, feature[node], edge[node]))
+            steps.append(self.painted.ravel().take(self.at))
+        self.z = self.z + np.stack(steps)
+
+    def _cut(self, box: tuple, f: int, b: int) -> list[tuple]:
+        k, edge = self.axis[f], int(b) + 1
+        return [(*box[:k], part, *box[k + 1 :]) for part in (slice(box[k].start, edge), slice(edge, box[k].stop))]
+
+    def _histogram(self, sums: np.ndarray, box: tuple) -> np.ndarray:
+        """Sums per (feature, bin), and rows: the last axis' by adding up the others, then the same without it."""
+        part, out = sums[:, *box], np.zeros((len(box), 2, self.width))
+        for d in reversed(range(len(box))):
+            margin = part
+            for _ in range(d):
+                margin = np.ones(margin.shape[-2]) @ margin
+            out[d, :, box[d]] = margin
+            part = part @ np.ones(part.shape[-1])
+        return out[self.axis].swapaxes(0, 1)
+
+
 class Passes:
     """Cells of an RDD: a question is a pass over it."""
 
@@ -515,8 +591,9 @@ def fit(
                 held = list(held)
                 b, facts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
                 order = np.lexsort(b.T)
-                part = (np.asfortranarray(b[order]), facts[:, order], np.full((1, len(b)), mean))
-                yield k, boost(Held(part, kinds[k : k + 1], width), count, kinds[k : k + 1], allowed[k : k + 1], monotone[k : k + 1], *limits)
+                part = (np.asfortranarray(b[order]), np.ascontiguousarray(facts[:, order]), np.full((1, len(b)), mean))
+                rows = (Grid if Grid.room(b) <= DENSE * len(b) else Held)(part, kinds[k : k + 1], width)
+                yield k, boost(rows, count, kinds[k : k + 1], allowed[k : k + 1], monotone[k : k + 1], *limits)
 
         every = range(len(names))
         got = dict(data.flatMap(lambda d: [(k, d) for k in every]).groupByKey(len(names), int).mapPartitions(alone).collect())
