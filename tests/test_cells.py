@@ -130,3 +130,18 @@ def test_a_fit_over_few_features_sums_boxes(spark, monkeypatch):
     for most in (B.DENSE, 0):
         monkeypatch.setattr(B, "DENSE", most)
         assert B.fit(df, e, F.col("target"), F.lit(True), rounds=2, leaves=4).gains["q"] == {"a": float(most > 0)}
+
+
+def test_forecasts_are_looked_up_where_bins_are_few(spark, monkeypatch):
+    """A table over all bins gives what scoring of cells gives, missing values and those beyond the training rows' too."""
+    *_, df = frame(spark, 4000)
+    e = {"l": B.Ensemble("log", ("a", "b")), "q": B.Ensemble("qlike", ("b",))}
+    fit = B.fit(df, e, F.col("target"), F.lit(True), rounds=4, leaves=6)
+    odd = df.limit(50).unionByName(spark.createDataFrame([(None, 0.5, 1.0), (9.0, -9.0, 1.0), (float("nan"), None, 1.0)], df.schema)).coalesce(1).cache()
+    looked = [tuple(r.raw) for r in fit.forecasts(odd).collect()]
+    monkeypatch.setattr(B, "TABLE", 0)
+    assert looked == [tuple(r.raw) for r in fit.forecasts(odd).collect()] and len(looked) == 53
+    shape = np.array([len(x) + 2 for x in fit.edges])
+    bins = np.stack(np.meshgrid(*map(np.arange, shape), indexing="ij"), axis=-1).reshape(-1, 2).astype(np.uint8)
+    for n in e:
+        assert np.array_equal(B._table(fit.trees[n], shape).ravel(), B.Forest(fit.trees[n]).scores(bins))

@@ -41,6 +41,8 @@ PER_CHECKPOINT = 50
 SMALL = 250_000
 #: Places of an array over all bins per cell up to which one task sums boxes of it.
 DENSE = 12
+#: Combinations of bins, times ensembles, over which a forecasting task adds trees up.
+TABLE = 1_000_000
 #: Cells whose scores a forecasting task remembers.
 REMEMBERED = 1_000_000
 LOSSES = ("log", "qlike")
@@ -140,6 +142,34 @@ class Forest:
         return out
 
 
+def _cut(box: tuple, axis: int, edge: int) -> list[tuple]:
+    """The two parts of a box of bins, the first up to bin ``edge`` of an axis."""
+    own = box[axis]
+    return [(*box[:axis], part, *box[axis + 1 :]) for part in (slice(own.start, edge + 1), slice(edge + 1, own.stop))]
+
+
+def _leaves(feature: np.ndarray, edge: np.ndarray, left: np.ndarray, right: np.ndarray, axis: np.ndarray, whole: tuple) -> Iterator[tuple[int, tuple]]:
+    """Leaves of a tree and the box of bins each stands for."""
+    open_ = [(0, whole)]
+    while open_:
+        node, box = open_.pop()
+        if left[node] == node:
+            yield node, box
+        else:
+            open_ += zip((left[node], right[node]), _cut(box, axis[feature[node]], int(edge[node])))
+
+
+def _table(trees: list[Tree], shape: np.ndarray) -> np.ndarray:
+    """Sum of the trees at every combination of bins."""
+    order = np.argsort(shape, kind="stable")
+    axis, out = np.argsort(order), np.zeros(shape[order])
+    whole = tuple(slice(0, n) for n in out.shape)
+    for t in trees:
+        for node, box in _leaves(t.feature, t.bin, t.left, t.right, axis, whole):
+            out[box] += t.value[node]
+    return out.transpose(axis)
+
+
 @dataclass
 class Fitted:
     """Fitted ensembles: bin edges of all features, and per ensemble its start, trees, losses and gains."""
@@ -161,13 +191,21 @@ class Fitted:
     def forecasts(self, df: DataFrame) -> DataFrame:
         """Adds ``raw``: the raw score (log variance) of every ensemble, a struct by name.
 
-        A task scores each cell of bins once and remembers up to ``REMEMBERED`` of them.
+        Where all combinations of bins are few, a task adds the trees up over all of them and looks rows up.
+        Else it scores each cell of bins once and remembers up to ``REMEMBERED`` of them.
         """
         edges, start, trees, names = self.edges, self.start, self.trees, list(self.ensembles)
-        most = REMEMBERED
+        most, shape = REMEMBERED, np.array([len(e) + 2 for e in edges])
+        few = len(names) * np.prod(shape.astype(float)) <= TABLE
 
         @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
         def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if few:
+                tables = [start[n] + _table(trees[n], shape) for n in names]
+                for x in frames:
+                    at = tuple(binned([x.iloc[:, k].to_numpy(float) for k in range(x.shape[1])], edges).T)
+                    yield pd.DataFrame({n: t[at] for n, t in zip(names, tables)})
+                return
             forests = [Forest(trees[n]) for n in names]
             known, values = np.zeros(0, np.uint64), np.zeros((0, len(names)))
             score = lambda bins: np.stack([start[n] + f.scores(bins) for n, f in zip(names, forests)], axis=1)
@@ -444,7 +482,7 @@ class Grid:
         for k, (asked, nodes) in enumerate(zip(splits, wanted)):
             boxes = self.boxes[k]
             for node, f, b, left, right in asked[self.split[k] :]:
-                boxes[left], boxes[right] = self._cut(boxes.pop(node), f, b)
+                boxes[left], boxes[right] = _cut(boxes.pop(node), self.axis[f], int(b))
             self.split[k] = len(asked)
             out.append(np.stack([self._histogram(self.sums[k], boxes[node]) for node in nodes]) if nodes else 0)
         return [*out, self.losses]
@@ -452,20 +490,11 @@ class Grid:
     def move(self, trees: list[tuple]) -> None:
         steps = []
         for feature, edge, left, right, value, _ in trees:
-            open_ = [(0, self.whole)]
-            while open_:
-                node, box = open_.pop()
-                if left[node] == node:
-                    self.painted[box] = value[node]
-                else:
-                    open_ += zip((left[node], right[node]), self._cut(box, feature[node], edge[node]))
+            for node, box in _leaves(feature, edge, left, right, self.axis, self.whole):
+                self.painted[box] = value[node]
             steps.append(self.painted.ravel().take(self.at))
         self.z = self.z + np.stack(steps)
 
-    def _cut(self, box: tuple, f: int, b: int) -> list[tuple]:
-        k, edge = self.axis[f], int(b) + 1
-        return [(*box[:k], part, *box[k + 1 :]) for part in (slice(box[k].start, edge), slice(edge, box[k].stop))]
-
     def _histogram(self, sums: np.ndarray, box: tuple) -> np.ndarray:
         """Sums per (feature, bin), and rows: the last axis' by adding up the others, then the same without it."""
         part, out = sums[:, *box], np.zeros((len(box), 2, self.width))
